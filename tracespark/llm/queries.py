@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracespark.llm.decontamination import contamination
 from tracespark.llm.sharding import byte_shards
+from tracespark.llm.simhash import near_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
 }
 SQL: dict[str, str] = {}
