@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracespark.llm.decontamination import contamination
 from tracespark.llm.sharding import byte_shards
 from tracespark.llm.simhash import near_groups
+from tracespark.llm.suffix_dedup import without_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(
@@ -34,6 +40,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
 }
