@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracespark.llm.decontamination import contamination
+from tracespark.llm.multiset_hash import paired_fingerprints
+from tracespark.llm.sentencepiece_codec import encoded
 from tracespark.llm.sharding import byte_shards
 from tracespark.llm.simhash import near_groups
 from tracespark.llm.suffix_dedup import without_repeats
 
+#: Folder of public tokenizer files.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +33,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(
@@ -38,10 +48,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
+    "op10_fingerprints": op10_fingerprints,
 }
 SQL: dict[str, str] = {}
