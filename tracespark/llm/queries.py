@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracespark.llm.decontamination import contamination
+from tracespark.llm.licenses import license_scan
 from tracespark.llm.multiset_hash import paired_fingerprints
 from tracespark.llm.sentencepiece_codec import encoded
 from tracespark.llm.sharding import byte_shards
 from tracespark.llm.simhash import near_groups
 from tracespark.llm.suffix_dedup import without_repeats
+from tracespark.llm.toxicity import toxicity
+from tracespark.llm.url_filters import judged
 
 #: Folder of public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
@@ -28,16 +31,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return encoded(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_tokens", "ids", "round_trip")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(
@@ -54,8 +69,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_licenses": op2_licenses,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_url_filters": op4_url_filters,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
