@@ -12,6 +12,7 @@ from tracespark.llm.sentencepiece_codec import encoded
 from tracespark.llm.sharding import byte_shards
 from tracespark.llm.simhash import near_groups
 from tracespark.llm.suffix_dedup import without_repeats
+from tracespark.llm.token_counts import corpus_counts
 from tracespark.llm.toxicity import toxicity
 from tracespark.llm.url_filters import judged
 
@@ -49,6 +50,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_tokens", "ids", "round_trip")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_counts(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import LOWER_TABLE, chunks, stored
+from tracespark.llm.common import LOWER_TABLE, chunks, id_key, row_tie, stored
 from tracespark.llm.components import components
 
 #: The embedding: 32 segments of 2 bits, one byte of counts for every 4 segments.
@@ -47,17 +47,17 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every row."""
+    """doc_id, tie (a hash of the text) and fp (64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 marks = [fingerprint(x.as_py(), shingle, seed) for x in part.column(1)]
                 bits = np.array(marks, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bits)], names=["doc_id", "tie", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.col("text").cast("binary"), row_tie()).mapInArrow(run, f"doc_id {kind}, tie long, fp long")
 
 
 def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -194,25 +194,27 @@ def near_groups(docs: DataFrame, *, distance: int = 4, shingle: int = 4, seed: i
     of its members' ids are null (then null). Repeated rows each keep theirs. Other
     columns are ignored; an empty table gives no rows.
 
-    Returns doc_id, fp long, component_id.
+    Returns doc_id, tie, fp long, root (a fingerprint that names the group), component_id.
     """
     marks = stored(fingerprints(docs, shingle=shingle, seed=seed), "simhash")
     classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(near_links(classes.select("fp"), distance=distance, block=block))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marks.join(named, "fp").select("doc_id", "tie", "fp", "root", "component_id")
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of each component its smallest doc_id.
+    """The documents without near copies: of each group the row of the smallest doc_id.
 
-    Of rows that repeat that id one stays (the one of the smallest text). Rows without
-    an id stay only where a component has no other row.
+    Rows that repeat an id are told apart by their text's hash, and rows without an id
+    stay only where a group has no other; of equal rows one stays. The groups are found
+    without their texts, which are shuffled once, to meet the rows that stay.
     """
     groups = near_groups(docs, **options)
-    kept = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_kept")).distinct()
-    named = docs.withColumn("_kept", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    return named.join(kept, "_kept", "left_semi").drop("_kept")
+    kept = groups.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), id_key().alias("_key"), F.col("tie").alias("_tie"))).alias("one"))
+    keys = ["_key", "_tie"]
+    named = docs.withColumns({"_key": id_key(), "_tie": row_tie()})
+    return named.join(kept.select("one._key", "one._tie"), keys, "left_semi").dropDuplicates(keys).drop(*keys)
