@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Stands for a missing doc_id in keys; sorts before every real id.
 NO_ID = -(2**63)
 
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's checkpoint folder.
@@ -38,11 +43,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: an executor lost later costs no recomputation, and what
-    depends on how rows were dealt out stays as it was written.
+    depends on how rows were dealt out stays as it was written. The shuffle files
+    behind the table are not needed any more and go when it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,3 +79,13 @@ def chunks(table, size: int = 256):
     """Slices of an Arrow batch, so that only a few long texts are Python objects at once."""
     for at in range(0, table.num_rows, size):
         yield table.slice(at, size)
+
+
+def byte_chunks(table, column: str, most: int = 4 << 20):
+    """Slices of an Arrow batch of about ``most`` bytes in a column, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(table.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < table.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield table.slice(at, end - at)
+        at = end

@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import chunks, id_key, stored
+from tracespark.llm.common import chunks, dropped, id_key, stored
 
 #: First digit of a suffix: so many bytes at its anchor.
-GRAM = 64
+GRAM = 32
+#: Second digit: the offsets of an anchor in its windows, in so many parts.
+PARTS = 4
+#: Bytes of the longest hash that is made by doubling.
+HALF = 128
 #: Bytes hashed at once; longer texts go in pieces that overlap by a window.
 PIECE = 1 << 19
 LOW = np.uint64(0xFFFFFF)
@@ -38,16 +42,18 @@ def _joined(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 64 and of the 128 bytes from every position that has so many."""
-    x, size = BYTES[data], 1
-    while size < GRAM:
+    """Hashes of the 32 and of the 128 bytes from every position that has so many."""
+    x, size, grams = BYTES[data], 1, None
+    while size < HALF:
         x, size = _joined(x[:-size], x[size:], size), 2 * size
-    return x, _joined(x[:-GRAM], x[GRAM:], GRAM)
+        if size == GRAM:
+            grams = x
+    return grams, x
 
 
 def window_hashes(h128: np.ndarray, window: int) -> np.ndarray:
     """Hash of the ``window`` bytes (129 to 256) from every position."""
-    gap = window - 2 * GRAM
+    gap = window - HALF
     return _joined(h128[:-gap], h128[gap:], window)
 
 
@@ -85,24 +91,37 @@ def anchor_spans(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray,
     """Runs of windows that share an anchor.
 
     Yields arrays: text, first window's start, number of further windows, hash of the
-    anchor's gram, hash of all bytes of the run's windows.
+    anchor's gram, hash of all bytes of the run's windows, and the parts: 8 bits of the
+    anchor's offset from the first window, and for each part of the offsets 14 bits of
+    a hash of the bytes that all its windows share (zero where the run has none).
     """
+    wide = part_width(window)
     for data, pieces in _blocks(texts, window):
-        h64, h128 = gram_hashes(data)
-        least = anchors(h64, window)
+        grams, h128 = gram_hashes(data)
+        least = anchors(grams, window)
         starts = np.concatenate([np.arange(here, here + size - window + 1) for _, _, here, size in pieces])
         which = np.repeat(np.arange(len(pieces)), [size - window + 1 for _, _, _, size in pieces])
         at = least[starts]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:], at.size] - 1
         p0, p1, anchor, piece = starts[first], starts[last], at[first], which[first]
-        tail = p1 + window - 2 * GRAM
-        middle = np.minimum(p0 + 2 * GRAM, tail)
+        tail = p1 + window - HALF
+        middle = np.minimum(p0 + HALF, tail)
         span = _joined(_joined(h128[p0], h128[middle], 1), h128[tail], 2)
         span = _joined(span, ((p1 - p0) * 1024 + (anchor - p0)).astype(np.uint64), 3)
+        parts = (anchor - p0).astype(np.uint64)
+        for k in range(PARTS):
+            low, high = k * wide, min((k + 1) * wide, window - GRAM + 1) - 1
+            has = (anchor - p1 <= high) & (anchor - p0 >= low)
+            core = _joined(h128[np.where(has, anchor - low, 0)], h128[np.where(has, anchor - high + window - HALF, 0)], 4 + k)
+            parts |= np.where(has, core >> np.uint64(50), 0).astype(np.uint64) << np.uint64(8 + 14 * k)
         text = np.array([k for k, *_ in pieces])[piece]
         shift = np.array([offset - here for _, offset, here, _ in pieces])[piece]
-        yield text, p0 + shift, p1 - p0, h64[anchor].view(np.int64), span.view(np.int64)
+        yield text, p0 + shift, p1 - p0, grams[anchor].view(np.int64), span.view(np.int64), parts.view(np.int64)
+
+
+def part_width(window: int) -> int:
+    return -(-(window - GRAM + 1) // PARTS)
 
 
 def _tie() -> Column:
@@ -126,12 +145,13 @@ def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
     gives exactly the repeated windows. Suffixes are sorted by most significant digits
     first, and a group of one leaves after each pass:
 
-    1. the 64 bytes at the window's anchor (its least gram by hash). Equal windows
-       have equal anchors, so that only anchors, about one in ``window / 3`` bytes,
-       are rows here, not suffixes;
+    1. the 32 bytes at the window's anchor (its least gram by hash). Equal windows
+       have equal anchors, so that only anchors, about one in 80 bytes, are rows here,
+       not suffixes;
     2. all bytes of the windows that share the anchor: an anchor whose whole span
        repeats needs no further digits, and of each span one representative goes on;
-    3. the full window, for representatives of anchors with unlike spans only.
+    3. for each quarter of the windows of an anchor, the bytes that they share;
+    4. the full window, for what is left of the representatives.
 
     Every pass is a count by key with map-side combination, and keys found twice come
     back by a join, so that no group is ever gathered. Equality is that of two 64-bit
@@ -139,7 +159,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
 
     Returns id (``id_key``), tie, starts array<long>: start << 8 | further starts.
     """
-    if not 2 * GRAM < window <= 200:
+    if not HALF < window <= 200:
         raise ValueError("window must be 129 to 200 bytes")
     texts = docs.select(id_key().alias("id"), _tie().alias("tie"), F.col("text").cast("binary").alias("text"))
 
@@ -148,26 +168,39 @@ def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
             for part in chunks(batch):
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 ties = part.column("tie").to_numpy(zero_copy_only=False)
-                for text, start, more, gram, span in anchor_spans(_texts(part, "text"), window):
+                for text, start, more, *digits in anchor_spans(_texts(part, "text"), window):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[text]), pa.array(_packed(ties[text], start, more)), pa.array(gram), pa.array(span)],
-                        names=["id", "place", "gram", "span"])
+                        [pa.array(ids[text]), pa.array(_packed(ties[text], start, more)), *map(pa.array, digits)],
+                        names=["id", "place", "gram", "span", "parts"])
 
-    placed = stored(texts.mapInArrow(spans, "id long, place long, gram long, span long"), "anchors")
-    grams = placed.groupBy("gram").agg(
-        F.count("*").alias("n"), (F.min("span") == F.max("span")).alias("alike")).where("n > 1").drop("n")
+    placed = stored(texts.mapInArrow(spans, "id long, place long, gram long, span long, parts long"), "anchors")
+    grams = placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     again = stored(placed.join(grams, "gram"), "repeated-grams")
-
-    unlike = again.where("not alike")
-    classes = stored(unlike.groupBy("gram", "span").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("one")), "span-classes")
-    whole = again.where("alike").select("id", "place").union(
-        unlike.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"]).select("id", "place"))
-
-    # Third digit: the windows of one representative of each class.
-    asked = classes.select(
-        F.col("one.id").alias("id"), F.shiftrightunsigned("one.place", 40).alias("tie"),
-        F.struct(F.col("one.place").alias("place"), "gram", (F.col("n") == 1).alias("alone")).alias("ask"),
+    dropped(placed)
+    classes = stored(again.groupBy("gram", "span").agg(
+        F.count("*").alias("n"), F.min(F.struct("id", "place", "parts")).alias("one")), "span-classes")
+    whole = again.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"]).select("id", "place")
+
+    # Third digit: the quarters of one representative of each class.
+    wide = part_width(window)
+    each = classes.select(
+        "one.id", "one.place", "gram", (F.col("n") == 1).alias("alone"),
+        F.col("one.parts").bitwiseAND(255).cast("int").alias("high"),
+        F.explode(F.array(*[
+            F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("one.parts", 8 + 14 * k).bitwiseAND(16383).alias("core"))
+            for k in range(PARTS)])).alias("digit"),
+    ).select(
+        "id", "place", "gram", "alone", "high", "digit.*",
+        F.greatest(F.col("high") - F.col("place").bitwiseAND(255).cast("int"), F.col("digit.part") * wide).alias("from"),
+        F.least(F.col("high"), F.col("digit.part") * wide + (wide - 1)).alias("to"),
+    ).where("from <= to")
+    shared = each.groupBy("gram", "part", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    asked = each.join(shared, ["gram", "part", "core"]).select(
+        "id", F.shiftrightunsigned("place", 40).alias("tie"),
+        F.struct(
+            # the sub-run's first window is at offset ``to``
+            (F.col("place") - F.col("place").bitwiseAND(255) + (F.col("high") - F.col("to")) * 256
+             + (F.col("to") - F.col("from"))).alias("place"), "gram", "alone").alias("ask"),
     ).groupBy("id", "tie").agg(F.collect_list("ask").alias("asks"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +214,12 @@ def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
             windows, "id long, place long, gram long, deep long, alone boolean"), "windows")
     found = deep.groupBy("gram", "deep").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     single = deep.where("alone").join(found, ["gram", "deep"]).select("id", "place")
-    return whole.union(single).select(
+    starts = stored(whole.union(single).select(
         "id", F.shiftrightunsigned("place", 40).alias("tie"), F.col("place").bitwiseAND((1 << 40) - 1).alias("start"),
-    ).groupBy("id", "tie").agg(F.collect_set("start").alias("starts"))
+    ).groupBy("id", "tie").agg(F.collect_set("start").alias("starts")), "repeated-windows")
+    for table in (again, classes, deep):
+        dropped(table)
+    return starts
 
 
 def _window_rows(row: dict, window: int) -> Iterator[pa.RecordBatch]:
@@ -218,7 +254,7 @@ def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), np.r_[reach[new[1:] - 1], reach[-1]].tolist(), strict=True))
 
 
-def without_repeats(docs: DataFrame, *, window: int = 200) -> DataFrame:
+def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False) -> DataFrame:
     """Every document row with the bytes that no repeated window covers.
 
     Texts are judged as UTF-8 bytes, on the input; matches never cross documents, and a
@@ -227,7 +263,8 @@ def without_repeats(docs: DataFrame, *, window: int = 200) -> DataFrame:
     them all. A null doc_id is an id of its own. A clashing column of ``docs`` is
     replaced; an empty table gives no rows.
 
-    Returns ``docs`` plus n_bytes, n_removed, n_spans long, kept binary.
+    Returns ``docs`` plus n_bytes, n_removed, n_spans long, kept binary; with ``as_text``
+    kept is a string, without the bytes of characters that a cut has gone through.
     """
     clash = [c for c in ("n_bytes", "n_removed", "n_spans", "kept", "_id", "_tie", "_bytes", "_starts") if c in docs.columns]
     docs = docs.drop(*clash)
@@ -251,14 +288,15 @@ def without_repeats(docs: DataFrame, *, window: int = 200) -> DataFrame:
                     n_bytes.append(len(text))
                     n_removed.append(sum(b - a for a, b in runs))
                     n_spans.append(len(runs))
-                    kept.append(b"".join(left))
+                    rest = b"".join(left)
+                    kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(width)), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)),
-                     pa.array(kept, pa.binary())],
+                     pa.array(kept, pa.string() if as_text else pa.binary())],
                     names=[*part.schema.names[:width], "n_bytes", "n_removed", "n_spans", "kept"])
 
     from pyspark.sql.types import StructType
 
     schema = StructType(docs.schema.fields + StructType.fromDDL(
-        "n_bytes long, n_removed long, n_spans long, kept binary").fields)
+        f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").fields)
     return joined.mapInArrow(cut, schema)
