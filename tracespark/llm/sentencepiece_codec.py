@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracespark.llm.common import chunks
+from tracespark.llm.common import byte_chunks, chunks
 
 SPACE = "▁"
 #: A character that no piece covers costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: Segments of up to so many characters go side by side.
+SHORT = 48
+#: Hashing of prefixes.
+BASE, SPREAD, MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
 class Codec:
@@ -35,11 +39,13 @@ class Codec:
     byte pieces (or the unknown piece).
 
     A piece has spaces only in front, so that a space after another character is a
-    boundary that all paths share; the ids of what lies between two such boundaries are
-    remembered (``memory`` texts at most).
+    boundary that all paths share, and so are both ends of a character that no piece
+    has. The segments between such boundaries are remembered
+    (``memory`` at most); the short ones that are new in a batch move over their
+    lattices side by side, in arrays, longer ones one by one through the window.
     """
 
-    def __init__(self, model: bytes, kind: str = "bpe", memory: int = 200_000):
+    def __init__(self, model: bytes, kind: str = "bpe", memory: int = 400_000):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = self.processor.get_piece_size()
         plain = [i for i in range(n) if not (
@@ -53,12 +59,25 @@ class Codec:
         if any(self.processor.is_byte(i) for i in range(n)):
             self.byte_ids = [self.processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.octets = [self._octets(i) for i in range(n)]
+        alphabet = {c for p in self.ids for c in p} - {SPACE}
         cut = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cut else "(?s:.+)").findall
+        inside = f"[{''.join(map(re.escape, sorted(alphabet)))}]+"
+        self.segments = re.compile(f"{SPACE}*{inside}|{SPACE}+|." if cut else f"[{SPACE}{inside[1:]}|.", re.DOTALL).findall
+        self.all_single = alphabet | {SPACE} <= self.ids.keys()
         self.kind, self.memory = kind, memory
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pieces = [self.processor.id_to_piece(i) for i in range(n)]
+        self.split: dict[int, tuple[int, int]] = {}
+        self.whole = {p: True for p in self.ids if len(p) == 1}
+        if kind == "bpe":
+            for piece in sorted(self.ids, key=len):
+                if len(piece) > 1:
+                    parts = self._merged(piece, stop=2)
+                    self.whole[piece] = len(parts) == 2 and all(p in self.ids and self.whole[p] for p in parts)
+                    if self.whole[piece]:
+                        self.split[self.ids[piece]] = (self.ids[parts[0]], self.ids[parts[1]])
+        self.lattice = Lattice(self)
 
     def _octets(self, i: int) -> bytes:
         if self.processor.is_byte(i):
@@ -70,19 +89,24 @@ class Codec:
         return self.processor.id_to_piece(i).replace(SPACE, " ").encode()
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        known, found = self.known, []
-        for segment in self.segments(self.processor.normalize(text)):
-            ids = known.get(segment)
-            if ids is None:
-                ids = tuple(self.stream(segment))
-                if len(segment) <= 64:
-                    if len(known) >= self.memory:
-                        known.clear()
-                    known[segment] = ids
-            found.append(ids)
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        known = self.known
+        split = [self.segments(self.processor.normalize(t)) if t else [] for t in texts]
+        new = {s for segments in split for s in segments if s not in known}
+        if len(known) + len(new) > self.memory:
+            known.clear()
+            new = {s for segments in split for s in segments}
+        short = [s for s in new if len(s) <= SHORT]
+        known.update(zip(short, self.lattice.encode(short), strict=True))
+        out = [
+            np.fromiter(chain.from_iterable([known[s] if s in known else self.stream(s) for s in segments]), np.int32)
+            for segments in split
+        ]
+        if len(known) > self.memory:
+            known.clear()
+        return out
 
     def decode(self, ids) -> str:
         octets = self.octets
@@ -133,11 +157,11 @@ class Codec:
             raise ValueError(f"no path reaches character {end}")
         return best[1:]
 
-    def _merged(self, text: str) -> list[str]:
-        """The pieces that merging neighbours by priority gives."""
+    def _merged(self, text: str, stop: int = 1) -> list[str]:
+        """The pieces that merging neighbours by priority gives (``stop``: so many at least)."""
         parts = list(text)
         scores = self.scores
-        while len(parts) > 1:
+        while len(parts) > stop:
             joined = [(-scores[p], k) for k, p in enumerate(map("".join, zip(parts, parts[1:]))) if p in scores]
             if not joined:
                 break
@@ -146,10 +170,7 @@ class Codec:
         return parts
 
     def _merges_to(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = len(piece) == 1 or self._merged(piece) == [piece]
-        return known
+        return len(piece) == 1 or self.whole.get(piece, False)
 
     def _pair(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
@@ -167,6 +188,161 @@ class Codec:
         return [self.unknown]
 
 
+class Lattice:
+    """The lattices of many short segments at once.
+
+    Pieces are found by a walk from every character over the vocabulary's prefixes, kept
+    in a table by hash; states are arrays over all characters of all segments.
+    """
+
+    def __init__(self, own: Codec):
+        self.own = own
+        nodes: dict[int, tuple[int, str]] = {}
+        for piece in own.ids:
+            value = 0
+            for k, character in enumerate(piece):
+                value = (value * BASE + ord(character) + 1) & MASK
+                prefix = piece[: k + 1]
+                if nodes.setdefault(value, (-1, prefix))[1] != prefix:
+                    raise ValueError("two prefixes of the vocabulary share a hash")
+                if k + 1 == len(piece) and own._merges_to(piece) | (own.kind == "unigram"):
+                    nodes[value] = (own.ids[piece], prefix)
+        self.bits = max(16, (4 * len(nodes)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.values = np.full(1 << self.bits, -2, np.int32)
+        for value, (number, _) in nodes.items():
+            at = (value * SPREAD & MASK) >> (64 - self.bits)
+            while self.values[at] != -2:
+                at = (at + 1) % self.keys.size
+            self.keys[at], self.values[at] = value, number
+        self.scores = np.array([own.scores.get(p, 0.0) for p in own.pieces])
+        self.single = {ord(p): i for p, i in own.ids.items() if len(p) == 1}
+        self.asked = np.full(1 << 21, -1, np.int64)
+        self.allowed = np.zeros(1 << 21, bool)
+
+    def _found(self, hashes: np.ndarray) -> np.ndarray:
+        """Id of each hash's piece, -1 for a mere prefix, -2 for neither."""
+        at = ((hashes * np.uint64(SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(hashes.size, -2, np.int32)
+        left = np.arange(hashes.size)
+        while left.size:
+            value = self.values[at[left]]
+            same = self.keys[at[left]] == hashes[left]
+            out[left[same]] = value[same]
+            left = left[~same & (value != -2)]
+            at[left] = (at[left] + 1) % self.keys.size
+        return out
+
+    def encode(self, segments: list[str]) -> list[tuple[int, ...]]:
+        own, out = self.own, [()] * len(segments)
+        plain = list(range(len(segments)))
+        if own.all_single:
+            odd = [k for k in plain if len(segments[k]) == 1 and segments[k] not in own.ids]
+        else:
+            odd = [k for k in plain if not self.single.keys() >= set(map(ord, segments[k]))]
+        for k in odd:  # characters that are no pieces
+            out[k] = tuple(own.stream(segments[k]))
+        if odd:
+            plain = sorted(set(plain) - set(odd))
+        for at in range(0, len(plain), 16384):
+            some = plain[at : at + 16384]
+            for k, ids in zip(some, self._encode([segments[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
+
+    def _encode(self, segments: list[str]) -> list[tuple[int, ...]]:
+        own = self.own
+        points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        first = np.r_[0, np.cumsum(sizes)[:-1]]
+        stop = np.repeat(first + sizes, sizes)
+        begin = np.repeat(first, sizes)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # last character, order, id
+        at = np.arange(points.size)
+        value = np.zeros(points.size, np.uint64)
+        for k in range(1, own.longest + 1):
+            value = value * np.uint64(BASE) + points[at + k - 1] + np.uint64(1)
+            number = self._found(value)
+            hit = number >= 0
+            ends = at[hit] + k - 1
+            # by the end's place in its segment, longer pieces first
+            found.append((ends, (ends - begin[ends]) * (own.longest + 1) + own.longest - k, number[hit]))
+            on = (number != -2) & (at + k < stop[at])
+            at, value = at[on], value[on]
+            if not at.size:
+                break
+        spots, order, numbers = (np.concatenate(x) for x in zip(*found, strict=True))
+        sort = np.argsort(order, kind="stable")
+        spots, order, numbers = spots[sort], order[sort], numbers[sort]
+        last = np.full(points.size, -1, np.int32)
+        back = np.zeros(points.size, np.int64)
+        best = np.full(points.size, -np.inf)
+        cuts = np.r_[0, np.flatnonzero(order[1:] != order[:-1]) + 1, order.size].tolist()
+        for a, z in zip(cuts, cuts[1:]):
+            spot, piece = spots[a:z], numbers[a:z]
+            k = own.longest - int(order[a]) % (own.longest + 1)
+            inner = int(order[a]) // (own.longest + 1) >= k  # there is a piece before this one
+            if own.kind == "unigram":
+                total = self.scores[piece] + (best[spot - k] if inner else 0.0)
+                better = total > best[spot]
+                spot, piece = spot[better], piece[better]
+                best[spot], last[spot], back[spot] = total[better], piece, k
+                continue
+            free = last[spot] < 0
+            spot, piece = spot[free], piece[free]
+            if inner and spot.size:
+                good = self._admissible(last[spot - k], piece)
+                spot, piece = spot[good], piece[good]
+            last[spot], back[spot] = piece, k
+        ids, steps, out = last.tolist(), back.tolist(), []
+        for begin, size in zip(first.tolist(), sizes.tolist(), strict=True):
+            path, place = [], begin + size - 1
+            while place >= begin:
+                path.append(ids[place])
+                place -= steps[place]
+            out.append(tuple(reversed(path)))
+        return out
+
+    def _admissible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging gives these two pieces for their text; answers are kept in a
+        table that newer ones overwrite."""
+        key = left.astype(np.int64) << 32 | right
+        slot = ((key.view(np.uint64) * np.uint64(SPREAD)) >> np.uint64(43)).astype(np.int64)
+        missing = np.flatnonzero(self.asked[slot] != key)
+        out = self.allowed[slot]
+        if missing.size:
+            unique, inverse = np.unique(key[missing], return_inverse=True)
+            answers = np.array([self._pair(k >> 32, k & 0xFFFFFFFF) for k in unique.tolist()], bool)
+            out[missing] = answers[inverse]
+            self.asked[slot[missing]], self.allowed[slot[missing]] = key[missing], out[missing]
+        return out
+
+    def _pair(self, left: int, right: int) -> bool:
+        """No merge across the border goes before the merges that made both pieces.
+
+        The latest merge on either side is undone, one after the other; while it is
+        undone, the pieces at the border must not make one of an earlier priority.
+        """
+        own = self.own
+        pieces, ids, scores, split = own.pieces, own.ids, own.scores, own.split
+        floor = -np.inf  # score of the merge that is undone: an earlier merge has a higher one
+        inclusive = False
+        while True:
+            joined = pieces[left] + pieces[right]
+            if joined in ids and (scores[joined] > floor or inclusive and scores[joined] == floor):
+                return False
+            a = scores[pieces[left]] if left in split else np.inf
+            z = scores[pieces[right]] if right in split else np.inf
+            if a == z == np.inf:
+                return True
+            if a < z:  # the left piece was made later
+                floor, inclusive = a, False
+                left = split[left][1]
+            else:
+                floor, inclusive = z, True
+                right = split[right][0]
+
+
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -198,9 +374,9 @@ def encoded(docs: DataFrame, model_file: str, *, kind: str = "bpe", check: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, kind)
         for batch in batches:
-            for part in chunks(batch, 128):
+            for part in byte_chunks(batch, "_text"):
                 texts = [x.as_py() or "" for x in part.column("_text")]
-                ids = [own.encode(x) for x in texts]
+                ids = own.encode_batch(texts)
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
