@@ -23,17 +23,17 @@ BASE = {
 #: Licence notices (label, notice, key phrases it must hold).
 TEMPLATES = [
     ("agpl-3.0", "gnu affero general public license version 3", ["gnu affero general public license"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
+    ("apache-2.0", "apache license version 2 0", ["apache license version 2 0"]),
     ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses license 2 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
+    ("cc-by-4.0", "cc by 4 0", ["cc by 4 0"]),
     ("cc-by-4.0", "creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
+    ("cc-by-nc-4.0", "cc by nc 4 0", ["cc by nc 4 0"]),
+    ("cc-by-sa-4.0", "cc by sa 4 0", ["cc by sa 4 0"]),
     ("cc0-1.0", "cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
     ("epl-2.0", "eclipse public license v 2 0", ["eclipse public license"]),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    ("gpl-2.0", "gnu general public license version 2", ["gnu general public license version 2"]),
+    ("gpl-3.0", "gnu general public license version 3", ["gnu general public license version 3"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
     ("lgpl-2.1", "gnu lesser general public license version 2 1", ["gnu lesser general public license version 2 1"]),
     ("lgpl-3.0", "gnu lesser general public license version 3", ["gnu lesser general public license version 3"]),

@@ -139,7 +139,7 @@ def _texts(part: pa.RecordBatch, name: str) -> list[bytes]:
 
 
 def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
-    """Where the windows of ``window`` bytes (129 to 200) that occur more than once start.
+    """Where the windows of ``window`` bytes (160 to 200) that occur more than once start.
 
     Sorting all suffixes to the depth of a window and reading off the equal groups
     gives exactly the repeated windows. Suffixes are sorted by most significant digits
@@ -159,8 +159,8 @@ def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
 
     Returns id (``id_key``), tie, starts array<long>: start << 8 | further starts.
     """
-    if not HALF < window <= 200:
-        raise ValueError("window must be 129 to 200 bytes")
+    if not 160 <= window <= 200:  # so that the longest hash fits into every digit, and three cover a span
+        raise ValueError("window must be 160 to 200 bytes")
     texts = docs.select(id_key().alias("id"), _tie().alias("tie"), F.col("text").cast("binary").alias("text"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
