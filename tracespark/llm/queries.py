@@ -11,6 +11,7 @@ from tracespark.llm.multiset_hash import paired_fingerprints
 from tracespark.llm.sentencepiece_codec import encoded
 from tracespark.llm.sharding import byte_shards
 from tracespark.llm.simhash import near_groups
+from tracespark.llm.sql import SQL  # noqa: F401
 from tracespark.llm.suffix_dedup import without_repeats
 from tracespark.llm.token_counts import corpus_counts
 from tracespark.llm.toxicity import toxicity
@@ -84,4 +85,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
 }
-SQL: dict[str, str] = {}
+
