@@ -126,7 +126,7 @@ def _ranges(docs: DataFrame, range_bytes: int, most: int) -> tuple[DataFrame, in
     return out.select("to.range", "to.visitor", "key", "doc_id", "text"), max(1, len(heads))
 
 
-def paired_fingerprints(docs: DataFrame, *, range_bytes: int = 32 << 20, most_ranges: int = 20_000) -> DataFrame:
+def paired_fingerprints(docs: DataFrame, *, range_bytes: int = 4 << 20, most_ranges: int = 20_000) -> DataFrame:
     """Fingerprints of every document and of its edited text, and what they tell.
 
     The next document is that of the next lower doc_id (null counts as the lowest);
