@@ -142,7 +142,7 @@ def test_toxic_documents_go(spark):
 
 def test_pipeline_against_its_operators(spark):
     """Each stage is held against the rows that brute force leaves."""
-    from test_operators import linked, removed, simhash, windows_hit
+    from test_operators import joined, removed, simhash, windows_hit
     from fixtures import words_of
 
     from tracespark.llm.common import stored
@@ -160,7 +160,8 @@ def test_pipeline_against_its_operators(spark):
     grammar = fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     assert set(rows[1]) == {r.doc_id for r in scored(docs, grammar).where("score < 0.5").collect()} <= set(rows[0])
     ids = sorted(rows[1])
-    roots = linked([simhash(rows[1][i]["text"]) for i in ids])
+    texts = [rows[1][i]["text"] for i in ids]
+    roots = joined([simhash(t) for t in texts], texts)
     assert set(rows[2]) == {ids[r] for r in roots}
     left = {i: x for i, x in zip(rows[2], removed([r["text"] for r in rows[2].values()]))}
     texts = {i: x[3].decode("utf-8", "ignore") for i, x in left.items() if not x[1] or x[3].decode("utf-8", "ignore").strip(" ")}

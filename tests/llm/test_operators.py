@@ -146,6 +146,28 @@ def linked(marks, distance=4):
     return [find(i) for i in range(len(marks))]
 
 
+def shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", ascii_lower(text)) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def joined(marks, texts, similarity=0.8):
+    """Smallest index reachable by close fingerprints or similar five-word shingles."""
+    root, sets = list(range(len(marks))), [shingles(t) for t in texts]
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(marks)), 2):
+        both = len(sets[i] & sets[j])
+        if (marks[i] ^ marks[j]).bit_count() <= 4 or both and both >= similarity * len(sets[i] | sets[j]):
+            a, z = sorted((find(i), find(j)))
+            root[z] = a
+    return [find(i) for i in range(len(marks))]
+
+
 def test_simhash_groups(spark):
     docs = documents()
     marks = [simhash(d[1]) for d in docs]
@@ -157,8 +179,15 @@ def test_simhash_groups(spark):
     got = near_groups(frame(spark)).collect()
     assert bag((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got) == bag(
         (d[0], m, min(least[r])) for d, m, r in zip(docs, marks, roots))
-    kept = first_of_groups(frame(spark)).collect()
+    kept = first_of_groups(frame(spark), similarity=None).collect()
     assert sorted(r.doc_id for r in kept) == sorted(min(least[r]) for r in set(roots))
+    wider = joined(marks, [d[1] for d in docs])
+    least = defaultdict(list)
+    for r, d in zip(wider, docs):
+        if d[0] is not None:
+            least[r].append(d[0])
+    kept = first_of_groups(frame(spark)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(min(least[r]) for r in set(wider))
     assert near_groups(empty(spark)).count() == first_of_groups(empty(spark)).count() == 0
 
 
