@@ -17,6 +17,8 @@ def frames_of(seconds: float, rate: float) -> int:
 
 
 def rounded(x: Column) -> Column:
+    """Six digits, for comparing results. Where values are fractions of hundredths, callers
+    add a small odd number first, so that no value lies halfway between two results."""
     return F.round(x, 6)
 
 

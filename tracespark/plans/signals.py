@@ -39,10 +39,10 @@ def t2(spark, d):
 
 
 @query("t3_block_traces", f"""WITH {PIXELS} SELECT rec, frame // 50 AS frame, (y // 16)::INT AS gy, (x // 16)::INT AS gx, count(*) AS n_pixels,
-CASE WHEN count(*) >= 10 THEN round(avg(value), 6) END AS mean FROM px GROUP BY ALL -- FROM fr""")
+CASE WHEN count(*) >= 10 THEN round(avg(value) + 3e-8, 6) END AS mean FROM px GROUP BY ALL -- FROM fr""")
 def t3(spark, d):
     rows = pixels(spark, d).withColumn("frame", F.floor(F.col("frame") / 50))
-    return op.block_traces(rows).withColumn("mean", rounded(F.col("mean")))
+    return op.block_traces(rows).withColumn("mean", rounded(F.col("mean") + 3e-8))
 
 
 @query("t4_field_trace", f"WITH {PIXELS} SELECT rec, frame, round(avg(value), 6) AS mean FROM px WHERE y BETWEEN 16 AND 47 GROUP BY 1, 2 -- FROM fr")
@@ -164,9 +164,9 @@ def nulls(spark, d):
     return response.shift_null(aligned(spark, d), UNIT, DRAWS, PRE, POST)
 
 
-@query("t22_shift_null", f"WITH {NULLS} SELECT roi, draw::BIGINT AS draw, round(amplitude, 5) AS amplitude FROM nul -- FROM fr")
+@query("t22_shift_null", f"WITH {NULLS} SELECT roi, draw::BIGINT AS draw, round(amplitude + 3e-7, 5) AS amplitude FROM nul -- FROM fr")
 def t22(spark, d):
-    return nulls(spark, d).select("roi", F.col("draw").cast("long").alias("draw"), F.round("amplitude", 5).alias("amplitude"))
+    return nulls(spark, d).select("roi", F.col("draw").cast("long").alias("draw"), F.round(F.col("amplitude") + 3e-7, 5).alias("amplitude"))
 
 
 @query("t24_classes", f"""WITH {RESPONSE}, {NULLS[len(ALIGNED) + 2:]}, q AS (SELECT roi, quantile_cont(amplitude, 0.95) AS hi, quantile_cont(amplitude, 0.05) AS lo FROM nul GROUP BY roi)

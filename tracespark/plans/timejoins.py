@@ -82,9 +82,9 @@ def mended(spark, d):
             F.col("end"))).drop("_last", "_mean")
 
 
-@query("j5_train_ends", f'WITH {MENDED} SELECT rec, trial, pulse, start, round("end", 6) AS "end" FROM mended -- FROM ev JOIN trial')
+@query("j5_train_ends", f'WITH {MENDED} SELECT rec, trial, pulse, start, round("end" - start, 2) AS length FROM mended -- FROM ev JOIN trial')
 def j5(spark, d):
-    return mended(spark, d).select("rec", "trial", "pulse", "start", rounded(F.col("end")).alias("end"))
+    return mended(spark, d).select("rec", "trial", "pulse", "start", F.round(F.col("end") - F.col("start"), 2).alias("length"))
 
 
 COVERED = MENDED + """,
@@ -123,7 +123,7 @@ LATE = 3_600_000.0
 f AS (SELECT rec, trial, min(start) AS start FROM train GROUP BY 1, 2),
 d AS (SELECT trial.rec, trial.trial, f.start - trial.t AS delay FROM trial LEFT JOIN f ON trial.rec = f.rec AND trial.trial = f.trial),
 w AS (SELECT *, lag(delay) OVER (PARTITION BY rec ORDER BY trial) AS p, lead(delay) OVER (PARTITION BY rec ORDER BY trial) AS n FROM d)
-SELECT rec, trial, round(delay, 6) AS delay,
+SELECT rec, trial, round(delay, 3) AS delay,
   NOT (coalesce(abs(delay) > {LATE}, false) OR coalesce(p > {LATE}, false) OR coalesce(n < -{LATE}, false)) AS valid FROM w -- FROM ev""")
 def j8(spark, d):
     first = trains(spark, d).groupBy("rec", "trial").agg(F.min("start").alias("start"))
@@ -131,7 +131,7 @@ def j8(spark, d):
     delays = b.trials(spark, d).select("rec", "trial", "t").join(first, ["rec", "trial"], "left").withColumn("delay", F.col("start") - F.col("t"))
     bad = (F.coalesce(F.abs("delay") > LATE, F.lit(False)) | F.coalesce(F.lag("delay").over(w) > LATE, F.lit(False))
            | F.coalesce(F.lead("delay").over(w) < -LATE, F.lit(False)))
-    return delays.select("rec", "trial", rounded(F.col("delay")).alias("delay"), (~bad).alias("valid"))
+    return delays.select("rec", "trial", F.round("delay", 3).alias("delay"), (~bad).alias("valid"))
 
 
 SPANS = """bl AS (SELECT rec, block, t AS start, coalesce(lead(t) OVER (PARTITION BY rec ORDER BY t),
@@ -306,10 +306,9 @@ def l5(spark, d):
 @query("l6_filled_frames", f"""WITH g AS (SELECT rec, t, lead(t) OVER (PARTITION BY rec ORDER BY t) AS z FROM frame),
 n AS (SELECT *, CASE WHEN z - t > 3.6e6 THEN ceil(log2((z - t) / 3.6e6))::INT ELSE 0 END AS n FROM g WHERE z IS NOT NULL)
 SELECT rec, t, false AS inserted FROM frame UNION ALL
-SELECT rec, round(z - (z - t) / pow(2, i), 6) AS t, true AS inserted FROM n, unnest(range(1, n + 1)) AS u(i)""")
+SELECT rec, z - (z - t) / pow(2, i) AS t, true AS inserted FROM n, unnest(range(1, n + 1)) AS u(i)""")
 def l6(spark, d):
-    return logs.filled_frames(b.frames(spark, d), gap=3.6e6).withColumn(
-        "t", F.when(F.col("inserted"), rounded(F.col("t"))).otherwise(F.col("t")))
+    return logs.filled_frames(b.frames(spark, d), gap=3.6e6)
 
 
 @query("l7_treatments", """SELECT session, CASE WHEN label LIKE '1%' THEN 'control' ELSE lower(label) END AS label FROM session""")
