@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,7 +17,7 @@ def connected(folder: str):
 
 
 def cell(x):
-    if x is None or isinstance(x, float) and math.isnan(x):
+    if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and math.isnan(x):
         return None
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return str(bool(x))
