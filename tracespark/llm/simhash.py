@@ -219,15 +219,53 @@ def _shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip((stops - lengths)[:n].tolist(), ends, strict=True)], np.uint64))
 
 
-def similar_links(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5) -> DataFrame:
-    """Links (a, b) between texts, by hash (``tie``), whose shingle sets are so similar.
+def similar_forest(roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (places in the lists) that join all texts which the full set of links would join.
+
+    Texts of one root are joined already. Each text is compared with all that the search
+    has not reached, by postings of the shingles.
+    """
+    sizes = np.array([s.size for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    rest, links = np.ones(len(sets), bool), []
+    while rest.any():
+        stack = np.flatnonzero(rest & (roots == roots[np.argmax(rest)])).tolist()
+        rest[stack] = False
+        while stack and rest.any():
+            k = stack.pop()
+            low, high = np.searchsorted(flat, sets[k]), np.searchsorted(flat, sets[k], "right")
+            n = high - low
+            at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=rest.size)
+            near = rest & (shared >= similarity * (sizes[k] + sizes - shared))
+            if near.any():
+                links += [(k, x) for x in np.flatnonzero(near).tolist()]
+                new = rest & np.isin(roots, roots[near])
+                rest &= ~new
+                stack += np.flatnonzero(new).tolist()
+    return links
+
+
+def similar_links(
+    docs: DataFrame, known: DataFrame | None = None, *, shingle: int = 5, similarity: float = 0.8, bands: int = 20,
+    rows: int = 5, block: int = 1 << 18,
+) -> DataFrame:
+    """Links (a, b) between texts, by hash (``tie``), that join what ``known`` links (a, b)
+    and all proposed pairs of so similar shingle sets would join.
 
     SimHashes of texts that share 0.8 of their five-word shingles differ in up to 14 of
     64 bits, further than a grid of bit counts can look. Pairs are therefore proposed by
     bands of min-wise samples (a pair at 0.8 is missed by all 20 bands once in 2,900
-    times) and verified on the whole sets. In a bucket every text is compared with the
-    smallest and the largest one only, so that their number stays linear; equal texts
-    are one. Texts without words are left out.
+    times) and verified on the whole sets; equal texts are one. Texts without words are
+    left out.
+
+    In a bucket every text is first compared with the smallest and the largest one, which
+    is all pairs of up to three texts and a linear number. Where the others of a bucket
+    are then still in several components, all of them are compared by ``similar_forest``:
+    buckets of the same texts once, and buckets of over ``block`` shingles as pairs of
+    blocks of about so many.
     """
     rng = np.random.default_rng(20)
     factors = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -237,7 +275,7 @@ def similar_links(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                ties, keys = [], []
+                ties, keys, sizes = [], [], []
                 for tie, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     hashes = _shingle_hashes(text.as_py(), shingle)
                     if not hashes.size:
@@ -253,19 +291,20 @@ def similar_links(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
                         key ^= key >> np.uint64(29)
                     ties.append(tie)
                     keys.append(key.view(np.int64))
+                    sizes.append(hashes.size)
                 n = len(ties)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array(ties, np.int64), bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)),
-                     pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], names=["tie", "band", "key"])
+                     pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)),
+                     pa.array(np.repeat(np.array(sizes, np.int64), bands))], names=["tie", "band", "key", "size"])
 
     placed = stored(
-        texts.mapInArrow(sketch, "tie long, band int, key long").distinct(), "similar-bands")
+        texts.mapInArrow(sketch, "tie long, band int, key long, size long").distinct(), "similar-bands")
     buckets = placed.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min("tie").alias("low"), F.max("tie").alias("high")).where("n > 1").drop("n")
+        F.count("*").alias("n"), F.min("tie").alias("low"), F.max("tie").alias("high")).where("n > 1")
     pairs = stored(
         placed.join(buckets, ["band", "key"]).select("tie", F.explode(F.array("low", "high")).alias("b"))
         .where("tie <> b").select(F.least("tie", "b").alias("a"), F.greatest("tie", "b").alias("b")).distinct(), "similar-pairs")
-    dropped(placed)
     ends = pairs.select(F.col("a").alias("tie")).union(pairs.select("b")).distinct()
 
     def as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +319,37 @@ def similar_links(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8,
     both = pairs.join(sets.select(F.col("tie").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("tie").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    links = stored(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar-links")
-    for table in (pairs, sets):
+    star = stored(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "similar-links")
+    dropped(pairs)
+    roots = components(star if known is None else star.union(known))
+
+    # The smallest and the largest text of a bucket have met all others.
+    bucket = ["band", "key"]
+    others = stored(
+        placed.join(buckets.where("n > 3"), bucket).where("tie <> low and tie <> high")
+        .join(roots.withColumnRenamed("node", "tie"), "tie", "left")
+        .select(*bucket, "tie", "size", F.coalesce("root", "tie").alias("root")), "similar-others")
+    dropped(placed)
+    same = ["n", "sum", "other_sum"]
+    apart = others.groupBy(*bucket).agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("tie").cast("decimal(20,0)")).alias("sum"),
+        F.sum(F.hash("tie").cast("long")).alias("other_sum"), F.sum("size").alias("total"),
+        F.min("root").alias("least"), F.max("root").alias("most"),
+    ).where("least <> most").groupBy(*same).agg(F.min(F.struct(*bucket, "total")).alias("one")).select(
+        "one.band", "one.key", F.ceil(F.col("one.total") / block).cast("long").alias("blocks"))
+    dealt = others.join(apart, bucket).withColumns({
+        "block": F.expr("pmod(xxhash64(tie, 1), blocks)"), "other": F.explode(F.expr("sequence(0L, blocks - 1)"))}).select(
+        *bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tie", "root")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ties, joined = group["tie"].to_numpy(), group["root"].to_numpy()
+        found = similar_forest(joined, [x.values.to_numpy() for x in group["shingles"]], similarity)
+        pairs = ties[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    late = dealt.join(sets, "tie").groupBy(*bucket, "i", "j").applyInArrow(compare, "a long, b long")
+    links = stored(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late).distinct(), "similar-links")
+    for table in (star, sets, others):
         dropped(table)
     return links
 
@@ -298,9 +366,8 @@ def first_of_groups(docs: DataFrame, *, similarity: float | None = 0.8, **option
     groups = stored(near_groups(docs, **options), "simhash-groups")
     if similarity is not None:
         named = groups.groupBy("root").agg(F.min("tie").alias("b"))
-        links = groups.select("root", F.col("tie").alias("a")).join(named, "root").select("a", "b").where("a <> b").union(
-            similar_links(docs, similarity=similarity))
-        roots = components(links.distinct()).select(F.col("node").alias("tie"), F.col("root").alias("_joined"))
+        known = groups.select("root", F.col("tie").alias("a")).join(named, "root").select("a", "b").where("a <> b")
+        roots = components(similar_links(docs, known, similarity=similarity)).select(F.col("node").alias("tie"), F.col("root").alias("_joined"))
         groups = groups.join(roots, "tie", "left").withColumn("root", F.coalesce("_joined", "tie"))
     kept = groups.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), id_key().alias("_key"), F.col("tie").alias("_tie"))).alias("one"))
