@@ -1,11 +1,15 @@
 """Inputs on which a shortened operator gives other results than the whole one."""
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 from fixtures import SCHEMA
+from test_operators import removed
 
 from tracespark.llm.simhash import first_of_groups, similar_forest, similar_links
+from tracespark.llm.suffix_dedup import without_repeats
 
 
 def rows_of(spark, texts):
@@ -37,3 +41,17 @@ def test_two_groups_in_a_bucket_stay_apart():
     sets = [np.arange(100), np.arange(10, 110), np.arange(30, 130), np.arange(22, 122)]
     assert sorted(map(sorted, similar_forest(np.array([1, 2, 3, 4]), sets, 0.8))) == [[0, 1], [2, 3]]
     assert similar_forest(np.array([1, 1, 3, 3]), sets, 0.8) == []
+
+
+def test_texts_under_one_null_id_keep_their_own_windows(spark):
+    """Among many texts two have hashes that agree in 24 bits; only one has a repeated passage."""
+    rng = random.Random(9)
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(60)) for _ in range(9000)]
+    by = defaultdict(list)
+    for t in texts:
+        by[xxhash.xxh64_intdigest(t, 42) & 0xFFFFFF].append(t)
+    twins = next(ts for ts in by.values() if len(ts) > 1)
+    docs = [(None, t) for t in [*texts[:50], *twins]] + [(1, "before it " + twins[0] + " and after it")]
+    got = without_repeats(rows_of(spark, docs)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter(
+        (d[0], *x) for d, x in zip(docs, removed([t for _, t in docs])))

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import chunks, dropped, id_key, stored
+from tracespark.llm.common import chunks, dropped, id_key, row_tie, stored
 
 #: First digit of a suffix: so many bytes at its anchor.
 GRAM = 32
@@ -124,14 +124,9 @@ def part_width(window: int) -> int:
     return -(-(window - GRAM + 1) // PARTS)
 
 
-def _tie() -> Column:
-    """24 bits that tell rows of one doc_id apart by their text."""
-    return F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(0xFFFFFF)
-
-
-def _packed(tie: np.ndarray, start: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """One long: 24 bits of tie, 32 of the window's start, 8 for the further windows."""
-    return (tie.astype(np.uint64) << np.uint64(40) | start.astype(np.uint64) << np.uint64(8) | more.astype(np.uint64)).view(np.int64)
+def _packed(start: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """One long: the window's start, 8 bits for the further windows."""
+    return start.astype(np.int64) << 8 | more.astype(np.int64)
 
 
 def _texts(part: pa.RecordBatch, name: str) -> list[bytes]:
@@ -157,11 +152,11 @@ def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
     back by a join, so that no group is ever gathered. Equality is that of two 64-bit
     hashes (gram and span, gram and window).
 
-    Returns id (``id_key``), tie, starts array<long>: start << 8 | further starts.
+    Returns id (``id_key``), tie (``row_tie``), starts array<long>: start << 8 | further starts.
     """
     if not 160 <= window <= 200:  # so that the longest hash fits into every digit, and three cover a span
         raise ValueError("window must be 160 to 200 bytes")
-    texts = docs.select(id_key().alias("id"), _tie().alias("tie"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(id_key().alias("id"), row_tie().alias("tie"), F.col("text").cast("binary").alias("text"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,33 +165,33 @@ def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
                 ties = part.column("tie").to_numpy(zero_copy_only=False)
                 for text, start, more, *digits in anchor_spans(_texts(part, "text"), window):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[text]), pa.array(_packed(ties[text], start, more)), *map(pa.array, digits)],
-                        names=["id", "place", "gram", "span", "parts"])
+                        [pa.array(ids[text]), pa.array(ties[text]), pa.array(_packed(start, more)), *map(pa.array, digits)],
+                        names=["id", "tie", "place", "gram", "span", "parts"])
 
-    placed = stored(texts.mapInArrow(spans, "id long, place long, gram long, span long, parts long"), "anchors")
+    placed = stored(texts.mapInArrow(spans, "id long, tie long, place long, gram long, span long, parts long"), "anchors")
     grams = placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     again = stored(placed.join(grams, "gram"), "repeated-grams")
     dropped(placed)
     classes = stored(again.groupBy("gram", "span").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "place", "parts")).alias("one")), "span-classes")
-    whole = again.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"]).select("id", "place")
+        F.count("*").alias("n"), F.min(F.struct("id", "tie", "place", "parts")).alias("one")), "span-classes")
+    whole = again.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"]).select("id", "tie", "place")
 
     # Third digit: the quarters of one representative of each class.
     wide = part_width(window)
     each = classes.select(
-        "one.id", "one.place", "gram", (F.col("n") == 1).alias("alone"),
+        "one.id", "one.tie", "one.place", "gram", (F.col("n") == 1).alias("alone"),
         F.col("one.parts").bitwiseAND(255).cast("int").alias("high"),
         F.explode(F.array(*[
             F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("one.parts", 8 + 14 * k).bitwiseAND(16383).alias("core"))
             for k in range(PARTS)])).alias("digit"),
     ).select(
-        "id", "place", "gram", "alone", "high", "digit.*",
+        "id", "tie", "place", "gram", "alone", "high", "digit.*",
         F.greatest(F.col("high") - F.col("place").bitwiseAND(255).cast("int"), F.col("digit.part") * wide).alias("from"),
         F.least(F.col("high"), F.col("digit.part") * wide + (wide - 1)).alias("to"),
     ).where("from <= to")
     shared = each.groupBy("gram", "part", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     asked = each.join(shared, ["gram", "part", "core"]).select(
-        "id", F.shiftrightunsigned("place", 40).alias("tie"),
+        "id", "tie",
         F.struct(
             # the sub-run's first window is at offset ``to``
             (F.col("place") - F.col("place").bitwiseAND(255) + (F.col("high") - F.col("to")) * 256
@@ -211,11 +206,11 @@ def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
 
     deep = stored(
         texts.join(asked, ["id", "tie"]).mapInArrow(
-            windows, "id long, place long, gram long, deep long, alone boolean"), "windows")
+            windows, "id long, tie long, place long, gram long, deep long, alone boolean"), "windows")
     found = deep.groupBy("gram", "deep").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    single = deep.where("alone").join(found, ["gram", "deep"]).select("id", "place")
+    single = deep.where("alone").join(found, ["gram", "deep"]).select("id", "tie", "place")
     starts = stored(whole.union(single).select(
-        "id", F.shiftrightunsigned("place", 40).alias("tie"), F.col("place").bitwiseAND((1 << 40) - 1).alias("start"),
+        "id", "tie", F.col("place").alias("start"),
     ).groupBy("id", "tie").agg(F.collect_set("start").alias("starts")), "repeated-windows")
     for table in (again, classes, deep):
         dropped(table)
@@ -227,7 +222,7 @@ def _window_rows(row: dict, window: int) -> Iterator[pa.RecordBatch]:
     place = np.array([a["place"] for a in row["asks"]], np.int64)
     gram = np.array([a["gram"] for a in row["asks"]], np.int64)
     alone = np.array([a["alone"] for a in row["asks"]], bool)
-    start, more = (place >> 8) & 0xFFFFFFFF, place & 0xFF
+    start, more = place >> 8, place & 0xFF
     order = np.argsort(start)
     start, more, gram, alone = start[order], more[order], gram[order], alone[order]
     for at in range(0, start.size, 2048):  # only the asked spans are hashed
@@ -239,10 +234,11 @@ def _window_rows(row: dict, window: int) -> Iterator[pa.RecordBatch]:
         step = np.arange(which.size) - np.repeat(np.r_[0, np.cumsum(m + 1)[:-1]], m + 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(which.size, row["id"], np.int64)),
-             pa.array(_packed(np.full(which.size, row["tie"]), s[which] + step, np.zeros(which.size, np.int64))),
+             pa.array(np.full(which.size, row["tie"], np.int64)),
+             pa.array(_packed(s[which] + step, np.zeros(which.size, np.int64))),
              pa.array(gram[at : at + 2048][which]), pa.array(deep[offsets[which] + step].view(np.int64)),
              pa.array(alone[at : at + 2048][which])],
-            names=["id", "place", "gram", "deep", "alone"])
+            names=["id", "tie", "place", "gram", "deep", "alone"])
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -270,7 +266,7 @@ def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False
     docs = docs.drop(*clash)
     found = repeated_windows(docs, window=window).select(
         F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts"))
-    joined = docs.withColumns({"_id": id_key(), "_tie": _tie(), "_bytes": F.col("text").cast("binary")}).join(
+    joined = docs.withColumns({"_id": id_key(), "_tie": row_tie(), "_bytes": F.col("text").cast("binary")}).join(
         found, ["_id", "_tie"], "left").select(*docs.columns, "_bytes", "_starts")
     width = len(docs.columns)
 
