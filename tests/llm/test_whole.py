@@ -8,6 +8,7 @@ import xxhash
 from fixtures import SCHEMA
 from test_operators import removed
 
+from tracespark.llm.licenses import license_scan
 from tracespark.llm.simhash import first_of_groups, similar_forest, similar_links
 from tracespark.llm.suffix_dedup import without_repeats
 
@@ -55,3 +56,19 @@ def test_texts_under_one_null_id_keep_their_own_windows(spark):
     got = without_repeats(rows_of(spark, docs)).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter(
         (d[0], *x) for d, x in zip(docs, removed([t for _, t in docs])))
+
+
+def test_gnu_file_headers(spark):
+    """The published headers, in comments and wrapped, name the licence and its version."""
+    header = ("# {0} is free software{1} you can redistribute it and/or modify it under the terms of the\n#  GNU {2} as published by\n"
+              "# the Free Software Foundation{1} {3}.\n#\n# {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.\n")
+    later = "either version {} of the License, or\n# (at your option) any later version"
+    cases = [
+        ("General Public License", later.format("3"), "gpl,gpl-3.0"), ("General Public License", later.format("2"), "gpl,gpl-2.0"),
+        ("Lesser General Public License", later.format("2.1"), "lgpl-2.1"), ("Lesser General Public License", later.format("3"), "lgpl-3.0"),
+        ("Library General Public License", later.format("2"), "lgpl-2.0"), ("Affero General Public License", later.format("3"), "agpl-3.0"),
+        ("General Public License", "version 2 of the License", "gpl,gpl-2.0"), ("General Public License", "either version 3, or (at your option)\n# any later version", "gpl,gpl-3.0"),
+    ]
+    texts = [header.format("This program", mark, family, version) for family, version, _ in cases for mark in ";:"]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(rows_of(spark, enumerate(texts))).collect()}
+    assert [got[k] for k in range(len(texts))] == [(labels, 1.0) for *_, labels in cases for _ in ";:"]

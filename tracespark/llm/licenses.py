@@ -43,29 +43,56 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 ]
 
+#: Label, family and version of the licences that the GNU file header names.
+GNU = [
+    ("agpl-3.0", "gnu affero general public license", "3"),
+    ("gpl-1.0", "gnu general public license", "1"),
+    ("gpl-2.0", "gnu general public license", "2"),
+    ("gpl-3.0", "gnu general public license", "3"),
+    ("lgpl-2.0", "gnu library general public license", "2"),
+    ("lgpl-2.0", "gnu lesser general public license", "2"),
+    ("lgpl-2.1", "gnu lesser general public license", "2 1"),
+    ("lgpl-3.0", "gnu lesser general public license", "3"),
+]
+
+#: The header's published forms: what follows the family, and the key phrase with the version.
+GNU_FORMS = [
+    ("either version {} of the license or at your option any later version", "version {} of the license"),
+    ("either version {} or at your option any later version", "version {} or at your option"),
+    ("version {} of the license", "version {} of the license"),
+]
+
+#: All notices.
+NOTICES = TEMPLATES + [
+    (label, f"{family} as published by the free software foundation {form.format(version)}", [family, key.format(version)])
+    for label, family, version in GNU for form, key in GNU_FORMS
+]
+
 
 class LicenseIndex:
     """Finds licence notices in a list of words.
 
     Postings give, for each licence word, the templates and positions that it has. In
-    a file, the rarest of a template's obligatory words (by idf) is looked up; each of
-    its places in the file, less its position in the template, is an alignment. There
-    the key phrases have to stand word by word, and ``share`` of all words has to agree.
+    a file, the ``RARE`` rarest of a template's obligatory words (by idf) are looked up;
+    a place in the file, less the position in the template, is an alignment, and the
+    alignments of all these words are intersected. At what is left the key phrases have
+    to stand word by word, and ``share`` of all words has to agree.
     """
 
-    def __init__(self, templates=TEMPLATES, idf: dict[str, float] | None = None, share: float = 0.8):
+    RARE = 3
+
+    def __init__(self, templates=NOTICES, idf: dict[str, float] | None = None, share: float = 0.8):
         self.share = share
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.templates = []
         for k, (label, notice, phrases) in enumerate(templates):
             words = notice.encode().split()
             keys = [(at, phrase.encode().split()) for phrase in phrases for at in [self._place(words, phrase.encode().split())]]
-            bound = {w for _, p in keys for w in p}
-            rarest = max(bound, key=lambda w: ((idf or {}).get(w.decode(), 0.0), len(w), w))
-            for at, word in enumerate(words):
-                if word == rarest:
-                    self.postings.setdefault(word, []).append((k, at))
-            self.templates.append((label, words, keys))
+            bound = {w: at + i for at, p in keys for i, w in enumerate(p)}
+            rarest = sorted(bound, key=lambda w: ((idf or {}).get(w.decode(), 0.0), len(w), w), reverse=True)[: self.RARE]
+            for word in rarest:
+                self.postings.setdefault(word, []).append((k, bound[word]))
+            self.templates.append((label, words, keys, len(rarest)))
 
     @staticmethod
     def _place(words: list[bytes], phrase: list[bytes]) -> int:
@@ -76,13 +103,24 @@ class LicenseIndex:
         wanted = self.postings.keys() & known
         if not wanted:
             return {}
-        found: dict[str, float] = {}
+        complete = Counter(k for word in wanted for k, _ in self.postings[word])
+        complete = {k for k, n in complete.items() if n == self.templates[k][3]}
+        places: dict[bytes, list[int]] = {w: [] for w in wanted if any(k in complete for k, _ in self.postings[w])}
+        if not places:
+            return {}
         for at, word in enumerate(words):
-            if word not in wanted:
-                continue
+            if word in places:
+                places[word].append(at)
+        aligned: dict[int, set[int]] = {}
+        for word, ats in places.items():
             for k, offset in self.postings[word]:
-                label, notice, keys = self.templates[k]
-                start = at - offset
+                if k in complete:
+                    starts = {at - offset for at in ats}
+                    aligned[k] = aligned[k] & starts if k in aligned else starts
+        found: dict[str, float] = {}
+        for k, starts in aligned.items():
+            label, notice, keys, _ = self.templates[k]
+            for start in starts:
                 if any(start + p < 0 or words[start + p : start + p + len(q)] != q for p, q in keys):
                     continue
                 same = sum(start + i >= 0 and words[start + i : start + i + 1] == [w] for i, w in enumerate(notice))
@@ -134,7 +172,7 @@ def word_idf(docs: DataFrame, vocabulary: set[str]) -> dict[str, float]:
     return {w: math.log(max(1, total) / k) for w, k in n.items()}
 
 
-def license_scan(docs: DataFrame, *, templates=TEMPLATES, share: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, *, templates=NOTICES, share: float = 0.8) -> DataFrame:
     """Licences of every document row.
 
     Words are runs of [0-9a-z] and non-ASCII characters after A-Z are lower-cased; base
