@@ -9,6 +9,7 @@ from fixtures import SCHEMA
 from test_operators import removed
 
 from tracespark.llm.licenses import license_scan
+from tracespark.llm.multiset_hash import as_hex, edited, from_hex, likeness, text_vector
 from tracespark.llm.simhash import first_of_groups, similar_forest, similar_links
 from tracespark.llm.suffix_dedup import without_repeats
 
@@ -58,6 +59,14 @@ def test_texts_under_one_null_id_keep_their_own_windows(spark):
         (d[0], *x) for d, x in zip(docs, removed([t for _, t in docs])))
 
 
+def test_likeness_of_long_repetitive_texts():
+    """Counts of over 32,767 in a lane keep their sign."""
+    text = "word " * 200_000
+    assert likeness(text_vector(text), text_vector(edited(text, "other words " * 100_000))) > 0.5
+    assert likeness(text_vector(text), text_vector(text[: len(text) // 2])) > 0.99
+    assert all((x == y).all() for x, y in zip(from_hex(as_hex(text_vector(text))), text_vector(text)))
+
+
 def test_gnu_file_headers(spark):
     """The published headers, in comments and wrapped, name the licence and its version."""
     header = ("# {0} is free software{1} you can redistribute it and/or modify it under the terms of the\n#  GNU {2} as published by\n"

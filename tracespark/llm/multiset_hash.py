@@ -16,7 +16,8 @@ from tracespark.llm.common import id_key
 
 #: Lanes of 64 bits, summed modulo 2^64: equal sums mean equal multisets of paragraphs.
 WIDE = 8
-#: Lanes of 16 bits, summed modulo 2^16: signed counts of the paragraphs' word runs.
+#: Lanes of 32 bits, summed modulo 2^32: signed counts of the paragraphs' word runs. A
+#: string of 2 GB has at most 2^30 words, so that no text's lane changes its sign.
 NARROW = 128
 #: Words of a run.
 RUN = 3
@@ -34,7 +35,7 @@ def _word_hash(word: str) -> int:
 
 
 def vector(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the paragraphs' wide vectors: uint64 lanes and uint16 lanes.
+    """Sum of the paragraphs' wide vectors: uint64 lanes and uint32 lanes.
 
     A paragraph's wide lanes are its SHA-512; its narrow lanes get one +1 or -1 for
     each run of three words (a shorter paragraph: for all its words), by hash. Adding a
@@ -46,7 +47,7 @@ def vector(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(w) for w in words], np.int64)
     hashes = np.fromiter((_word_hash(w) for ws in words for w in ws), np.uint64, int(sizes.sum()))
     if not hashes.size:
-        return wide, np.zeros(NARROW, np.uint16)
+        return wide, np.zeros(NARROW, np.uint32)
     owner = np.repeat(np.arange(sizes.size), sizes)
     padded = np.r_[hashes, np.zeros(RUN - 1, np.uint64)]
     ends = np.r_[owner, np.full(RUN - 1, -1)]
@@ -62,7 +63,7 @@ def vector(paragraphs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     lane = (runs >> np.uint64(40)).astype(np.int64) % NARROW
     sign = 1 - 2 * ((runs >> np.uint64(20)) & np.uint64(1)).astype(np.int64)
-    return wide, np.bincount(lane, sign, NARROW).astype(np.int64).astype(np.uint16)
+    return wide, np.bincount(lane, sign, NARROW).astype(np.int64).astype(np.uint32)
 
 
 def text_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +76,19 @@ def combined(a: tuple, b: tuple, sign: int = 1) -> tuple[np.ndarray, np.ndarray]
 
 
 def as_hex(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<u2").tobytes().hex()
+    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<u4").tobytes().hex()
 
 
 def from_hex(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(text)
-    return np.frombuffer(raw[: 8 * WIDE], "<u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], "<u2").astype(np.uint16)
+    return np.frombuffer(raw[: 8 * WIDE], "<u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], "<u4").astype(np.uint32)
 
 
 def likeness(a: tuple, b: tuple) -> float:
     """0 to 1, from the two vectors alone: the cosine of the signed counts; equal: 1."""
     if (a[0] == b[0]).all() and (a[1] == b[1]).all():
         return 1.0
-    x, y = a[1].view(np.int16).astype(float), b[1].view(np.int16).astype(float)
+    x, y = a[1].view(np.int32).astype(float), b[1].view(np.int32).astype(float)
     size = math.sqrt((x @ x) * (y @ y))
     return min(1.0, max(0.0, float(x @ y) / size)) if size else 0.0
 
