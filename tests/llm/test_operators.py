@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 from fixtures import SCHEMA, ascii_lower, documents, frame, words_of
@@ -15,7 +16,7 @@ from tracespark.llm.decontamination import WuManber, benchmark_hits, contaminati
 from tracespark.llm.licenses import license_scan
 from tracespark.llm.sharding import byte_shards
 from tracespark.llm.simhash import fingerprints, first_of_groups, near_groups
-from tracespark.llm.suffix_dedup import without_repeats
+from tracespark.llm.suffix_dedup import PIECE, radix_groups, without_repeats
 from tracespark.llm.token_counts import corpus_counts, document_counts
 from tracespark.llm.url_filters import judged
 
@@ -84,10 +85,11 @@ def removed(texts, window=200):
     return out
 
 
-@pytest.mark.parametrize("window", [200, 160])
-def test_repeated_windows(spark, window):
+@pytest.mark.parametrize("window, block", [(200, 4096), (160, 4096), (200, 2), (163, 1)])
+def test_repeated_windows(spark, window, block):
+    """Small blocks: first digits are dealt out and united again."""
     docs = documents()
-    got = without_repeats(frame(spark), window=window).collect()
+    got = without_repeats(frame(spark), window=window, block=block).collect()
     assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == bag(
         (d[0], *x) for d, x in zip(docs, removed([d[1] for d in docs], window)))
     assert got[0].score == 0.5  # other columns stay
@@ -96,6 +98,42 @@ def test_repeated_windows(spark, window):
     assert "�" not in as_text.kept
 
 
+def test_radix_groups_are_the_repeated_strings():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[1000:1300] = data[200:500]
+    starts = np.arange(0, 3900)
+    for depth in (8, 20, 64):
+        group = starts % 2
+        left, number = radix_groups(data, starts, group, depth)
+        strings = [(g, data[s : s + depth].tobytes()) for g, s in zip(group.tolist(), starts.tolist())]
+        count = Counter(strings)
+        assert sorted(left.tolist()) == [k for k, s in enumerate(strings) if count[s] > 1]
+        ordered = [strings[k] for k in left]
+        assert ordered == sorted(ordered)
+        assert [a == b for a, b in zip(ordered, ordered[1:])] == [a == b for a, b in zip(number, number[1:])]
+
+
+def test_repeats_over_the_borders_of_pieces(spark):
+    """A text of over a piece (512 KiB), with repeats in and around the border."""
+    import random
+
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(PIECE + 3000))
+    near = long[PIECE - 1500 : PIECE + 900]
+    docs = [(1, long), (2, near[:700] + "#" + near[700:]), (3, long[40:300])]
+    got = without_repeats(spark.createDataFrame([(*d, 0.5, 1, "h", 9) for d in docs], SCHEMA)).collect()
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == bag(
+        (d[0], *x) for d, x in zip(docs, removed([d[1] for d in docs])))
+
+
+def test_ids_of_another_type(spark):
+    rows = [(None if d[0] is None else f"a{d[0]}", d[1]) for d in documents()]
+    got = without_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == bag(
+        (d[0], *x) for d, x in zip(rows, removed([d[1] for d in rows])))
+
+
 def test_url_rules_and_aliases(spark):
     link = '<link rel="canonical" href="{}">'
     pages = [

@@ -70,6 +70,12 @@ def id_key(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
 
+def any_key(docs: DataFrame, doc_id: str = "doc_id") -> Column:
+    """``doc_id`` of any type as a long that is never null: integers as they are, others by hash."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return id_key(doc_id) if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(doc_id)
+
+
 def row_tie(text: str = "text") -> Column:
     """Tells rows of one doc_id apart by their text; equal rows stay together."""
     return F.coalesce(F.xxhash64(F.col(text)), F.lit(0))

@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import chunks, dropped, id_key, row_tie, stored
+from tracespark.llm.common import any_key, byte_chunks, chunks, dropped, row_tie, stored
 
 #: First digit of a suffix: so many bytes at its anchor.
 GRAM = 32
-#: Second digit: the offsets of an anchor in its windows, in so many parts.
-PARTS = 4
+#: Bytes of a further digit.
+DIGIT = 8
 #: Bytes of the longest hash that is made by doubling.
 HALF = 128
 #: Bytes hashed at once; longer texts go in pieces that overlap by a window.
 PIECE = 1 << 19
+#: Suffixes that a task sorts at once.
+SORTED = 1 << 19
 LOW = np.uint64(0xFFFFFF)
 
 
@@ -88,14 +90,11 @@ def _blocks(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, list[
 
 
 def anchor_spans(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows that share an anchor.
+    """Runs of neighbouring windows that share an anchor.
 
-    Yields arrays: text, first window's start, number of further windows, hash of the
-    anchor's gram, hash of all bytes of the run's windows, and the parts: 8 bits of the
-    anchor's offset from the first window, and for each part of the offsets 14 bits of
-    a hash of the bytes that all its windows share (zero where the run has none).
+    Yields arrays: text, place (``_packed``), hash of the anchor's gram, hash of all
+    bytes of the run's windows.
     """
-    wide = part_width(window)
     for data, pieces in _blocks(texts, window):
         grams, h128 = gram_hashes(data)
         least = anchors(grams, window)
@@ -109,136 +108,213 @@ def anchor_spans(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray,
         middle = np.minimum(p0 + HALF, tail)
         span = _joined(_joined(h128[p0], h128[middle], 1), h128[tail], 2)
         span = _joined(span, ((p1 - p0) * 1024 + (anchor - p0)).astype(np.uint64), 3)
-        parts = (anchor - p0).astype(np.uint64)
-        for k in range(PARTS):
-            low, high = k * wide, min((k + 1) * wide, window - GRAM + 1) - 1
-            has = (anchor - p1 <= high) & (anchor - p0 >= low)
-            core = _joined(h128[np.where(has, anchor - low, 0)], h128[np.where(has, anchor - high + window - HALF, 0)], 4 + k)
-            parts |= np.where(has, core >> np.uint64(50), 0).astype(np.uint64) << np.uint64(8 + 14 * k)
         text = np.array([k for k, *_ in pieces])[piece]
         shift = np.array([offset - here for _, offset, here, _ in pieces])[piece]
-        yield text, p0 + shift, p1 - p0, grams[anchor].view(np.int64), span.view(np.int64), parts.view(np.int64)
+        yield text, _packed(p0 + shift, anchor - p0, p1 - p0), grams[anchor].view(np.int64), span.view(np.int64)
 
 
-def part_width(window: int) -> int:
-    return -(-(window - GRAM + 1) // PARTS)
-
-
-def _packed(start: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """One long: the window's start, 8 bits for the further windows."""
-    return start.astype(np.int64) << 8 | more.astype(np.int64)
+def _packed(start: np.ndarray, skip: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """One long: the first window's start, 8 bits for the anchor's offset in it, 8 bits
+    for the number of further windows."""
+    return start.astype(np.int64) << 16 | skip.astype(np.int64) << 8 | more.astype(np.int64)
 
 
 def _texts(part: pa.RecordBatch, name: str) -> list[bytes]:
     return [x.as_py() or b"" for x in part.column(name)]
 
 
-def repeated_windows(docs: DataFrame, *, window: int = 200) -> DataFrame:
+def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depth-limited radix sort of the suffixes of ``data`` that begin at ``starts``.
+
+    ``group`` holds each suffix's first digit. Each pass orders the suffixes of a group
+    by their next eight bytes, the most significant first, splits the group and drops
+    groups of one, until ``depth`` bytes are read (each suffix has so many). Groups that
+    agree in a digit keep their order and are not sorted anew.
+
+    Returns the suffixes (places in ``starts``) that are left, in order, and their
+    groups' numbers: exactly the suffixes whose first ``depth`` bytes and first digit
+    occur more than once.
+    """
+    words = np.ndarray((max(0, data.size - DIGIT + 1),), ">u8", data, strides=(1,))
+    order = np.argsort(group, kind="stable")
+    left, number = _split(order, group[order])
+    for at in [*range(0, depth - DIGIT, DIGIT), depth - DIGIT]:
+        if not left.size:
+            break
+        digit = words[starts[left] + at].astype(np.uint64)
+        uneven = np.zeros(int(number[-1]) + 1, bool)
+        uneven[number[1:][(number[1:] == number[:-1]) & (digit[1:] != digit[:-1])]] = True
+        mixed = np.flatnonzero(uneven[number])
+        if not mixed.size:
+            continue
+        sort = mixed[np.lexsort((digit[mixed], number[mixed]))]
+        left[mixed], digit[mixed] = left[sort], digit[sort]
+        left, number = _split(left, number, digit)
+    return left, number
+
+
+def _split(left: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of sorted rows by their keys, without groups of one."""
+    if not left.size:
+        return left, left
+    new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
+    number = np.cumsum(new) - 1
+    stay = np.bincount(number)[number] > 1
+    return left[stay], number[stay]
+
+
+def repeated_windows(docs: DataFrame, *, window: int = 200, block: int = 4096) -> DataFrame:
     """Where the windows of ``window`` bytes (160 to 200) that occur more than once start.
 
     Sorting all suffixes to the depth of a window and reading off the equal groups
     gives exactly the repeated windows. Suffixes are sorted by most significant digits
     first, and a group of one leaves after each pass:
 
-    1. the 32 bytes at the window's anchor (its least gram by hash). Equal windows
-       have equal anchors, so that only anchors, about one in 80 bytes, are rows here,
-       not suffixes;
-    2. all bytes of the windows that share the anchor: an anchor whose whole span
-       repeats needs no further digits, and of each span one representative goes on;
-    3. for each quarter of the windows of an anchor, the bytes that they share;
-    4. the full window, for what is left of the representatives.
-
-    Every pass is a count by key with map-side combination, and keys found twice come
-    back by a join, so that no group is ever gathered. Equality is that of two 64-bit
-    hashes (gram and span, gram and window).
-
-    Returns id (``id_key``), tie (``row_tie``), starts array<long>: start << 8 | further starts.
+    1. The first digit is the 32 bytes at the window's anchor (its least gram by hash)
+       and the anchor's offset. Equal windows have equal anchors at equal offsets, so
+       that any such choice of the leading digit sorts them together; and neighbouring
+       suffixes share an anchor, so that one row (about one in 80 bytes) stands for all
+       of them. Spark counts the digit and drops what occurs once.
+    2. Rows of equal spans (all bytes of their windows, by a second hash) fall into
+       equal groups in every later pass. They are counted; one of each goes on, and
+       where a span occurs twice its windows are known to repeat.
+    3. What is left is dealt by its first digit with its bytes, and each task sorts the
+       suffixes by the digits that follow, eight bytes at a time (``radix_groups``): groups
+       that are left after the last digit are equal byte by byte.
+
+    No group is gathered: a first digit of over ``block`` different spans is dealt out as
+    several blocks, each sorted by itself. Of such blocks the suffixes that are alone,
+    and one of each group, are then counted over all blocks by the hash of all bytes.
+    Counts are stored before they meet the rows again, so that Spark may split hot keys.
+
+    Returns id (``any_key``), tie (``row_tie``), starts array<long>: start << 8 | further starts.
     """
-    if not 160 <= window <= 200:  # so that the longest hash fits into every digit, and three cover a span
+    if not 160 <= window <= 200:  # so that offsets fit into 8 bits, and three hashes cover a span
         raise ValueError("window must be 160 to 200 bytes")
-    texts = docs.select(id_key().alias("id"), row_tie().alias("tie"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(any_key(docs).alias("id"), row_tie().alias("tie"), F.col("text").cast("binary").alias("text"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in byte_chunks(batch, "text"):
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 ties = part.column("tie").to_numpy(zero_copy_only=False)
-                for text, start, more, *digits in anchor_spans(_texts(part, "text"), window):
+                for text, *columns in anchor_spans(_texts(part, "text"), window):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[text]), pa.array(ties[text]), pa.array(_packed(start, more)), *map(pa.array, digits)],
-                        names=["id", "tie", "place", "gram", "span", "parts"])
+                        [pa.array(ids[text]), pa.array(ties[text]), *map(pa.array, columns)],
+                        names=["id", "tie", "place", "gram", "span"])
 
-    placed = stored(texts.mapInArrow(spans, "id long, tie long, place long, gram long, span long, parts long"), "anchors")
-    grams = placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    again = stored(placed.join(grams, "gram"), "repeated-grams")
+    placed = stored(texts.mapInArrow(spans, "id long, tie long, place long, gram long, span long"), "anchors")
+    grams = stored(placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
+    again = stored(placed.join(grams, "gram"), "anchors-again")
     dropped(placed)
+    dropped(grams)
     classes = stored(again.groupBy("gram", "span").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "tie", "place", "parts")).alias("one")), "span-classes")
-    whole = again.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"]).select("id", "tie", "place")
-
-    # Third digit: the quarters of one representative of each class.
-    wide = part_width(window)
-    each = classes.select(
-        "one.id", "one.tie", "one.place", "gram", (F.col("n") == 1).alias("alone"),
-        F.col("one.parts").bitwiseAND(255).cast("int").alias("high"),
-        F.explode(F.array(*[
-            F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("one.parts", 8 + 14 * k).bitwiseAND(16383).alias("core"))
-            for k in range(PARTS)])).alias("digit"),
-    ).select(
-        "id", "tie", "place", "gram", "alone", "high", "digit.*",
-        F.greatest(F.col("high") - F.col("place").bitwiseAND(255).cast("int"), F.col("digit.part") * wide).alias("from"),
-        F.least(F.col("high"), F.col("digit.part") * wide + (wide - 1)).alias("to"),
-    ).where("from <= to")
-    shared = each.groupBy("gram", "part", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    asked = each.join(shared, ["gram", "part", "core"]).select(
-        "id", "tie",
-        F.struct(
-            # the sub-run's first window is at offset ``to``
-            (F.col("place") - F.col("place").bitwiseAND(255) + (F.col("high") - F.col("to")) * 256
-             + (F.col("to") - F.col("from"))).alias("place"), "gram", "alone").alias("ask"),
+        F.count("*").alias("n"), F.min(F.struct("id", "tie", "place")).alias("one")), "span-classes")
+    several = stored(classes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(
+        "gram", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mixed-grams")
+    asked = classes.join(several, "gram").select(
+        "one.id", "one.tie", F.struct(
+            "one.place", "gram", F.pmod("span", "blocks").cast("int").alias("block"), (F.col("blocks") > 1).alias("dealt"),
+            (F.col("n") == 1).alias("alone")).alias("ask"),
     ).groupBy("id", "tie").agg(F.collect_list("ask").alias("asks"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 64):
                 for row in part.to_pylist():
-                    yield from _window_rows(row, window)
-
-    deep = stored(
-        texts.join(asked, ["id", "tie"]).mapInArrow(
-            windows, "id long, tie long, place long, gram long, deep long, alone boolean"), "windows")
-    found = deep.groupBy("gram", "deep").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    single = deep.where("alone").join(found, ["gram", "deep"]).select("id", "tie", "place")
-    starts = stored(whole.union(single).select(
-        "id", "tie", F.col("place").alias("start"),
-    ).groupBy("id", "tie").agg(F.collect_set("start").alias("starts")), "repeated-windows")
-    for table in (again, classes, deep):
+                    yield from _span_rows(row, window)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, window):
+            yield from _sorted_rows(group, window)
+
+    dealt = texts.join(asked, ["id", "tie"]).mapInArrow(
+        with_bytes, "id long, tie long, place long, gram long, block int, dealt boolean, alone boolean, bytes binary")
+    ordered = stored(
+        dealt.repartition("gram", "block").sortWithinPartitions("gram", "block")
+        .mapInArrow(sort, "id long, tie long, place long, gram long, deep long, alone boolean"), "sorted-windows")
+    dropped(several)
+    across = stored(ordered.where("deep is not null").groupBy("gram", "deep").agg(F.count("*").alias("n")).where("n > 1").select(
+        "gram", "deep"), "windows-across")
+    whole = again.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"]).select(
+        "id", "tie", F.expr("shiftleft(shiftright(place, 16), 8) | (place & 255)").alias("start"))
+    starts = stored(
+        whole.union(ordered.where("deep is null").select("id", "tie", "place"))
+        .union(ordered.where("alone").join(across, ["gram", "deep"]).select("id", "tie", "place"))
+        .groupBy("id", "tie").agg(F.collect_set("start").alias("starts")), "repeated-windows")
+    for table in (again, classes, ordered, across):
         dropped(table)
     return starts
 
 
-def _window_rows(row: dict, window: int) -> Iterator[pa.RecordBatch]:
+def _span_rows(row: dict, window: int) -> Iterator[pa.RecordBatch]:
+    """The asked spans of one text with their bytes."""
     text = row["text"] or b""
-    place = np.array([a["place"] for a in row["asks"]], np.int64)
-    gram = np.array([a["gram"] for a in row["asks"]], np.int64)
-    alone = np.array([a["alone"] for a in row["asks"]], bool)
-    start, more = place >> 8, place & 0xFF
-    order = np.argsort(start)
-    start, more, gram, alone = start[order], more[order], gram[order], alone[order]
-    for at in range(0, start.size, 2048):  # only the asked spans are hashed
-        s, m = start[at : at + 2048], more[at : at + 2048]
-        data = np.frombuffer(b"".join(text[a : a + k + window] for a, k in zip(s.tolist(), m.tolist(), strict=True)), np.uint8)
-        deep = window_hashes(gram_hashes(data)[1], window)
-        offsets = np.r_[0, np.cumsum(m + window)[:-1]]
-        which = np.repeat(np.arange(s.size), m + 1)
-        step = np.arange(which.size) - np.repeat(np.r_[0, np.cumsum(m + 1)[:-1]], m + 1)
+    for at in range(0, len(row["asks"]), 2048):
+        asks = row["asks"][at : at + 2048]
+        begins = [a["place"] >> 16 for a in asks]
+        n = len(asks)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row["id"]] * n, pa.int64()), pa.array([row["tie"]] * n, pa.int64()),
+             pa.array([a["place"] for a in asks], pa.int64()), pa.array([a["gram"] for a in asks], pa.int64()),
+             pa.array([a["block"] for a in asks], pa.int32()), pa.array([a["dealt"] for a in asks], pa.bool_()),
+             pa.array([a["alone"] for a in asks], pa.bool_()),
+             pa.array([text[b : b + (a["place"] & 255) + window] for a, b in zip(asks, begins, strict=True)], pa.binary())],
+            names=["id", "tie", "place", "gram", "block", "dealt", "alone", "bytes"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole (gram, block) groups, of about ``SORTED`` suffixes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for part in chunks(batch, 4096):
+            held.append(part)
+            if sum(b.num_rows for b in held) * window // 2 < SORTED:
+                continue
+            table = pa.Table.from_batches(held)
+            gram, block = table["gram"].to_numpy(), table["block"].to_numpy()
+            new = np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1])) + 1
+            if new.size:
+                yield table.slice(0, int(new[-1]))
+                held = table.slice(int(new[-1])).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sorted_rows(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
+    """Runs of the repeated windows, and of dealt groups what other blocks may repeat."""
+    place, gram, block = (table[c].to_numpy() for c in ("place", "gram", "block"))
+    ids, ties = table["id"].to_numpy(), table["tie"].to_numpy()
+    alone, dealt = (table[c].to_numpy().astype(bool) for c in ("alone", "dealt"))
+    data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
+    begin, skip, more = place >> 16, place >> 8 & 255, place & 255
+    first = np.r_[0, np.cumsum(more + window)[:-1]]
+    row = np.repeat(np.arange(place.size), more + 1)
+    step = np.arange(row.size) - np.repeat(np.r_[0, np.cumsum(more + 1)[:-1]], more + 1)
+    group = np.cumsum(np.r_[False, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
+    left, number = radix_groups(data, first[row] + step, group[row] * 256 + skip[row] - step, window)
+
+    found = np.sort(left[alone[row[left]]])
+    new = np.r_[True, (found[1:] != found[:-1] + 1) | (row[found[1:]] != row[found[:-1]])] if found.size else np.empty(0, bool)
+    runs = found[new]
+    size = np.diff(np.r_[np.flatnonzero(new), found.size]) - 1
+    names = ["id", "tie", "place", "gram", "deep", "alone"]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids[row[runs]]), pa.array(ties[row[runs]]), pa.array((begin[row[runs]] + step[runs]) << 8 | size),
+         pa.nulls(runs.size, pa.int64()), pa.nulls(runs.size, pa.int64()), pa.array(np.zeros(runs.size, bool))], names=names)
+    if not dealt.any():
+        return
+    open_ = dealt[row]
+    open_[left] = False
+    one = left[np.r_[True, number[1:] != number[:-1]]] if left.size else left
+    deep = window_hashes(gram_hashes(data)[1], window)
+    single = np.flatnonzero(open_)
+    for some, own in ((single, alone[row[single]]), (one[dealt[row[one]]], None)):
+        r = row[some]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(which.size, row["id"], np.int64)),
-             pa.array(np.full(which.size, row["tie"], np.int64)),
-             pa.array(_packed(s[which] + step, np.zeros(which.size, np.int64))),
-             pa.array(gram[at : at + 2048][which]), pa.array(deep[offsets[which] + step].view(np.int64)),
-             pa.array(alone[at : at + 2048][which])],
-            names=["id", "tie", "place", "gram", "deep", "alone"])
+            [pa.array(ids[r]), pa.array(ties[r]), pa.array((begin[r] + step[some]) << 8), pa.array(gram[r]),
+             pa.array(deep[first[r] + step[some]].view(np.int64)), pa.array(np.zeros(r.size, bool) if own is None else own)],
+            names=names)
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -250,13 +326,13 @@ def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), np.r_[reach[new[1:] - 1], reach[-1]].tolist(), strict=True))
 
 
-def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False, block: int = 4096) -> DataFrame:
     """Every document row with the bytes that no repeated window covers.
 
     Texts are judged as UTF-8 bytes, on the input; matches never cross documents, and a
     window that repeats inside one document counts too. Null texts are empty; texts
     shorter than a window keep all; repeated rows repeat each other's windows and lose
-    them all. A null doc_id is an id of its own. A clashing column of ``docs`` is
+    them all. A doc_id may be of any type; a null one is an id of its own. A clashing column of ``docs`` is
     replaced; an empty table gives no rows.
 
     Returns ``docs`` plus n_bytes, n_removed, n_spans long, kept binary; with ``as_text``
@@ -264,9 +340,9 @@ def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False
     """
     clash = [c for c in ("n_bytes", "n_removed", "n_spans", "kept", "_id", "_tie", "_bytes", "_starts") if c in docs.columns]
     docs = docs.drop(*clash)
-    found = repeated_windows(docs, window=window).select(
+    found = repeated_windows(docs, window=window, block=block).select(
         F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts"))
-    joined = docs.withColumns({"_id": id_key(), "_tie": row_tie(), "_bytes": F.col("text").cast("binary")}).join(
+    joined = docs.withColumns({"_id": any_key(docs), "_tie": row_tie(), "_bytes": F.col("text").cast("binary")}).join(
         found, ["_id", "_tie"], "left").select(*docs.columns, "_bytes", "_starts")
     width = len(docs.columns)
 
