@@ -12,7 +12,7 @@ import corpus_pipeline
 from tracespark.llm import queries
 from tracespark.llm.multiset_hash import combined, likeness, paired_fingerprints, text_vector, vector
 from tracespark.llm.sentencepiece_codec import Codec, decoded, encoded
-from tracespark.llm.toxicity import Grammar, fit, toxicity
+from tracespark.llm.toxicity import GRAMMAR, TABLE, Grammar, fit, negation, reported_speech, target, toxicity
 
 MODEL = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
 FOLDER = "/root/testdata/sf0.01"
@@ -123,12 +123,36 @@ def test_toxicity_edges(spark):
     assert fit(frame(spark), labels.limit(0)).arcs == {}
 
 
-def test_grammar_registers():
+def test_composed_transducers():
+    """The composition writes what the transducers write one after the other."""
+    rng = random.Random(8)
+    parts = [negation(), reported_speech(), target()]
+    for _ in range(300):
+        words = "".join(rng.choice("itanro") for _ in range(rng.randrange(12))) + "."
+        expected = words
+        for part in parts:
+            state, out = part.start, ""
+            for symbol in expected:
+                state, written = part.step(state, symbol)
+                out += written
+            expected = out
+        state, got = GRAMMAR.start, ""
+        for symbol in words:
+            state, written = TABLE[state][symbol]
+            got += written
+        assert got == expected
+
+
+def test_clauses():
     g = Grammar({"fool$": 4.0})
-    plain, negated, reported = (g.features(t) for t in (b"you fool", b"he is not a fool", b"she said fool"))
-    assert plain[0] > 0 and plain[1] > 0 and plain[2] == plain[3] == 0
-    assert negated[2] > 0 and negated[0] == 0 and reported[3] > 0 and reported[0] == 0
-    assert g.features(b"i will kill you")[4] > 0 and g.features(b"kill time")[4] == 0 and not any(g.features(b""))
+    clause = lambda t: g.clause(t.encode().split())
+    assert clause("you fool") == (True, {"i": 4.0}) and clause("fool me") == (False, {"i": 4.0})
+    assert clause("he is not a fool") == (True, {"d": 4.0}) and clause("not one of the many a fool") == (False, {"i": 4.0})
+    assert clause("she said fool") == (True, {"q": 4.0}) and clause("i will kill you") == (True, {"t": 1.0})
+    assert clause("never kill") == (False, {"D": 1.0}) and clause("he wrote kill") == (True, {"Q": 1.0}) and clause("") == (False, {})
+    whole = g.features(b"Nothing here. You fool! Fool; she said: no.")
+    assert whole[:4] == pytest.approx([np.log1p(4), np.log1p(4), 0, 0]) and whole[7] == pytest.approx(np.log1p(2))
+    assert not any(g.features(b"")) and not any(g.features(b"you said no"))
 
 
 def test_toxic_documents_go(spark):

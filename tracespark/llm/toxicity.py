@@ -1,4 +1,4 @@
-"""Op 7: toxicity by a weighted finite-state grammar over clauses."""
+"""Op 7: toxicity by a weighted grammar of composed finite-state transducers over clauses."""
 
 from __future__ import annotations
 
@@ -26,18 +26,87 @@ CLAUSE = re.compile(rb"[.,;:!?\n]+").split
 STEMS = (4, 5, 6, 7)
 #: A negation works on the next so many words.
 REACH = 3
+
+#: Symbols that the lexicon gives for words: insult, threat, target, negation, report, other.
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "itanro"
+#: Symbols of rewritten insults and threats: denied, quoted.
+DENIED = {INSULT: "d", THREAT: "D"}
+QUOTED = {INSULT: "q", THREAT: "Q"}
+#: Ends a clause; comes out as one of the two that follow.
+STOP, AIMED, UNAIMED = ".", "A", "U"
+MARKS = (INSULT, THREAT, *DENIED.values(), *QUOTED.values())
+
+FIXED = {**{w: TARGET for w in TARGETS}, **{w: THREAT for w in THREATS},
+         **{w: REPORT for w in REPORTS}, **{w: NEGATION for w in NEGATIONS}}
+
+
+class Transducer:
+    """A deterministic finite-state transducer: (state, symbol) to (next state, output).
+
+    Symbols without an arc are copied and go to the state that ``idle`` gives.
+    """
+
+    def __init__(self, start, arcs: dict, idle=lambda state: state):
+        self.start, self.arcs, self.idle = start, arcs, idle
+
+    def step(self, state, symbol: str):
+        return self.arcs.get((state, symbol)) or (self.idle(state), symbol)
+
+    def then(self, other: "Transducer", symbols: str) -> "Transducer":
+        """The composition: ``other`` reads what this one writes. Only reachable states."""
+        start, arcs = (self.start, other.start), {}
+        states = [start]
+        for state in states:
+            for symbol in symbols:
+                own, written = self.step(state[0], symbol)
+                next_, out = other.step(state[1], written)
+                arcs[state, symbol] = (own, next_), out
+                if (own, next_) not in states:
+                    states.append((own, next_))
+        return Transducer(start, arcs)
+
+
+def negation() -> Transducer:
+    """Insults and threats within ``REACH`` words of a negation come out as denied."""
+    arcs = {}
+    for left in range(REACH + 1):
+        arcs[left, NEGATION] = REACH, OTHER
+        if left:
+            arcs |= {(left, x): (left - 1, y) for x, y in DENIED.items()}
+    return Transducer(0, arcs, idle=lambda left: max(0, left - 1))
+
+
+def reported_speech() -> Transducer:
+    """Insults and threats behind a verb of saying come out as quoted."""
+    arcs = {(k, REPORT): (1, OTHER) for k in (0, 1)} | {(1, x): (1, y) for x, y in QUOTED.items()}
+    return Transducer(0, arcs)
+
+
+def target() -> Transducer:
+    """The clause's end comes out as aimed or unaimed: whether someone is meant."""
+    arcs = {(k, TARGET): (1, OTHER) for k in (0, 1)} | {(0, STOP): (0, UNAIMED), (1, STOP): (0, AIMED)}
+    return Transducer(0, arcs)
+
+
+WORDS = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER + STOP
+#: The composed grammar as a table: for each state, symbol to (state, output).
+GRAMMAR = negation().then(reported_speech(), WORDS).then(target(), WORDS)
+TABLE: dict = {}
+for (_state, _symbol), _arc in GRAMMAR.arcs.items():
+    TABLE.setdefault(_state, {})[_symbol] = _arc
 FEATURES = 9
 
 
 @dataclass
 class Grammar:
-    """Arc weights of insults, learned from labels, and the weights of what clauses give.
-
-    The transducers are composed word by word over a clause. The insult arc of a word
-    has the largest weight of the word and its stems. Its output goes to a register
-    by the state in which it is read: behind a negation, in reported speech, with a
-    target in the clause, or plain; a threat counts with a target. A document's score
-    is the logistic of the weighted registers.
+    """A weighted grammar of toxic clauses.
+
+    The insult transducer maps words to symbols; its arcs, words and stems, carry
+    weights learned from labels. It is composed with the transducers of threats,
+    targets, negation and reported speech (``GRAMMAR``). A clause runs through the
+    composition; its path collects the weights of what comes out, by mark and by the
+    clause's aim. A clause that no mark comes out of doesn't match. A document's score is
+    the logistic of weights times what its matched clauses collect.
     """
 
     arcs: dict[str, float]
@@ -46,54 +115,56 @@ class Grammar:
     weights: list[float] = field(default_factory=lambda: [0.0] * (FEATURES + 1))
 
     def __post_init__(self):
-        self._known: dict[bytes, float] = {}
+        self._known: dict[bytes, tuple[str, float]] = {}
 
-    def arc(self, word: bytes) -> float:
+    def read(self, word: bytes) -> tuple[str, float]:
+        """The word's symbol and arc weight."""
         known = self._known.get(word)
         if known is None:
-            if len(self._known) > 500_000:
+            if len(self._known) > 200_000:
                 self._known.clear()
-            known = self._known[word] = max((self.arcs.get(t, 0.0) for t in terms(word)), default=0.0)
+            weight = max((self.arcs.get(t, 0.0) for t in terms(word)), default=0.0)
+            symbol = FIXED.get(word) or (INSULT if weight else OTHER)
+            known = self._known[word] = symbol, weight if symbol == INSULT else 1.0
         return known
 
+    def clause(self, words: list[bytes]) -> tuple[bool, dict[str, float]]:
+        """Whether a clause is aimed at someone, and the weights that its path collects by mark."""
+        state, found = GRAMMAR.start, {}
+        read = self.read
+        for word in words:
+            symbol, weight = read(word)
+            state, out = TABLE[state][symbol]
+            if out in MARKS:
+                found[out] = found.get(out, 0.0) + weight
+        return TABLE[state][STOP][1] == AIMED, found
+
     def features(self, text: bytes) -> list[float]:
-        words = text.translate(WORD_TABLE).split()
-        seen = set(words)
-        arc = self.arc
-        insults = {w for w in seen if arc(w)}
-        marked = insults | (seen & THREATS)
+        """What the matched clauses of a text collect."""
+        read = self.read
+        marked = {w for w in set(text.translate(WORD_TABLE).split()) if read(w)[0] in (INSULT, THREAT)}
         if not marked:
             return [0.0] * FEATURES
-        plain = targeted = negated = reported = threat = most = 0.0
-        hits = 0
-        for clause in CLAUSE(text):
-            parts = clause.translate(WORD_TABLE).split()
-            if marked.isdisjoint(parts):
+        plain = aimed_ = denied = quoted = threat = idle = most = 0.0
+        n = matched = 0
+        for part in CLAUSE(text):
+            words = part.translate(WORD_TABLE).split()
+            n += bool(words)
+            if marked.isdisjoint(words):
                 continue
-            aimed = not TARGETS.isdisjoint(parts)
-            denied, told, total = -REACH - 1, False, 0.0
-            for at, word in enumerate(parts):
-                if word in NEGATIONS:
-                    denied = at
-                elif word in REPORTS:
-                    told = True
-                elif word in THREATS and aimed:
-                    threat += 1
-                if word in insults:
-                    weight = arc(word)
-                    hits += 1
-                    if at - denied <= REACH:
-                        negated += weight
-                    elif told:
-                        reported += weight
-                    else:
-                        plain += weight
-                        targeted += weight * aimed
-                    total += weight
-            most = max(most, total)
-        weight = sum(arc(w) for w in insults)
-        return [math.log1p(plain), math.log1p(targeted), math.log1p(negated), math.log1p(reported), math.log1p(threat),
-                math.log1p(most), math.log1p(len(insults)), math.log1p(weight), math.log1p(1000 * hits / len(words))]
+            aimed, found = self.clause(words)
+            matched += 1
+            insult = found.get(INSULT, 0.0)
+            if aimed:
+                aimed_ += insult
+                threat += found.get(THREAT, 0.0)
+            else:
+                plain += insult
+                idle += found.get(THREAT, 0.0)
+            denied += found.get("d", 0.0) + found.get("D", 0.0)
+            quoted += found.get("q", 0.0) + found.get("Q", 0.0)
+            most = max(most, insult + (found.get(THREAT, 0.0) if aimed else 0.0))
+        return [math.log1p(x) for x in (plain, aimed_, denied, quoted, threat, idle, most, matched, 100 * matched / n)]
 
     def score(self, text: bytes) -> float:
         x = (np.array(self.features(text)) - self.mean) / self.scale
