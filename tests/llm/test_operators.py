@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracespark.llm import queries
 from tracespark.llm.components import components
 from tracespark.llm.decontamination import WuManber, benchmark_hits, contamination
-from tracespark.llm.licenses import license_scan
+from tracespark.llm.licenses import NOTICES, LicenseIndex, license_scan
 from tracespark.llm.sharding import byte_shards
 from tracespark.llm.simhash import fingerprints, first_of_groups, near_groups
 from tracespark.llm.suffix_dedup import PIECE, radix_groups, without_repeats
@@ -70,6 +70,34 @@ def test_licenses(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
+def test_licence_places_against_all_alignments():
+    """The index finds what trying every template at every place finds."""
+    import random
+
+    rng = random.Random(12)
+    vocabulary = sorted({w for _, notice, _ in NOTICES for w in notice.split()})
+    for idf in (None, {w: rng.random() for w in vocabulary[::2]}):
+        index = LicenseIndex(NOTICES, idf)
+        for _ in range(150):
+            words = [rng.choice(vocabulary) for _ in range(20)]
+            for _, notice, _ in rng.sample(NOTICES, 3):
+                part = notice.split()
+                for _ in range(rng.randrange(3)):
+                    part[rng.randrange(len(part))] = rng.choice(vocabulary)
+                words += part + [rng.choice(vocabulary) for _ in range(rng.randrange(5))]
+            words = [w.encode() for w in words]
+            expected = {}
+            for label, notice, phrases in NOTICES:
+                own = notice.encode().split()
+                keys = [next((i, q) for i in range(len(own)) if own[i : i + len(q)] == q) for q in (p.encode().split() for p in phrases)]
+                for start in range(-len(own), len(words)):
+                    if all(start + i >= 0 and words[start + i : start + i + len(q)] == q for i, q in keys):
+                        share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(own)) / len(own)
+                        if share >= 0.8:
+                            expected[label] = max(expected.get(label, 0), share)
+            assert index.notices(words, set(words)) == expected
+
+
 def removed(texts, window=200):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + window] for b in data for i in range(len(b) - window + 1))

@@ -1,4 +1,4 @@
-"""Op 2: licence scans with a positional index of rare words."""
+"""Op 2: licence scans with a positional index, asked with each file's rarest words."""
 
 from __future__ import annotations
 
@@ -20,12 +20,16 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Licence notices (label, notice, key phrases it must hold).
+#: Licence notices and short licence texts (label, text as words, key phrases it must hold).
 TEMPLATES = [
     ("agpl-3.0", "gnu affero general public license version 3", ["gnu affero general public license"]),
     ("apache-2.0", "apache license version 2 0", ["apache license version 2 0"]),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ["apache org licenses license 2 0"]),
     ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses license 2 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is", ["redistribution and use in source and binary forms", "this software is provided by the copyright holders and contributors as is"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", ["any person or organization obtaining a copy of the software and accompanying documentation"]),
     ("cc-by-4.0", "cc by 4 0", ["cc by 4 0"]),
     ("cc-by-4.0", "creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc-by-nc-4.0", "cc by nc 4 0", ["cc by nc 4 0"]),
@@ -34,13 +38,17 @@ TEMPLATES = [
     ("epl-2.0", "eclipse public license v 2 0", ["eclipse public license"]),
     ("gpl-2.0", "gnu general public license version 2", ["gnu general public license version 2"]),
     ("gpl-3.0", "gnu general public license version 3", ["gnu general public license version 3"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify and or distribute this software"]),
     ("lgpl-2.1", "gnu lesser general public license version 2 1", ["gnu lesser general public license version 2 1"]),
     ("lgpl-3.0", "gnu lesser general public license version 3", ["gnu lesser general public license version 3"]),
     ("mit", "released under the mit license", ["mit license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["permission is hereby granted free of charge", "the software is provided as is without warranty of any kind"]),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["mozilla public license v 2 0"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free and unencumbered software"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ["in no event will the authors be held liable", "alter it and redistribute it freely"]),
 ]
 
 #: Label, family and version of the licences that the GNU file header names.
@@ -70,55 +78,62 @@ NOTICES = TEMPLATES + [
 
 
 class LicenseIndex:
-    """Finds licence notices in a list of words.
-
-    Postings give, for each licence word, the templates and positions that it has. In
-    a file, the ``RARE`` rarest of a template's obligatory words (by idf) are looked up;
-    a place in the file, less the position in the template, is an alignment, and the
-    alignments of all these words are intersected. At what is left the key phrases have
-    to stand word by word, and ``share`` of all words has to agree.
+    """Positional index of the licence words, asked with each file's rarest ones.
+
+    The postings of a word are the templates and the positions in them where it is
+    obligatory (part of a key phrase). A file's licence words are taken by falling idf:
+    each gives, for every posting, the alignments (place in the file less position in the
+    template) at which the template may lie, and these are intersected template by
+    template. A template is settled once ``RARE`` words of the file have agreed on its
+    alignments, or none is left; one with an obligatory word that the file lacks can't
+    occur. What is left is verified: the key phrases have to stand word by word, and
+    ``share`` of all words has to agree.
     """
 
     RARE = 3
 
     def __init__(self, templates=NOTICES, idf: dict[str, float] | None = None, share: float = 0.8):
-        self.share = share
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.share, self.idf = share, {w.encode(): x for w, x in (idf or {}).items()}
+        self.postings: dict[bytes, dict[int, list[int]]] = {}
         self.templates = []
         for k, (label, notice, phrases) in enumerate(templates):
             words = notice.encode().split()
             keys = [(at, phrase.encode().split()) for phrase in phrases for at in [self._place(words, phrase.encode().split())]]
-            bound = {w: at + i for at, p in keys for i, w in enumerate(p)}
-            rarest = sorted(bound, key=lambda w: ((idf or {}).get(w.decode(), 0.0), len(w), w), reverse=True)[: self.RARE]
-            for word in rarest:
-                self.postings.setdefault(word, []).append((k, bound[word]))
-            self.templates.append((label, words, keys, len(rarest)))
+            for place in sorted({at + i for at, p in keys for i in range(len(p))}):
+                self.postings.setdefault(words[place], {}).setdefault(k, []).append(place)
+            self.templates.append((label, words, keys, frozenset(w for _, p in keys for w in p)))
 
     @staticmethod
     def _place(words: list[bytes], phrase: list[bytes]) -> int:
         return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
 
-    def notices(self, words: list[bytes], known: set[bytes]) -> dict[str, float]:
-        """Labels with the largest share of a notice's words that agree."""
-        wanted = self.postings.keys() & known
-        if not wanted:
-            return {}
-        complete = Counter(k for word in wanted for k, _ in self.postings[word])
-        complete = {k for k, n in complete.items() if n == self.templates[k][3]}
-        places: dict[bytes, list[int]] = {w: [] for w in wanted if any(k in complete for k, _ in self.postings[w])}
-        if not places:
+    def alignments(self, words: list[bytes], known: set[bytes]) -> dict[int, set[int]]:
+        """Where each template may start, by the file's rarest licence words."""
+        present = self.postings.keys() & known
+        possible = {k for w in present for k in self.postings[w] if self.templates[k][3] <= present}
+        if not possible:
             return {}
+        places: dict[bytes, list[int]] = {w: [] for w in present}
         for at, word in enumerate(words):
             if word in places:
                 places[word].append(at)
         aligned: dict[int, set[int]] = {}
-        for word, ats in places.items():
-            for k, offset in self.postings[word]:
-                if k in complete:
-                    starts = {at - offset for at in ats}
+        asked = Counter()
+        # A word that no document had when idf was taken is the rarest of all.
+        for word in sorted(present, key=lambda w: (self.idf.get(w, float("inf")), len(w), w), reverse=True):
+            for k, spots in self.postings[word].items():
+                if k in possible and asked[k] < self.RARE:
+                    starts = {at - spot for at in places[word] for spot in spots}
                     aligned[k] = aligned[k] & starts if k in aligned else starts
+                    asked[k] += 1
+                    if not aligned[k]:
+                        possible.discard(k)
+        return {k: starts for k, starts in aligned.items() if starts}
+
+    def notices(self, words: list[bytes], known: set[bytes]) -> dict[str, float]:
+        """Labels with the largest share of a template's words that agree."""
         found: dict[str, float] = {}
-        for k, starts in aligned.items():
+        for k, starts in self.alignments(words, known).items():
             label, notice, keys, _ = self.templates[k]
             for start in starts:
                 if any(start + p < 0 or words[start + p : start + p + len(q)] != q for p, q in keys):

@@ -29,15 +29,16 @@ def op2() -> str:
     notices = []
     for k, (label, notice, keys) in enumerate(TEMPLATES):
         words, key = notice.split(), keys[0].split()
-        at = LicenseIndex._place([w.encode() for w in words], [w.encode() for w in key])
-        notices.append(f"({k}, '{label}', {_lists(words)}, {_lists(key)}, {at})")
+        at, last = (LicenseIndex._place(words, q.split()) for q in (keys[0], keys[-1]))
+        notices.append(f"({k}, '{label}', {_lists(words)}, {_lists(key)}, {at}, {_lists(keys[-1].split())}, {last})")
     return f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 base(phrase, label) AS (VALUES {base}),
-notice(k, label, words, key, skip) AS (VALUES {', '.join(notices)}),
+notice(k, label, words, key, skip, also, skip_also) AS (VALUES {', '.join(notices)}),
 i AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
 b AS (SELECT i.doc_id, i.i, label FROM i JOIN base ON i.word = phrase[1] JOIN d ON d.doc_id = i.doc_id WHERE d.w[i.i + 1 : i.i + len(phrase)] = phrase),
-n AS (SELECT i.doc_id, notice.*, i.i - skip AS start, d.w FROM i JOIN notice ON i.word = key[1] JOIN d ON d.doc_id = i.doc_id WHERE d.w[i.i + 1 : i.i + len(key)] = key),
+n AS (SELECT i.doc_id, notice.*, i.i - skip AS start, d.w FROM i JOIN notice ON i.word = key[1] JOIN d ON d.doc_id = i.doc_id WHERE d.w[i.i + 1 : i.i + len(key)] = key
+    AND i.i - skip + skip_also >= 0 AND d.w[i.i - skip + skip_also + 1 : i.i - skip + skip_also + len(also)] = also),
 s AS (SELECT doc_id, label, list_sum(list_transform(range(len(words)), lambda x: (start + x >= 0 AND start + x < len(w) AND w[start + x + 1] = words[x + 1])::INT)) / len(words) AS share FROM n),
 bs AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY 1),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),

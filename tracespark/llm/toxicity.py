@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import WORD_TABLE, chunks, stored
+from tracespark.llm.common import WORD_TABLE, chunks, dropped, stored
 
 #: The closed word classes of the grammar (en, de, fr, es).
 THREATS = frozenset("kill hurt beat stab shoot strangle destroy burn töte töten schlage schlagen tuer frapper brûler matar golpear quemar".encode().split())
@@ -230,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, support
         "term = '' or (t0 + t1) * 3 > (c0 + c1)").collect()}
     total = rows.pop("", None)
     if total is None or min(total.t0 + total.t1, total.c0 + total.c1) == 0:
+        dropped(read)
         return Grammar({})
     half = max(2, support // 2)
     first = Grammar(_chosen({t: (r.t0, r.c0) for t, r in rows.items()}, total.t0, total.c0, half, surprise))
@@ -244,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, support
                     [chunk.column(0), pa.array(x, pa.list_(pa.float64()))], names=["part", "x"])
 
     fitted = read.where("part in (1, 3)").mapInArrow(measure, "part int, x array<double>").collect()
+    dropped(read)
     y = np.array([float(r.part == 3) for r in fitted])
     x = np.array([r.x for r in fitted]).reshape(len(fitted), FEATURES)
     if 0 < y.sum() < y.size:
@@ -292,7 +294,14 @@ def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, held_out, score and predicted (1: a score of 0.5 or more) of every row."""
+    """doc_id, held_out, score and predicted (1: a score of 0.5 or more) of every row.
+
+    Null and empty texts match nothing and have the score of no match; whole texts of any
+    length are read clause by clause; repeated rows each get a row; a null doc_id is
+    held out or not as the empty string is. Of repeated labels the highest counts; labels
+    without a document or a value don't. Other columns are ignored, whatever their names;
+    an empty table gives no rows.
+    """
     grammar = fit(docs, labels, **options)
     return scored(docs.select("doc_id", "text"), grammar).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
