@@ -15,7 +15,7 @@ from tracespark.llm.components import components
 from tracespark.llm.decontamination import WuManber, benchmark_hits, contamination
 from tracespark.llm.licenses import NOTICES, LicenseIndex, license_scan
 from tracespark.llm.sharding import byte_shards
-from tracespark.llm.simhash import fingerprints, first_of_groups, near_groups
+from tracespark.llm.simhash import counts_of, fingerprints, first_of_groups, manhattan, near_groups
 from tracespark.llm.suffix_dedup import PIECE, radix_groups, without_repeats
 from tracespark.llm.token_counts import corpus_counts, document_counts
 from tracespark.llm.url_filters import judged
@@ -286,6 +286,19 @@ def test_simhash_links_of_dense_cells(spark):
         assert [find(i) for i in range(len(marks))] == linked(marks)
 
 
+def test_manhattan_distance_bounds_the_bits():
+    rng = np.random.default_rng(1)
+    marks = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    marks[250:] = marks[:250] ^ (np.uint64(1) << rng.integers(0, 64, 250).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 250).astype(np.uint64))
+    marks = marks.view(np.int64)
+    segments = np.array([[bin(int(m) >> (2 * k) & 3).count("1") for k in range(32)] for m in marks])
+    bits = np.bitwise_count((marks[:250] ^ marks[250:]).view(np.uint64))
+    packed = counts_of(marks)
+    assert ((packed[:, :, None] >> np.arange(0, 8, 2) & 3).reshape(-1, 32) == segments).all()
+    expected = np.abs(segments[:250] - segments[250:]).sum(1)
+    assert (manhattan(packed[:250], packed[250:]) == expected).all() and (expected <= bits).all()
+
+
 def test_fingerprints_of_long_texts(spark):
     text = "w%d " * 70000 % tuple(range(70000))
     row = fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

@@ -21,6 +21,10 @@ COUNTS = (
     "shiftleft((fp & shiftrightunsigned(fp, 1)) & 6148914691236517205L, 1)"
     " | ((fp ^ shiftrightunsigned(fp, 1)) & 6148914691236517205L)"
 )
+#: Manhattan distance of two bytes of counts (four segments each), by both bytes.
+FOUR = np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3
+MANHATTAN = np.abs(FOUR[:, None] - FOUR[None]).sum(2).astype(np.uint8).ravel()
+EVEN = np.uint64(0x5555555555555555)
 #: Cells up to this size give all their links, larger ones a spanning forest.
 SMALL_CELL = 8
 
@@ -60,23 +64,42 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFr
     return docs.select("doc_id", F.col("text").cast("binary"), row_tie()).mapInArrow(run, f"doc_id {kind}, tie long, fp long")
 
 
+def counts_of(marks: np.ndarray) -> np.ndarray:
+    """The embedding: bit counts of the 32 segments, packed into 8 bytes a row (as ``COUNTS``)."""
+    x = np.ascontiguousarray(marks).view(np.uint64)
+    y = x >> np.uint64(1)
+    return (((x & y & EVEN) << np.uint64(1)) | ((x ^ y) & EVEN)).view(np.uint8).reshape(-1, 8)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of packed count vectors, row by row: never more than the differing bits."""
+    return MANHATTAN[(a.astype(np.uint16) << 8) | b].sum(1, dtype=np.uint8)
+
+
 def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))  # of a signed number it would count the magnitude's bits
 
 
+def near_pairs(marks: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether the fingerprints at places ``a`` and ``b`` are near: by the bound, then by their bits."""
+    near = manhattan(counts[a], counts[b]) <= distance
+    near[near] = differing_bits(marks[a[near]], marks[b[near]]) <= distance
+    return near
+
+
 def forest(marks: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that join all fingerprints which the full set of links would join."""
-    rest, links = marks, []
+    counts, rest, links = counts_of(marks), np.arange(marks.size), []
     while rest.size > 1:
         stack, rest = [rest[0]], rest[1:]
         while stack and rest.size:
-            mark = stack.pop()
-            near = differing_bits(rest, mark) <= distance
+            k = stack.pop()
+            near = near_pairs(marks, counts, rest, np.broadcast_to(k, rest.size), distance)
             if near.any():
                 new = rest[near]
                 rest = rest[~near]
-                links += [(mark, x) for x in new]
-                stack += list(new)
+                links += [(marks[k], x) for x in marks[new]]
+                stack += new.tolist()
     return links
 
 
@@ -88,11 +111,12 @@ def cell_links(table: np.ndarray, cell: np.ndarray, fp: np.ndarray, distance: in
     number = np.cumsum(new) - 1
     small = sizes[number] <= SMALL_CELL
     links: list[tuple[int, int]] = []
+    counts = counts_of(fp)
     for step in range(1, SMALL_CELL):
         at = np.flatnonzero((number[:-step] == number[step:]) & small[:-step]) if fp.size > step else []
         if not len(at):
             break
-        at = at[differing_bits(fp[at], fp[at + step]) <= distance]
+        at = at[near_pairs(fp, counts, at, at + step, distance)]
         links += zip(fp[at].tolist(), fp[at + step].tolist(), strict=True)
     for k in np.flatnonzero(sizes > SMALL_CELL):
         links += forest(fp[starts[k] : starts[k] + sizes[k]], distance)
@@ -110,7 +134,8 @@ def near_links(classes: DataFrame, *, distance: int = 4, block: int = 4096) -> D
     Manhattan distance of two vectors is at most the number of differing bits, so that
     linked vectors agree in all coordinates of ``8 - distance`` of the 8 groups of
     coordinates: the range join looks only at vectors which share the grid cell of such
-    a choice of groups, and verifies the bits of these.
+    a choice of groups, takes those within Manhattan distance ``distance`` over all 32
+    counts, and verifies the bits of these.
 
     Cells are read in sorted order. One of over ``block`` members is not compared in
     its task: it is dealt out as pairs of blocks of ``block`` members each.
@@ -200,7 +225,8 @@ def near_groups(docs: DataFrame, *, distance: int = 4, shingle: int = 4, seed: i
     classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(near_links(classes.select("fp"), distance=distance, block=block))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Stored before it meets its members, so that Spark may split a large component.
+    least = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-components")
     named = rooted.join(least, "root").select("fp", "root", "component_id")
     return marks.join(named, "fp").select("doc_id", "tie", "fp", "root", "component_id")
 
