@@ -113,7 +113,7 @@ def removed(texts, window=200):
     return out
 
 
-@pytest.mark.parametrize("window, block", [(200, 4096), (160, 4096), (200, 2), (163, 1)])
+@pytest.mark.parametrize("window, block", [(200, 1024), (160, 1024), (200, 2), (163, 1)])
 def test_repeated_windows(spark, window, block):
     """Small blocks: first digits are dealt out and united again."""
     docs = documents()

@@ -163,7 +163,7 @@ def _split(left: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return left[stay], number[stay]
 
 
-def repeated_windows(docs: DataFrame, *, window: int = 200, block: int = 4096) -> DataFrame:
+def repeated_windows(docs: DataFrame, *, window: int = 200, block: int = 1024) -> DataFrame:
     """Where the windows of ``window`` bytes (160 to 200) that occur more than once start.
 
     Sorting all suffixes to the depth of a window and reading off the equal groups
@@ -326,7 +326,7 @@ def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), np.r_[reach[new[1:] - 1], reach[-1]].tolist(), strict=True))
 
 
-def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False, block: int = 4096) -> DataFrame:
+def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False, block: int = 1024) -> DataFrame:
     """Every document row with the bytes that no repeated window covers.
 
     Texts are judged as UTF-8 bytes, on the input; matches never cross documents, and a
