@@ -37,32 +37,41 @@ def test_ids_equal_the_librarys(codec):
     assert [codec.decode(x) for x in own.encode(texts)] == own.decode(own.encode(texts))
 
 
-def test_window_gives_the_same_as_the_arrays(codec):
-    for text in odd_texts()[:80]:
-        for segment in codec.segments(codec.processor.normalize(text)) if text else ():
-            if len(segment) <= 48:
-                assert tuple(codec.stream(segment)) == codec.lattice.encode([segment])[0]
+def test_windows_of_any_size_give_the_same(codec):
+    """Small windows commit where their paths converge, or grow."""
+    texts = [*odd_texts()[:80], "internationalization" * 30, "aaaa" * 100 + "bcbc" * 50]
+    segments = sorted({s for t in texts if t for s in codec.segments(codec.processor.normalize(t))})
+    whole, window = codec.lattice.encode(segments), codec.lattice.window
+    try:
+        for codec.lattice.window in (codec.longest, codec.longest + 5, 10_000):
+            assert codec.lattice.encode(segments) == whole
+    finally:
+        codec.lattice.window = window
 
 
 def test_unigram_paths_have_the_best_score():
     own = Codec(open(MODEL, "rb").read(), kind="unigram")
     rng = random.Random(2)
     for _ in range(60):
-        text = "".join(rng.choice("theanding") for _ in range(rng.randrange(1, 14)))
+        text = "".join(rng.choice("theanding") for _ in range(rng.randrange(1, 60)))
         best = [0.0] + [-np.inf] * len(text)
         for z in range(1, len(text) + 1):
             best[z] = max(best[a] + own.scores.get(text[a:z], own.worst) for a in range(z) if text[a:z] in own.ids or z - a == 1)
-        for ids in (own.lattice.encode([text])[0], list(own.stream(text))):
-            pieces = [own.pieces[i] for i in ids]
+        for own.lattice.window in (own.longest, 64):
+            pieces = [own.pieces[i] for i in own.lattice.encode([text])[0]]
             assert "".join(pieces) == text and abs(sum(own.scores[p] for p in pieces) - best[-1]) < 1e-6
 
 
-def test_window_stays_bounded():
-    """Ids leave the window before the segment ends."""
-    own = Codec(open(MODEL, "rb").read())
-    stream = own.stream("abcdefgh" * 500)
-    first = [next(stream) for _ in range(5)]
-    assert first == list(own.stream("abcdefgh" * 500))[:5]
+def test_window_stays_bounded(codec):
+    """Ids leave the window long before a segment without spaces ends."""
+    segment, lengths = "abcdefgh" * 5000, []
+    advance = codec.lattice.advance
+    codec.lattice.advance = lambda windows, *rest: (lengths.extend(map(len, windows)), advance(windows, *rest))[1]
+    try:
+        ids = codec.lattice.encode([segment])[0]
+    finally:
+        del codec.lattice.advance
+    assert max(lengths) <= codec.lattice.window and len(lengths) > 500 and codec.decode(ids) == segment
 
 
 def test_round_trip(spark):

@@ -18,8 +18,10 @@ from tracespark.llm.common import byte_chunks, chunks
 SPACE = "▁"
 #: A character that no piece covers costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Segments of up to so many characters go side by side.
-SHORT = 48
+#: A window holds so many longest pieces.
+WIDTH = 4
+#: Windows that move side by side.
+LANES = 16384
 #: Hashing of prefixes.
 BASE, SPREAD, MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
@@ -27,10 +29,11 @@ BASE, SPREAD, MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 class Codec:
     """Ids of a SentencePiece model, found with bounded memory.
 
-    The lattice moves over the characters and keeps one state per boundary: the best
-    last piece and its backpointer. Only the boundaries within the longest piece can
-    still be extended; whenever their backpointer paths run through one boundary, the
-    ids before it are final and leave the window.
+    ``Lattice`` moves a window over the characters of a segment and keeps one state per
+    boundary in it: the best last piece and its backpointer. Only the boundaries within
+    the longest piece can still be extended; where their backpointer paths run through
+    one boundary, the ids before it are final and leave the window, which moves on from
+    there.
 
     ``kind`` "unigram" takes the path of the highest sum of scores. For "bpe" models
     the sum of scores isn't what the model means: a path is admissible if each pair of
@@ -40,9 +43,9 @@ class Codec:
 
     A piece has spaces only in front, so that a space after another character is a
     boundary that all paths share, and so are both ends of a character that no piece
-    has. The segments between such boundaries are remembered
-    (``memory`` at most); the short ones that are new in a batch move over their
-    lattices side by side, in arrays, longer ones one by one through the window.
+    has. All segments between such boundaries that are new in a batch move through their
+    windows side by side, in arrays; the ids of those that fit into one window are
+    remembered (``memory`` segments at most).
     """
 
     def __init__(self, model: bytes, kind: str = "bpe", memory: int = 400_000):
@@ -54,7 +57,6 @@ class Codec:
         self.scores = {p: self.processor.get_score(i) for p, i in self.ids.items()}
         self.worst = min(self.scores.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
-        self.unknown = self.processor.unk_id()
         self.byte_ids = None
         if any(self.processor.is_byte(i) for i in range(n)):
             self.byte_ids = [self.processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -63,10 +65,8 @@ class Codec:
         cut = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         inside = f"[{''.join(map(re.escape, sorted(alphabet)))}]+"
         self.segments = re.compile(f"{SPACE}*{inside}|{SPACE}+|." if cut else f"[{SPACE}{inside[1:]}|.", re.DOTALL).findall
-        self.all_single = alphabet | {SPACE} <= self.ids.keys()
         self.kind, self.memory = kind, memory
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.pieces = [self.processor.id_to_piece(i) for i in range(n)]
         self.split: dict[int, tuple[int, int]] = {}
         self.whole = {p: True for p in self.ids if len(p) == 1}
@@ -98,10 +98,12 @@ class Codec:
         if len(known) + len(new) > self.memory:
             known.clear()
             new = {s for segments in split for s in segments}
-        short = [s for s in new if len(s) <= SHORT]
-        known.update(zip(short, self.lattice.encode(short), strict=True))
+        some = list(new)
+        found = dict(zip(some, self.lattice.encode(some), strict=True))
+        long = {s: found.pop(s) for s in some if len(s) > self.lattice.window}
+        known.update(found)
         out = [
-            np.fromiter(chain.from_iterable([known[s] if s in known else self.stream(s) for s in segments]), np.int32)
+            np.fromiter(chain.from_iterable([known[s] if s in known else long[s] for s in segments]), np.int32)
             for segments in split
         ]
         if len(known) > self.memory:
@@ -113,50 +115,6 @@ class Codec:
         text = b"".join([octets[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-    def stream(self, text: str) -> Iterator[int]:
-        """Ids of one segment, each as soon as it is certain."""
-        longest = self.longest
-        score = {0: 0.0}
-        back: dict[int, tuple[int, str]] = {}
-        done = 0
-        for end in range(1, len(text) + 1):
-            back[end] = self._best(text, end, done, score, back)
-            start, piece = back[end]
-            score[end] = score[start] + self.scores.get(piece, self.worst)
-            if end - done >= 4 * longest and end % longest == 0 or end == len(text):
-                alive = {end} if end == len(text) else set(range(end - longest + 1, end + 1))
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.remove(last)
-                    alive.add(back[last][0])
-                shared = alive.pop()
-                path = []
-                while shared > done:
-                    path.append(back[shared])
-                    shared = back[shared][0]
-                for start, piece in reversed(path):
-                    yield from self._emitted(piece)
-                if path:
-                    done = path[0][0] + len(path[0][1])
-                    for k in [k for k in back if k < done]:
-                        del back[k], score[k - 1 if k - 1 in score else k]
-
-    def _best(self, text: str, end: int, done: int, score: dict, back: dict) -> tuple[int, str]:
-        best: tuple[float, int, str] | None = None
-        for start in range(max(done, end - self.longest), end):
-            piece = text[start:end]
-            if piece not in self.ids and end - start > 1:
-                continue
-            if self.kind == "unigram":
-                total = score[start] + self.scores.get(piece, self.worst)
-                if best is None or total > best[0]:
-                    best = (total, start, piece)
-            elif self._merges_to(piece) and (not start or self._pair(back[start][1], piece)):
-                return start, piece
-        if best is None:
-            raise ValueError(f"no path reaches character {end}")
-        return best[1:]
-
     def _merged(self, text: str, stop: int = 1) -> list[str]:
         """The pieces that merging neighbours by priority gives (``stop``: so many at least)."""
         parts = list(text)
@@ -172,27 +130,16 @@ class Codec:
     def _merges_to(self, piece: str) -> bool:
         return len(piece) == 1 or self.whole.get(piece, False)
 
-    def _pair(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= self.memory:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._merged(left + right) == [left, right]
-        return known
-
-    def _emitted(self, piece: str) -> list[int]:
-        if piece in self.ids:
-            return [self.ids[piece]]
-        if self.byte_ids:
-            return [self.byte_ids[b] for b in piece.encode()]
-        return [self.unknown]
+    def of_character(self, character: str) -> list[int]:
+        """Ids of a character that no piece covers."""
+        return [self.byte_ids[b] for b in character.encode()] if self.byte_ids else [self.processor.unk_id()]
 
 
 class Lattice:
-    """The lattices of many short segments at once.
+    """The windows of many segments, moved side by side.
 
     Pieces are found by a walk from every character over the vocabulary's prefixes, kept
-    in a table by hash; states are arrays over all characters of all segments.
+    in a table by hash; states are arrays over all characters of all windows.
     """
 
     def __init__(self, own: Codec):
@@ -215,8 +162,11 @@ class Lattice:
             while self.values[at] != -2:
                 at = (at + 1) % self.keys.size
             self.keys[at], self.values[at] = value, number
-        self.scores = np.array([own.scores.get(p, 0.0) for p in own.pieces])
-        self.single = {ord(p): i for p, i in own.ids.items() if len(p) == 1}
+        #: Stands for a character that no piece covers.
+        self.none = len(own.pieces)
+        self.pieces = [*own.pieces, "\0"]
+        self.scores = np.array([*(own.scores.get(p, 0.0) for p in own.pieces), own.worst])
+        self.window = WIDTH * own.longest
         self.asked = np.full(1 << 21, -1, np.int64)
         self.allowed = np.zeros(1 << 21, bool)
 
@@ -234,29 +184,52 @@ class Lattice:
         return out
 
     def encode(self, segments: list[str]) -> list[tuple[int, ...]]:
-        own, out = self.own, [()] * len(segments)
-        plain = list(range(len(segments)))
-        if own.all_single:
-            odd = [k for k in plain if len(segments[k]) == 1 and segments[k] not in own.ids]
-        else:
-            odd = [k for k in plain if not self.single.keys() >= set(map(ord, segments[k]))]
-        for k in odd:  # characters that are no pieces
-            out[k] = tuple(own.stream(segments[k]))
-        if odd:
-            plain = sorted(set(plain) - set(odd))
-        for at in range(0, len(plain), 16384):
-            some = plain[at : at + 16384]
-            for k, ids in zip(some, self._encode([segments[k] for k in some]), strict=True):
-                out[k] = ids
+        """Ids of each segment.
+
+        Each round moves every segment's window once. A window that reaches the end of
+        its segment commits all ids. Another one commits those before the boundary on
+        which its surviving paths converge and moves there; only where they do not yet
+        converge, it grows.
+        """
+        out: list[tuple[int, ...]] = [()] * len(segments)
+        begin, left, reach = [0] * len(segments), [-1] * len(segments), [self.window] * len(segments)
+        active = list(range(len(segments)))
+        while active:
+            going = []
+            for at in range(0, len(active), LANES):
+                some = active[at : at + LANES]
+                windows = [segments[k][begin[k] : begin[k] + reach[k]] for k in some]
+                ends = [begin[k] + reach[k] >= len(segments[k]) for k in some]
+                for k, window, end, (ids, size) in zip(some, windows, ends, self.advance(windows, [left[k] for k in some], ends), strict=True):
+                    if ids:
+                        left[k] = ids[-1]
+                        out[k] += self._spelled(ids, window)
+                        begin[k] += size
+                    if not end:
+                        reach[k] = self.window if ids else 2 * reach[k]
+                        going.append(k)
+            active = going
         return out
 
-    def _encode(self, segments: list[str]) -> list[tuple[int, ...]]:
+    def _spelled(self, ids: tuple[int, ...], window: str) -> tuple[int, ...]:
+        if self.none not in ids:
+            return ids
+        out, at = [], 0
+        for i in ids:
+            out += self.own.of_character(window[at]) if i == self.none else [i]
+            at += len(self.pieces[i])
+        return tuple(out)
+
+    def advance(self, windows: list[str], left: list[int], ends: list[bool]) -> list[tuple[tuple[int, ...], int]]:
+        """What each window commits: ids and their number of characters. ``left`` has the
+        last id before the window (-1: none); ``ends``: it reaches the segment's end."""
         own = self.own
-        points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        points = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, windows), np.int64, len(windows))
         first = np.r_[0, np.cumsum(sizes)[:-1]]
         stop = np.repeat(first + sizes, sizes)
         begin = np.repeat(first, sizes)
+        before = np.repeat(np.array(left, np.int32), sizes)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # last character, order, id
         at = np.arange(points.size)
         value = np.zeros(points.size, np.uint64)
@@ -264,9 +237,11 @@ class Lattice:
             value = value * np.uint64(BASE) + points[at + k - 1] + np.uint64(1)
             number = self._found(value)
             hit = number >= 0
-            ends = at[hit] + k - 1
-            # by the end's place in its segment, longer pieces first
-            found.append((ends, (ends - begin[ends]) * (own.longest + 1) + own.longest - k, number[hit]))
+            spots, pieces = at[hit] + k - 1, number[hit]
+            if k == 1 and not hit.all():  # characters that are no pieces
+                spots, pieces = at, np.where(hit, number, self.none)
+            # by the end's place in its window, longer pieces first
+            found.append((spots, (spots - begin[spots]) * (own.longest + 1) + own.longest - k, pieces))
             on = (number != -2) & (at + k < stop[at])
             at, value = at[on], value[on]
             if not at.size:
@@ -281,7 +256,7 @@ class Lattice:
         for a, z in zip(cuts, cuts[1:]):
             spot, piece = spots[a:z], numbers[a:z]
             k = own.longest - int(order[a]) % (own.longest + 1)
-            inner = int(order[a]) // (own.longest + 1) >= k  # there is a piece before this one
+            inner = int(order[a]) // (own.longest + 1) >= k  # there is a boundary in the window before this piece
             if own.kind == "unigram":
                 total = self.scores[piece] + (best[spot - k] if inner else 0.0)
                 better = total > best[spot]
@@ -290,19 +265,33 @@ class Lattice:
                 continue
             free = last[spot] < 0
             spot, piece = spot[free], piece[free]
-            if inner and spot.size:
-                good = self._admissible(last[spot - k], piece)
+            if spot.size:
+                neighbour = last[spot - k] if inner else before[spot]
+                # inside the window -1 is a boundary that no path reaches, before it the segment's start
+                good = neighbour >= 0 if inner else np.ones(spot.size, bool)
+                asked = np.flatnonzero(neighbour >= 0)
+                good[asked] = self._admissible(neighbour[asked], piece[asked])
                 spot, piece = spot[good], piece[good]
             last[spot], back[spot] = piece, k
         ids, steps, out = last.tolist(), back.tolist(), []
-        for begin, size in zip(first.tolist(), sizes.tolist(), strict=True):
-            path, place = [], begin + size - 1
-            while place >= begin:
+        for begin_, size, end in zip(first.tolist(), sizes.tolist(), ends, strict=True):
+            to = size if end else self._converged(steps, ids, begin_, size)
+            path, place = [], begin_ + to - 1
+            while place >= begin_:
                 path.append(ids[place])
                 place -= steps[place]
-            out.append(tuple(reversed(path)))
+            out.append((tuple(reversed(path)), to))
         return out
 
+    def _converged(self, steps: list[int], ids: list[int], begin: int, size: int) -> int:
+        """The boundary through which the paths of all boundaries run that can still be extended."""
+        alive = {k for k in range(size - self.own.longest + 1, size + 1) if ids[begin + k - 1] >= 0}
+        while len(alive) > 1:
+            last = max(alive)
+            alive.remove(last)
+            alive.add(last - steps[begin + last - 1])
+        return alive.pop()
+
     def _admissible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging gives these two pieces for their text; answers are kept in a
         table that newer ones overwrite."""
@@ -323,8 +312,8 @@ class Lattice:
         The latest merge on either side is undone, one after the other; while it is
         undone, the pieces at the border must not make one of an earlier priority.
         """
-        own = self.own
-        pieces, ids, scores, split = own.pieces, own.ids, own.scores, own.split
+        own, pieces = self.own, self.pieces
+        ids, scores, split = own.ids, own.scores, own.split
         floor = -np.inf  # score of the merge that is undone: an earlier merge has a higher one
         inclusive = False
         while True:
