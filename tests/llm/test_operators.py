@@ -347,9 +347,30 @@ def test_token_counts(spark, tmp_path):
     encode = encoding(open(ranks, "rb").read()).encode_ordinary
     got = corpus_counts(frame(spark), ranks).collect()
     assert bag((r.doc_id, r.n_tokens, r.complete) for r in got) == bag((d[0], len(encode(d[1] or "")), True) for d in documents())
-    path = str(tmp_path / "tokens")
-    write_token_files(frame(spark), path, ranks, numbered=False)
-    for block in (3, 50, 1 << 20):  # documents reach over blocks
-        plain = document_counts(spark, path, numbered=False, block_tokens=block).collect()
-        assert Counter(r.n_tokens for r in plain) == Counter(len(encode(d[1] or "")) for d in documents())
+    for n, size in enumerate((7, 300, 1 << 20)):  # documents reach over files and blocks
+        path = str(tmp_path / f"tokens{n}")
+        write_token_files(frame(spark), path, ranks, numbered=False, file_tokens=size)
+        for block in (3, 50, 1 << 20):
+            plain = document_counts(spark, path, numbered=False, block_tokens=block).collect()
+            assert Counter(r.n_tokens for r in plain) == Counter(len(encode(d[1] or "")) for d in documents())
+            assert all(r.complete for r in plain)
+    path = str(tmp_path / "numbered")
+    write_token_files(frame(spark), path, ranks, file_tokens=11)
+    for block in (4, 1 << 20):
+        got = document_counts(spark, path, block_tokens=11 if block == 4 else block).collect()
+        assert bag((r.number, r.n_tokens) for r in got) == bag((d[0], len(encode(d[1] or ""))) for d in documents())
     assert corpus_counts(empty(spark), ranks).count() == 0
+    with pytest.raises(TypeError):
+        corpus_counts(frame(spark).withColumn("doc_id", F.lit("a1")), ranks)
+
+
+def test_files_without_a_filler_or_last_end(spark, tmp_path):
+    """Plain files of another writer: each is a stream, its tail may be open."""
+    from tracespark.llm.token_counts import document_counts
+
+    tokens = [5, 6, 9, 9, 7, 9, 1, 2, 3]
+    (tmp_path / "part-00000").write_bytes(np.array(tokens, "<u4").tobytes())
+    (tmp_path / "part-00001").write_bytes(b"")
+    for block in (1, 2, 100):
+        got = document_counts(spark, str(tmp_path), end_id=9, filler_id=None, token="<u4", numbered=False, block_tokens=block).collect()
+        assert sorted((r.start, r.n_tokens, r.complete) for r in got) == [(0, 2, True), (3, 0, True), (4, 1, True), (6, 3, False)]

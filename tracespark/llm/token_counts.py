@@ -11,17 +11,18 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tracespark.llm.common import chunks, shared_dir
 
-#: Tokens are 16 bits, big end first. The end of a document is an id beyond the
-#: vocabulary whose two bytes are one UTF-8 character, so that Spark's text writer sets
-#: it as the line separator.
+#: Tokens are 16 bits, big end first. The end of a document is an id beyond the vocabulary.
 TOKEN = ">u2"
-END = "Ā"
 END_ID = 0xC480
+#: Ends a file: Spark's text writer sets it (as UTF-8) as the separator of lines.
+FILLER = "ā"
+FILLER_ID = 0xC481
 #: A document may begin with its number in base 8192: so many digits, as ids from here.
-DIGITS, FIRST_DIGIT = 5, END_ID + 1
+DIGITS, FIRST_DIGIT = 5, FILLER_ID + 1
 NO_NUMBER = FIRST_DIGIT + 8192
 #: Fixed value: the public pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,11 +49,14 @@ def header(number: int | None) -> np.ndarray:
 
 def write_token_files(
     docs: DataFrame, path: str, ranks_file: str, *, numbered: bool = True, id_col: str = "doc_id",
-    docs_per_file: int = 20_000,
+    file_tokens: int = 4 << 20,
 ) -> None:
     """Write the texts as flat token files: ids and an end-of-document id, nothing else.
 
-    With ``numbered``, a document begins with its id (five reserved ids), since no
+    Each task writes one stream of ids and cuts it into files of ``file_tokens`` ids (the
+    last is shorter), wherever documents end: long documents reach over files, and no
+    file grows with them. A file ends with ``FILLER``, which belongs to no document. With
+    ``numbered``, a document begins with its id (five reserved ids, never cut), since no
     index tells which document is where. Null texts have no tokens.
     """
     with open(ranks_file, "rb") as file:
@@ -60,33 +64,48 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(shared.value).encode_ordinary
+        held, n = [], 0
         for batch in batches:
             for part in chunks(batch):
-                lines = []
                 for number, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = np.array(encode(text.as_py() or ""), TOKEN)
-                    lines.append((header(number).astype(TOKEN).tobytes() if numbered else b"") + ids.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
+                    head = header(number) if numbered else np.empty(0, np.int64)
+                    if n + head.size > file_tokens:
+                        yield _file(held)
+                        held, n = [], 0
+                    ids = np.concatenate([head, encode(text.as_py() or ""), [END_ID]]).astype(np.uint16)
+                    while n + ids.size > file_tokens:
+                        held.append(ids[: file_tokens - n])
+                        ids = ids[file_tokens - n :]
+                        yield _file(held)
+                        held, n = [], 0
+                    held.append(ids)
+                    n += ids.size
+        if n:
+            yield _file(held)
+
+    def _file(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).astype(TOKEN).tobytes()], pa.binary())], names=["value"])
 
     docs.select(F.col(id_col).cast("long"), "text").mapInArrow(run, "value binary").select(
-        F.col("value").cast("string")).write.option("lineSep", END).option(
-        "maxRecordsPerFile", docs_per_file).text(path)
+        F.col("value").cast("string")).write.option("lineSep", FILLER).option("maxRecordsPerFile", 1).text(path)
 
 
 def document_counts(
-    spark: SparkSession, path: str, *, end_id: int = END_ID, token: str = TOKEN, numbered: bool = True,
-    block_tokens: int = 1 << 20,
+    spark: SparkSession, path: str, *, end_id: int = END_ID, filler_id: int | None = FILLER_ID, token: str = TOKEN,
+    numbered: bool = True, block_tokens: int = 1 << 20,
 ) -> DataFrame:
     """Tokens of each document in flat token files that have no index.
 
-    Each file is searched block by block with one vectorised comparison. A block gives
-    the places of its end ids; documents that reach over blocks are stitched by a scan
-    over the blocks' summaries: the next end behind a block is the first one of the
-    blocks after it. What stands behind a file's last end is a document that is not
-    complete. Empty files have no documents. A file has to fit into a task (Spark's
-    binaryFile source): writers roll theirs.
+    Files named part-<stream>...-c<number>... are one stream, in order of number. Each
+    file, of bounded size, is a task's; it is searched block by block with one vectorised
+    comparison, and a block gives its size and the places of its end ids. Boundaries are
+    stitched by a scan over the blocks of a stream, which lie in several tasks: running
+    sums of the sizes give every block its place, the end id before a block tells
+    whether a document starts there, and the first end id behind a block ends the
+    document that is open at its end. What stands behind a stream's last end is a
+    document that is not complete. Empty files have no documents.
 
-    Returns file, start (token of the file where the document begins), n_tokens
+    Returns stream, start (token of the stream where the document begins), n_tokens
     (without a number's digits), complete, and with ``numbered`` also number.
     """
     digits = DIGITS if numbered else 0
@@ -95,18 +114,22 @@ def document_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                file = batch.column(0)[k].as_py()
-                content = batch.column(1)[k].as_buffer()
+                content = batch.column(2)[k].as_buffer()
                 tokens = np.frombuffer(content, token, len(content) // width if content else 0)
+                if tokens.size and tokens[-1] == filler_id:
+                    tokens = tokens[:-1]
                 for block, at in enumerate(range(0, tokens.size, block_tokens)):
-                    ends = at + np.flatnonzero(tokens[at : at + block_tokens] == end_id)
-                    starts = np.r_[[0] if not at else [], ends + 1].astype(np.int64)
-                    starts = starts[starts < tokens.size]
+                    some = tokens[at : at + block_tokens]
+                    ends = np.flatnonzero(some == end_id)
+                    # Where documents start if one starts with the block; the last may be the next block's.
+                    starts = np.r_[0, ends + 1]
+                    starts = starts[starts < some.size]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([file]), pa.array([block], pa.int32()), pa.array([int(tokens.size)]),
-                         pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([starts.tolist()], pa.list_(pa.int64())),
-                         pa.array([_numbers(tokens, starts)], pa.list_(pa.int64()))],
-                        names=["file", "block", "size", "ends", "starts", "numbers"])
+                        [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([block], pa.int32()),
+                         pa.array([some.size]), pa.array([bool(some[-1] == end_id)]), pa.array([ends.tolist()], pa.list_(pa.int64())),
+                         pa.array([starts.tolist()], pa.list_(pa.int64())),
+                         pa.array([_numbers(tokens, at + starts)], pa.list_(pa.int64()))],
+                        names=["stream", "file", "block", "size", "closed", "ends", "starts", "numbers"])
 
     def _numbers(tokens: np.ndarray, starts: np.ndarray) -> list[int | None]:
         if not numbered:
@@ -117,20 +140,27 @@ def document_counts(
             values |= ((heads[:, k] - FIRST_DIGIT) & 8191).astype(np.uint64) << np.uint64(13 * k)
         return [None if h == NO_NUMBER else int(v) for h, v in zip(heads[:, 0], values.view(np.int64), strict=True)]
 
-    blocks = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(
-        run, "file string, block int, size long, ends array<long>, starts array<long>, numbers array<long>")
-    later = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    first = F.when(F.size("ends") > 0, F.element_at("ends", 1))
-    stitched = blocks.withColumn("next_end", F.first(first, ignorenulls=True).over(later))
-    rows = stitched.select("file", "size", F.explode(F.arrays_zip(
-        "starts", "numbers",
-        # the first end at or behind a start: this block's, or the next one's first
-        F.concat(F.when(F.col("block") == 0, F.col("ends")).otherwise(F.expr("slice(ends, 2, size(ends))")),
-                 F.array("next_end")).alias("stops"))).alias("doc")).where("doc.starts is not null")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
+        F.regexp_extract("path", r"(part-[0-9]+)[^/]*$", 1).alias("stream"),
+        F.coalesce(F.regexp_extract("path", r"-c([0-9]+)[^/]*$", 1).try_cast("long"), F.lit(0)).alias("file"), "content")
+    blocks = files.mapInArrow(
+        run, "stream string, file long, block int, size long, closed boolean, ends array<long>, starts array<long>, numbers array<long>")
+    before = Window.partitionBy("stream").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("stream").orderBy(F.desc("file"), F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    stitched = blocks.withColumns({
+        "offset": F.coalesce(F.sum("size").over(before), F.lit(0)),
+        "fresh": F.coalesce(F.last("closed").over(before), F.lit(True)),
+    }).withColumn("first_end", F.col("offset") + F.try_element_at("ends", F.lit(1))).withColumns({
+        "next_end": F.last("first_end", ignorenulls=True).over(after),
+        "behind": F.max(F.col("offset") + F.col("size")).over(Window.partitionBy("stream")),
+    })
+    rows = stitched.select("stream", "offset", "next_end", "behind", "fresh", F.posexplode(F.arrays_zip(
+        "starts", "numbers", F.col("ends").alias("stops"))).alias("k", "doc")).where("doc.starts is not null and (k > 0 or fresh)")
+    stop = F.coalesce(F.col("offset") + F.col("doc.stops"), "next_end")
     counted = rows.select(
-        "file", F.col("doc.starts").alias("start"),
-        (F.coalesce("doc.stops", "size") - F.col("doc.starts") - digits).alias("n_tokens"),
-        F.col("doc.stops").isNotNull().alias("complete"), F.col("doc.numbers").alias("number"))
+        "stream", (F.col("offset") + F.col("doc.starts")).alias("start"),
+        (F.coalesce(stop, "behind") - F.col("offset") - F.col("doc.starts") - digits).alias("n_tokens"),
+        stop.isNotNull().alias("complete"), F.col("doc.numbers").alias("number"))
     return counted if numbered else counted.drop("number")
 
 
@@ -138,8 +168,12 @@ def corpus_counts(docs: DataFrame, ranks_file: str) -> DataFrame:
     """doc_id and n_tokens of every document, read back from flat token files.
 
     The files are written to the shared folder first. Null and empty texts have no
-    tokens; repeated rows each get a row; an empty table gives no rows.
+    tokens; texts of any length are whole; repeated rows each get a row; a null doc_id
+    comes back as null. Other columns are ignored, whatever their names; an empty table
+    gives no rows. A doc_id that is no integer doesn't fit into the files' numbers: TypeError.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be an integer")
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, path, ranks_file)
