@@ -129,7 +129,10 @@ def test_toxicity_edges(spark):
     rows = toxicity(frame(spark), labels).collect()
     assert len(rows) == len(documents())
     assert toxicity(spark.createDataFrame([], SCHEMA), labels).count() == 0
-    assert fit(frame(spark), labels.limit(0)).arcs == {}
+    none = fit(frame(spark), labels.limit(0))
+    assert none.arcs == {} and none.score(b"you fool") < 0.5
+    long = "they said nothing. " * 200_000 + "you fool"  # matched at the end of 4 MB
+    assert Grammar({"fool$": 4.0}).features(long.encode())[1] > 0
 
 
 def test_composed_transducers():
@@ -173,6 +176,56 @@ def test_toxic_documents_go(spark):
     assert sum(gone) / len(gone) > 0.7 and sum(stay) / len(stay) > 0.97
 
 
+NAMES = ("score _text n_bytes n_removed n_spans kept _id _tie _bytes _starts n_words starts stops items _key row rest part tie"
+         " fp root group text_ a").split()
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Each stage on the edge cases: clashing columns, nulls, repeated rows, an empty table."""
+    rows = [(d[0], d[1], 7, *range(len(NAMES))) for d in documents()]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` int" for n in NAMES)
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    folder = str(tmp_path)
+    spark.createDataFrame([*((k, 0) for k in range(20)), (21, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        got = out.collect()
+        assert got and all(tuple(r)[3:] == tuple(range(len(NAMES))) for r in got)
+        ids = Counter(r.doc_id for r in got)
+        if name in ("toxicity", "benchmark decontamination"):
+            assert ids == Counter(d[0] for d in documents())
+        if name.startswith("suffix"):
+            assert all(r.n_chars == (7 if r.text is None or (r.doc_id, r.text) in {d[:2] for d in documents()} else len(r.text)) for r in got)
+            assert ids[0] == ids[1] == 1 and ids[17] == 0  # nothing is left of one letter's text
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    last = corpus_pipeline.as_token_ids(spark, docs, folder)
+    assert last.columns == [*[c for c in docs.columns if c != "text"], "ids", "n_tokens", "round_trip"]
+    assert last.count() == len(rows) and corpus_pipeline.as_token_ids(spark, docs.limit(0), folder).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    from test_operators import windows_hit
+    from fixtures import words_of
+
+    from tracespark.llm.decontamination import benchmark_hits
+    from tracespark.llm.simhash import first_of_groups
+
+    rows = [(None if d[0] is None else f"a{d[0]}", d[1]) for d in documents()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    kept = [r.doc_id for r in first_of_groups(docs).collect()]
+    assert len(kept) == first_of_groups(frame(spark)).count() and "a7" in kept and "a8" not in kept
+    bench = spark.createDataFrame([(1, documents()[12][1]), (2, "three little words")], "item_id long, text string")
+    items = [(str(r.item_id), r.text) for r in bench.collect()]
+    for size in (100, 1 << 20):
+        got = benchmark_hits(docs, bench, block_bytes=size).collect()
+        assert Counter((r.doc_id, tuple(r["items"])) for r in got) == Counter(
+            (i, tuple(sorted(windows_hit(words_of(t), items)[1]))) for i, t in rows)
+    with pytest.raises(TypeError):
+        paired_fingerprints(docs)
+
+
 def test_pipeline_against_its_operators(spark):
     """Each stage is held against the rows that brute force leaves."""
     from test_operators import joined, removed, simhash, windows_hit

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import WORD_TABLE, chunks, id_key, row_tie
+from tracespark.llm.common import WORD_TABLE, any_key, chunks, row_tie, stored
 
 HITS = "n_words long, starts array<int>, stops array<int>, items array<string>"
 
@@ -86,7 +86,8 @@ def benchmark_hits(
 
     The benchmark is searched in blocks of about ``block_bytes`` of item text (one
     block for a usual benchmark), each sent to the tasks as one bounded broadcast; its
-    hits are united per row. A longer benchmark means more scans, not larger tasks.
+    hits are united per row. A longer benchmark means more scans, one after the other, not
+    larger tasks. A doc_id may be of any type.
 
     Null texts have no words; an empty benchmark or table gives no hits or no rows;
     items without words never occur, and a null item_id counts as the empty string.
@@ -101,17 +102,21 @@ def benchmark_hits(
     )
     total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = -(-total // block_bytes) or 1
-    scans = [
-        _scan(docs, [(r.item, bytes(r.words)) for r in items.where(
-            F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == block).collect()], width)
-        for block in range(n_blocks)
-    ]
+
+    def scan(block: int) -> DataFrame:
+        own = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == block)
+        return _scan(docs, [(r.item, bytes(r.words)) for r in own.collect()], width)
+
     if n_blocks == 1:
-        return scans[0]
-    key = [id_key(id_col).alias("_key"), row_tie().alias("_tie")]
-    hit = scans[0].select(*key, "starts", "stops", "items").where("size(items) > 0")
-    for scan in scans[1:]:
-        hit = hit.unionByName(scan.select(*key, "starts", "stops", "items").where("size(items) > 0"))
+        return scan(0)
+    # Each block's hits are stored before the next block is read: the driver and the tasks hold one.
+    key = [any_key(docs, id_col).alias("_key"), row_tie().alias("_tie")]
+    hits = [stored(scan(block).where("size(items) > 0").select(*key, "starts", "stops", "items"), "benchmark-hits")
+            for block in range(1, n_blocks)]
+    whole = scan(0)
+    hit = whole.where("size(items) > 0").select(*key, "starts", "stops", "items")
+    for one in hits:
+        hit = hit.unionByName(one)
     united = hit.groupBy("_key", "_tie").agg(
         F.flatten(F.collect_set(F.arrays_zip("starts", "stops"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -123,7 +128,7 @@ def benchmark_hits(
         " else concat(m, array(s)) end)"))
     none = F.array().cast("array<int>")
     return (
-        scans[0].drop("starts", "stops", "items").withColumns({"_key": key[0], "_tie": key[1]})
+        whole.drop("starts", "stops", "items").withColumns({"_key": key[0], "_tie": key[1]})
         .join(united, ["_key", "_tie"], "left")
         .withColumns({"starts": F.coalesce("spans.starts", none), "stops": F.coalesce("spans.stops", none),
                       "items": F.coalesce("items", F.array().cast("array<string>"))})

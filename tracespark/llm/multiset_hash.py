@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tracespark.llm.common import id_key
 
@@ -133,12 +134,16 @@ def paired_fingerprints(docs: DataFrame, *, range_bytes: int = 4 << 20, most_ran
     The next document is that of the next lower doc_id (null counts as the lowest);
     after the last comes the first. Rows of one doc_id follow each other by text. Null
     texts are empty. Texts are shuffled once, to ranges of doc_id that are read in
-    order; each range also gets a copy of the one row that follows it. An empty table
-    gives no rows; other columns are ignored.
+    order; each range also gets a copy of the one row that follows it. A task holds two
+    texts, however long its range is: beyond ``most_ranges`` of ``range_bytes`` ranges
+    grow, and their sort spills. An empty table gives no rows; other columns are ignored,
+    whatever their names. A doc_id that is no integer has no next one: TypeError.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be an integer")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows, n = _ranges(docs.select(
         id_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), range_bytes, most_ranges)

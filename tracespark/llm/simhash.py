@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tracespark.llm.common import LOWER_TABLE, chunks, dropped, id_key, row_tie, stored
+from tracespark.llm.common import LOWER_TABLE, any_key, chunks, dropped, id_key, row_tie, stored
 from tracespark.llm.components import components
 
 #: The embedding: 32 segments of 2 bits, one byte of counts for every 4 segments.
@@ -223,7 +224,9 @@ def near_groups(docs: DataFrame, *, distance: int = 4, shingle: int = 4, seed: i
     """
     marks = stored(fingerprints(docs, shingle=shingle, seed=seed), "simhash")
     classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(near_links(classes.select("fp"), distance=distance, block=block))
+    links = near_links(classes.select("fp"), distance=distance, block=block)
+    roots = components(links)
+    dropped(links)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Stored before it meets its members, so that Spark may split a large component.
     least = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-components")
@@ -281,6 +284,9 @@ def similar_links(
     """Links (a, b) between texts, by hash (``tie``), that join what ``known`` links (a, b)
     and all proposed pairs of so similar shingle sets would join.
 
+    Null texts and texts without words have no shingles and no links; repeated rows are
+    one text; an empty table has no links; other columns are ignored.
+
     SimHashes of texts that share 0.8 of their five-word shingles differ in up to 14 of
     64 bits, further than a grid of bit counts can look. Pairs are therefore proposed by
     bands of min-wise samples (a pair at 0.8 is missed by all 20 bands once in 2,900
@@ -386,17 +392,22 @@ def first_of_groups(docs: DataFrame, *, similarity: float | None = 0.8, **option
     Groups are those of ``near_groups``, joined further by ``similar_links`` (five-word
     shingles; ``similarity`` None: not). Rows that repeat an id are told apart by their
     text's hash, and rows without an id stay only where a group has no other; of equal
-    rows one stays. The groups are found without their texts, which are shuffled once
+    rows one stays. Null and empty texts are one group; a doc_id may be of any type that
+    has an order; an empty table gives no rows; all columns stay, whatever their names. The
+    groups are found without their texts, which are shuffled once
     more to meet the rows that stay.
     """
     groups = stored(near_groups(docs, **options), "simhash-groups")
+    numeric = isinstance(docs.schema["doc_id"].dataType, IntegralType)
     if similarity is not None:
         named = groups.groupBy("root").agg(F.min("tie").alias("b"))
         known = groups.select("root", F.col("tie").alias("a")).join(named, "root").select("a", "b").where("a <> b")
         roots = components(similar_links(docs, known, similarity=similarity)).select(F.col("node").alias("tie"), F.col("root").alias("_joined"))
         groups = groups.join(roots, "tie", "left").withColumn("root", F.coalesce("_joined", "tie"))
     kept = groups.groupBy("root").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("none"), id_key().alias("_key"), F.col("tie").alias("_tie"))).alias("one"))
+        F.col("doc_id").isNull().alias("none"), id_key().alias("_order") if numeric else F.col("doc_id").alias("_order"),
+        any_key(groups).alias("_key"), F.col("tie").alias("_tie"))).alias("one"))
+    # The documents' columns go in one struct, so that none clashes with the keys.
+    named = docs.select(any_key(docs).alias("_key"), row_tie().alias("_tie"), F.struct(*docs.columns).alias("row"))
     keys = ["_key", "_tie"]
-    named = docs.withColumns({"_key": id_key(), "_tie": row_tie()})
-    return named.join(kept.select("one._key", "one._tie"), keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return named.join(kept.select("one._key", "one._tie"), keys, "left_semi").dropDuplicates(keys).select("row.*")

@@ -112,7 +112,8 @@ class Grammar:
     arcs: dict[str, float]
     mean: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     scale: list[float] = field(default_factory=lambda: [1.0] * FEATURES)
-    weights: list[float] = field(default_factory=lambda: [0.0] * (FEATURES + 1))
+    #: As long as no labels teach others, texts are not toxic.
+    weights: list[float] = field(default_factory=lambda: [-3.0] + [0.0] * FEATURES)
 
     def __post_init__(self):
         self._known: dict[bytes, tuple[str, float]] = {}
@@ -200,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, support
     an insult arc. The weights of the registers are fitted (logistic, by Newton steps)
     on one half of the sample with arcs from the other, so that arcs that fit their
     own documents too well don't mislead them; the arcs are then taken from both.
-    Without labelled documents of both kinds, every score is that of no match.
+    Without labelled documents of both kinds, every score is that of no match, below 0.5.
     """
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("_toxic"))
