@@ -45,6 +45,30 @@ def test_all_shifts_by_fft(x, seed):
     np.testing.assert_allclose(k.shifted_information(x, bins, 4, shifts), rolled, atol=1e-8)
 
 
+def test_temporal_null_against_loops():
+    rng = np.random.default_rng(3)
+    x = rng.random(90) + 0.5
+    x[[3, 4, 5, 40, 41, 70]] = np.nan
+    lap, within = np.arange(90) // 14, np.arange(90) % 14
+    bins, shifts = within // 2, np.array([0, 7, 30, 61])
+    for s, got in zip(shifts, k.temporal_null(x, lap, bins, 5, shifts)):
+        v = np.roll(x, s)
+        sums, counts = np.zeros(5), np.zeros(5)
+        for n in range(lap.max() + 1):
+            cells = [[v[i] for i in range(90) if lap[i] == n and bins[i] == c] for c in range(5)]
+            if all(not c or not np.isnan(c).all() for c in cells):
+                for c, own in enumerate(cells):
+                    sums[c] += np.nansum(own)
+                    counts[c] += np.count_nonzero(~np.isnan(own))
+        assert abs(got - k.information(sums, counts)) < 1e-12
+
+
+def test_track_exit():
+    assert k.track_exit(np.array([0, 50, 100, 150.0]), 90) == 2
+    assert k.track_exit(np.array([100, 150, 10, 60, 120.0]), 90) == 4
+    assert k.track_exit(np.array([100, 150, 10, 60.0]), 90) == 0 and k.track_exit(np.array([1.0, 2]), 90) == 2
+
+
 def test_missing_positions_stay():
     x = np.array([1.0, np.nan, 2, 3, np.nan, 4])
     y = k.shifted_fixed(x, 0.0)

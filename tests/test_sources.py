@@ -22,6 +22,19 @@ def test_movie_and_regions(spark, tmp_path):
     means = sources.roi_means(frames, {1: np.arange(12), 2: np.arange(3)})
     got = {(r.frame, r.roi): r.value for r in means.collect()}
     assert got[3, 1] == movie[3, :12].mean() and got[3, 2] is None
+    joined = sources.roi_means(frames, {1: np.arange(12), 2: np.arange(3)}, most_broadcast=5)  # masks too large to go along
+    assert {(r.frame, r.roi): r.value for r in joined.collect()} == got
+
+
+def test_groups_settle_or_fail(spark):
+    from tracespark.operators.pooling import connected_groups
+
+    chain = spark.createDataFrame([(1, k, k + 1) for k in range(200)], "anm int, a long, z long")
+    nodes = spark.createDataFrame([(1, k) for k in range(205)], "anm int, node long")
+    got = {r.node: r.group for r in connected_groups(chain, nodes, "anm").collect()}
+    assert got == {**dict.fromkeys(range(201), 1), 201: 2, 202: 3, 203: 4, 204: 5}
+    with pytest.raises(RuntimeError, match="settled"):
+        connected_groups(chain, nodes, "anm", rounds=2)
 
 
 def test_trace_arrays(spark, tmp_path):

@@ -126,6 +126,30 @@ def shifted_information(values: np.ndarray, bins: np.ndarray, n_bins: int, shift
     return np.array([information(sums[s], occupancy) for s in shifts])
 
 
+def temporal_null(values: np.ndarray, lap: np.ndarray, bins: np.ndarray, n_bins: int, shifts: np.ndarray) -> np.ndarray:
+    """Information for each shift of the whole running trace, binned by lap anew.
+
+    Frames in bins from ``n_bins`` on are rolled but not binned. A lap counts only if
+    each of its visited bins still has a value that is not missing after the shift; bins that a short
+    lap does not reach are no fault of it.
+    """
+    inside = bins < n_bins
+    names, which = np.unique(lap, return_inverse=True)
+    cell = which[inside] * n_bins + bins[inside]
+    size = names.size * n_bins
+    visited = np.bincount(cell, minlength=size).reshape(-1, n_bins) > 0
+    out = np.full(shifts.size, np.nan)
+    for k, s in enumerate(shifts):
+        x = np.roll(values, s)[inside]
+        known = ~np.isnan(x)
+        n = np.bincount(cell[known], minlength=size).reshape(-1, n_bins)
+        sums = np.bincount(cell[known], x[known], size).reshape(-1, n_bins)
+        valid = ~(visited & (n == 0)).any(1)
+        if valid.any():
+            out[k] = information(sums[valid].sum(0), n[valid].sum(0).astype(float))
+    return out
+
+
 def draw_shifts(n: int, draws: int, least: int, unit: int, seed: int = 1) -> np.ndarray:
     """Shifts in least .. n - least - 1 from whole-number arithmetic alone."""
     k = np.arange(draws, dtype=np.int64)
@@ -195,10 +219,20 @@ def decay_fit(t: np.ndarray, y: np.ndarray, peak: int, span: float, least: int =
             "n_points": float(v.size)}
 
 
+def track_exit(position: np.ndarray, track: float) -> int:
+    """Where the position of the trial before first exceeds the track's length: after its
+    last large reset if it does so there, else at all, else at the trial's end."""
+    resets = np.flatnonzero(np.diff(position) < -track / 2)
+    over = np.flatnonzero(position > track)
+    late = over[over > resets[-1]] if resets.size else over
+    found = late if late.size else over
+    return int(found[0]) if found.size else position.size
+
+
 def run_onset(speed: np.ndarray, pre: int, rate: float = 1000.0, fast: float = 10.0, still: float = 3.0, lasting: float = 0.3) -> tuple[int, bool, bool]:
     """Run onset in a trial: sample, non-stop flag, non-full-stop flag.
 
-    ``speed`` begins ``pre`` samples before the trial. The start point is the first
+    ``speed`` begins ``pre`` samples before the trial (see ``track_exit``). The start point is the first
     sample of the first run that is fast for long enough, unless that run is the one in
     which the trial begins; then it is the last slow sample before the trial (none: the
     trial is non-stop, and the slowest sample before it is taken). The onset is the last
@@ -215,9 +249,9 @@ def run_onset(speed: np.ndarray, pre: int, rate: float = 1000.0, fast: float = 1
         start = pre + int(np.argmax(on))
     else:
         slow = np.flatnonzero(speed[:pre] <= fast)
-        if not slow.size:
-            return (int(np.argmin(speed[:pre])) if pre else -1), True, False
-        start = int(slow[-1]) + 1
+        if not slow.size or not slow[-1]:
+            return (int(np.argmin(speed[:pre])) if pre else -1), not slow.size, False
+        start = int(slow[-1])
     stopped = np.flatnonzero(speed[:start] <= still)
     if stopped.size:
         return int(stopped[-1]), False, False

@@ -93,9 +93,30 @@ def information_null(traces: DataFrame, by: list[str], n_bins: int, draws: int,
     return traces.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", info_bits double, null_95 double, n_frames long")
 
 
-def template_kept(samples: DataFrame, by: str, trial: str, order: str, value: str, points: int = 100, least_r: float = 0.75, least_trials: int = 5) -> DataFrame:
+def temporal_information_null(traces: DataFrame, by: list[str], n_bins: int, draws: int, least: int) -> DataFrame:
+    """95th null percentile of the temporal information, for packed value, lap and bin arrays.
+
+    Each draw rolls the whole running trace, bins it by lap again and drops the laps that
+    then miss a bin.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                x, lap, bins = np.array(row["value"], float), np.array(row["lap"], np.int64), np.array(row["bin"], np.int64)
+                null = kernels.temporal_null(x, lap, bins, n_bins, kernels.draw_shifts(x.size, draws, least, int(row[by[0]])))
+                out.append((*[row[c] for c in by], float(np.nanpercentile(null, 95)) if not np.isnan(null).all() else None, int(x.size)))
+            yield pd.DataFrame(out, columns=[*by, "null_95", "n_frames"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in traces.schema}
+    return traces.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", null_95 double, n_frames long")
+
+
+def template_kept(samples: DataFrame, by: str, trial: str, order: str, value: str, points: int = 100, least_r: float | None = 0.75, least_trials: int = 5, drop_worst: float = 0.2) -> DataFrame:
     """Trials whose speed, resampled to ``points``, correlates with the recording's median
-    template; recordings of few trials keep all."""
+    template by ``least_r`` or more (None: without the worst share ``drop_worst``);
+    recordings of few trials keep all."""
     from tracespark.functions.semantics import median
     from tracespark.operators.behaviour import resampled
 
@@ -107,18 +128,35 @@ def template_kept(samples: DataFrame, by: str, trial: str, order: str, value: st
     template = grid.groupBy(by, "point").agg(median("x").alias("m"))
     r = grid.join(template, [by, "point"]).groupBy(by, trial).agg(F.corr("x", "m").alias("r"))
     n = F.count("*").over(Window.partitionBy(by))
-    return r.withColumn("_trials", n).withColumn("kept", (F.col("_trials") < least_trials) | F.coalesce(F.col("r") >= least_r, F.lit(False))).drop("_trials")
+    limit = F.lit(least_r) if least_r is not None else F.percentile("r", drop_worst).over(Window.partitionBy(by))
+    return r.withColumns({"_trials": n, "_limit": limit}).withColumn(
+        "kept", (F.col("_trials") < least_trials) | F.coalesce(F.col("r") >= F.col("_limit"), F.lit(False))).drop("_trials", "_limit")
 
 
-def matched_regions(a: DataFrame, z: DataFrame, by: str, radius: float = 6.0, dice: float = 0.5) -> DataFrame:
+def dilated(pixels: DataFrame, radius: int) -> DataFrame:
+    """Regions (by, roi, y, x) grown by a disc of ``radius`` pixels."""
+    disc = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+    rest = [c for c in pixels.columns if c not in ("y", "x")]
+    each = pixels.withColumn("_d", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disc])))
+    return each.select(*rest, (F.col("y") + F.col("_d.dy")).alias("y"), (F.col("x") + F.col("_d.dx")).alias("x")).distinct()
+
+
+def matched_regions(
+    a: DataFrame, z: DataFrame, by: str, radius: float = 6.0, dice: float = 0.5, dilate: int = 0, max_shift: int = 0,
+) -> DataFrame:
     """One-to-one pairs of regions of two sets by overlap.
 
-    ``a``, ``z``: by, roi, y, x (pixels). Centroids meet in grid cells as wide as the
-    radius (and their neighbours); overlaps are counted by joining pixels; the pairing of
-    the largest total Dice is found per recording among the pairs that pass.
+    ``a``, ``z``: by, roi, y, x (pixels; regions numbered from 0). Centroids meet in grid
+    cells as wide as the radius (and their neighbours). The Dice of a close pair counts the
+    pixels that both have after growing by ``dilate``, at the best shift of up to
+    ``max_shift`` pixels in y and x. The pairing of the largest total Dice is found among
+    the pairs that pass: pairs that share regions are one component, found by joins, and
+    each component, a few neighbours, is assigned by itself.
     """
+    from tracespark.operators.pooling import connected_groups
+
     def centres(p, name):
-        return p.groupBy(by, F.col("roi").alias(name)).agg(F.avg("y").alias(f"_y{name}"), F.avg("x").alias(f"_x{name}"), F.count("*").alias(f"_n{name}"))
+        return p.groupBy(by, F.col("roi").alias(name)).agg(F.avg("y").alias(f"_y{name}"), F.avg("x").alias(f"_x{name}"))
 
     ca, cz = centres(a, "a"), centres(z, "z")
     near = [F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -126,10 +164,22 @@ def matched_regions(a: DataFrame, z: DataFrame, by: str, radius: float = 6.0, di
         "*", (F.floor(F.col("_ya") / radius) + F.col("_d.dy")).alias("_gy"), (F.floor(F.col("_xa") / radius) + F.col("_d.dx")).alias("_gx")).drop("_d")
     right = cz.withColumns({"_gy": F.floor(F.col("_yz") / radius), "_gx": F.floor(F.col("_xz") / radius)})
     close = left.join(right, [by, "_gy", "_gx"]).where(
-        (F.col("_ya") - F.col("_yz")) ** 2 + (F.col("_xa") - F.col("_xz")) ** 2 <= radius * radius).drop("_gy", "_gx")
-    shared = a.select(by, F.col("roi").alias("a"), "y", "x").join(z.select(by, F.col("roi").alias("z"), "y", "x"), [by, "y", "x"]).groupBy(
-        by, "a", "z").agg(F.count("*").alias("_both"))
-    scored = close.join(shared, [by, "a", "z"]).withColumn("dice", 2 * F.col("_both") / (F.col("_na") + F.col("_nz"))).where(F.col("dice") >= dice)
+        (F.col("_ya") - F.col("_yz")) ** 2 + (F.col("_xa") - F.col("_xz")) ** 2 <= radius * radius).select(by, "a", "z")
+    ga, gz = (dilated(p, dilate) if dilate else p for p in (a, z))
+    na, nz = (p.groupBy(by, F.col("roi").alias(n)).agg(F.count("*").alias(f"_n{n}")) for p, n in ((ga, "a"), (gz, "z")))
+    shifts = [F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
+              for dy in range(-max_shift, max_shift + 1) for dx in range(-max_shift, max_shift + 1)]
+    moved = gz.withColumn("_d", F.explode(F.array(*shifts))).select(
+        by, F.col("roi").alias("z"), (F.col("y") + F.col("_d.dy")).alias("y"), (F.col("x") + F.col("_d.dx")).alias("x"), "_d")
+    shared = ga.select(by, F.col("roi").alias("a"), "y", "x").join(moved, [by, "y", "x"]).groupBy(by, "a", "z", "_d").agg(
+        F.count("*").alias("_both")).groupBy(by, "a", "z").agg(F.max("_both").alias("_both"))
+    scored = close.join(shared, [by, "a", "z"]).join(na, [by, "a"]).join(nz, [by, "z"]).withColumn(
+        "dice", 2 * F.col("_both") / (F.col("_na") + F.col("_nz"))).where(F.col("dice") >= dice).select(by, "a", "z", "dice").checkpoint()
+
+    # Even nodes are regions of ``a``, odd ones of ``z``.
+    links = scored.select(by, (F.col("a") * 2).cast("long").alias("a"), (F.col("z") * 2 + 1).cast("long").alias("z"))
+    nodes = links.select(by, F.col("a").alias("node")).union(links.select(by, "z")).distinct()
+    parts = connected_groups(links, nodes, by).where("node % 2 = 0").select(by, (F.col("node") / 2).cast("long").alias("a"), "group")
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         rec = group[by].iloc[0]
@@ -137,4 +187,5 @@ def matched_regions(a: DataFrame, z: DataFrame, by: str, radius: float = 6.0, di
         return pd.DataFrame([(rec, *x) for x in found], columns=[by, "a", "z", "dice"])
 
     kinds = {f.name: f.dataType.simpleString() for f in scored.schema}
-    return per_group(scored.select(by, "a", "z", "dice"), [by], pair, f"{by} {kinds[by]}, a {kinds['a']}, z {kinds['z']}, dice double")
+    return per_group(scored.join(parts, [by, "a"]).select(by, "group", "a", "z", "dice"), [by, "group"], pair,
+                     f"{by} {kinds[by]}, a {kinds['a']}, z {kinds['z']}, dice double")

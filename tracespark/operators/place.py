@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracespark.functions.semantics import ratio
@@ -83,15 +83,21 @@ def tentative_fields(maps: DataFrame, by: list[str], share: float = 0.25, lowest
         "field", F.row_number().over(w.orderBy("start")).cast("long"))
 
 
-def field_metrics(fields: DataFrame, maps: DataFrame, by: list[str], width: float = BIN_CM) -> DataFrame:
-    """Width, peak and inside/outside ratio; the ratio is missing unless the outside mean is positive."""
+def field_metrics(fields: DataFrame, maps: DataFrame, by: list[str], width: float = BIN_CM, transients: DataFrame | None = None) -> DataFrame:
+    """Width, peak, inside/outside ratio and active fraction; the ratio is missing unless
+    the outside mean is positive, the fraction without occupancy.
+
+    ``transients`` has the frames of significant activity (by, bin, n); without it the
+    fraction is missing.
+    """
     whole = maps.groupBy(*by).agg(F.sum("activity").alias("_a"), F.sum("occupancy").alias("_o"))
-    inside = fields.join(maps, by).where((F.col("bin") >= F.col("start")) & (F.col("bin") <= F.col("end"))).groupBy(*by, "field", "start", "end").agg(
-        F.max("rate").alias("peak"), F.sum("activity").alias("_ia"), F.sum("occupancy").alias("_io"))
+    counted = maps.join(transients.withColumnRenamed("n", "_n"), [*by, "bin"], "left") if transients is not None else maps.withColumn("_n", F.lit(None).cast("long"))
+    inside = fields.join(counted, by).where((F.col("bin") >= F.col("start")) & (F.col("bin") <= F.col("end"))).groupBy(*by, "field", "start", "end").agg(
+        F.max("rate").alias("peak"), F.sum("activity").alias("_ia"), F.sum("occupancy").alias("_io"), F.sum("_n").alias("_in"))
     outer = ratio(F.col("_a") - F.col("_ia"), F.col("_o") - F.col("_io"))
     return inside.join(whole, by).select(
         *by, "field", "start", "end", "peak", ((F.col("end") - F.col("start") + 1) * width).alias("width_cm"),
-        F.when(outer > 0, ratio(F.col("_ia"), F.col("_io")) / outer).alias("in_out"))
+        F.when(outer > 0, ratio(F.col("_ia"), F.col("_io")) / outer).alias("in_out"), ratio(F.col("_in"), F.col("_io")).alias("fraction"))
 
 
 def stability(by_lap: DataFrame, laps: DataFrame, by: list[str], halves: bool = False) -> DataFrame:
@@ -125,9 +131,17 @@ def lap_correlations(by_lap: DataFrame, laps: DataFrame, by: list[str]) -> DataF
         *by, "consecutive", ratio(F.col("_all") - F.col("_own"), F.col("_n") * (F.col("_n") - 1)).alias("all_pairs"))
 
 
-def significant(fields: DataFrame, by: list[str], width: float = 18.0, ratio_limit: float = 2.5, active: Column | None = None) -> DataFrame:
-    """A cell is significant if one of its fields passes all limits; missing values fail."""
-    ok = (F.col("width_cm") >= width) & (F.col("in_out") >= ratio_limit) & (active if active is not None else F.lit(True))
+def significant(
+    fields: DataFrame, by: list[str], width: float | None = 18.0, ratio_limit: float | None = 2.5, peak: float | None = 0.1,
+    fraction: float | None = 0.1,
+) -> DataFrame:
+    """A cell is significant if one of its fields passes all four limits (None: no limit);
+    missing values fail."""
+    limits = {"width_cm": width, "peak": peak, "fraction": fraction}
+    ok = F.lit(True) if ratio_limit is None else F.col("in_out") > ratio_limit
+    for name, least in limits.items():
+        if least is not None:
+            ok = ok & (F.col(name) >= least)
     return fields.groupBy(*by).agg(F.bool_or(F.coalesce(ok, F.lit(False))).alias("significant"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracespark.sources import shared_dir
+
 
 def pooled(tables: dict[str, DataFrame], name: str = "source") -> DataFrame:
     """Union of session tables with their origin; columns that one lacks are missing there."""
@@ -52,29 +54,48 @@ def first_rows(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def pairwise_similarity(rows: DataFrame, by: str, item: str, vector: str) -> DataFrame:
+def pairwise_similarity(rows: DataFrame, by: str, item: str, vector: str, block: int = 512) -> DataFrame:
     """Normalised cross-correlation of all pairs of sessions of one animal.
 
-    A session's comparisons grow with the sessions of its animal, which are few by
-    nature; animals are dealt out by key.
+    An animal of over ``block`` sessions is dealt out as pairs of blocks, so that no
+    task compares more than two blocks' sessions, however many an animal has.
     """
     n = F.size(vector)
     mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x) / n
     centred = rows.select(by, item, F.col(vector).alias("_v"), mean.alias("_m")).withColumn("_c", F.transform("_v", lambda x: x - F.col("_m")))
     norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
-    unit = centred.withColumn("_norm", norm).withColumn("_u", F.transform("_c", lambda x: F.try_divide(x, F.col("_norm")))).select(by, item, "_u")
-    a = unit.select(by, F.col(item).alias("a"), F.col("_u").alias("_ua"))
-    z = unit.select(by, F.col(item).alias("z"), F.col("_u").alias("_uz"))
+    blocks = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    unit = centred.withColumn("_norm", norm).withColumn("_u", F.transform("_c", lambda x: F.try_divide(x, F.col("_norm")))).join(blocks, by).select(
+        by, item, "_u", "_n", F.pmod(F.xxhash64(item), F.col("_n")).cast("int").alias("_b"))
+    a = unit.select(by, F.col(item).alias("a"), F.col("_u").alias("_ua"), F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_j"))
+    z = unit.select(by, F.col(item).alias("z"), F.col("_u").alias("_uz"), F.col("_b").alias("_j"), F.explode(F.sequence(F.lit(0), "_b")).alias("_i"))
     dot = F.aggregate(F.zip_with("_ua", "_uz", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(z, by).where("a < z").select(by, "a", "z", dot.alias("similarity"))
+    return a.join(z, [by, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("a") < F.col("z"))).select(
+        by, F.least("a", "z").alias("a"), F.greatest("a", "z").alias("z"), dot.alias("similarity"))
+
+
+def paired_metrics(a: DataFrame, z: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """Metrics of rows that meet on ``by``, as long rows with both values; a missing value
+    on either side drops the pair of that metric."""
+    values = lambda n: F.struct(*[F.col(m).cast("double").alias(m) for m in metrics]).alias(n)
+    both = a.select(*by, values("_a")).join(z.select(*by, values("_z")), by)
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_a.{m}").alias("value_a"), F.col(f"_z.{m}").alias("value_b")) for m in metrics]))
+    return both.select(*by, long.alias("_m")).select(*by, "_m.*").where("value_a is not null and value_b is not null")
+
+
+def once_each(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose key occurs exactly once."""
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where("_n = 1").drop("_n")
 
 
 def connected_groups(links: DataFrame, nodes: DataFrame, by: str, rounds: int = 50) -> DataFrame:
     """Groups of linked items of each animal, numbered from 1 in the order of their first member.
 
     The smallest label spreads along links, and each round also follows the label's own
-    label; rounds are checkpointed and end when no label changes.
+    label, which halves long chains; rounds are checkpointed and end when no label
+    changes. Labels that have not settled after ``rounds`` rounds are an error.
     """
+    shared_dir(links.sparkSession)
     both = links.select(by, F.col("a").alias("node"), F.col("z").alias("other")).union(
         links.select(by, F.col("z"), F.col("a")))
     labels = nodes.select(by, "node", F.col("node").alias("label")).checkpoint()
@@ -89,4 +110,6 @@ def connected_groups(links: DataFrame, nodes: DataFrame, by: str, rounds: int =
             labels = new
             break
         labels = new.drop("_old")
+    else:
+        raise RuntimeError(f"groups have not settled after {rounds} rounds")
     return labels.select(by, "node", F.dense_rank().over(Window.partitionBy(by).orderBy("label")).cast("long").alias("group"))

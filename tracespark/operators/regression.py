@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracespark.functions.semantics import ratio
 
 
-def residual(rows: DataFrame, by: list[str], y: str, x1: str, x2: str | None = None) -> DataFrame:
+def residual(rows: DataFrame, by: list[str], y: str, x1: str, x2: str | None = None, within: Column | None = None) -> DataFrame:
     """y without what the regressors explain: y - sum b_k (x_k - mean x_k), by group.
 
     One grouped aggregation of means and covariances solves the normal equations of
     one or two regressors; r2 is the explained share of y's variance. A group with a
     missing value, or whose regressors do not vary, stays as it is, with missing b1, b2
-    and r2.
+    and r2, as do rows that ``within`` does not hold for.
     """
+    within = F.lit(True) if within is None else F.coalesce(within, F.lit(False))
     names = [y, x1] + ([x2] if x2 else [])
     aggs = [F.bool_and(F.col(c).isNotNull()).alias(f"_w{i}") for i, c in enumerate(names)]
-    moments = rows.groupBy(*by).agg(
+    moments = rows.where(within).groupBy(*by).agg(
         *aggs, F.var_pop(y).alias("_yy"), F.avg(x1).alias("_m1"), F.var_pop(x1).alias("_11"), F.covar_pop(y, x1).alias("_y1"),
         *([F.avg(x2).alias("_m2"), F.var_pop(x2).alias("_22"), F.covar_pop(y, x2).alias("_y2"), F.covar_pop(x1, x2).alias("_12")] if x2 else []))
     ok = F.col("_w0")
@@ -37,7 +38,7 @@ def residual(rows: DataFrame, by: list[str], y: str, x1: str, x2: str | None = N
         part = c("b1") * (c(x1) - c("_m1"))
     fits = moments.withColumns({"b1": F.when(ok, b1), "b2": F.when(ok, b2)}).withColumn("r2", r2).select(
         *by, "b1", "b2", "r2", "_m1", *(["_m2"] if x2 else []))
-    return rows.join(fits, by).withColumn("corrected", c(y) - F.coalesce(part, F.lit(0.0))).drop("_m1", "_m2")
+    return rows.join(fits, by, "left").withColumn("corrected", c(y) - F.coalesce(part, F.lit(0.0))).drop("_m1", "_m2")
 
 
 def segments(events: DataFrame, by: list[str], before: int, after: int, last: DataFrame) -> DataFrame:

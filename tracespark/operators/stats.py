@@ -61,6 +61,20 @@ def mann_whitney(rows: DataFrame, by: list[str], group: str, value: str) -> Data
     return s.select(*by, "n0", "n1", (F.col("_r0") - F.col("n0") * (F.col("n0") + 1) / 2).alias("u"), "ties")
 
 
+def rank_sum(u: DataFrame) -> DataFrame:
+    """Rank-sum z of group 0 from ``mann_whitney``'s rows: normal, without a tie correction."""
+    n0, n1 = F.col("n0"), F.col("n1")
+    return u.withColumn("z", ratio(F.col("u") - n0 * n1 / 2, F.sqrt(n0 * n1 * (n0 + n1 + 1) / 12)))
+
+
+def one_sample_t(rows: DataFrame, by: list[str], value: str, expected: float) -> DataFrame:
+    """t of the mean of what is not missing against an expected value: n, mean, t, df."""
+    n = F.count(value)
+    return rows.groupBy(*by).agg(
+        n.alias("n"), F.avg(value).alias("mean"), ratio(F.avg(value) - expected, F.stddev_samp(value) / F.sqrt(n)).alias("t"),
+        (n - 1).cast("double").alias("df"))
+
+
 def linear_fit(rows: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"))

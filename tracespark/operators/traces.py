@@ -35,17 +35,35 @@ def widened(rows: DataFrame, flag: Column, before: int, after: int, by: list[str
     return rows.withColumn("wide", F.max(flag.cast("int")).over(w) == 1)
 
 
-def forward_extreme(rows: DataFrame, width: int, by: list[str], value: str = "value", order: str = "frame", largest: bool = False) -> DataFrame:
-    """Minimum (maximum) over the next ``width`` values; the end is padded with a copy of
-    the last half window."""
+def forward_extremes(rows: DataFrame, width: int, by: list[str], value: str = "value", order: str = "frame") -> DataFrame:
+    """Minimum (lo) and maximum (hi) over the next ``width`` values; the end is padded with a
+    copy of the last half window."""
     half = -(-width // 2)
     n = F.count("*").over(unit(by))
     ranked = rows.withColumns({"_n": n, "_k": F.row_number().over(Window.partitionBy(*by).orderBy(order))})
-    tail = ranked.where(F.col("_k") > F.col("_n") - half)
-    padded = ranked.withColumn("_own", F.lit(True)).unionByName(
-        tail.withColumn("_k", F.col("_k") + half).withColumn("_own", F.lit(False)))
-    w = Window.partitionBy(*by).orderBy("_k", F.col("_own").desc()).rowsBetween(0, width - 1)
-    return padded.withColumn("extreme", (F.max if largest else F.min)(value).over(w)).where("_own").drop("_n", "_k", "_own")
+    own = F.struct(F.col("_k").alias("k"), F.lit(True).alias("own"))
+    copy = F.struct((F.col("_k") + half).alias("k"), F.lit(False).alias("own"))
+    padded = ranked.withColumn("_p", F.explode(F.when(F.col("_k") > F.col("_n") - half, F.array(own, copy)).otherwise(F.array(own))))
+    w = Window.partitionBy(*by).orderBy("_p.k", F.col("_p.own").desc()).rowsBetween(0, width - 1)
+    return padded.withColumns({"lo": F.min(value).over(w), "hi": F.max(value).over(w)}).where("_p.own").drop("_n", "_k", "_p")
+
+
+def signal_and_surround(movie: DataFrame, regions: DataFrame, expressed: DataFrame, by: list[str], frame: str = "frame", value: str = "value") -> DataFrame:
+    """Mean trace of each region and of its surround.
+
+    The surround is what a dilation by one pixel adds to the region; both count only inside
+    the expression mask. ``movie``: by, frame, y, x, value; ``regions``: by, roi, y, x;
+    ``expressed``: by, y, x. A trace without pixels in a frame is missing there.
+    """
+    near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    pixel = [*by, "roi", "y", "x"]
+    ring = regions.withColumn("_d", F.explode(near)).select(
+        *by, "roi", (F.col("y") + F.col("_d.dy")).alias("y"), (F.col("x") + F.col("_d.dx")).alias("x")).distinct()
+    both = regions.select(*pixel, F.lit(True).alias("_in")).union(ring.join(regions, pixel, "left_anti").select(*pixel, F.lit(False)))
+    hit = both.join(expressed, [*by, "y", "x"], "left_semi").join(movie, [*by, "y", "x"])
+    inner, outer = F.when(F.col("_in"), F.col(value)), F.when(~F.col("_in"), F.col(value))
+    return hit.groupBy(*by, "roi", frame).agg(
+        F.count(inner).alias("n_signal"), F.count(outer).alias("n_surround"), F.avg(inner).alias("signal"), F.avg(outer).alias("surround"))
 
 
 def outliers_missing(rows: DataFrame, n_sd: float, by: list[str], value: str = "value", low: float | None = None, high: float | None = None) -> DataFrame:

@@ -14,9 +14,9 @@ from tracespark.operators import packed as op
 from tracespark.operators.behaviour import resampled
 from tracespark.plans import bindings as b
 from tracespark.plans.bindings import query
-from tracespark.plans.places import running
+from tracespark.plans.places import RUN, running
 from tracespark.plans.signals import SPREAD
-from tracespark.plans.timejoins import LINES, aligned, lines
+from tracespark.plans.timejoins import ALIGNED, LINES, aligned, lines
 
 UNIT = ["roi"]
 WINDOW = 91
@@ -69,7 +69,13 @@ def t13(spark, d):
     return unpacked(op.per_trace(packed(spark, d), lambda x: kernels.gaussian(x, 1.0)), "smooth")
 
 
-@query("t9_smooth_minimum_dff")
+@query("t9_smooth_minimum_dff", f"""WITH {gauss_sql(5.0)},
+m1 AS (SELECT roi, frame AS k, value FROM gs UNION ALL SELECT roi, -1 - frame, value FROM gs WHERE frame < 30 UNION ALL SELECT gs.roi, 2 * n - 1 - frame, value FROM gs JOIN n ON gs.roi = n.roi WHERE frame >= n - 30),
+lo AS (SELECT roi, k, min(value) OVER (PARTITION BY roi ORDER BY k ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS value FROM m1),
+l1 AS (SELECT lo.roi, k AS frame, value FROM lo JOIN n ON lo.roi = n.roi WHERE k >= 0 AND k < n),
+m2 AS (SELECT roi, frame AS k, value FROM l1 UNION ALL SELECT roi, -1 - frame, value FROM l1 WHERE frame < 30 UNION ALL SELECT l1.roi, 2 * n - 1 - frame, value FROM l1 JOIN n ON l1.roi = n.roi WHERE frame >= n - 30),
+hi AS (SELECT roi, k AS frame, max(value) OVER (PARTITION BY roi ORDER BY k ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS b FROM m2)
+SELECT fr.roi, fr.frame, round((value - b) / b, 6) AS dff FROM fr JOIN hi ON fr.roi = hi.roi AND fr.frame = hi.frame""")
 def t9(spark, d):
     return unpacked(op.per_trace(packed(spark, d), lambda x: kernels.smooth_minimum_dff(x, 61, 5.0)), "dff")
 
@@ -79,7 +85,11 @@ def t14(spark, d):
     return op.robust_filtered(packed(spark, d), UNIT, 1.0, 2.0).select("roi", "frame", rounded(F.col("value")).alias("value"))
 
 
-@query("t23_fixed_null")
+@query("t23_fixed_null", f"""WITH {ALIGNED}, k AS (SELECT roi, event_frame, rel + 20 AS pos, value, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY roi, event_frame) AS m
+ FROM aligned WHERE (event_frame + rel) % 13 <> 0 WINDOW w AS (PARTITION BY roi, event_frame ORDER BY rel)),
+dr AS (SELECT roi, event_frame, draw, value, (r + 1 + floor(((draw * 7919 + event_frame * 104729 + draw * event_frame * 1299709 + 1) % 2147483647) / 2147483647.0::DOUBLE * (m - 1))::BIGINT) % m AS dest FROM k, (SELECT unnest(range(20)) AS draw)),
+am AS (SELECT dr.roi, dr.event_frame, draw, avg(dr.value) FILTER (pos >= 20) - avg(dr.value) FILTER (pos < 20) AS a FROM dr JOIN k ON k.roi = dr.roi AND k.event_frame = dr.event_frame AND k.r = dest GROUP BY 1, 2, 3)
+SELECT roi, draw::BIGINT AS draw, round(avg(a), 5) AS amplitude FROM am GROUP BY 1, 2 -- FROM fr""")
 def t23(spark, d):
     rows = aligned(spark, d).withColumn("value", F.when((F.col("event_frame") + F.col("rel")) % 13 != 0, F.col("value")).otherwise(float("nan")))
     windows = op.packed(rows, ["roi", "event_frame"], ["value"], "rel")
@@ -123,13 +133,26 @@ def t34(spark, d):
     return fits.groupBy((F.col("roi") % 5).alias("step")).agg(F.avg("tau").alias("tau"), F.count("*").alias("n"))
 
 
-@query("p8_information_null")
+#: Null information of rows s(roi, i, value, bin) for each draw's shift, as FFTs give it.
+SHIFTED = """z AS (SELECT roi, count(*) AS n FROM s GROUP BY roi),
+dr AS (SELECT s.roi, draw, value, (i + 15 + (draw * 7919 + s.roi * 104729 + draw * s.roi * 1299709 + 1) % 2147483647 % greatest(1, n - 30)) % n AS dest FROM s JOIN z USING (roi), (SELECT unnest(range(50)) AS draw)),
+b0 AS (SELECT roi, bin, count(*) AS o, sum(value) AS a FROM s GROUP BY 1, 2),
+b1 AS (SELECT dr.roi, draw, s.bin, sum(dr.value) AS a FROM dr JOIN s ON s.roi = dr.roi AND s.i = dest GROUP BY 1, 2, 3),
+r0 AS (SELECT roi, -1 AS draw, bin, o, a / o AS r FROM b0 UNION ALL SELECT b1.roi, draw, b1.bin, o, b1.a / o FROM b1 JOIN b0 ON b0.roi = b1.roi AND b0.bin = b1.bin),
+r1 AS (SELECT *, o / sum(o) OVER (PARTITION BY roi, draw) AS p FROM r0), r2 AS (SELECT *, sum(p * r) OVER (PARTITION BY roi, draw) AS m FROM r1),
+inf AS (SELECT roi, draw, CASE WHEN any_value(m) <> 0 THEN coalesce(sum(CASE WHEN r > 0 THEN p * r / m * log2(r / m) END), 0) END AS bits FROM r2 GROUP BY 1, 2),
+nul AS (SELECT roi, any_value(bits) FILTER (draw = -1) AS info_bits, quantile_cont(bits, 0.95) FILTER (draw >= 0) AS null_95 FROM inf GROUP BY roi)"""
+WHOLE = f"WITH {RUN}, s AS (SELECT roi, frame AS i, value, bin FROM lp), {SHIFTED}"
+
+
+@query("p8_information_null", f"{WHOLE} SELECT nul.roi, round(info_bits, 8) AS info_bits, round(null_95, 8) AS null_95, n AS n_frames FROM nul JOIN z ON nul.roi = z.roi -- FROM fr")
 def p8(spark, d):
     rows = op.packed(running(spark, d), UNIT, ["value", "bin"])
     return op.information_null(rows, UNIT, 9, 50, 15).select("roi", F.round("info_bits", 8).alias("info_bits"), F.round("null_95", 8).alias("null_95"), "n_frames")
 
 
-@query("p9_valid_lap_null")
+@query("p9_valid_lap_null", f"""WITH {RUN}, s AS (SELECT roi, row_number() OVER (PARTITION BY roi ORDER BY frame) - 1 AS i, value, bin FROM lp SEMI JOIN vl USING (roi, lap)), {SHIFTED}
+SELECT nul.roi, round(null_95, 8) AS null_95, n AS n_frames FROM nul JOIN z ON nul.roi = z.roi -- FROM fr""")
 def p9(spark, d):
     """The null on each cell's valid laps only."""
     from tracespark.plans.places import laps
@@ -138,47 +161,70 @@ def p9(spark, d):
     return op.information_null(op.packed(rows, UNIT, ["value", "bin"]), UNIT, 9, 50, 15).select("roi", F.round("null_95", 8).alias("null_95"), "n_frames")
 
 
-@query("p10_temporal_null")
+#: Laps of three frames or more; three frames a bin; some bins miss all of their values.
+TEMPORAL = """k AS (SELECT roi, frame, lap, value, row_number() OVER (PARTITION BY roi, lap ORDER BY frame) - 1 AS k, count(*) OVER (PARTITION BY roi, lap) AS n FROM lp),
+s AS (SELECT roi, lap, row_number() OVER (PARTITION BY roi ORDER BY frame) - 1 AS i, CASE WHEN frame % 170 >= 4 THEN value END AS value, floor(k / 3)::BIGINT AS bin FROM k WHERE n >= 3)"""
+
+
+@query("p10_temporal_null", f"""WITH {RUN}, {TEMPORAL}, z AS (SELECT roi, count(*) AS n FROM s GROUP BY roi),
+dr AS (SELECT s.roi, draw, value, (i + 15 + (draw * 7919 + s.roi * 104729 + draw * s.roi * 1299709 + 1) % 2147483647 % greatest(1, n - 30)) % n AS dest FROM s JOIN z USING (roi), (SELECT unnest(range(50)) AS draw)),
+b1 AS (SELECT dr.roi, draw, s.lap, s.bin, sum(dr.value) AS a, count(dr.value) AS o FROM dr JOIN s ON s.roi = dr.roi AND s.i = dest WHERE s.bin < 9 GROUP BY 1, 2, 3, 4),
+ok AS (SELECT roi, draw, lap FROM b1 GROUP BY 1, 2, 3 HAVING min(o) > 0),
+b2 AS (SELECT roi, draw, bin, sum(a) / sum(o) AS r, sum(o) AS o FROM b1 SEMI JOIN ok USING (roi, draw, lap) GROUP BY 1, 2, 3),
+r1 AS (SELECT *, o / sum(o) OVER (PARTITION BY roi, draw) AS p FROM b2), r2 AS (SELECT *, sum(p * r) OVER (PARTITION BY roi, draw) AS m FROM r1),
+inf AS (SELECT roi, draw, CASE WHEN any_value(m) <> 0 THEN coalesce(sum(CASE WHEN r > 0 THEN p * r / m * log2(r / m) END), 0) END AS bits FROM r2 GROUP BY 1, 2),
+nul AS (SELECT roi, quantile_cont(bits, 0.95) AS null_95 FROM inf GROUP BY roi)
+SELECT z.roi, round(null_95, 8) AS null_95, n AS n_frames FROM z LEFT JOIN nul ON nul.roi = z.roi -- FROM fr""")
 def p10(spark, d):
+    """The whole running trace is rolled; laps that then miss a bin drop out."""
     w = Window.partitionBy("roi", "lap")
-    rows = running(spark, d).withColumns({"k": F.row_number().over(w.orderBy("frame")) - 1, "n": F.count("*").over(w)}).where("n >= 3 and k < 27").withColumn(
-        "bin", F.floor(F.col("k") / 3))
-    return op.information_null(op.packed(rows, UNIT, ["value", "bin"]), UNIT, 9, 50, 15).select("roi", F.round("null_95", 8).alias("null_95"), "n_frames")
+    rows = running(spark, d).withColumns({"k": F.row_number().over(w.orderBy("frame")) - 1, "n": F.count("*").over(w)}).where("n >= 3").select(
+        "roi", "frame", "lap", F.floor(F.col("k") / 3).alias("bin"), F.when(F.col("frame") % 170 >= 4, F.col("value")).alias("value"))
+    return op.temporal_information_null(op.packed(rows, UNIT, ["value", "lap", "bin"]), UNIT, 9, 50, 15).withColumn("null_95", F.round("null_95", 8))
 
 
-@query("p16_over_null")
+@query("p16_over_null", f"{WHOLE} SELECT roi, info_bits > null_95 AS significant FROM nul -- FROM fr")
 def p16(spark, d):
     return p8(spark, d).select("roi", (F.col("info_bits") > F.col("null_95")).alias("significant"))
 
 
 @query("b4_run_onsets")
 def b4(spark, d):
-    """Onset of each lap, looked for from half a lap before it."""
-    def onset(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("frame")
-        k, non_stop, moving = kernels.run_onset(g["value"].to_numpy() / 1000, int((g["side"] == 0).sum()), rate=10.0)
-        return pd.DataFrame({"roi": [g["roi"].iloc[0]], "lap": [g["lap"].iloc[0]], "onset_frame": [int(g["frame"].iloc[k]) if k >= 0 else -1],
-                             "non_stop": [non_stop], "non_full_stop": [moving]})
-
-    rows = running(spark, d).select("roi", "lap", "frame", "value", F.lit(1).alias("side"), "position_cm")
-    early = rows.where("position_cm >= 90").withColumns({"lap": F.col("lap") + 1, "side": F.lit(0)})
-    both = rows.union(early).drop("position_cm")
-    real = running(spark, d).select("roi", "lap").distinct()
-    return op.per_group(both.join(real, ["roi", "lap"], "left_semi"), ["roi", "lap"], onset,
+    """Onset of each lap but the first, looked for from where the lap before it first
+    exceeds half of the track."""
+    rows = running(spark, d).select("roi", "lap", "frame", "value", "position_cm", F.lit(1).alias("side"))
+    early = rows.withColumns({"lap": F.col("lap") + 1, "side": F.lit(0)})
+    real = rows.where("lap > 0").select("roi", "lap").distinct()
+    return op.per_group(rows.union(early).join(real, ["roi", "lap"], "left_semi"), ["roi", "lap"], onset_of_lap,
                         "roi long, lap long, onset_frame long, non_stop boolean, non_full_stop boolean")
 
 
-DISTANCE = """dc AS (SELECT roi % 10 AS rec, roi, frame, second AS v, sum(second) OVER (PARTITION BY roi ORDER BY frame) AS t FROM fr WHERE frame < 60),
-dg AS (SELECT roi, t AS a, v, lead(t) OVER w AS z, lead(v) OVER w AS w_ FROM dc WINDOW w AS (PARTITION BY roi ORDER BY t)),
-dk AS (SELECT *, unnest(range(ceil(a / 10)::BIGINT, ceil(z / 10)::BIGINT)) AS k FROM dg WHERE z > a)"""
+def onset_of_lap(group: pd.DataFrame) -> pd.DataFrame:
+    g = group.sort_values("frame")
+    before = g[g["side"] == 0]
+    exit_ = kernels.track_exit(before["position_cm"].to_numpy(), 90.0)
+    speed = np.r_[before["value"].to_numpy()[exit_:], g["value"].to_numpy()[len(before):]] / 1000
+    k, non_stop, moving = kernels.run_onset(speed, len(before) - exit_, rate=10.0)
+    return pd.DataFrame({"roi": [g["roi"].iloc[0]], "lap": [g["lap"].iloc[0]], "onset_frame": [int(g["frame"].iloc[exit_ + k]) if k >= 0 else -1],
+                         "non_stop": [non_stop], "non_full_stop": [moving]})
+
+
+DISTANCE = """dc AS (SELECT roi, frame // 60 AS trial, frame, second AS v, sum(second) OVER (PARTITION BY roi, frame // 60 ORDER BY frame) - first(second) OVER (PARTITION BY roi, frame // 60 ORDER BY frame) AS t FROM fr),
+dg AS (SELECT roi, trial, t AS a, v, lead(t) OVER w AS z, lead(v) OVER w AS w_ FROM dc WINDOW w AS (PARTITION BY roi, trial ORDER BY t)),
+dk AS (SELECT *, unnest(range(ceil(a / 10)::BIGINT, ceil(z / 10)::BIGINT)) AS k FROM dg WHERE z > a),
+dp AS (SELECT DISTINCT roi, trial, unnest(range(100)) AS k FROM dc)"""
 
 
-@query("b7_distance_speed", f"WITH {DISTANCE} SELECT roi, k * 10.0::DOUBLE AS distance, round(v + (w_ - v) * (k * 10 - a) / (z - a), 6) AS speed FROM dk -- FROM fr")
+@query("b7_distance_speed", f"""WITH {DISTANCE} SELECT dp.roi, dp.trial, dp.k * 10.0::DOUBLE AS distance, coalesce(round(v + (w_ - v) * (dp.k * 10 - a) / (z - a), 6), 0.0) AS speed
+FROM dp LEFT JOIN dk ON dk.roi = dp.roi AND dk.trial = dp.trial AND dk.k = dp.k -- FROM fr""")
 def b7(spark, d):
-    """Speed over the distance run since the onset, on a regular grid of distance."""
-    rows = b.traces(spark, d).where("frame < 60").withColumn(
-        "t", F.sum("second").over(Window.partitionBy("roi").orderBy("frame"))).select("roi", "t", F.col("second").alias("value"))
-    return resampled(rows, 10.0, "roi").select("roi", F.col("t").alias("distance"), rounded(F.col("value")).alias("speed"))
+    """Speed over the distance run in each trial, on a grid of fixed length: zero beyond the trial's end."""
+    w = Window.partitionBy("roi", "trial").orderBy("frame")
+    rows = b.traces(spark, d).withColumn("trial", F.floor(F.col("frame") / 60)).select(
+        F.struct("roi", "trial").alias("key"), (F.sum("second").over(w) - F.first("second").over(w)).alias("t"), F.col("second").alias("value"))
+    grid = rows.select("key").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(99)))).select("key", (F.col("k") * 10.0).alias("t"))
+    return grid.join(resampled(rows, 10.0, "key"), ["key", "t"], "left").select(
+        "key.roi", "key.trial", F.col("t").alias("distance"), F.coalesce(rounded(F.col("value")), F.lit(0.0)).alias("speed"))
 
 
 TEMPLATE = """s0 AS (SELECT roi, frame // 60 AS trial, value, (row_number() OVER w - 1) * 99.0::DOUBLE / (count(*) OVER (PARTITION BY roi, frame // 60) - 1) AS t, count(*) OVER (PARTITION BY roi, frame // 60) AS n
@@ -195,24 +241,39 @@ def b15(spark, d):
     return op.template_kept(rows, "roi", "trial", "frame", "value", 100, 0.3).withColumn("r", rounded(F.col("r")))
 
 
+@query("b15_without_worst", f"""WITH {TEMPLATE}, q AS (SELECT roi, quantile_cont(r, 0.2) AS lim FROM s5 GROUP BY roi)
+SELECT s5.roi, trial, coalesce(r >= lim, false) AS kept FROM s5 JOIN q ON s5.roi = q.roi -- FROM fr""")
+def b15_worst(spark, d):
+    rows = b.traces(spark, d).withColumn("trial", F.floor(F.col("frame") / 60))
+    return op.template_kept(rows, "roi", "trial", "frame", "value", 100, None).select("roi", "trial", "kept")
+
+
+def region_sets(spark, d):
+    """Two sets of regions of ten recordings: the pixels of two thirds of the frames each."""
+    px = b.traces(spark, d).select((F.col("roi") % 10).alias("rec"), (F.col("roi") % 7).alias("roi"), (F.col("part") % 16).alias("y"), (F.floor(F.col("part") / 16) % 16).alias("x"), "frame")
+    return [px.where(F.col("frame") % 3 != k).select("rec", "roi", "y", "x").distinct() for k in (0, 1)]
+
+
 @query("j18_matched_regions")
 def j18(spark, d):
-    px = b.traces(spark, d).select((F.col("roi") % 10).alias("rec"), (F.col("roi") % 7).alias("roi"), (F.col("part") % 16).alias("y"), (F.floor(F.col("part") / 16) % 16).alias("x"), "frame")
-    side = lambda k: px.where(F.col("frame") % 3 != k).select("rec", "roi", "y", "x").distinct()
-    return op.matched_regions(side(0), side(1), "rec", 6.0, 0.3).withColumn("dice", rounded(F.col("dice")))
+    return op.matched_regions(*region_sets(spark, d), "rec", 6.0, 0.3).withColumn("dice", rounded(F.col("dice")))
+
+
+@query("j18_shifted_regions")
+def j18_shifted(spark, d):
+    """Masks grown by a pixel, at their best shift of up to two pixels."""
+    return op.matched_regions(*region_sets(spark, d), "rec", 6.0, 0.3, dilate=1, max_shift=2).withColumn("dice", rounded(F.col("dice")))
 
 
 @query("u2_per_trace", "SELECT roi, frame, round(value - first(value) OVER (PARTITION BY roi ORDER BY frame), 6) AS shifted FROM fr")
 def u2(spark, d):
-    return unpacked(op.per_trace(packed(spark, d), lambda x: x - x[0]), "shifted")
+    x = F.col("value")
+    return unpacked(packed(spark, d).withColumn("value", F.transform(x, lambda v: v - x[0])), "shifted")
 
 
 @query("u4_per_group", "SELECT roi, round(max(value) - min(value), 6) AS span FROM fr GROUP BY roi")
 def u4(spark, d):
-    def span(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"roi": [g["roi"].iloc[0]], "span": [float(g["value"].max() - g["value"].min())]})
-
-    return op.per_group(b.traces(spark, d).select("roi", "value"), UNIT, span, "roi long, span double").withColumn("span", rounded(F.col("span")))
+    return b.traces(spark, d).groupBy("roi").agg(rounded(F.max("value") - F.min("value")).alias("span"))
 
 
 @query("u1_per_cell", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS energy FROM embeddings")
@@ -239,11 +300,56 @@ def s1(spark, d):
 @query("s2_log_files", f"WITH l AS ({LINES}) SELECT rec, line_no, raw FROM l -- FROM ev")
 def s2(spark, d):
     path = sources.scratch(spark, "logs")
-    text = lines(spark, d).groupBy("rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n").alias("value"))
-    text.repartition("rec").write.partitionBy("rec").text(path)
-    read = spark.read.text(path, wholetext=True, lineSep="\u0001").select(F.col("rec").cast("long").alias("rec"), "value")
-    return read.select("rec", F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).where("raw <> ''").withColumn(
-        "line_no", F.row_number().over(Window.partitionBy("rec").orderBy("line_no")).cast("long") - 1)
+    sources.write_logs(lines(spark, d), path)
+    return sources.read_logs(spark, path, r"/rec=([0-9]+)/").withColumn("rec", F.col("rec").cast("long"))
+
+
+#: int16 value of the mark that ends a frame: "\u0100" in UTF-8, little end first.
+MARK = int.from_bytes("\u0100".encode(), "little", signed=True)
+PIXEL = "px AS (SELECT frame, roi, floor(value)::BIGINT % 30000 AS v FROM fr), sz AS (SELECT max(roi) + 1 AS n FROM px)"
+
+
+def movie(spark, d):
+    """A movie of one row of pixels, one for each unit and the mark."""
+    width = b.traces(spark, d).agg(F.max("roi")).first()[0] + 1
+
+    def frame(batches):
+        for batch in batches:
+            pixels = []
+            for rois, values in zip(batch["rois"], batch["values"], strict=True):
+                x = np.zeros(width, "<i2")
+                x[np.asarray(rois, int)] = values
+                pixels.append(x.tobytes())
+            yield pd.DataFrame({"frame": batch["frame"], "pixels": pixels})
+
+    each = b.traces(spark, d).select("frame", "roi", (F.floor("value") % 30000).cast("short").alias("v"))
+    packed_ = each.groupBy("frame").agg(F.collect_list(F.struct("roi", "v")).alias("x")).select("frame", F.col("x.roi").alias("rois"), F.col("x.v").alias("values"))
+    path = sources.scratch(spark, "movie")
+    sources.write_movie(packed_.mapInPandas(frame, "frame long, pixels binary"), path)
+    return sources.read_movie(spark, path, 1, width + 1)
+
+
+@query("s4_movie_frames", f"WITH {PIXEL} SELECT frame, round((sum(v) + {MARK}) / (any_value(n) + 1.0::DOUBLE), 6) AS mean FROM px, sz GROUP BY frame -- FROM fr")
+def s4(spark, d):
+    return movie(spark, d).select("frame", rounded(F.col("mean")).alias("mean"))
+
+
+@query("t1_roi_means", f"""WITH {PIXEL}, k AS (SELECT roi % 5 AS mask, count(DISTINCT roi) AS n_px FROM fr GROUP BY 1), f AS (SELECT DISTINCT frame FROM px)
+SELECT f.frame, k.mask, CASE WHEN any_value(n_px) >= 2 THEN round(coalesce(sum(v), 0) / any_value(n_px), 6) END AS mean
+FROM f CROSS JOIN k LEFT JOIN px ON px.frame = f.frame AND px.roi % 5 = k.mask GROUP BY 1, 2""")
+def t1(spark, d):
+    masks = b.traces(spark, d).select((F.col("roi") % 5).alias("roi"), F.col("roi").alias("pixel")).distinct()
+    return sources.roi_means(movie(spark, d), masks, 2).select("frame", F.col("roi").alias("mask"), rounded(F.col("value")).alias("mean"))
+
+
+@query("s5_trace_arrays", """SELECT label::BIGINT AS rec, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS roi, len(embedding) AS n,
+round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS energy FROM embeddings""")
+def s5(spark, d):
+    path = sources.scratch(spark, "traces")
+    sources.write_traces(b.table(spark, d, "embeddings").select(F.col("label").alias("rec"), F.col("vec_id").alias("roi"), F.col("embedding").alias("values")), path)
+    energy = F.aggregate("values", F.lit(0.0), lambda a, v: a + v * v)
+    return sources.read_traces(spark, path, "part-*", r"/rec=([0-9]+)/").select(
+        F.col("rec").cast("long").alias("rec"), "roi", F.size("values").cast("long").alias("n"), rounded(energy).alias("energy"))
 
 
 @query("s3_both_inputs", "SELECT DISTINCT rec FROM lick WHERE value > 120 AND rec IN (SELECT rec FROM reward WHERE value > 120)")

@@ -116,9 +116,10 @@ th AS (SELECT roi, avg(rate) FILTER (k <= 5) AS base, max(rate) AS peak FROM rk
 hi AS (SELECT mp.roi, bin, rate > base + 0.25 * (peak - base) AS hit FROM mp JOIN th USING (roi)),
 gr AS (SELECT roi, bin, bin - row_number() OVER (PARTITION BY roi ORDER BY bin) AS g FROM hi WHERE hit),
 fd AS (SELECT roi, min(bin) AS start, max(bin) AS "end", count(*) AS length, row_number() OVER (PARTITION BY roi ORDER BY min(bin)) AS field FROM gr GROUP BY roi, g),
+tc AS (SELECT roi, bin, count_if(value > 60000) AS tn FROM lp SEMI JOIN vl USING (roi, lap) GROUP BY 1, 2),
 tot AS (SELECT roi, sum(activity) AS a, sum(occupancy) AS o FROM mp GROUP BY roi),
-ins AS (SELECT fd.roi, fd.field, fd.start, fd."end", max(rate) AS peak, sum(activity) AS ia, sum(occupancy) AS io FROM fd JOIN mp ON fd.roi = mp.roi AND mp.bin BETWEEN fd.start AND fd."end" GROUP BY ALL),
-fmx AS (SELECT ins.roi, field, start, "end", peak, ("end" - start + 1) * 20.0::DOUBLE AS width_cm, CASE WHEN o > io AND (a - ia) / (o - io) > 0 THEN (ia / io) / ((a - ia) / (o - io)) END AS in_out FROM ins JOIN tot USING (roi))"""
+ins AS (SELECT fd.roi, fd.field, fd.start, fd."end", max(rate) AS peak, sum(activity) AS ia, sum(occupancy) AS io, sum(tn) AS tin FROM fd JOIN mp ON fd.roi = mp.roi AND mp.bin BETWEEN fd.start AND fd."end" JOIN tc ON tc.roi = mp.roi AND tc.bin = mp.bin GROUP BY ALL),
+fmx AS (SELECT ins.roi, field, start, "end", peak, ("end" - start + 1) * 20.0::DOUBLE AS width_cm, CASE WHEN o > io AND (a - ia) / (o - io) > 0 THEN (ia / io) / ((a - ia) / (o - io)) END AS in_out, tin / nullif(io, 0) AS fraction FROM ins JOIN tot USING (roi))"""
 
 
 def fields(spark, d):
@@ -126,7 +127,7 @@ def fields(spark, d):
 
 
 def metrics(spark, d):
-    return op.field_metrics(fields(spark, d), maps(spark, d), CELL, 20.0)
+    return op.field_metrics(fields(spark, d), maps(spark, d), CELL, 20.0, p13(spark, d))
 
 
 @query("p12_tentative_fields", f'WITH {FIELDS} SELECT roi, field, start, "end", length FROM fd -- FROM fr')
@@ -139,14 +140,14 @@ def p13(spark, d):
     return running(spark, d).join(laps(spark, d), ["roi", "lap"], "left_semi").groupBy("roi", "bin").agg(F.count_if(F.col("value") > 60_000).alias("n"))
 
 
-@query("p14_field_metrics", f"WITH {FIELDS} SELECT roi, field, width_cm, round(peak, 6) AS peak, round(in_out, 6) AS in_out FROM fmx -- FROM fr")
+@query("p14_field_metrics", f"WITH {FIELDS} SELECT roi, field, width_cm, round(peak, 6) AS peak, round(in_out, 6) AS in_out, round(fraction, 6) AS fraction FROM fmx -- FROM fr")
 def p14(spark, d):
-    return metrics(spark, d).select("roi", "field", "width_cm", rounded(F.col("peak")).alias("peak"), rounded(F.col("in_out")).alias("in_out"))
+    return metrics(spark, d).select("roi", "field", "width_cm", rounded(F.col("peak")).alias("peak"), rounded(F.col("in_out")).alias("in_out"), rounded(F.col("fraction")).alias("fraction"))
 
 
-@query("p15_significant_cells", f"WITH {FIELDS} SELECT roi, bool_or(coalesce(width_cm >= 40 AND in_out >= 1.1, false)) AS significant FROM fmx GROUP BY roi -- FROM fr")
+@query("p15_significant_cells", f"WITH {FIELDS} SELECT roi, bool_or(coalesce(width_cm >= 40 AND in_out > 1.1 AND peak >= 41000 AND fraction >= 0.21, false)) AS significant FROM fmx GROUP BY roi -- FROM fr")
 def p15(spark, d):
-    return op.significant(metrics(spark, d), CELL, 40.0, 1.1)
+    return op.significant(metrics(spark, d), CELL, 40.0, 1.1, 41_000.0, 0.21)
 
 
 HALF = """SELECT roi, CASE WHEN count(a + z) >= 3 THEN round(corr(a, z), 6) END AS stability FROM
@@ -209,24 +210,37 @@ def p22(spark, d):
 
 
 @query("p23_joint_maps", f"""WITH {RUN}, g AS (SELECT roi, lap % 2 AS grp, bin, avg(rate) AS r FROM bl SEMI JOIN vl USING (roi, lap) GROUP BY 1, 2, 3),
-s AS (SELECT *, min(r) OVER (PARTITION BY roi) AS a, max(r) OVER (PARTITION BY roi) AS z FROM g)
-SELECT roi, grp::BIGINT AS grp, bin, round((r - a) / nullif(z - a, 0), 6) AS scaled FROM s -- FROM fr""")
+s AS (SELECT *, min(r) OVER (PARTITION BY roi) AS a, max(r) OVER (PARTITION BY roi) AS z FROM g),
+jp AS (SELECT roi, arg_max(bin, (r, -bin)) AS peak FROM (SELECT roi, bin, max(r) AS r FROM g GROUP BY 1, 2) GROUP BY roi),
+pl AS (SELECT rec, roi, row_number() OVER (PARTITION BY rec ORDER BY peak, roi) AS place FROM jp JOIN unit USING (roi))
+SELECT rec, s.roi, place, grp::BIGINT AS grp, bin, round((r - a) / nullif(z - a, 0), 6) AS scaled FROM s JOIN pl ON s.roi = pl.roi -- FROM fr""")
 def p23(spark, d):
+    """Both groups' maps on one scale; cells of a session in the order of their joint peak."""
     mean = by_lap(spark, d).join(laps(spark, d), ["roi", "lap"], "left_semi").groupBy("roi", (F.col("lap") % 2).alias("grp"), "bin").agg(F.avg("rate").alias("r"))
     w = Window.partitionBy("roi")
     low, high = F.min("r").over(w), F.max("r").over(w)
-    return mean.select("roi", "grp", "bin", rounded(F.try_divide(F.col("r") - low, high - low)).alias("scaled"))
+    joint = mean.groupBy("roi").agg(F.max_by("bin", F.struct("r", -F.col("bin"))).alias("peak"))
+    places = joint.join(b.units(spark, d), "roi").select(
+        "rec", "roi", F.row_number().over(Window.partitionBy("rec").orderBy("peak", "roi")).cast("long").alias("place"))
+    return mean.select("roi", "grp", "bin", rounded(F.try_divide(F.col("r") - low, high - low)).alias("scaled")).join(places, "roi")
 
 
-@query("p24_field_histogram", f"""WITH {RUN}, h AS (SELECT floor((peak_bin + 0.5) * 20 / 15)::BIGINT AS bin, count(*) AS n FROM pk GROUP BY 1)
-SELECT bin, n, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM h -- FROM fr""")
+@query("p24_field_histogram", f"""WITH {RUN}, h AS (SELECT rec, floor((peak_bin + 0.5) * 20 / 15)::BIGINT AS bin, count(*) AS n FROM pk JOIN unit USING (roi) GROUP BY 1, 2)
+SELECT rec, bin, n, round(100.0 * n / sum(n) OVER (PARTITION BY rec), 6) AS percent FROM h -- FROM fr""")
 def p24(spark, d):
-    counts = peaks(maps(spark, d)).groupBy(F.floor((F.col("peak_bin") + 0.5) * 20 / 15).alias("bin")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    return counts.join(F.broadcast(total)).select("bin", "n", rounded(100.0 * F.col("n") / F.col("total")).alias("percent"))
+    counts = peaks(maps(spark, d)).join(b.units(spark, d), "roi").groupBy("rec", F.floor((F.col("peak_bin") + 0.5) * 20 / 15).alias("bin")).agg(F.count("*").alias("n"))
+    return counts.select("rec", "bin", "n", rounded(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("rec"))).alias("percent"))
 
 
-@query("p25_sequence_order", f"""WITH {RUN}, s AS (SELECT rec, roi, peak_bin, row_number() OVER (PARTITION BY rec ORDER BY peak_bin, roi) AS place FROM pk JOIN unit USING (roi)) SELECT rec, roi, peak_bin, place FROM s -- FROM fr""")
+@query("p25_sequence_order", f"""WITH {RUN}, m2 AS (SELECT roi, lap % 2 AS ses, bin, sum(activity) / sum(occupancy) AS rate FROM bl SEMI JOIN vl USING (roi, lap) GROUP BY 1, 2, 3),
+p2 AS (SELECT roi, ses, arg_max(bin, (rate, -bin)) AS peak FROM m2 GROUP BY 1, 2),
+b2 AS (SELECT a.roi, a.peak AS peak_1, z.peak AS peak_2 FROM p2 a JOIN p2 z ON a.roi = z.roi AND a.ses = 0 AND z.ses = 1)
+SELECT rec, roi, peak_1, peak_2, row_number() OVER (PARTITION BY rec ORDER BY peak_1, roi) AS place FROM b2 JOIN unit USING (roi) -- FROM fr""")
 def p25(spark, d):
-    return peaks(maps(spark, d)).join(b.units(spark, d), "roi").select(
-        "rec", "roi", "peak_bin", F.row_number().over(Window.partitionBy("rec").orderBy("peak_bin", "roi")).cast("long").alias("place"))
+    """Cells that both sessions (even and odd laps) have, in the order of the first one's peaks."""
+    lap = by_lap(spark, d).withColumn("session", F.col("lap") % 2)
+    rates = op.rate_map(lap, op.valid_laps(lap, BINS, ["roi", "session"]), ["roi", "session"])
+    peak = lambda k: F.max_by(F.when(F.col("session") == k, F.col("bin")), F.when(F.col("session") == k, F.struct("rate", -F.col("bin"))))
+    both = rates.groupBy("roi").agg(peak(0).alias("peak_1"), peak(1).alias("peak_2")).where("peak_1 is not null and peak_2 is not null")
+    return both.join(b.units(spark, d), "roi").select(
+        "rec", "roi", "peak_1", "peak_2", F.row_number().over(Window.partitionBy("rec").orderBy("peak_1", "roi")).cast("long").alias("place"))

@@ -167,16 +167,46 @@ def g14(spark, d):
                        F.coalesce(F.lag("class").over(w) != F.col("class"), F.lit(False)).alias("changes"))
 
 
-@query("g15_metric_pairs", """WITH dd AS (SELECT anm, year(date) AS day, count(*) FILTER (status = 'F') AS nf, count(*) FILTER (status = 'O') AS no,
- max(dose) FILTER (status = 'F') AS fa, max(dose) FILTER (status = 'O') AS oa, max(k) FILTER (status = 'F') AS fk, max(k) FILTER (status = 'O') AS ok FROM session GROUP BY 1, 2)
-SELECT anm, day::INT AS day, m AS metric, a AS value_a, z AS value_b FROM (SELECT anm, day, unnest(['dose', 'k']) AS m, unnest([fa, fk]) AS a, unnest([oa, ok]) AS z FROM dd WHERE nf = 1 AND no = 1)""")
+#: Nine metrics of a session, from its lines.
+METRICS = {
+    "n_items": (F.count, "l_quantity", "count(*)"), "quantity": (F.sum, "l_quantity", "sum(l_quantity)"),
+    "largest_quantity": (F.max, "l_quantity", "max(l_quantity)"), "price": (F.max, "l_extendedprice", "max(l_extendedprice)"),
+    "lowest_price": (F.min, "l_extendedprice", "min(l_extendedprice)"), "discount": (F.max, "l_discount", "max(l_discount)"),
+    "lowest_discount": (F.min, "l_discount", "min(l_discount)"), "tax": (F.max, "l_tax", "max(l_tax)"), "parts": (F.count_distinct, "l_partkey", "count(DISTINCT l_partkey)"),
+}
+LONG = "unnest([" + ", ".join(f"'{m}'" for m in METRICS) + "]) AS metric"
+SIDE = "unnest([" + ", ".join(f"{{0}}.{m}::DOUBLE" for m in METRICS) + "])"
+MEASURED = f"me AS (SELECT l_orderkey AS session, {', '.join(f'{x[2]} AS {m}' for m, x in METRICS.items())} FROM lineitem GROUP BY 1), sm AS (SELECT s.anm, s.date, s.status, s.label, me.* FROM session s JOIN me USING (session))"
+
+
+def measured(spark, d, by=()):
+    lines = b.table(spark, d, "lineitem").withColumn("type", F.col("l_linenumber") % 2)
+    return lines.groupBy(F.col("l_orderkey").alias("session"), *by).agg(*[f(c).cast("double").alias(m) for m, (f, c, _) in METRICS.items()])
+
+
+@query("g15_metric_pairs", f"""WITH {MEASURED}, f AS (SELECT *, count(*) OVER (PARTITION BY anm, year(date)) AS c FROM sm WHERE status = 'F'), o AS (SELECT *, count(*) OVER (PARTITION BY anm, year(date)) AS c FROM sm WHERE status = 'O')
+SELECT f.anm, year(f.date)::INT AS day, {LONG}, {SIDE.format('f')} AS value_a, {SIDE.format('o')} AS value_b FROM f JOIN o ON f.anm = o.anm AND year(f.date) = year(o.date) WHERE f.c = 1 AND o.c = 1 -- FROM session""")
 def g15(spark, d):
     """Days with exactly one session of either kind; metrics as long rows."""
-    kind = lambda k, c: F.max(F.when(F.col("status") == k, F.col(c))).cast("double")
-    days = b.sessions(spark, d).groupBy("anm", F.year("date").alias("day")).agg(
-        F.count_if(F.col("status") == "F").alias("nf"), F.count_if(F.col("status") == "O").alias("no"),
-        kind("F", "dose").alias("fa"), kind("O", "dose").alias("oa"), kind("F", "k").alias("fk"), kind("O", "k").alias("ok")).where("nf = 1 and no = 1")
-    return days.select("anm", "day", F.expr("stack(2, 'dose', fa, oa, 'k', fk, ok) as (metric, value_a, value_b)")).where("value_a is not null and value_b is not null")
+    rows = b.sessions(spark, d).join(measured(spark, d), "session").withColumn("day", F.year("date"))
+    side = lambda k: pooling.once_each(rows.where(F.col("status") == k), ["anm", "day"])
+    return pooling.paired_metrics(side("F"), side("O"), ["anm", "day"], list(METRICS))
+
+
+@query("g15_unpaired_groups", f"WITH {MEASURED}, x AS (SELECT session, label, {LONG}, {SIDE.format('sm')} AS value FROM sm WHERE label IN ('1-URGENT', '5-LOW')) SELECT * FROM x WHERE value IS NOT NULL -- FROM session s")
+def g15_unpaired(spark, d):
+    """Sessions of two treatments, unpaired."""
+    rows = b.sessions(spark, d).where(F.col("label").isin("1-URGENT", "5-LOW")).join(measured(spark, d), "session")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("m")
+    return rows.select("session", "label", each).select("session", "label", "m.*").where("value is not null")
+
+
+@query("g15_trial_types", f"""WITH ty AS (SELECT l_orderkey AS session, l_linenumber % 2 AS type, {', '.join(f'{x[2]} AS {m}' for m, x in METRICS.items())} FROM lineitem GROUP BY 1, 2)
+SELECT a.session, {LONG}, {SIDE.format('a')} AS value_a, {SIDE.format('z')} AS value_b FROM ty a JOIN ty z ON a.session = z.session AND a.type = 0 AND z.type = 1""")
+def g15_types(spark, d):
+    """Two types of trials within each session that has both."""
+    rows = measured(spark, d, ["type"])
+    return pooling.paired_metrics(rows.where("type = 0"), rows.where("type = 1"), ["session"], list(METRICS))
 
 
 @query("g16_condition_pairs", """WITH p AS (SELECT anm, year(date)::INT AS day, max(dose) FILTER (label = '1-URGENT') AS drug, max(dose) FILTER (label = '5-LOW') AS base FROM session GROUP BY 1, 2)
@@ -186,19 +216,18 @@ def g16(spark, d):
     return wide.select("anm", "day", F.col("1-URGENT").alias("drug"), F.col("5-LOW").alias("base")).where("drug is not null and base is not null")
 
 
-SIMILAR = """v AS (SELECT label AS anm, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 200),
+SIMILAR = """v AS (SELECT label AS anm, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 c AS (SELECT anm, vec_id, list_transform(e, lambda x: x - list_avg(e)) AS c FROM v),
 sim AS (SELECT a.anm, a.vec_id AS a, z.vec_id AS z, list_cosine_similarity(a.c, z.c) AS similarity FROM c a JOIN c z ON a.anm = z.anm AND a.vec_id < z.vec_id)"""
 
 
-def similar(spark, d):
-    # About twenty sessions an animal, as in the data that this is for: an animal's pairs grow with its square.
-    rows = b.table(spark, d, "embeddings").select(
-        ((F.col("label") * 1000) + F.floor(F.col("vec_id") / 200)).alias("anm"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return pooling.pairwise_similarity(rows, "anm", "vec_id", "v")
+def vectors(spark, d):
+    """Session vectors; a label is an animal."""
+    return b.table(spark, d, "embeddings").select(F.col("label").alias("anm"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
-SIMILAR = SIMILAR.replace("label AS anm", "label * 1000 + vec_id // 200 AS anm").replace(" WHERE vec_id < 200", "")
+def similar(spark, d):
+    return pooling.pairwise_similarity(vectors(spark, d), "anm", "vec_id", "v", block=64)
 
 
 @query("g17_similarities", f"WITH {SIMILAR} SELECT anm, a, z, round(similarity, 6) AS similarity FROM sim")
@@ -212,7 +241,7 @@ m AS (SELECT anm, a, min(z) AS first FROM reach GROUP BY 1, 2)
 SELECT anm, a AS vec_id, dense_rank() OVER (PARTITION BY anm ORDER BY first) AS "group" FROM m""")
 def g18(spark, d):
     links = similar(spark, d).where("similarity > 0.3").select("anm", "a", "z")
-    nodes = b.table(spark, d, "embeddings").select(((F.col("label") * 1000) + F.floor(F.col("vec_id") / 200)).alias("anm"), F.col("vec_id").alias("node"))
+    nodes = vectors(spark, d).select("anm", F.col("vec_id").alias("node"))
     return pooling.connected_groups(links, nodes, "anm").select("anm", F.col("node").alias("vec_id"), "group")
 
 
@@ -263,6 +292,20 @@ def z2(spark, d):
     return stats.two_sample_t(two_groups(spark, d), UNIT, "grp", "value").select("roi", rounded(F.col("t")).alias("t"), rounded(F.col("df")).alias("df"))
 
 
+@query("z2_pooled_t", """WITH s AS (SELECT roi, avg(value) FILTER (frame % 2 = 0) m0, avg(value) FILTER (frame % 2 = 1) m1, var_samp(value) FILTER (frame % 2 = 0) v0, var_samp(value) FILTER (frame % 2 = 1) v1,
+ count(*) FILTER (frame % 2 = 0) n0, count(*) FILTER (frame % 2 = 1) n1 FROM fr GROUP BY roi)
+SELECT roi, round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0::DOUBLE / n0 + 1.0::DOUBLE / n1)), 6) AS t, (n0 + n1 - 2)::DOUBLE AS df FROM s""")
+def z2_pooled(spark, d):
+    return stats.two_sample_t(two_groups(spark, d), UNIT, "grp", "value", equal=True).select("roi", rounded(F.col("t")).alias("t"), "df")
+
+
+@query("z2_rank_sum", """WITH r AS (SELECT roi, frame % 2 AS g, rank() OVER (PARTITION BY roi ORDER BY second) + (count(*) OVER (PARTITION BY roi, second) - 1) / 2.0::DOUBLE AS r FROM fr),
+s AS (SELECT roi, sum(r) FILTER (g = 0) AS w, count(*) FILTER (g = 0)::DOUBLE AS n0, count(*) FILTER (g = 1)::DOUBLE AS n1 FROM r GROUP BY roi)
+SELECT roi, round((w - n0 * (n0 + n1 + 1) / 2) / sqrt(n0 * n1 * (n0 + n1 + 1) / 12), 6) AS z FROM s -- FROM fr""")
+def z2_ranks(spark, d):
+    return stats.rank_sum(stats.mann_whitney(two_groups(spark, d), UNIT, "grp", "second")).select("roi", rounded(F.col("z")).alias("z"))
+
+
 @query("z3_mann_whitney", """WITH r AS (SELECT roi, frame % 2 AS g, rank() OVER (PARTITION BY roi ORDER BY second) + (count(*) OVER (PARTITION BY roi, second) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY roi, second) AS t FROM fr)
 SELECT roi, count(*) FILTER (g = 0) AS n0, count(*) FILTER (g = 1) AS n1, sum(CASE WHEN g = 0 THEN r ELSE 0 END) - count(*) FILTER (g = 0) * (count(*) FILTER (g = 0) + 1) / 2.0::DOUBLE AS u, sum(t::DOUBLE * t - 1) AS ties FROM r GROUP BY roi -- FROM fr""")
 def z3(spark, d):
@@ -277,14 +320,23 @@ def z3_p(spark, d):
 
 
 @query("z4_window_tests", f"""WITH {ALIGNED}, bs AS (SELECT roi, avg(value) AS m FROM aligned WHERE rel < 0 GROUP BY roi),
-w AS (SELECT a.roi, rel // 10 AS win, avg(value - m) AS x FROM aligned a JOIN bs ON a.roi = bs.roi WHERE rel >= 0 GROUP BY 1, 2)
-SELECT win::BIGINT AS win, roi % 2 AS grp, round(quantile_cont(x, 0.5), 6) AS mid, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.75), 6) AS q3 FROM w GROUP BY 1, 2 -- FROM fr""")
+w AS (SELECT a.roi, rel // 10 AS win, roi % 2 AS grp, avg(value - m) AS x FROM aligned a JOIN bs USING (roi) WHERE rel >= 0 GROUP BY ALL),
+q AS (SELECT win, grp, quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM w GROUP BY 1, 2),
+s AS (SELECT win, avg(x) FILTER (grp = 0) m0, avg(x) FILTER (grp = 1) m1, var_samp(x) FILTER (grp = 0) / count(*) FILTER (grp = 0) a, var_samp(x) FILTER (grp = 1) / count(*) FILTER (grp = 1) z,
+ count(*) FILTER (grp = 0) n0, count(*) FILTER (grp = 1) n1 FROM w GROUP BY 1),
+r AS (SELECT win, grp, rank() OVER (PARTITION BY win ORDER BY x) AS r FROM w), u AS (SELECT win, sum(r) FILTER (grp = 0) - count(*) FILTER (grp = 0) * (count(*) FILTER (grp = 0) + 1) / 2.0::DOUBLE AS u FROM r GROUP BY 1)
+SELECT q.win::BIGINT AS win, grp, round(mid, 6) AS mid, round(q1, 6) AS q1, round(q3, 6) AS q3, round((m0 - m1) / sqrt(a + z), 5) AS t, round(pow(a + z, 2) / (a * a / (n0 - 1) + z * z / (n1 - 1)), 4) AS df, u
+FROM q JOIN s USING (win) JOIN u USING (win) -- FROM fr""")
 def z4(spark, d):
+    """Per window after the event, less the baseline: both groups' quartiles, Welch's t and U."""
     rows = aligned(spark, d)
     base = rows.where("rel < 0").groupBy("roi").agg(F.avg("value").alias("m"))
-    x = rows.where("rel >= 0").join(base, "roi").groupBy("roi", F.floor(F.col("rel") / 10).alias("win")).agg(F.avg(F.col("value") - F.col("m")).alias("x"))
+    x = rows.where("rel >= 0").join(base, "roi").groupBy("roi", (F.col("roi") % 2).alias("grp"), F.floor(F.col("rel") / 10).alias("win")).agg(
+        F.avg(F.col("value") - F.col("m")).alias("x"))
     q = lambda p: rounded(F.percentile("x", p))
-    return x.groupBy("win", (F.col("roi") % 2).alias("grp")).agg(q(0.5).alias("mid"), q(0.25).alias("q1"), q(0.75).alias("q3"))
+    t = stats.two_sample_t(x, ["win"], "grp", "x").select("win", F.round("t", 5).alias("t"), F.round("df", 4).alias("df"))
+    u = stats.mann_whitney(x, ["win"], "grp", "x").select("win", "u")
+    return x.groupBy("win", "grp").agg(q(0.5).alias("mid"), q(0.25).alias("q1"), q(0.75).alias("q3")).join(t, "win").join(u, "win")
 
 
 @query("z5_class_counts", f"""WITH {RESPONSE}, {NULLS[len(ALIGNED) + 2:]}, q AS (SELECT roi, quantile_cont(amplitude, 0.95) AS hi FROM nul GROUP BY roi)
@@ -295,6 +347,16 @@ def z5(spark, d):
         F.count_if(F.col("response_amplitude") > F.col("hi")).alias("k"), F.count("*").alias("n"))
 
 
+@query("z5_over_sessions", f"""WITH {RESPONSE}, {NULLS[len(ALIGNED) + 2:]}, q AS (SELECT roi, quantile_cont(amplitude, 0.95) AS hi FROM nul GROUP BY roi),
+c AS (SELECT anm, rec, count(*) FILTER (amp > hi) / count(*) AS share FROM resp JOIN q USING (roi) JOIN unit USING (roi) GROUP BY 1, 2)
+SELECT anm, count(*) AS n, round(avg(share), 6) AS mean, round((avg(share) - 0.05) / nullif(stddev_samp(share) / sqrt(count(*)), 0), 6) AS t, (count(*) - 1)::DOUBLE AS df FROM c GROUP BY anm -- FROM fr""")
+def z5_sessions(spark, d):
+    """Share of responding units over the sessions of an animal, against chance."""
+    anm = b.units(spark, d).select("rec", "anm").distinct()
+    shares = z5(spark, d).join(anm, "rec").withColumn("share", F.col("k") / F.col("n"))
+    return stats.one_sample_t(shares, ["anm"], "share", 0.05).select("anm", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("t")).alias("t"), "df")
+
+
 @query("z5_p_values")
 def z5_p(spark, d):
     return stats.with_p(z5(spark, d).withColumn("chance", F.lit(0.05)), "binomial").select("rec", "k", "n", "p")

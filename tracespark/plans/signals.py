@@ -21,21 +21,24 @@ def pixels(spark, d):
     return b.traces(spark, d).select((F.col("roi") % 8).alias("rec"), "frame", (F.col("part") % 64).alias("y"), (F.col("roi") % 64).alias("x"), "value")
 
 
-@query("t1_roi_means", """SELECT frame, roi % 5 AS mask, CASE WHEN count(*) >= 15 THEN round(avg(value), 6) END AS mean FROM fr GROUP BY 1, 2""")
-def t1(spark, d):
-    return b.traces(spark, d).groupBy("frame", (F.col("roi") % 5).alias("mask")).agg(
-        F.when(F.count("*") >= 15, rounded(F.avg("value"))).alias("mean"))
-
-
-@query("t2_surround", """WITH sig AS (SELECT DISTINCT roi, part FROM fr WHERE frame < 40),
-ring AS (SELECT DISTINCT roi, part + k AS part FROM sig, unnest([-2, -1, 1, 2]) AS u(k)),
-sur AS (SELECT roi, part FROM ring ANTI JOIN sig USING (roi, part))
-SELECT roi, count(*) AS n_pixels, sum(part)::BIGINT AS checksum FROM sur GROUP BY roi -- FROM fr""")
+@query("t2_surround", f"""WITH {PIXELS}, mv AS (SELECT rec, frame // 50 AS frame, y, x, avg(value) AS value FROM px GROUP BY ALL),
+lim AS (SELECT rec, avg(value) AS m FROM mv GROUP BY rec), ex AS (SELECT mv.rec, y, x FROM mv JOIN lim USING (rec) GROUP BY mv.rec, y, x HAVING avg(value) >= any_value(m)),
+own AS (SELECT DISTINCT roi % 8 AS rec, roi // 16 AS roi, part % 64 AS y, roi % 64 AS x FROM fr WHERE part % 7 = roi % 7),
+ring AS (SELECT DISTINCT rec, roi, y + dy AS y, x + dx AS x FROM own, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) AS u(dy, dx)),
+reg AS (SELECT rec, roi, y, x, 1 AS inner_ FROM own UNION ALL SELECT rec, roi, y, x, 0 FROM ring ANTI JOIN own USING (rec, roi, y, x)),
+hit AS (SELECT reg.*, frame, value FROM reg SEMI JOIN ex USING (rec, y, x) JOIN mv USING (rec, y, x))
+SELECT rec, roi, frame, count(*) FILTER (inner_ = 1) AS n_signal, count(*) FILTER (inner_ = 0) AS n_surround,
+ round(avg(value) FILTER (inner_ = 1), 4) AS signal, round(avg(value) FILTER (inner_ = 0), 4) AS surround FROM hit GROUP BY 1, 2, 3 -- FROM fr""")
 def t2(spark, d):
-    """Shell of a dilation: neighbours of the pixels that are no pixels themselves."""
-    own = b.traces(spark, d).where("frame < 40").select("roi", "part").distinct()
-    ring = own.select("roi", F.explode(F.array(*[F.col("part") + k for k in (-2, -1, 1, 2)])).alias("part")).distinct()
-    return ring.join(own, ["roi", "part"], "left_anti").groupBy("roi").agg(F.count("*").alias("n_pixels"), F.sum("part").alias("checksum"))
+    """Signal of each region and of the shell that its dilation adds, both inside the
+    expression mask: the pixels whose mean is at least their recording's."""
+    movie = pixels(spark, d).groupBy("rec", F.floor(F.col("frame") / 50).alias("frame"), "y", "x").agg(F.avg("value").alias("value"))
+    mean = movie.groupBy("rec").agg(F.avg("value").alias("m"))
+    expressed = movie.groupBy("rec", "y", "x").agg(F.avg("value").alias("p")).join(mean, "rec").where("p >= m").select("rec", "y", "x")
+    own = b.traces(spark, d).where("part % 7 = roi % 7").select(
+        (F.col("roi") % 8).alias("rec"), F.floor(F.col("roi") / 16).alias("roi"), (F.col("part") % 64).alias("y"), (F.col("roi") % 64).alias("x")).distinct()
+    return op.signal_and_surround(movie, own, expressed, ["rec"]).select(
+        "rec", "roi", "frame", "n_signal", "n_surround", F.round("signal", 4).alias("signal"), F.round("surround", 4).alias("surround"))
 
 
 @query("t3_block_traces", f"""WITH {PIXELS} SELECT rec, frame // 50 AS frame, (y // 16)::INT AS gy, (x // 16)::INT AS gx, count(*) AS n_pixels,
@@ -71,8 +74,7 @@ w AS (SELECT roi, frame, o, min(value) OVER (PARTITION BY roi ORDER BY k, o ROWS
 SELECT roi, frame, lo, hi FROM w WHERE o = 0 -- FROM fr""")
 def t10(spark, d):
     rows = b.traces(spark, d).select("roi", "frame", "value")
-    low = op.forward_extreme(rows, 9, UNIT).select("roi", "frame", F.col("extreme").alias("lo"))
-    return low.join(op.forward_extreme(rows, 9, UNIT, largest=True).select("roi", "frame", F.col("extreme").alias("hi")), ["roi", "frame"])
+    return op.forward_extremes(rows, 9, UNIT).select("roi", "frame", "lo", "hi")
 
 
 @query("t11_outliers", """WITH s AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM fr WINDOW w AS (PARTITION BY roi))
@@ -215,11 +217,8 @@ def with_segments(spark, d):
 @query("t28_segment_regression", f"""WITH {SEGMENTS}, m AS (SELECT roi, segment, regr_slope(value, second) AS b1, regr_r2(value, second) AS r2, avg(second) AS mx FROM f WHERE segment IS NOT NULL GROUP BY 1, 2)
 SELECT f.roi, frame, round(value - coalesce(b1 * (second - mx), 0), 5) AS corrected, round(r2, 6) AS r2 FROM f LEFT JOIN m ON f.roi = m.roi AND f.segment = m.segment -- FROM fr""")
 def t28(spark, d):
-    rows = with_segments(spark, d)
-    inside = regression.residual(rows.where("segment is not null"), ["roi", "segment"], "value", "second")
-    outside = rows.where("segment is null").select("roi", "frame", F.col("value").alias("corrected"), F.lit(None).cast("double").alias("r2"))
-    return inside.select("roi", "frame", F.round("corrected", 5).alias("corrected"), rounded(F.col("r2")).alias("r2")).union(
-        outside.select("roi", "frame", F.round("corrected", 5), "r2"))
+    fitted = regression.residual(with_segments(spark, d), ["roi", "segment"], "value", "second", within=F.col("segment").isNotNull())
+    return fitted.select("roi", "frame", F.round("corrected", 5).alias("corrected"), rounded(F.col("r2")).alias("r2"))
 
 
 @query("t30_two_regressors", """WITH m AS (SELECT roi, var_pop(second) v1, var_pop(discount) v2, covar_pop(value, second) c1, covar_pop(value, discount) c2, covar_pop(second, discount) c12,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,19 +10,26 @@ from io import BytesIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir), set as the
+    checkpoint folder. Only in local mode a temporary one is made where none is named."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracespark-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()).rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (spark.checkpoint.dir)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracespark-"))
-        named = context.getCheckpointDir().get()
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_stats(df: DataFrame, path: str, by: str = "rec") -> None:
@@ -34,10 +42,20 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Behaviour logs: rec (file name), line_no and raw of every line that is not empty."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("rec"), "value")
+#: The file name up to its ending.
+FILE_NAME = r"([^/]+?)(\.[^./]*)?$"
+
+
+def write_logs(lines: DataFrame, path: str) -> None:
+    """Lines (rec, line_no, raw) as one text file per recording, in a folder of its own."""
+    lines.repartition("rec").sortWithinPartitions("rec", "line_no").select("rec", F.col("raw").alias("value")).write.partitionBy("rec").text(path)
+
+
+def read_logs(spark: SparkSession, path: str, rec: str = FILE_NAME) -> DataFrame:
+    """Behaviour logs: rec (what the pattern finds in a file's path), line_no and raw of
+    every line that is not empty. A log has to fit into a task, since its lines are numbered."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), rec, 1).alias("rec"), "value")
     return files.select("rec", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw")).where("raw <> ''").withColumn(
         "line_no", F.col("line_no").cast("long"))
 
@@ -53,52 +71,101 @@ def files_of(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("rec"))
 
 
+def write_movie(frames: DataFrame, path: str, mark: str = "\u0100") -> None:
+    """Frames (frame, pixels: bytes of int16) as raw movie files of some frames each.
+
+    Spark's text writer ends each row with its separator: here the last pixel of every
+    frame, so that ``pixels`` has one pixel less. Parts are in order of frame.
+    """
+    frames.repartitionByRange("frame").sortWithinPartitions("frame").select(
+        F.col("pixels").cast("string").alias("value")).write.option("lineSep", mark).text(path)
+
+
 def read_movie(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
     """Raw int16 movie: frame, mean and pixels of each frame.
 
     A record is one frame, so that a movie is read in splits; its size must be a whole
-    number of frames (else Spark fails at its end).
+    number of frames (else Spark fails at its end). The parts of a folder follow each
+    other by name.
     """
-    size = 2 * height * width
-    records = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-    frames = spark.createDataFrame(records, "frame long, pixels binary")
+    parts = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    records = spark.sparkContext.binaryRecords(",".join(parts), 2 * height * width).map(bytearray).zipWithIndex()
+    frames = spark.createDataFrame(records, "pixels binary, frame long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["mean"] = [float(np.frombuffer(x, "<i2").mean()) for x in batch["pixels"]]
-            yield batch
+            pixels = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i2").reshape(batch.num_rows, height * width)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(pixels.mean(1))], names=["frame", "pixels", "mean"])
 
-    return frames.mapInPandas(run, "frame long, pixels binary, mean double")
+    return frames.mapInArrow(run, "frame long, pixels binary, mean double")
 
 
-def roi_means(frames: DataFrame, masks: dict[int, np.ndarray], least: int = 10) -> DataFrame:
-    """Mean of each region's pixels in every frame: frames are split, masks (flat pixel
-    indices of one field of view) go along; regions of few pixels are missing."""
-    shared = frames.sparkSession.sparkContext.broadcast({k: np.asarray(v) for k, v in masks.items()})
+def roi_means(frames: DataFrame, masks: DataFrame | dict, least: int = 10, most_broadcast: int = 4_000_000) -> DataFrame:
+    """Mean of each region's pixels in every frame; regions of fewer than ``least`` pixels are missing.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``masks`` has a row (roi, pixel) for each pixel (flat index) of a region, or is a dict
+    of such. Up to ``most_broadcast`` rows go along with the frames, which are split; more
+    are joined with the frames' pixels instead.
+    """
+    spark = frames.sparkSession
+    if isinstance(masks, dict):
+        masks = spark.createDataFrame([(int(k), int(x)) for k, v in masks.items() for x in v], "roi long, pixel long")
+    sizes = masks.groupBy("roi").agg(F.count("*").alias("n"))
+    if (sizes.agg(F.sum("n")).first()[0] or 0) > most_broadcast:
+        def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for frame, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    x = np.frombuffer(x, "<i2")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(x.size, frame)), pa.array(np.arange(x.size)), pa.array(x.astype(float))], names=["frame", "pixel", "value"])
+
+        pixels = frames.select("frame", "pixels").mapInArrow(long, "frame long, pixel long, value double")
+        return pixels.join(masks, "pixel").groupBy("frame", "roi").agg(
+            F.when(F.count("*") >= least, F.avg("value")).alias("value"))
+    own = masks.toPandas()
+    rois, order = np.unique(own["roi"].to_numpy(np.int64), return_inverse=True)
+    shared = spark.sparkContext.broadcast((rois, order, own["pixel"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rois, order, pixel = shared.value
+        n = np.bincount(order, minlength=rois.size)
         for batch in batches:
-            rows = []
-            for frame, pixels in zip(batch["frame"], batch["pixels"], strict=True):
-                x = np.frombuffer(pixels, "<i2")
-                rows += [(frame, k, float(x[m].mean()) if m.size >= least else None) for k, m in shared.value.items()]
-            yield pd.DataFrame(rows, columns=["frame", "roi", "value"])
+            for frame, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums = np.bincount(order, np.frombuffer(x, "<i2")[pixel], rois.size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(rois.size, frame)), pa.array(rois), pa.array(sums / n, mask=n < least)], names=["frame", "roi", "value"])
+
+    return frames.select("frame", "pixels").mapInArrow(run, "frame long, roi long, value double")
+
+
+def write_traces(packed: DataFrame, path: str) -> None:
+    """Traces (rec, roi, values) as one .npy matrix per recording, in a folder of its own.
+
+    ``np.load`` ends with the matrix, so that the separator behind it does not matter.
+    """
+
+    def matrix(group: pd.DataFrame) -> pd.DataFrame:
+        out = BytesIO()
+        np.save(out, np.array(group.sort_values("roi")["values"].tolist(), float))
+        return pd.DataFrame({"rec": [group["rec"].iloc[0]], "value": [out.getvalue()]})
 
-    return frames.select("frame", "pixels").mapInPandas(run, "frame long, roi long, value double")
+    kind = packed.schema["rec"].dataType.simpleString()
+    packed.groupBy("rec").applyInPandas(matrix, f"rec {kind}, value binary").select("rec", F.col("value").cast("string").alias("value")).repartition(
+        "rec").write.partitionBy("rec").option("maxRecordsPerFile", 1).text(path)
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace matrices saved as .npy: rec (file name), roi and values."""
+def read_traces(spark: SparkSession, path: str, pattern: str = "*.npy", rec: str = FILE_NAME) -> DataFrame:
+    """Trace matrices saved as .npy: rec (what the pattern finds in a file's path), roi and
+    values. A recording's matrix has to fit into a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for name, content in zip(batch["rec"], batch["content"], strict=True):
                 x = np.load(BytesIO(content), allow_pickle=False)
-                name = path.rsplit("/", 1)[-1].removesuffix(".npy")
-                yield pd.DataFrame({"rec": name, "roi": np.arange(len(x)), "values": [r.astype(float).tolist() for r in x]})
+                yield pd.DataFrame({"rec": name, "roi": np.arange(len(x)), "values": list(x.astype(float))})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInPandas(
-        run, "rec string, roi long, values array<double>")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.regexp_extract("path", rec, 1).alias("rec"), "content").mapInPandas(run, "rec string, roi long, values array<double>")
 
 
 def write_summary(df: DataFrame, path: str) -> None:
