@@ -278,7 +278,7 @@ def b29(spark, d):
   FROM ev ASOF JOIN trial ON ev.rec = trial.rec AND ev.t >= trial.t),
 n AS (SELECT rec, count(DISTINCT trial) AS n, max(sample) AS last FROM s GROUP BY rec), g AS (SELECT rec, n, unnest(range(last + 1)) AS sample FROM n),
 k AS (SELECT rec, sample, sum(value) AS s1, sum(value * value) AS s2 FROM s GROUP BY 1, 2)
-SELECT g.rec, g.sample, round(s1 / n, 5) AS mean, round(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0)) / sqrt(n), 5) AS sem FROM g JOIN k ON g.rec = k.rec AND g.sample = k.sample""")
+SELECT g.rec, g.sample, round(s1 / n, 8) AS mean, round(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0)) / sqrt(n), 6) AS sem FROM g JOIN k ON g.rec = k.rec AND g.sample = k.sample""")
 def b30(spark, d):
     """Trials are as long as their session's longest one: behind its end a trial has speed 0."""
     rows = timejoin.asof(b.events(spark, d).select("rec", "t", "value"), b.trials(spark, d).select("rec", "trial", "t"), ["rec"]).where(
@@ -287,7 +287,7 @@ def b30(spark, d):
     sums = rows.groupBy("rec", "sample").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2")).join(n, "rec")
     mean = F.col("s1") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
-    return sums.select("rec", "sample", F.round(mean, 5).alias("mean"), F.round(spread / F.sqrt("n"), 5).alias("sem"))
+    return sums.select("rec", "sample", F.round(mean, 8).alias("mean"), F.round(spread / F.sqrt("n"), 6).alias("sem"))
 
 
 @query("b31_reward_rate", """WITH x AS (SELECT trial.rec, trial.trial, (SELECT count(*) FROM block WHERE block.rec = trial.rec AND block.t <= trial.t) AS block, value FROM trial)
