@@ -81,3 +81,128 @@ def test_gnu_file_headers(spark):
     texts = [header.format("This program", mark, family, version) for family, version, _ in cases for mark in ";:"]
     got = {r.doc_id: (r.labels, r.score) for r in license_scan(rows_of(spark, enumerate(texts))).collect()}
     assert [got[k] for k in range(len(texts))] == [(labels, 1.0) for *_, labels in cases for _ in ";:"]
+
+
+def slow_vector(text):
+    """op10's sums written down one paragraph and one run of words at a time."""
+    import hashlib
+
+    mask = (1 << 64) - 1
+    wide, narrow = [0] * 8, [0] * 128
+    for paragraph in text.split("\n"):
+        digest = hashlib.sha512(paragraph.encode()).digest()
+        for k in range(8):
+            wide[k] = (wide[k] + int.from_bytes(digest[8 * k : 8 * k + 8], "little")) & mask
+        words = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in paragraph.split()]
+        for at in range(max(1, len(words) - 2) if words else 0):
+            run = words[at]
+            for k in (1, 2):
+                own = words[at + k] if at + k < len(words) else 0
+                run = ((run ^ run >> 29) * 0xBF58476D1CE4E5B9 + own) & mask
+            run = ((run ^ run >> 31) * 0x94D049BB133111EB) & mask
+            narrow[(run >> 40) % 128] += 1 - 2 * (run >> 20 & 1)
+    return wide, narrow
+
+
+def test_fingerprints_against_plain_sums(spark):
+    """Every column of op10 by brute force, on the edge cases and on long texts."""
+    import hashlib
+
+    from fixtures import documents
+
+    from tracespark.llm.multiset_hash import paired_fingerprints
+
+    docs = [(d[0], d[1]) for d in documents() if d[0] is not None and d[0] not in (3, 5)] + [
+        (90, "long line " * 30_000), (91, "a paragraph of words\n" * 5_000), (92, "a paragraph of words\n" * 4_999)]
+    order = sorted(docs, key=lambda d: -d[0])
+    vectors = {i: slow_vector(t or "") for i, t in docs}
+
+    def as_text(v):
+        return b"".join(x.to_bytes(8, "little") for x in v[0]).hex() + b"".join((x % 2**32).to_bytes(4, "little") for x in v[1]).hex()
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        dot, size = sum(x * y for x, y in zip(a[1], b[1])), (sum(x * x for x in a[1]) * sum(x * x for x in b[1])) ** 0.5
+        return min(1.0, max(0.0, dot / size)) if size else 0.0
+
+    expected = {}
+    for (i, t), (j, following) in zip(order, order[1:] + order[:1]):
+        t, following = t or "", following or ""
+        new = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        w = slow_vector(new)
+        expected[i] = (len(t), hashlib.sha256(new.encode()).hexdigest(), as_text(vectors[i]), as_text(w),
+                       round(like(vectors[i], w), 9), round(like(vectors[i], vectors[j]), 9))
+    for size in (1 << 30, 3000):
+        got = paired_fingerprints(rows_of(spark, docs), range_bytes=size).collect()
+        assert {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9))
+                for r in got} == expected and len(got) == len(docs)
+
+
+def test_long_texts(spark):
+    """Matches at the end of texts of some megabytes."""
+    from tracespark.llm.decontamination import contamination
+    from tracespark.llm.sentencepiece_codec import encoded
+    from tracespark.llm.sharding import byte_shards
+    from tracespark.llm.token_counts import corpus_counts
+    from tracespark.llm.url_filters import judged
+    from tracespark.llm import queries
+
+    text = "plain words go on " * 150_000
+    passage = "one two three four five six seven eight nine ten"
+    docs = rows_of(spark, [(1, text + "Licensed under the MIT License"), (2, text + passage), (3, None)])
+    labels = {r.doc_id: (r.base_labels, r.first_word, r.n_words) for r in license_scan(docs).collect()}
+    assert labels == {1: ("mit", 600_003, 600_005), 2: ("", None, 600_010), 3: ("", None, 0)}
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in contamination(docs, bench).collect()} == {1: 0, 2: 10, 3: 0}
+    assert all(r.round_trip for r in encoded(docs, f"{queries.TOKENIZERS}/piece_bpe_32k.model").select("round_trip").collect())
+    counts = {r.doc_id: r.n_tokens for r in corpus_counts(docs, f"{queries.TOKENIZERS}/byte_bpe_multi_50k.tiktoken").collect()}
+    assert counts[1] > 500_000 and counts[3] == 0
+    assert sorted((r.doc_id, r["size"]) for r in byte_shards(docs, 4).select("doc_id", "size").collect()) == [
+        (1, 8 + len(text) + 30), (2, 8 + len(text) + len(passage)), (3, 8)]
+    pages = [(None, "http://x.net/es/" + "a" * 100_000, "<p>" * 500_000), (2, "http://y.org/p", "z" * 10**6 + '<link rel="canonical" href="http://x.net/fr/q">'),
+             (3, "http://x.net/fr/q", None)]
+    got = {r.page_id: r.verdict for r in judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {None: "block", 2: "block", 3: "block"}
+
+
+def test_a_hot_id(spark):
+    """A third of the rows under one id, and equal rows: shards and cuts stay whole."""
+    from tracespark.llm.sharding import byte_shards
+
+    rng = random.Random(2)
+    docs = [(None if k % 3 else k, " ".join(f"x{rng.randrange(900)}" for _ in range(40))) for k in range(600)] + [(7, "same row " * 40)] * 60
+    shards = byte_shards(rows_of(spark, docs), 5).collect()
+    sizes = Counter()
+    for r in shards:
+        sizes[r.shard] += r.size
+    assert len(shards) == len(docs) and max(sizes.values()) - min(sizes.values()) < 2 * max(r.size for r in shards)
+    got = without_repeats(rows_of(spark, docs)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == Counter(
+        (d[0], *x) for d, x in zip(docs, removed([t for _, t in docs])))
+
+
+def test_recall_of_near_links(spark):
+    """Pairs of texts at 0.8 to 0.9 of their five-word shingles among texts that share a
+    passage: nearly all are linked, whatever else is in their buckets."""
+    rng = random.Random(11)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(150)]
+    docs, pairs = [], 0
+    for k in range(0, 400, 2):
+        own = [f"q{rng.randrange(10**6)}" for _ in range(52)]
+        other = list(own)
+        other[20 + k % 20] = "edited"
+        docs += [(k, " ".join(passage + own)), (k + 1, " ".join(passage + other))]
+        pairs += 1
+    links = similar_links(rows_of(spark, docs)).collect()
+    by_tie = {r.tie: r.doc_id for r in rows_of(spark, docs).selectExpr("doc_id", "xxhash64(text) AS tie").collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        root[find(by_tie[r.a])] = find(by_tie[r.b])
+    assert sum(find(k) == find(k + 1) for k in range(0, 400, 2)) >= 0.99 * pairs
