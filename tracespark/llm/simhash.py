@@ -400,7 +400,7 @@ def first_of_groups(docs: DataFrame, *, similarity: float | None = 0.8, **option
     groups = stored(near_groups(docs, **options), "simhash-groups")
     numeric = isinstance(docs.schema["doc_id"].dataType, IntegralType)
     if similarity is not None:
-        named = groups.groupBy("root").agg(F.min("tie").alias("b"))
+        named = stored(groups.groupBy("root").agg(F.min("tie").alias("b")), "simhash-names")
         known = groups.select("root", F.col("tie").alias("a")).join(named, "root").select("a", "b").where("a <> b")
         roots = components(similar_links(docs, known, similarity=similarity)).select(F.col("node").alias("tie"), F.col("root").alias("_joined"))
         groups = groups.join(roots, "tie", "left").withColumn("root", F.coalesce("_joined", "tie"))

@@ -183,9 +183,11 @@ def repeated_windows(docs: DataFrame, *, window: int = 200, block: int = 1024) -
        that are left after the last digit are equal byte by byte.
 
     No group is gathered: a first digit of over ``block`` different spans is dealt out as
-    several blocks, each sorted by itself. Of such blocks the suffixes that are alone,
-    and one of each group, are then counted over all blocks by the hash of all bytes.
-    Counts are stored before they meet the rows again, so that Spark may split hot keys.
+    several blocks, each sorted by itself. What such a block has (its lone suffixes, and one
+    of each of its groups) goes on by a last digit, the hash of all bytes: each block sends
+    one packed row to each of as many ranges of the hash, and a range reads off what several
+    blocks have. Counts are stored before they meet the rows again, so that Spark may split
+    hot keys.
 
     Returns id (``any_key``), tie (``row_tie``), starts array<long>: start << 8 | further starts.
     """
@@ -214,7 +216,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 200, block: int = 1024) -
         "gram", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mixed-grams")
     asked = classes.join(several, "gram").select(
         "one.id", "one.tie", F.struct(
-            "one.place", "gram", F.pmod("span", "blocks").cast("int").alias("block"), (F.col("blocks") > 1).alias("dealt"),
+            "one.place", "gram", F.pmod("span", "blocks").cast("int").alias("block"), "blocks",
             (F.col("n") == 1).alias("alone")).alias("ask"),
     ).groupBy("id", "tie").agg(F.collect_list("ask").alias("asks"))
 
@@ -225,24 +227,28 @@ def repeated_windows(docs: DataFrame, *, window: int = 200, block: int = 1024) -
                     yield from _span_rows(row, window)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, window):
+        for group in key_groups(batches, ["gram", "block"], 2 * SORTED // window):
             yield from _sorted_rows(group, window)
 
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_groups(batches, ["gram", "part"], 64):
+            yield from _united_rows(group)
+
+    found_ddl = "id long, tie long, start long"
     dealt = texts.join(asked, ["id", "tie"]).mapInArrow(
-        with_bytes, "id long, tie long, place long, gram long, block int, dealt boolean, alone boolean, bytes binary")
+        with_bytes, "id long, tie long, place long, gram long, block int, blocks int, alone boolean, bytes binary")
     ordered = stored(
         dealt.repartition("gram", "block").sortWithinPartitions("gram", "block")
-        .mapInArrow(sort, "id long, tie long, place long, gram long, deep long, alone boolean"), "sorted-windows")
+        .mapInArrow(sort, f"{found_ddl}, gram long, part int, packed binary"), "sorted-windows")
     dropped(several)
-    across = stored(ordered.where("deep is not null").groupBy("gram", "deep").agg(F.count("*").alias("n")).where("n > 1").select(
-        "gram", "deep"), "windows-across")
+    across = ordered.where("packed is not null").select("gram", "part", "packed").repartition("gram", "part").sortWithinPartitions(
+        "gram", "part").mapInArrow(unite, found_ddl)
     whole = again.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"]).select(
         "id", "tie", F.expr("shiftleft(shiftright(place, 16), 8) | (place & 255)").alias("start"))
     starts = stored(
-        whole.union(ordered.where("deep is null").select("id", "tie", "place"))
-        .union(ordered.where("alone").join(across, ["gram", "deep"]).select("id", "tie", "place"))
+        whole.union(ordered.where("packed is null").select("id", "tie", "start")).union(across)
         .groupBy("id", "tie").agg(F.collect_set("start").alias("starts")), "repeated-windows")
-    for table in (again, classes, ordered, across):
+    for table in (again, classes, ordered):
         dropped(table)
     return starts
 
@@ -257,35 +263,53 @@ def _span_rows(row: dict, window: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array([row["id"]] * n, pa.int64()), pa.array([row["tie"]] * n, pa.int64()),
              pa.array([a["place"] for a in asks], pa.int64()), pa.array([a["gram"] for a in asks], pa.int64()),
-             pa.array([a["block"] for a in asks], pa.int32()), pa.array([a["dealt"] for a in asks], pa.bool_()),
+             pa.array([a["block"] for a in asks], pa.int32()), pa.array([a["blocks"] for a in asks], pa.int32()),
              pa.array([a["alone"] for a in asks], pa.bool_()),
              pa.array([text[b : b + (a["place"] & 255) + window] for a, b in zip(asks, begins, strict=True)], pa.binary())],
-            names=["id", "tie", "place", "gram", "block", "dealt", "alone", "bytes"])
+            names=["id", "tie", "place", "gram", "block", "blocks", "alone", "bytes"])
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Table]:
-    """Sorted rows in tables of whole (gram, block) groups, of about ``SORTED`` suffixes."""
+def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by keys in tables of whole groups, of about so many rows at least."""
     held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
-        for part in chunks(batch, 4096):
+        for part in chunks(batch, 1024):
             held.append(part)
-            if sum(b.num_rows for b in held) * window // 2 < SORTED:
+            n += part.num_rows
+            if n < rows:
                 continue
             table = pa.Table.from_batches(held)
-            gram, block = table["gram"].to_numpy(), table["block"].to_numpy()
-            new = np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1])) + 1
+            new = np.flatnonzero(np.logical_or.reduce([(x[1:] != x[:-1]) for x in (table[k].to_numpy() for k in keys)])) + 1
             if new.size:
                 yield table.slice(0, int(new[-1]))
                 held = table.slice(int(new[-1])).combine_chunks().to_batches()
+                n = table.num_rows - int(new[-1])
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _runs(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """Neighbouring windows of a text as one row: start << 8 | further starts (up to 255)."""
+    order = np.lexsort((starts, ties, ids))
+    ids, ties, starts = ids[order], ties[order], starts[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]) | (starts[1:] != starts[:-1] + 1)][: ids.size]
+    first = np.flatnonzero(new)
+    step = np.arange(ids.size) - np.repeat(first, np.diff(np.r_[first, ids.size]))
+    first = np.flatnonzero(step % 256 == 0)
+    size = np.diff(np.r_[first, ids.size]) - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[first]), pa.array(ties[first]), pa.array(starts[first] << 8 | size)], names=["id", "tie", "start"])
+
+
+#: A suffix that goes on to the ranges of the last digit.
+OPEN = np.dtype([("deep", "<u8"), ("id", "<i8"), ("tie", "<i8"), ("start", "<i8"), ("alone", "?")])
+
+
 def _sorted_rows(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     """Runs of the repeated windows, and of dealt groups what other blocks may repeat."""
-    place, gram, block = (table[c].to_numpy() for c in ("place", "gram", "block"))
-    ids, ties = table["id"].to_numpy(), table["tie"].to_numpy()
-    alone, dealt = (table[c].to_numpy().astype(bool) for c in ("alone", "dealt"))
+    place, gram, block, blocks = (table[c].to_numpy() for c in ("place", "gram", "block", "blocks"))
+    ids, ties, alone = table["id"].to_numpy(), table["tie"].to_numpy(), table["alone"].to_numpy().astype(bool)
     data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
     begin, skip, more = place >> 16, place >> 8 & 255, place & 255
     first = np.r_[0, np.cumsum(more + window)[:-1]]
@@ -294,27 +318,41 @@ def _sorted_rows(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(np.r_[False, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
     left, number = radix_groups(data, first[row] + step, group[row] * 256 + skip[row] - step, window)
 
-    found = np.sort(left[alone[row[left]]])
-    new = np.r_[True, (found[1:] != found[:-1] + 1) | (row[found[1:]] != row[found[:-1]])] if found.size else np.empty(0, bool)
-    runs = found[new]
-    size = np.diff(np.r_[np.flatnonzero(new), found.size]) - 1
-    names = ["id", "tie", "place", "gram", "deep", "alone"]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids[row[runs]]), pa.array(ties[row[runs]]), pa.array((begin[row[runs]] + step[runs]) << 8 | size),
-         pa.nulls(runs.size, pa.int64()), pa.nulls(runs.size, pa.int64()), pa.array(np.zeros(runs.size, bool))], names=names)
-    if not dealt.any():
+    found = left[alone[row[left]]]
+    runs = _runs(ids[row[found]], ties[row[found]], begin[row[found]] + step[found])
+    none = [pa.nulls(runs.num_rows, t) for t in (pa.int64(), pa.int32(), pa.binary())]
+    names = ["id", "tie", "start", "gram", "part", "packed"]
+    yield pa.RecordBatch.from_arrays([*runs.columns, *none], names=names)
+    if (blocks == 1).all():
         return
-    open_ = dealt[row]
-    open_[left] = False
+    lone = (blocks > 1)[row]
+    lone[left] = False
     one = left[np.r_[True, number[1:] != number[:-1]]] if left.size else left
-    deep = window_hashes(gram_hashes(data)[1], window)
-    single = np.flatnonzero(open_)
-    for some, own in ((single, alone[row[single]]), (one[dealt[row[one]]], None)):
-        r = row[some]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[r]), pa.array(ties[r]), pa.array((begin[r] + step[some]) << 8), pa.array(gram[r]),
-             pa.array(deep[first[r] + step[some]].view(np.int64)), pa.array(np.zeros(r.size, bool) if own is None else own)],
-            names=names)
+    one = one[blocks[row[one]] > 1]
+    some = np.r_[np.flatnonzero(lone), one]
+    out = np.empty(some.size, OPEN)
+    r = row[some]
+    out["deep"] = window_hashes(gram_hashes(data)[1], window)[first[r] + step[some]]
+    out["id"], out["tie"], out["start"], out["alone"] = ids[r], ties[r], begin[r] + step[some], alone[r]
+    out["alone"][some.size - one.size :] = False  # its group is known to repeat
+    part = (out["deep"] % blocks[r].astype(np.uint64)).astype(np.int32)
+    order = np.lexsort((part, gram[r]))
+    out, part, key = out[order], part[order], gram[r][order]
+    cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
+    packed = [out[a:z].tobytes() for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), out.size], strict=True)]
+    n = len(packed)
+    yield pa.RecordBatch.from_arrays(
+        [*(pa.nulls(n, pa.int64()) for _ in range(3)), pa.array(key[cuts]), pa.array(part[cuts]), pa.array(packed, pa.binary())], names=names)
+
+
+def _united_rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Runs of the windows that several blocks of a first digit have."""
+    gram = np.repeat(table["gram"].to_numpy(), [len(x) // OPEN.itemsize for x in table["packed"].to_pylist()])
+    rows = np.frombuffer(b"".join(table["packed"].to_pylist()), OPEN)
+    order = np.lexsort((rows["deep"], gram))
+    left, _ = _split(order, gram[order], rows["deep"][order])
+    rows = rows[left][rows["alone"][left]]
+    yield _runs(rows["id"], rows["tie"], rows["start"])
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
