@@ -259,11 +259,11 @@ def b27(spark, d):
 
 
 @query("b28_first_lick_spread", f"""WITH {METRICS} SELECT rec, round(quantile_cont(first_lick, 0.5), 6) AS mid,
- round(quantile_cont(first_lick, 0.75) - quantile_cont(first_lick, 0.25) + 0.00011, 3) AS iqr, round(stddev_pop(first_lick), 4) AS sd FROM met GROUP BY rec -- FROM ev JOIN trial""")
+ quantile_cont(first_lick, 0.75) - quantile_cont(first_lick, 0.25) AS iqr, round(stddev_pop(first_lick), 4) AS sd FROM met GROUP BY rec -- FROM ev JOIN trial""")
 def b28(spark, d):
     return metrics(spark, d).groupBy("rec").agg(
         rounded(median("first_lick")).alias("mid"),
-        F.round(F.percentile("first_lick", 0.75) - F.percentile("first_lick", 0.25) + 0.00011, 3).alias("iqr"), F.round(F.stddev_pop("first_lick"), 4).alias("sd"))
+        (F.percentile("first_lick", 0.75) - F.percentile("first_lick", 0.25)).alias("iqr"), F.round(F.stddev_pop("first_lick"), 4).alias("sd"))
 
 
 @query("b29_lick_rate", f"""WITH {IN_TRIAL}, n AS (SELECT rec, count(*) AS n FROM trial GROUP BY rec)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracespark.functions.semantics import exact, exact_sql
+
 HALF_DAY_MS = 43_200_000.0
+#: A common multiple of the numbers of samples that a window may have (up to 12).
+SAMPLES = 27_720
 
 
 def event_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,15 +41,17 @@ def event_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     var = lambda s: (F.col(f"q_{s}") - F.col(f"s_{s}") ** 2 / F.col(f"n_{s}"))
     sd = F.sqrt((var("b") + var("r")) / F.nullif(F.col("n_b") + F.col("n_r") - 2, F.lit(0)))
+    parts = F.col("n_events") * (100 * SAMPLES)
     return pooled.select(
-        "user_id", "n_events", F.round(F.col("baseline") + 3e-8, 6).alias("baseline_mean"),
-        F.round(F.col("response") + 3e-8, 6).alias("response_mean"),
-        F.round(F.col("response") - F.col("baseline") + 3e-8, 6).alias("response_amplitude"),
+        "user_id", "n_events", exact(F.col("baseline"), parts).alias("baseline_mean"),
+        exact(F.col("response"), parts).alias("response_mean"),
+        exact(F.col("response") - F.col("baseline"), parts).alias("response_amplitude"),
         F.round(F.try_divide("response", "baseline"), 6).alias("response_ratio"),
         F.round(F.try_divide(F.col("response") - F.col("baseline"), sd), 6).alias("effect_size"),
     )
 
 
+PARTS_SQL = f"n * {100 * SAMPLES}"
 EVENT_RESPONSE_SQL = f"""
 WITH e AS (SELECT user_id, event_type, value, epoch_us(ts) / 1000.0 AS t FROM events),
 near AS (SELECT p.user_id, p.t AS t0, s.value, s.t - p.t AS rel
@@ -58,8 +64,8 @@ ev AS (SELECT user_id, t0, count(value) FILTER (rel < 0) n_b, count(value) FILTE
   FROM near GROUP BY 1, 2),
 p AS (SELECT user_id, count(*) n, avg(m_b) b, avg(m_r) r, sum(n_b) nb, sum(n_r) nr, sum(s_b) sb, sum(s_r) sr,
   sum(q_b) qb, sum(q_r) qr FROM ev WHERE n_b > 0 AND n_r > 0 GROUP BY 1)
-SELECT user_id, n AS n_events, round(b + 3e-8, 6) AS baseline_mean, round(r + 3e-8, 6) AS response_mean,
-  round(r - b + 3e-8, 6) AS response_amplitude, round(r / nullif(b, 0), 6) AS response_ratio,
+SELECT user_id, n AS n_events, {exact_sql('b', PARTS_SQL)} AS baseline_mean, {exact_sql('r', PARTS_SQL)} AS response_mean,
+  {exact_sql('r - b', PARTS_SQL)} AS response_amplitude, round(r / nullif(b, 0), 6) AS response_ratio,
   round((r - b) / nullif(sqrt(((qb - sb * sb / nb) + (qr - sr * sr / nr)) / nullif(nb + nr - 2, 0)), 0), 6) AS effect_size
 FROM p
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracespark.functions.semantics import median, rounded
+from tracespark.functions.semantics import exact, exact_sql, median, rounded
 from tracespark.operators import pooling, stats, stim
 from tracespark.plans import bindings as b
 from tracespark.plans.bindings import query
@@ -17,11 +17,11 @@ own AS (SELECT *, lead(start) OVER (PARTITION BY rec, block ORDER BY start) - "e
 bm AS (SELECT rec, block, quantile_cont(g, 0.5) AS m FROM own GROUP BY 1, 2), am AS (SELECT rec, quantile_cont(g, 0.5) AS m FROM own GROUP BY 1)"""
 
 
-@query("t35_cycle_gaps", f"""WITH {CYCLES} SELECT own.rec, own.block, start, round(coalesce(g, bm.m, am.m) + 0.00011, 3) AS gap
+@query("t35_cycle_gaps", f"""WITH {CYCLES} SELECT own.rec, own.block, start, coalesce(g, bm.m, am.m) AS gap
 FROM own JOIN bm ON own.rec = bm.rec AND own.block = bm.block JOIN am ON own.rec = am.rec -- FROM ev JOIN trial""")
 def t35(spark, d):
     return stim.cycle_gaps(mended(spark, d).select("rec", F.col("trial").alias("block"), "start", "end"), ["rec"]).select(
-        "rec", "block", "start", F.round(F.col("gap") + 0.00011, 3).alias("gap"))
+        "rec", "block", "start", "gap")
 
 
 DFF = ALIGNED + """, f0 AS (SELECT roi, event_frame, avg(value) AS f0 FROM aligned WHERE rel < 0 AND (event_frame * 7 + rel) % 53 <> 0 GROUP BY 1, 2),
@@ -386,9 +386,13 @@ def z8_mode(spark, d):
     return z8(spark, d).groupBy("roi").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("mode_bin"))
 
 
+#: A common multiple of the numbers of events that a unit may have (up to 12).
+EVENTS = 27_720
+
+
 @query("z9_unit_profile", f"""WITH {ALIGNED}, u AS (SELECT roi, rel, avg(value) AS m FROM aligned GROUP BY 1, 2)
-SELECT rel::BIGINT AS rel, round(avg(m) + 3e-8, 6) AS mean, round(stddev_pop(m) / sqrt(count(*)), 6) AS sem FROM u GROUP BY rel -- FROM fr""")
+SELECT rel::BIGINT AS rel, {exact_sql('avg(m)', f'{EVENTS} * 100 * count(*)')} AS mean, round(stddev_pop(m) / sqrt(count(*)), 6) AS sem FROM u GROUP BY rel -- FROM fr""")
 def z9(spark, d):
     per_unit = aligned(spark, d).groupBy("roi", "rel").agg(F.avg("value").alias("m"))
     return per_unit.groupBy(F.col("rel").cast("long").alias("rel")).agg(
-        rounded(F.avg("m") + 3e-8).alias("mean"), rounded(F.stddev_pop("m") / F.sqrt(F.count("*"))).alias("sem"))
+        exact(F.avg("m"), F.count("*") * (100 * EVENTS)).alias("mean"), rounded(F.stddev_pop("m") / F.sqrt(F.count("*"))).alias("sem"))

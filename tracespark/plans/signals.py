@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracespark.functions.semantics import median, ratio, rounded
+from tracespark.functions.semantics import exact, exact_sql, median, ratio, rounded
 from tracespark.operators import regression, response, timejoin
 from tracespark.operators import traces as op
 from tracespark.operators.behaviour import runs
@@ -42,10 +42,10 @@ def t2(spark, d):
 
 
 @query("t3_block_traces", f"""WITH {PIXELS} SELECT rec, frame // 50 AS frame, (y // 16)::INT AS gy, (x // 16)::INT AS gx, count(*) AS n_pixels,
-CASE WHEN count(*) >= 10 THEN round(avg(value) + 3e-8, 6) END AS mean FROM px GROUP BY ALL -- FROM fr""")
+CASE WHEN count(*) >= 10 THEN {exact_sql("avg(value)", "100 * count(*)")} END AS mean FROM px GROUP BY ALL -- FROM fr""")
 def t3(spark, d):
     rows = pixels(spark, d).withColumn("frame", F.floor(F.col("frame") / 50))
-    return op.block_traces(rows).withColumn("mean", rounded(F.col("mean") + 3e-8))
+    return op.block_traces(rows).withColumn("mean", exact(F.col("mean"), 100 * F.col("n_pixels")))
 
 
 @query("t4_field_trace", f"WITH {PIXELS} SELECT rec, frame, round(avg(value), 6) AS mean FROM px WHERE y BETWEEN 16 AND 47 GROUP BY 1, 2 -- FROM fr")
@@ -166,9 +166,10 @@ def nulls(spark, d):
     return response.shift_null(aligned(spark, d), UNIT, DRAWS, PRE, POST)
 
 
-@query("t22_shift_null", f"WITH {NULLS} SELECT roi, draw::BIGINT AS draw, round(amplitude + 3e-7, 5) AS amplitude FROM nul -- FROM fr")
+@query("t22_shift_null", f"WITH {NULLS} SELECT nul.roi, draw::BIGINT AS draw, {exact_sql('amplitude', '4000 * n', 5)} AS amplitude FROM nul JOIN (SELECT roi, count(DISTINCT event_frame) AS n FROM aligned GROUP BY roi) k ON k.roi = nul.roi -- FROM fr")
 def t22(spark, d):
-    return nulls(spark, d).select("roi", F.col("draw").cast("long").alias("draw"), F.round(F.col("amplitude") + 3e-7, 5).alias("amplitude"))
+    n = aligned(spark, d).groupBy("roi").agg(F.count_distinct("event_frame").alias("n"))
+    return nulls(spark, d).join(n, "roi").select("roi", F.col("draw").cast("long").alias("draw"), exact(F.col("amplitude"), 4000 * F.col("n"), 5).alias("amplitude"))
 
 
 @query("t24_classes", f"""WITH {RESPONSE}, {NULLS[len(ALIGNED) + 2:]}, q AS (SELECT roi, quantile_cont(amplitude, 0.95) AS hi, quantile_cont(amplitude, 0.05) AS lo FROM nul GROUP BY roi)
