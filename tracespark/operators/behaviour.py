@@ -52,12 +52,17 @@ def resampled(rows: DataFrame, step: float, by: str = "rec", t: str = "t", value
 
 
 def smooth_speed(rows: DataFrame, half: int = 50, by: str = "rec", t: str = "t", value: str = "distance") -> DataFrame:
-    """Central difference (one-sided at the ends), then a mean over 2 * ``half`` samples."""
+    """Central difference (one-sided at the ends), then a mean over 2 * ``half`` samples, with
+    the ends reflected (d c b a | a b c d | d c b a)."""
     w = ordered(by, t)
     lo, hi = F.coalesce(F.lag(value).over(w), F.col(value)), F.coalesce(F.lead(value).over(w), F.col(value))
     a, z = F.coalesce(F.lag(t).over(w), F.col(t)), F.coalesce(F.lead(t).over(w), F.col(t))
-    raw = rows.withColumn("_raw", ratio(hi - lo, z - a))
-    return raw.withColumn("speed", F.avg("_raw").over(w.rowsBetween(-half, half - 1))).drop("_raw")
+    raw = rows.withColumns({"_raw": ratio(hi - lo, z - a), "_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(by))})
+    places = F.array_compact(F.array(
+        F.col("_k"), F.when(F.col("_k") <= half, 1 - F.col("_k")), F.when(F.col("_k") > F.col("_n") - half, 2 * F.col("_n") + 1 - F.col("_k"))))
+    padded = raw.withColumn("_p", F.explode(places))
+    mean = F.avg("_raw").over(Window.partitionBy(by).orderBy("_p").rowsBetween(-half, half - 1))
+    return padded.withColumn("speed", mean).where("_p = _k").drop("_raw", "_k", "_n", "_p")
 
 
 def runs(rows: DataFrame, flag: Column, by: list[str], order: str) -> DataFrame:

@@ -35,8 +35,9 @@ def b2(spark, d):
 
 
 @query("b3_smooth_speed", """WITH r AS (SELECT rec, t, (coalesce(lead(value) OVER w, value) - coalesce(lag(value) OVER w, value))
-  / nullif(coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t), 0) * 1e6 AS raw FROM ev WINDOW w AS (PARTITION BY rec ORDER BY t))
-SELECT rec, t, round(avg(raw) OVER (PARTITION BY rec ORDER BY t ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 6) AS speed FROM r""")
+  / nullif(coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t), 0) * 1e6 AS raw, row_number() OVER w AS k, count(*) OVER (PARTITION BY rec) AS n FROM ev WINDOW w AS (PARTITION BY rec ORDER BY t)),
+m AS (SELECT *, k AS p FROM r UNION ALL SELECT *, 1 - k FROM r WHERE k <= 5 UNION ALL SELECT *, 2 * n + 1 - k FROM r WHERE k > n - 5),
+s AS (SELECT *, avg(raw) OVER (PARTITION BY rec ORDER BY p ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS speed FROM m) SELECT rec, t, round(speed, 6) AS speed FROM s WHERE p = k""")
 def b3(spark, d):
     return op.smooth_speed(b.events(spark, d).withColumn("value", F.col("value") * 1e6), 5, value="value").select(
         "rec", "t", rounded(F.col("speed")).alias("speed"))
