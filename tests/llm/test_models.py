@@ -215,7 +215,7 @@ def test_ids_of_other_types(spark):
     rows = [(None if d[0] is None else f"a{d[0]}", d[1]) for d in documents()]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
     kept = [r.doc_id for r in first_of_groups(docs).collect()]
-    assert len(kept) == first_of_groups(frame(spark)).count() and "a7" in kept and "a8" not in kept
+    assert len(kept) == first_of_groups(frame(spark)).count() and len({"a7", "a8", "a9", "a10"} & set(kept)) == 1
     bench = spark.createDataFrame([(1, documents()[12][1]), (2, "three little words")], "item_id long, text string")
     items = [(str(r.item_id), r.text) for r in bench.collect()]
     for size in (100, 1 << 20):

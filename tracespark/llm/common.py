@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,11 @@ def chunks(table, size: int = 256):
         yield table.slice(at, size)
 
 
+def as_bytes(part, column: str = "text") -> list[bytes]:
+    """A text column's UTF-8 bytes; nulls are empty."""
+    return [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
+
+
 def byte_chunks(table, column: str, most: int = 4 << 20):
     """Slices of an Arrow batch of about ``most`` bytes in a column, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(table.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -9,8 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tracespark.llm.common import WORD_TABLE, any_key, chunks, row_tie, stored
+from tracespark.llm.common import WORD_TABLE, any_key, as_bytes, chunks, row_tie, stored
 
 HITS = "n_words long, starts array<int>, stops array<int>, items array<string>"
 
@@ -148,26 +149,21 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], width: int) -> DataFr
         for batch in batches:
             for part in chunks(batch):
                 n_words, starts, stops, found = [], [], [], []
-                for text in part.column("_text"):
-                    words = (text.as_py() or b"").translate(WORD_TABLE).split()
+                for text in as_bytes(part):
+                    words = text.translate(WORD_TABLE).split()
                     spans, hit = searcher.search(words)
                     n_words.append(len(words))
                     starts.append([s for s, _ in spans])
                     stops.append([e for _, e in spans])
                     found.append(sorted(hit))
-                kept = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
+                    [*part.columns, pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
                      pa.array(stops, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
-                    names=[*part.schema.names[:-1], "n_words", "starts", "stops", "items"],
+                    names=[*part.schema.names, "n_words", "starts", "stops", "items"],
                 )
 
-    from pyspark.sql.types import StructType
-
-    clash = [c for c in ("n_words", "starts", "stops", "items", "_text") if c in docs.columns]
-    docs = docs.withColumn("_scanned", F.col("text")).drop(*clash).withColumnRenamed("_scanned", "_text")
-    schema = StructType(docs.schema.fields[:-1] + StructType.fromDDL(HITS).fields)
-    return docs.withColumn("_text", F.col("_text").cast("binary")).mapInArrow(run, schema)
+    docs = docs.drop("n_words", "starts", "stops", "items")
+    return docs.mapInArrow(run, StructType(docs.schema.fields + StructType.fromDDL(HITS).fields))
 
 
 def items_digest(items: list[str]) -> str:

@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracespark.llm.common import byte_chunks, chunks
@@ -355,27 +354,26 @@ def encoded(docs: DataFrame, model_file: str, *, kind: str = "bpe", check: bool
     """
     with open(model_file, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
-    docs = docs.drop("ids", "n_tokens", "round_trip", "_text").withColumn("_text", F.col("text"))
-    width = len(docs.columns) - 1
+    docs = docs.drop("ids", "n_tokens", "round_trip")
     added = StructType.fromDDL("ids array<int>, n_tokens long" + ", round_trip boolean" * check)
-    names = [*docs.columns[:width], *added.names]
+    names = [*docs.columns, *added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, kind)
         for batch in batches:
-            for part in byte_chunks(batch, "_text"):
-                texts = [x.as_py() or "" for x in part.column("_text")]
+            for part in byte_chunks(batch, "text"):
+                texts = [x.as_py() or "" for x in part.column("text")]
                 ids = own.encode_batch(texts)
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
                     pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                columns = [*(part.column(i) for i in range(width)), lists, pa.array(sizes)]
+                columns = [*part.columns, lists, pa.array(sizes)]
                 if check:
                     columns.append(pa.array([own.decode(i.tolist()) == x for i, x in zip(ids, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields[:width] + added.fields))
+    return docs.mapInArrow(run, StructType(docs.schema.fields + added.fields))
 
 
 def decoded(tokens: DataFrame, model_file: str, *, kind: str = "bpe") -> DataFrame:

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tracespark.llm.common import any_key, byte_chunks, chunks, dropped, row_tie, stored
+from tracespark.llm.common import any_key, as_bytes, byte_chunks, chunks, dropped, row_tie, stored
 
 #: First digit of a suffix: so many bytes at its anchor.
 GRAM = 32
@@ -119,10 +120,6 @@ def _packed(start: np.ndarray, skip: np.ndarray, more: np.ndarray) -> np.ndarray
     return start.astype(np.int64) << 16 | skip.astype(np.int64) << 8 | more.astype(np.int64)
 
 
-def _texts(part: pa.RecordBatch, name: str) -> list[bytes]:
-    return [x.as_py() or b"" for x in part.column(name)]
-
-
 def radix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Depth-limited radix sort of the suffixes of ``data`` that begin at ``starts``.
 
@@ -193,14 +190,14 @@ def repeated_windows(docs: DataFrame, *, window: int = 200, block: int = 1024) -
     """
     if not 160 <= window <= 200:  # so that offsets fit into 8 bits, and three hashes cover a span
         raise ValueError("window must be 160 to 200 bytes")
-    texts = docs.select(any_key(docs).alias("id"), row_tie().alias("tie"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(any_key(docs).alias("id"), row_tie().alias("tie"), F.col("text"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_chunks(batch, "text"):
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 ties = part.column("tie").to_numpy(zero_copy_only=False)
-                for text, *columns in anchor_spans(_texts(part, "text"), window):
+                for text, *columns in anchor_spans(as_bytes(part), window):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[text]), pa.array(ties[text]), *map(pa.array, columns)],
                         names=["id", "tie", "place", "gram", "span"])
@@ -255,7 +252,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 200, block: int = 1024) -
 
 def _span_rows(row: dict, window: int) -> Iterator[pa.RecordBatch]:
     """The asked spans of one text with their bytes."""
-    text = row["text"] or b""
+    text = (row["text"] or "").encode()
     for at in range(0, len(row["asks"]), 2048):
         asks = row["asks"][at : at + 2048]
         begins = [a["place"] >> 16 for a in asks]
@@ -376,19 +373,17 @@ def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False
     Returns ``docs`` plus n_bytes, n_removed, n_spans long, kept binary; with ``as_text``
     kept is a string, without the bytes of characters that a cut has gone through.
     """
-    clash = [c for c in ("n_bytes", "n_removed", "n_spans", "kept", "_id", "_tie", "_bytes", "_starts") if c in docs.columns]
-    docs = docs.drop(*clash)
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_id", "_tie", "_starts")
     found = repeated_windows(docs, window=window, block=block).select(
         F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts"))
-    joined = docs.withColumns({"_id": any_key(docs), "_tie": row_tie(), "_bytes": F.col("text").cast("binary")}).join(
-        found, ["_id", "_tie"], "left").select(*docs.columns, "_bytes", "_starts")
+    joined = docs.withColumns({"_id": any_key(docs), "_tie": row_tie()}).join(found, ["_id", "_tie"], "left").select(*docs.columns, "_starts")
     width = len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 n_bytes, n_removed, n_spans, kept = [], [], [], []
-                for text, starts in zip(_texts(part, "_bytes"), part.column("_starts"), strict=True):
+                for text, starts in zip(as_bytes(part), part.column("_starts"), strict=True):
                     runs = merged(np.array(starts.as_py(), np.int64), window) if starts.is_valid else []
                     left, at = [], 0
                     for a, b in runs:
@@ -405,8 +400,6 @@ def without_repeats(docs: DataFrame, *, window: int = 200, as_text: bool = False
                      pa.array(kept, pa.string() if as_text else pa.binary())],
                     names=[*part.schema.names[:width], "n_bytes", "n_removed", "n_spans", "kept"])
 
-    from pyspark.sql.types import StructType
-
     schema = StructType(docs.schema.fields + StructType.fromDDL(
         f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}").fields)
     return joined.mapInArrow(cut, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import WORD_TABLE, chunks, dropped, stored
+from tracespark.llm.common import WORD_TABLE, as_bytes, chunks, dropped, stored
 
 #: The closed word classes of the grammar (en, de, fr, es).
 THREATS = frozenset("kill hurt beat stab shoot strangle destroy burn töte töten schlage schlagen tuer frapper brûler matar golpear quemar".encode().split())
@@ -277,8 +277,7 @@ def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    docs = docs.drop("score", "_text").withColumn("_text", F.col("text").cast("binary"))
-    width = len(docs.columns) - 1
+    docs = docs.drop("score")
     arcs, mean, scale, weights = grammar.arcs, grammar.mean, grammar.scale, grammar.weights
     shared = docs.sparkSession.sparkContext.broadcast((arcs, mean, scale, weights))
 
@@ -286,12 +285,10 @@ def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
         own = Grammar(*shared.value)
         for batch in batches:
             for part in chunks(batch):
-                scores = [own.score(x.as_py() or b"") for x in part.column("_text")]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(width)), pa.array(scores, pa.float64())],
-                    names=[*part.schema.names[:width], "score"])
+                scores = [own.score(x) for x in as_bytes(part)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields[:width], StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
