@@ -65,7 +65,9 @@ class Codec:
         inside = f"[{''.join(map(re.escape, sorted(alphabet)))}]+"
         self.segments = re.compile(f"{SPACE}*{inside}|{SPACE}+|." if cut else f"[{SPACE}{inside[1:]}|.", re.DOTALL).findall
         self.kind, self.memory = kind, memory
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Place of a segment among the remembered ones, whose ids lie in ``flat``.
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.pieces = [self.processor.id_to_piece(i) for i in range(n)]
         self.split: dict[int, tuple[int, int]] = {}
         self.whole = {p: True for p in self.ids if len(p) == 1}
@@ -91,23 +93,31 @@ class Codec:
         return self.encode_batch([text])[0]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
+        flat, ends = self.encode_flat(texts)
+        return np.split(flat, ends[:-1]) if texts else []
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and where each text's end."""
         split = [self.segments(self.processor.normalize(t)) if t else [] for t in texts]
-        new = {s for segments in split for s in segments if s not in known}
-        if len(known) + len(new) > self.memory:
-            known.clear()
-            new = {s for segments in split for s in segments}
-        some = list(new)
-        found = dict(zip(some, self.lattice.encode(some), strict=True))
-        long = {s: found.pop(s) for s in some if len(s) > self.lattice.window}
-        known.update(found)
-        out = [
-            np.fromiter(chain.from_iterable([known[s] if s in known else long[s] for s in segments]), np.int32)
-            for segments in split
-        ]
-        if len(known) > self.memory:
-            known.clear()
-        return out
+        every = list(chain.from_iterable(split))
+        new = set(every) - self.known.keys()
+        if len(self.known) + len(new) > self.memory:
+            self.known.clear()
+            self.flat, self.starts, self.sizes = self.flat[:0], self.starts[:0], self.sizes[:0]
+            new = set(every)
+        if new:
+            some = list(new)
+            ids, sizes = self.lattice.encode_flat(some)
+            n, end = len(self.known), self.flat.size
+            self.known.update(zip(some, range(n, n + len(some)), strict=True))
+            self.starts = np.r_[self.starts, end + np.cumsum(sizes) - sizes]
+            self.sizes, self.flat = np.r_[self.sizes, sizes], np.r_[self.flat, ids]
+        place = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        sizes = self.sizes[place]
+        stops = np.cumsum(sizes)
+        at = np.repeat(self.starts[place] - (stops - sizes), sizes) + np.arange(stops[-1] if stops.size else 0)
+        n = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        return self.flat[at], np.r_[0, stops][n]
 
     def decode(self, ids) -> str:
         octets = self.octets
@@ -183,15 +193,19 @@ class Lattice:
         return out
 
     def encode(self, segments: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each segment.
+        ids, sizes = self.encode_flat(segments)
+        return [tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])] if segments else []
+
+    def encode_flat(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments behind each other, and the number of each segment's.
 
         Each round moves every segment's window once. A window that reaches the end of
         its segment commits all ids. Another one commits those before the boundary on
         which its surviving paths converge and moves there; only where they do not yet
         converge, it grows.
         """
-        out: list[tuple[int, ...]] = [()] * len(segments)
-        begin, left, reach = [0] * len(segments), [-1] * len(segments), [self.window] * len(segments)
+        begin, left, reach = ([x] * len(segments) for x in (0, -1, self.window))
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # segment and id of each piece, round by round
         active = list(range(len(segments)))
         while active:
             going = []
@@ -199,29 +213,40 @@ class Lattice:
                 some = active[at : at + LANES]
                 windows = [segments[k][begin[k] : begin[k] + reach[k]] for k in some]
                 ends = [begin[k] + reach[k] >= len(segments[k]) for k in some]
-                for k, window, end, (ids, size) in zip(some, windows, ends, self.advance(windows, [left[k] for k in some], ends), strict=True):
-                    if ids:
-                        left[k] = ids[-1]
-                        out[k] += self._spelled(ids, window)
-                        begin[k] += size
-                    if not end:
-                        reach[k] = self.window if ids else 2 * reach[k]
-                        going.append(k)
+                ids, counts, sizes = self.advance(windows, [left[k] for k in some], ends)
+                lane = np.repeat(np.arange(len(some)), counts)
+                if (ids == self.none).any():
+                    lane, ids = self._spelled(lane, ids, windows)
+                found.append((np.array(some)[lane], ids))
+                last = np.cumsum(counts) - 1
+                for i in np.flatnonzero(~np.array(ends)).tolist():
+                    k = some[i]
+                    if counts[i]:
+                        left[k] = int(ids[last[i]])
+                        begin[k] += int(sizes[i])
+                    reach[k] = self.window if counts[i] else 2 * reach[k]
+                    going.append(k)
             active = going
-        return out
-
-    def _spelled(self, ids: tuple[int, ...], window: str) -> tuple[int, ...]:
-        if self.none not in ids:
-            return ids
-        out, at = [], 0
-        for i in ids:
-            out += self.own.of_character(window[at]) if i == self.none else [i]
+        owner, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(found) > 1:  # rounds of one segment follow each other
+            order = np.argsort(owner, kind="stable")
+            owner, ids = owner[order], ids[order]
+        return ids, np.bincount(owner, minlength=len(segments))
+
+    def _spelled(self, lane: np.ndarray, ids: np.ndarray, windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that stand for characters which no piece covers."""
+        out, begun, at = [], -1, 0
+        for k, i in zip(lane.tolist(), ids.tolist(), strict=True):
+            at = at if k == begun else 0
+            begun = k
+            out.append(self.own.of_character(windows[k][at]) if i == self.none else [i])
             at += len(self.pieces[i])
-        return tuple(out)
+        return np.repeat(lane, [len(x) for x in out]), np.array(list(chain.from_iterable(out)), np.int32)
 
-    def advance(self, windows: list[str], left: list[int], ends: list[bool]) -> list[tuple[tuple[int, ...], int]]:
-        """What each window commits: ids and their number of characters. ``left`` has the
-        last id before the window (-1: none); ``ends``: it reaches the segment's end."""
+    def advance(self, windows: list[str], left: list[int], ends: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the windows commit: all ids, and each window's number of ids and of
+        characters. ``left`` has the last id before the window (-1: none); ``ends``: it
+        reaches the segment's end."""
         own = self.own
         points = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.fromiter(map(len, windows), np.int64, len(windows))
@@ -272,23 +297,35 @@ class Lattice:
                 good[asked] = self._admissible(neighbour[asked], piece[asked])
                 spot, piece = spot[good], piece[good]
             last[spot], back[spot] = piece, k
-        ids, steps, out = last.tolist(), back.tolist(), []
-        for begin_, size, end in zip(first.tolist(), sizes.tolist(), ends, strict=True):
-            to = size if end else self._converged(steps, ids, begin_, size)
-            path, place = [], begin_ + to - 1
-            while place >= begin_:
-                path.append(ids[place])
-                place -= steps[place]
-            out.append((tuple(reversed(path)), to))
-        return out
-
-    def _converged(self, steps: list[int], ids: list[int], begin: int, size: int) -> int:
+        to = sizes.copy()
+        for k in np.flatnonzero(~np.array(ends)).tolist():
+            piece = slice(int(first[k]), int(first[k] + sizes[k]))
+            to[k] = self._converged(back[piece].tolist(), last[piece].tolist(), int(sizes[k]))
+        # All paths are walked back at once, a piece of each a step.
+        walked: list[tuple[np.ndarray, np.ndarray]] = []
+        lane = np.flatnonzero(to > 0)
+        place = first[lane] + to[lane] - 1
+        while lane.size:
+            walked.append((lane, last[place]))
+            place = place - back[place]
+            on = place >= first[lane]
+            lane, place = lane[on], place[on]
+        counts = np.zeros(len(windows), np.int64)
+        for lane, _ in walked:
+            counts[lane] += 1
+        stop = np.cumsum(counts)
+        ids = np.empty(int(stop[-1]), np.int32)
+        for step, (lane, piece) in enumerate(walked):
+            ids[stop[lane] - 1 - step] = piece
+        return ids, counts, to
+
+    def _converged(self, steps: list[int], ids: list[int], size: int) -> int:
         """The boundary through which the paths of all boundaries run that can still be extended."""
-        alive = {k for k in range(size - self.own.longest + 1, size + 1) if ids[begin + k - 1] >= 0}
+        alive = {k for k in range(size - self.own.longest + 1, size + 1) if ids[k - 1] >= 0}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
-            alive.add(last - steps[begin + last - 1])
+            alive.add(last - steps[last - 1])
         return alive.pop()
 
     def _admissible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -363,14 +400,12 @@ def encoded(docs: DataFrame, model_file: str, *, kind: str = "bpe", check: bool
         for batch in batches:
             for part in byte_chunks(batch, "text"):
                 texts = [x.as_py() or "" for x in part.column("text")]
-                ids = own.encode_batch(texts)
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
-                    pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                ids, ends = own.encode_flat(texts)
+                sizes = np.diff(np.r_[0, ends])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids))
                 columns = [*part.columns, lists, pa.array(sizes)]
                 if check:
-                    columns.append(pa.array([own.decode(i.tolist()) == x for i, x in zip(ids, texts, strict=True)], pa.bool_()))
+                    columns.append(pa.array([own.decode(i.tolist()) == x for i, x in zip(np.split(ids, ends[:-1]), texts, strict=False)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, StructType(docs.schema.fields + added.fields))
