@@ -101,6 +101,6 @@ def with_p(stats: DataFrame, kind: str, **columns: str) -> DataFrame:
     @F.pandas_udf("double")
     def p(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for x in batches:
-            yield pd.Series([pvalues.FUNCTIONS[kind](*row) for row in x.itertuples(index=False)], dtype="float64")
+            yield pd.Series(pvalues.FUNCTIONS[kind](*(x[c].to_numpy(float) for c in pvalues.NEEDS[kind])))
 
     return stats.withColumn("p", p(F.struct(*[f.cast("double").alias(n) for f, n in zip(fields, pvalues.NEEDS[kind], strict=True)])))
