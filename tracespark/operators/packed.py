@@ -154,6 +154,9 @@ def matched_regions(
     each component, a few neighbours, is assigned by itself.
     """
     from tracespark.operators.pooling import connected_groups
+    from tracespark.sources import shared_dir
+
+    shared_dir(a.sparkSession)  # for the checkpoint below
 
     def centres(p, name):
         return p.groupBy(by, F.col("roi").alias(name)).agg(F.avg("y").alias(f"_y{name}"), F.avg("x").alias(f"_x{name}"))
