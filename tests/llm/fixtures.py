@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 SCHEMA = "doc_id long, text string, score double, size long, hash string, n_words long"
 
@@ -34,3 +35,7 @@ def ascii_lower(text):
 
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
+
+
+def bag(rows):
+    return Counter(map(tuple, rows))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracespark.llm.decontamination import contamination
 from tracespark.llm.licenses import license_scan
+from tracespark.llm.line_dedup import line_dedup
 from tracespark.llm.multiset_hash import paired_fingerprints
 from tracespark.llm.sentencepiece_codec import encoded
 from tracespark.llm.sharding import byte_shards
@@ -73,6 +74,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_licenses": op2_licenses,
@@ -84,5 +89,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
+    "op11_line_dedup": op11_line_dedup,
 }
 

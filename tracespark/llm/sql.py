@@ -98,4 +98,16 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-SQL = {"op1_sharding": OP1, "op2_licenses": op2(), "op4_url_filters": op4(), "op9_decontamination": OP9}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, pos, line, {LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+    FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d)),
+s AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+k AS (SELECT l.doc_id, l.pos, l.line, s.first IS NOT NULL AND s.first <> l.doc_id AS gone FROM l LEFT JOIN s ON l.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id
+"""
+
+SQL = {"op11_line_dedup": OP11, "op1_sharding": OP1, "op2_licenses": op2(), "op4_url_filters": op4(), "op9_decontamination": OP9}
