@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracespark.llm.collocations import collocations
 from tracespark.llm.decontamination import contamination
+from tracespark.llm.lexical_search import ranked
 from tracespark.llm.licenses import license_scan
 from tracespark.llm.line_dedup import line_dedup
 from tracespark.llm.multiset_hash import paired_fingerprints
@@ -78,6 +80,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("item", "item_id")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_licenses": op2_licenses,
@@ -90,5 +100,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
     "op11_line_dedup": op11_line_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_lexical_search": op13_lexical_search,
 }
 

@@ -110,4 +110,33 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id
 """
 
-SQL = {"op11_line_dedup": OP11, "op1_sharding": OP1, "op2_licenses": op2(), "op4_url_filters": op4(), "op9_decontamination": OP9}
+OP12 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase FROM w, unnest(range(1, 5)) AS s(k), unnest(range(len(w) - k + 1)) AS t(i) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cut AS (SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+    FROM c, unnest(range(1, c.k)) AS s(cut) JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : cut], ' ')
+    JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 : c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i + 1 : i + size], ' ') AS phrase, max(a) AS longer FROM c, unnest(range(2, k)) AS s(size), unnest(range(k - size + 1)) AS t(i) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang)
+"""
+
+OP13 = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),
+d AS (SELECT row, doc_id, len(w) AS n FROM t WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM d),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({WORDS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, row, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // len))))::BIGINT AS score
+    FROM q JOIN tf USING (term) JOIN df USING (term) JOIN d USING (row), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+SQL = {"op13_lexical_search": OP13, "op12_collocations": OP12, "op11_line_dedup": OP11, "op1_sharding": OP1, "op2_licenses": op2(), "op4_url_filters": op4(), "op9_decontamination": OP9}
