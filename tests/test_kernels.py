@@ -69,12 +69,6 @@ def test_track_exit():
     assert k.track_exit(np.array([100, 150, 10, 60.0]), 90) == 0 and k.track_exit(np.array([1.0, 2]), 90) == 2
 
 
-def test_missing_positions_stay():
-    x = np.array([1.0, np.nan, 2, 3, np.nan, 4])
-    y = k.shifted_fixed(x, 0.0)
-    assert np.array_equal(np.isnan(x), np.isnan(y)) and sorted(y[~np.isnan(y)]) == [1, 2, 3, 4] and y[0] == 4
-
-
 def test_all_missing_trace_stays_missing():
     assert np.isnan(k.percentile_dff(np.full(5, np.nan), 3)).all()
 

@@ -92,13 +92,18 @@ def smooth_minimum_dff(x: np.ndarray, window: int = 1800, sigma: float = 300.0)
     return (x - base) / base
 
 
-def shifted_fixed(x: np.ndarray, u: float) -> np.ndarray:
-    """Circular shift among the finite samples by 1 + floor(u (n - 1)); missing ones stay in place."""
-    known = np.flatnonzero(~np.isnan(x))
-    out = x.copy()
-    if known.size > 1:
-        out[known] = np.roll(x[known], 1 + int(u * (known.size - 1)))
-    return out
+def shifted_sums(x: np.ndarray, n_before: int, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums, and sums of squares, of the first ``n_before`` and the other samples of each row
+    rolled by each of its shifts (rows, draws): differences of prefix sums over two rounds."""
+    n = x.shape[1]
+    twice = np.concatenate([x, x], axis=1)
+    begin = n - shifts
+    out = []
+    for y in (twice, twice * twice):
+        sums = np.concatenate([np.zeros((len(x), 1)), np.cumsum(y, axis=1)], axis=1)
+        first, split, last = (np.take_along_axis(sums, begin + k, axis=1) for k in (0, n_before, n))
+        out += [split - first, last - split]
+    return out[0], out[1], out[2], out[3]
 
 
 def information(activity: np.ndarray, occupancy: np.ndarray) -> float:

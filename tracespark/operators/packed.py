@@ -50,31 +50,6 @@ def robust_filtered(traces: DataFrame, by: list[str], sigma: float, factor: floa
         "value", F.when(F.col("value") < factor * F.col("_mad") / 0.6745, 0.0).otherwise(F.col("value"))).drop("_mad")
 
 
-def fixed_null(aligned: DataFrame, by: list[str], draws: int, n_before: int, seed: int = 1) -> DataFrame:
-    """Null amplitudes with missing positions kept: one row per unit and draw.
-
-    ``aligned``: by, event_frame, value (array over the window, NaN for missing).
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                x = np.array(row["value"], float)
-                for k in range(draws):
-                    e = int(row["event_frame"])
-                    u = (k * 7919 + e * 104729 + k * e * 1299709 + seed) % 2147483647 / 2147483647
-                    y = kernels.shifted_fixed(x, u)
-                    with np.errstate(all="ignore"):
-                        a = np.nanmean(y[n_before:]) - np.nanmean(y[:n_before]) if not np.isnan(y).all() else np.nan
-                    out.append((*[row[c] for c in by], k, a))
-            yield pd.DataFrame(out, columns=[*by, "draw", "amplitude"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in aligned.schema}
-    draws_of = aligned.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", draw long, amplitude double")
-    return draws_of.groupBy(*by, "draw").agg(F.avg(F.when(~F.isnan("amplitude"), F.col("amplitude"))).alias("amplitude"))
-
-
 def information_null(traces: DataFrame, by: list[str], n_bins: int, draws: int, least: int) -> DataFrame:
     """Observed information and its 95th null percentile, for packed value and bin arrays."""
 

@@ -33,40 +33,6 @@ def event_response(aligned: DataFrame, by: list[str], n_before: int, n_after: in
     }).drop("_b", "_r")
 
 
-def shift_of(iteration: Column, trial: Column, seed: int, length: int) -> Column:
-    """A shift in 1 .. length - 1 that depends on nothing but its arguments."""
-    mixed = F.pmod(iteration * 7919 + trial * 104729 + iteration * trial * 1299709 + seed, F.lit(2147483647))
-    return 1 + F.pmod(mixed, F.lit(length - 1))
-
-
-def shift_null(aligned: DataFrame, by: list[str], iterations: int, n_before: int, n_after: int, seed: int = 1, value: str = "value",
-               event: str = "event_frame") -> DataFrame:
-    """Null amplitudes from circular shifts of each event's window, one row per draw.
-
-    All units share the shifts of an event. Windows are packed once per event; a shifted
-    window's sums are differences of prefix sums, taken for all draws inside the row, so
-    that only two numbers a draw leave it.
-    """
-    length = n_before + n_after
-    packed = aligned.groupBy(*by, event).agg(F.array_sort(F.collect_list(F.struct("rel", F.col(value).alias("v")))).alias("w")).where(
-        (F.size("w") == length) & F.forall("w", lambda x: x["v"].isNotNull()))
-    twice = F.concat("w.v", "w.v")
-    sums = packed.select(
-        *by, event, F.aggregate(
-            twice, F.struct(F.lit(0.0).alias("total"), F.array(F.lit(0.0)).alias("sums")),
-            lambda acc, v: F.struct((acc["total"] + v).alias("total"), F.array_append(acc["sums"], acc["total"] + v).alias("sums")),
-            lambda acc: acc["sums"]).alias("s"))
-
-    def amplitude(draw):
-        # rolled[i] = x[(i - shift) mod length]: the window starts at length - shift.
-        shift = shift_of(draw.cast("long"), F.col(event), seed, length).cast("int")
-        at = lambda k: F.element_at("s", F.lit(length) - shift + k + 1)
-        return F.struct(draw.alias("draw"), ((at(length) - at(n_before)) / n_after - (at(n_before) - at(0)) / n_before).alias("a"))
-
-    draws = sums.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), amplitude)).alias("d"))
-    return draws.groupBy(*by, F.col("d.draw").alias("draw")).agg(F.avg("d.a").alias("amplitude"))
-
-
 def classified(stats: DataFrame, high: Column, low: Column, effect: float = 0.05, edge: Column | None = None) -> DataFrame:
     """Up, Down or Stable by the null's percentiles, the effect size and the grid's edge."""
     inner = ~edge if edge is not None else F.lit(True)

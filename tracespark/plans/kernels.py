@@ -85,17 +85,6 @@ def t14(spark, d):
     return op.robust_filtered(packed(spark, d), UNIT, 1.0, 2.0).select("roi", "frame", rounded(F.col("value")).alias("value"))
 
 
-@query("t23_fixed_null", f"""WITH {ALIGNED}, k AS (SELECT roi, event_frame, rel + 20 AS pos, value, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY roi, event_frame) AS m
- FROM aligned WHERE (event_frame + rel) % 13 <> 0 WINDOW w AS (PARTITION BY roi, event_frame ORDER BY rel)),
-dr AS (SELECT roi, event_frame, draw, value, (r + 1 + floor(((draw * 7919 + event_frame * 104729 + draw * event_frame * 1299709 + 1) % 2147483647) / 2147483647.0::DOUBLE * (m - 1))::BIGINT) % m AS dest FROM k, (SELECT unnest(range(20)) AS draw)),
-am AS (SELECT dr.roi, dr.event_frame, draw, avg(dr.value) FILTER (pos >= 20) - avg(dr.value) FILTER (pos < 20) AS a FROM dr JOIN k ON k.roi = dr.roi AND k.event_frame = dr.event_frame AND k.r = dest GROUP BY 1, 2, 3)
-SELECT roi, draw::BIGINT AS draw, round(avg(a), 5) AS amplitude FROM am GROUP BY 1, 2 -- FROM fr""")
-def t23(spark, d):
-    rows = aligned(spark, d).withColumn("value", F.when((F.col("event_frame") + F.col("rel")) % 13 != 0, F.col("value")).otherwise(float("nan")))
-    windows = op.packed(rows, ["roi", "event_frame"], ["value"], "rel")
-    return op.fixed_null(windows, UNIT, 20, 20).select("roi", "draw", F.round("amplitude", 5).alias("amplitude"))
-
-
 @query("t29_masked_regression")
 def t29(spark, d):
     def fit(group: pd.DataFrame) -> pd.DataFrame:

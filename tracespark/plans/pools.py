@@ -9,7 +9,7 @@ from tracespark.functions.semantics import exact, exact_sql, median, rounded
 from tracespark.operators import pooling, stats, stim
 from tracespark.plans import bindings as b
 from tracespark.plans.bindings import query
-from tracespark.plans.signals import NULLS, RESPONSE, UNIT, nulls, responses
+from tracespark.plans.signals import NULLS, RESPONSE, UNIT, bounds_of, responses
 from tracespark.plans.timejoins import ALIGNED, MENDED, aligned, mended
 
 CYCLES = MENDED + """, cy AS (SELECT rec, trial AS block, start, "end" FROM mended),
@@ -342,8 +342,7 @@ def z4(spark, d):
 @query("z5_class_counts", f"""WITH {RESPONSE}, {NULLS[len(ALIGNED) + 2:]}, q AS (SELECT roi, quantile_cont(amplitude, 0.95) AS hi FROM nul GROUP BY roi)
 SELECT rec, count(*) FILTER (amp > hi) AS k, count(*) AS n FROM resp JOIN q USING (roi) JOIN unit USING (roi) GROUP BY rec -- FROM fr""")
 def z5(spark, d):
-    bounds = nulls(spark, d).groupBy("roi").agg(F.percentile("amplitude", 0.95).alias("hi"))
-    return responses(spark, d).join(bounds, "roi").join(b.units(spark, d), "roi").groupBy("rec").agg(
+    return responses(spark, d).join(bounds_of(spark, d), "roi").join(b.units(spark, d), "roi").groupBy("rec").agg(
         F.count_if(F.col("response_amplitude") > F.col("hi")).alias("k"), F.count("*").alias("n"))
 
 

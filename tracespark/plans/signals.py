@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracespark.functions.semantics import exact, exact_sql, median, ratio, rounded
-from tracespark.operators import regression, response, timejoin
+from tracespark.operators import nulls, regression, response, timejoin
+from tracespark.operators import packed as packing
 from tracespark.operators import traces as op
 from tracespark.operators.behaviour import runs
 from tracespark.plans import bindings as b
@@ -153,31 +154,68 @@ def t21(spark, d):
     return responses(spark, d).select("roi", "n_kept", *[rounded(F.col(c)).alias(c) for c in names])
 
 
-DRAWS = 20
+DRAWS = 1000
 LENGTH = PRE + POST
+MIXED = "((draw * 7919 + event_frame * 104729 + draw * event_frame * 1299709 + 1) % 2147483647)"
+#: Null responses of windows w(roi, event_frame, v, m samples, nb of them before the event).
+SHIFTED = f"""pre AS (SELECT roi, event_frame, m, nb, list_transform(range(2 * m + 1), lambda k: coalesce(list_sum(list_concat(v, v)[1 : k]), 0)) AS s,
+  list_transform(range(2 * m + 1), lambda k: coalesce(list_sum(list_transform(list_concat(v, v)[1 : k], lambda x: x * x)), 0)) AS q FROM w),
+rl AS (SELECT *, CASE WHEN m > 1 THEN m - ({{shift}}) ELSE m END AS b FROM pre, (SELECT unnest(range({DRAWS})) AS draw)),
+dr AS (SELECT roi, draw, m, nb, s[b + nb + 1] - s[b + 1] AS sb, s[b + m + 1] - s[b + nb + 1] AS sr, q[b + nb + 1] - q[b + 1] AS qb, q[b + m + 1] - q[b + nb + 1] AS qr FROM rl),
+ds AS (SELECT roi, draw, count(*) AS n_events, avg(sb / nullif(nb, 0)) AS mb, avg(sr / nullif(m - nb, 0)) AS mr,
+  (sum(qb) - sum(sb) * sum(sb) / nullif(sum(nb), 0)) / nullif(sum(nb) - 1, 0) AS vb, (sum(qr) - sum(sr) * sum(sr) / nullif(sum(m - nb), 0)) / nullif(sum(m - nb) - 1, 0) AS vr FROM dr GROUP BY 1, 2),
+nul AS (SELECT roi, draw, n_events, mr - mb AS amplitude, mr / nullif(mb, 0) AS ratio, (mr - mb) / sqrt((({PRE} - 1) * vb + ({POST} - 1) * vr) / {LENGTH - 2}) AS effect_size FROM ds)"""
 NULLS = ALIGNED + f""",
-dr AS (SELECT a.roi, a.event_frame, i.draw, (a.rel + {PRE} + 1 + ((i.draw * 7919 + a.event_frame * 104729 + i.draw * a.event_frame * 1299709 + 1) % 2147483647) % {LENGTH - 1}) % {LENGTH} AS pos, a.value
-  FROM aligned a, (SELECT unnest(range({DRAWS})) AS draw) i),
-am AS (SELECT roi, event_frame, draw, avg(value) FILTER (pos >= {PRE}) - avg(value) FILTER (pos < {PRE}) AS a FROM dr GROUP BY ALL),
-nul AS (SELECT roi, draw, avg(a) AS amplitude FROM am GROUP BY ALL)"""
+w AS (SELECT roi, event_frame, list(value ORDER BY rel) AS v, {LENGTH} AS m, {PRE} AS nb FROM aligned GROUP BY 1, 2 HAVING count(value) = {LENGTH}),
+{SHIFTED.format(shift=f"1 + {MIXED} % {LENGTH - 1}")}"""
 
 
-def nulls(spark, d):
-    return response.shift_null(aligned(spark, d), UNIT, DRAWS, PRE, POST)
+def windows(rows):
+    return packing.packed(rows, [*UNIT, "event_frame"], ["value"], "rel")
 
 
-@query("t22_shift_null", f"WITH {NULLS} SELECT nul.roi, draw::BIGINT AS draw, {exact_sql('amplitude', '4000 * n', 5)} AS amplitude FROM nul JOIN (SELECT roi, count(DISTINCT event_frame) AS n FROM aligned GROUP BY roi) k ON k.roi = nul.roi -- FROM fr")
+def nulls_of(spark, d):
+    """Arrays of 1,000 null amplitudes, ratios and effect sizes of each unit."""
+    return nulls.response_null(windows(aligned(spark, d)), UNIT, DRAWS, PRE, POST)
+
+
+def bounds_of(spark, d):
+    """5th and 95th percentile of a unit's null amplitudes."""
+    return nulls_of(spark, d).select("roi", nulls.percentile_of("amplitude", 0.95).alias("hi"), nulls.percentile_of("amplitude", 0.05).alias("lo"))
+
+
+NULL_ROWS = f"SELECT roi, draw::BIGINT AS draw, n_events, {exact_sql('amplitude', '4000 * n_events', 5)} AS amplitude, round(ratio, 6) AS ratio, round(effect_size, 6) AS effect_size FROM nul -- FROM fr"
+
+
+@query("t22_shift_null", f"WITH {NULLS} {NULL_ROWS}")
 def t22(spark, d):
-    n = aligned(spark, d).groupBy("roi").agg(F.count_distinct("event_frame").alias("n"))
-    return nulls(spark, d).join(n, "roi").select("roi", F.col("draw").cast("long").alias("draw"), exact(F.col("amplitude"), 4000 * F.col("n"), 5).alias("amplitude"))
+    return nulls.long_null(nulls_of(spark, d), UNIT).withColumns({
+        "amplitude": exact(F.col("amplitude"), 4000 * F.col("n_events"), 5), "ratio": rounded(F.col("ratio")), "effect_size": rounded(F.col("effect_size"))})
+
+
+@query("t22_null_percentiles", f"""WITH {NULLS} SELECT roi, round(quantile_cont(ratio, 0.95), 6) AS ratio_hi, round(quantile_cont(ratio, 0.05), 6) AS ratio_lo,
+round(quantile_cont(effect_size, 0.95), 6) AS effect_hi, round(quantile_cont(effect_size, 0.05), 6) AS effect_lo FROM nul GROUP BY roi -- FROM fr""")
+def t22_percentiles(spark, d):
+    q = lambda a, p: rounded(nulls.percentile_of(a, p))
+    return nulls_of(spark, d).select("roi", q("ratio", 0.95).alias("ratio_hi"), q("ratio", 0.05).alias("ratio_lo"),
+                                     q("effect_size", 0.95).alias("effect_hi"), q("effect_size", 0.05).alias("effect_lo"))
+
+
+@query("t23_fixed_null", f"""WITH {ALIGNED}, w AS (SELECT roi, event_frame, list(value ORDER BY rel) AS v, count(*) AS m, count(*) FILTER (rel < 0) AS nb
+ FROM aligned WHERE (event_frame + rel) % 13 <> 0 GROUP BY 1, 2), {SHIFTED.format(shift=f"1 + floor({MIXED} / 2147483647.0::DOUBLE * (m - 1))::BIGINT")}
+SELECT roi, draw::BIGINT AS draw, n_events, round(amplitude, 4) AS amplitude, round(ratio, 6) AS ratio, round(effect_size, 6) AS effect_size FROM nul -- FROM fr""")
+def t23(spark, d):
+    rows = aligned(spark, d).withColumn("value", F.when((F.col("event_frame") + F.col("rel")) % 13 != 0, F.col("value")))
+    found = nulls.response_null(windows(rows), UNIT, DRAWS, PRE, POST, fixed=True)
+    return nulls.long_null(found, UNIT).withColumns({
+        "amplitude": F.round("amplitude", 4), "ratio": rounded(F.col("ratio")), "effect_size": rounded(F.col("effect_size"))})
 
 
 @query("t24_classes", f"""WITH {RESPONSE}, {NULLS[len(ALIGNED) + 2:]}, q AS (SELECT roi, quantile_cont(amplitude, 0.95) AS hi, quantile_cont(amplitude, 0.05) AS lo FROM nul GROUP BY roi)
 SELECT roi, CASE WHEN amp > hi AND effect > 0.05 AND roi % 32 NOT IN (0, 31) THEN 'Up' WHEN amp < lo AND effect < -0.05 AND roi % 32 NOT IN (0, 31) THEN 'Down' ELSE 'Stable' END AS class
 FROM resp JOIN q USING (roi) -- FROM fr""")
 def t24(spark, d):
-    bounds = nulls(spark, d).groupBy("roi").agg(F.percentile("amplitude", 0.95).alias("hi"), F.percentile("amplitude", 0.05).alias("lo"))
-    return response.classified(responses(spark, d).join(bounds, "roi"), F.col("hi"), F.col("lo"), edge=(F.col("roi") % 32).isin(0, 31)).select("roi", "class")
+    return response.classified(responses(spark, d).join(bounds_of(spark, d), "roi"), F.col("hi"), F.col("lo"), edge=(F.col("roi") % 32).isin(0, 31)).select("roi", "class")
 
 
 @query("t25_ratio_classes", f"""WITH {RESPONSE} SELECT roi, CASE WHEN ratio > 1.02 THEN 'pyrUp' WHEN ratio < 1 / 1.02 THEN 'pyrDown' ELSE 'pyrStable' END AS class FROM resp -- FROM fr""")
