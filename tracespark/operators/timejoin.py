@@ -1,14 +1,20 @@
 """Joins on time: nearest, as-of, interval and peri-event joins.
 
-All of them partition by recording (``by``) and order inside it, or meet on whole frame
-numbers; none compares all rows of one side with all of the other.
+Nearest and as-of joins order the rows of a slot of a recording (``by``) and carry what
+lies in other slots; the others meet on whole frame numbers or time slots. None compares all
+rows of one side with all of the other, and none takes a long recording into one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a recording that one task orders at once.
+SLOT_ROWS = 1 << 20
+
 
 def _stacked(rows: DataFrame, grid: DataFrame, by: list[str], t: str) -> DataFrame:
     """Both sides as one table; the other side's columns are null structs."""
@@ -24,14 +30,57 @@ def _type(df: DataFrame):
     return df.schema[0].dataType
 
 
-def asof(rows: DataFrame, grid: DataFrame, by: list[str], t: str = "t", prefix: str = "at_", forward: bool = False) -> DataFrame:
+def _slotted(both: DataFrame, by: list[str], t: str, slot_rows: int) -> DataFrame:
+    """``both`` with ``_slot``: recordings of over ``slot_rows`` rows are cut into spans of equal
+    time that hold about so many rows, others are slot 0 as a whole.
+
+    The table of long recordings has at most one row for each ``slot_rows`` rows of the
+    input, which bounds the broadcast.
+    """
+    names = {c: f"_of_{c}" for c in by}
+    at = F.col(t).cast("double")
+    long = both.groupBy(*by).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")).where(
+        (F.col("_n") > slot_rows) & (F.col("_hi") > F.col("_lo"))).withColumnsRenamed(names)
+    slot = F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.ceil(F.col("_n") / slot_rows))
+    return both.join(F.broadcast(long), _same(names), "left").withColumns(
+        {"_slot": F.coalesce(slot, F.lit(0)), "_long": F.col("_n").isNotNull()}).drop(*names.values(), "_n", "_lo", "_hi")
+
+
+def _same(names: dict[str, str]) -> Column:
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(z)) for a, z in names.items()])
+
+
+def _carried(slotted: DataFrame, by: list[str], t: str) -> DataFrame:
+    """``slotted`` with ``_last`` and ``_first``: the last grid row of the slots before a row's own, and
+    the first one of those behind it. Slots are summed up to a row each, so that the scan over
+    a recording's slots, and the broadcast of what it finds, is as small as ``_slotted``'s."""
+    names = {c: f"_of_{c}" for c in [*by, "_slot"]}
+    at = F.when(F.col("_grid").isNotNull(), F.col(t))
+    ends = slotted.where("_long").groupBy(*by, "_slot").agg(F.max_by("_grid", at).alias("_end"), F.min_by("_grid", at).alias("_begin"))
+    over = lambda order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*by, "_slot", F.last("_end", ignorenulls=True).over(over(F.asc("_slot"))).alias("_last"),
+                        F.last("_begin", ignorenulls=True).over(over(F.desc("_slot"))).alias("_first")).withColumnsRenamed(names)
+    return slotted.join(F.broadcast(carry), _same(names), "left").drop(*names.values())
+
+
+def _seen(by: list[str], t: str, forward: bool):
+    """From each row's slot, the rows up to it in time (``forward``: from it on), grid rows first at a tie."""
+    order = F.col(t).desc() if forward else F.col(t).asc()
+    return Window.partitionBy(*by, "_slot").orderBy(order, F.col("_grid").isNull().asc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def asof(
+    rows: DataFrame, grid: DataFrame, by: list[str], t: str = "t", prefix: str = "at_", forward: bool = False, slot_rows: int = SLOT_ROWS,
+) -> DataFrame:
     """Each row with the latest grid row at or before it (``forward``: the first at or after).
 
-    Grid columns other than ``by`` come with a prefix; without such a row they are null.
+    Grid columns other than ``by`` come with a prefix; without such a row they are null. A
+    recording of any length is spread over tasks: it is cut into slots of about ``slot_rows``
+    rows, and what a slot's first rows need from earlier slots is carried over.
     """
-    order = [F.col(t).desc() if forward else F.col(t).asc(), F.col("_grid").isNull().asc()]
-    seen = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = _stacked(rows, grid, by, t).withColumn("_grid", F.last("_grid", ignorenulls=True).over(seen))
+    spread = _carried(_slotted(_stacked(rows, grid, by, t), by, t, slot_rows), by, t)
+    inside = F.last("_grid", ignorenulls=True).over(_seen(by, t, forward))
+    found = spread.withColumn("_grid", F.coalesce(inside, F.col("_first" if forward else "_last")))
     return _unstacked(found.where("_row is not null"), rows, grid, by, t, prefix)
 
 
@@ -40,14 +89,14 @@ def _unstacked(found: DataFrame, rows: DataFrame, grid: DataFrame, by: list[str]
     return found.select(*keep, *[F.col(f"_grid.{c}").alias(prefix + c) for c in grid.columns if c not in by])
 
 
-def nearest(rows: DataFrame, grid: DataFrame, by: list[str], t: str = "t", prefix: str = "at_") -> DataFrame:
-    """Each row with the grid row nearest in time; of two as near the earlier one."""
-    back = Window.partitionBy(*by).orderBy(F.col(t).asc(), F.col("_grid").isNull().asc()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.col(t).desc(), F.col("_grid").isNull().asc()).rowsBetween(Window.unboundedPreceding, 0)
+def nearest(rows: DataFrame, grid: DataFrame, by: list[str], t: str = "t", prefix: str = "at_", slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Each row with the grid row nearest in time; of two as near the earlier one. Long
+    recordings are cut as in ``asof``."""
+    spread = _carried(_slotted(_stacked(rows, grid, by, t), by, t, slot_rows), by, t)
+    known = lambda forward: F.last("_grid", ignorenulls=True).over(_seen(by, t, forward))
     found = (
-        _stacked(rows, grid, by, t)
-        .withColumn("_before", F.last("_grid", ignorenulls=True).over(back))
-        .withColumn("_after", F.last("_grid", ignorenulls=True).over(ahead))
+        spread.withColumn("_before", F.coalesce(known(False), F.col("_last")))
+        .withColumn("_after", F.coalesce(known(True), F.col("_first")))
         .where("_row is not null")
     )
     gap_before, gap_after = F.col(t) - F.col(f"_before.{t}"), F.col(f"_after.{t}") - F.col(t)
