@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
-from fixtures import SCHEMA, ascii_lower, documents, frame, words_of
+from compare import connected
+from fixtures import SCHEMA, ascii_lower, bag, documents, frame, words_of
 from pyspark.sql import functions as F
 
 from tracespark.llm import queries
@@ -23,10 +25,6 @@ from tracespark.llm.url_filters import judged
 FOLDER = "/root/testdata/sf0.001"
 
 
-def bag(rows):
-    return Counter(map(tuple, rows))
-
-
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
@@ -374,3 +372,27 @@ def test_files_without_a_filler_or_last_end(spark, tmp_path):
     for block in (1, 2, 100):
         got = document_counts(spark, str(tmp_path), end_id=9, filler_id=None, token="<u4", numbered=False, block_tokens=block).collect()
         assert sorted((r.start, r.n_tokens, r.complete) for r in got) == [(0, 2, True), (3, 0, True), (4, 1, True), (6, 3, False)]
+
+
+def test_all_links_of_a_page_count(spark):
+    """Several canonical links and refreshes, with attributes in either order."""
+    pages = [
+        (1, "http://a.org/x", '<link rel="canonical" href="http://b.org/y"><LINK href="http://c.net/es/z" rel=canonical>'),
+        (2, "http://c.net/es/z", None), (3, "http://b.org/y", ""),
+        (4, "http://d.org/p", '<meta content="0; url=http://e.org/q" http-equiv="refresh"><meta http-equiv=refresh content="1;URL=http://f.net/fr/r">'),
+        (5, "http://f.net/fr/r", None), (6, "http://e.org/q", None), (7, None, '<link rel="canonical" href="http://c.net/es/z">'), (8, "no host", None),
+        (9, "http://g.org/", '<link rel="stylesheet" href="http://c.net/es/z"><link rel="canonical">'),
+    ]
+    got = {r.page_id: r.verdict for r in judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow"}
+    con = connected(FOLDER)
+    frame_ = pd.DataFrame(pages, columns=["page_id", "url", "html"])  # noqa: F841
+    con.execute("create or replace view pages as select * from frame_")
+    assert {r[0]: r[1] for r in con.execute(f"select page_id, verdict from ({queries.SQL['op4_url_filters']})").fetchall()} == got
+
+
+def test_rows_without_host_are_no_key(spark):
+    pages = [(k, None if k % 2 else "nothing", None) for k in range(500)] + [(1000, "http://x.net/es/", None)]
+    got = judged(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert Counter(r.verdict for r in got.collect()) == {"allow": 500, "block": 1}
+    assert got.count() == 501

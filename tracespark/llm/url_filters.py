@@ -19,8 +19,11 @@ RULES = [
 ]
 
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
+#: For canonical links and refreshes: their tags, what marks the tag, and its link.
+LINKS = [
+    (r"(?is)<link\b[^>]*>", r"""(?is)\brel\s*=\s*["']?canonical\b""", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""),
+    (r"(?is)<meta\b[^>]*>", r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""),
+]
 TRACKING = r"^(utm_[a-z]+|ref|source|fbclid|gclid)="
 
 
@@ -67,15 +70,15 @@ def _target(link: Column, url: Column) -> Column:
 
 
 def alias_links(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) between canonical URLs: canonical links and refreshes in the html,
+    """Links (a, b) between canonical URLs: all canonical links and refreshes in the html,
     and the rows of ``redirects`` (source, target), such as a crawler's log."""
-    url, html = F.col("url"), F.col("html")
-    page = F.col("page")
-    links = reduce(DataFrame.union, [
-        pages.where(html.rlike(pattern)).select(
-            canonical_url(url).alias("page"), canonical_url(_target(F.regexp_extract(html, pattern, 1), url)).alias("b"))
-        for pattern in (CANONICAL, REFRESH)
-    ])
+    url, page = F.col("url"), F.col("page")
+    tags = [
+        pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(tag), F.lit(0))).alias("tag")).where(F.col("tag").rlike(mark))
+        .select("url", F.regexp_extract("tag", link, 1).alias("link")).where("link <> ''")
+        for tag, mark, link in LINKS
+    ]
+    links = reduce(DataFrame.union, tags).select(canonical_url(url).alias("page"), canonical_url(_target(F.col("link"), url)).alias("b"))
     if redirects is not None:
         links = links.union(redirects.select(canonical_url(F.col("source")), canonical_url(F.col("target"))))
     return links.where((page != "") & (F.col("b") != "")).select(page.alias("a"), "b")
@@ -91,7 +94,8 @@ def judged(pages: DataFrame, *, rules=RULES, redirects: DataFrame | None = None)
     goes first. All others are allowed.
 
     Null urls and ones without "://" have an empty host and path and no aliases. Null
-    html has no links. Repeated rows each get a row; an empty table gives no rows.
+    html has no links; urls and html of any length are read whole, and all links of a page
+    count. Repeated rows each get a row; an empty table gives no rows.
     Decisions are summed by component before they are joined back, so that a component
     of any size is never gathered.
 
@@ -106,9 +110,11 @@ def judged(pages: DataFrame, *, rules=RULES, redirects: DataFrame | None = None)
     decided = placed.select("page_id", "host", "path", "page", "_rule.rule", "_rule.verdict")
 
     roots = components(alias_links(plain, redirects)).withColumnRenamed("node", "page")
-    rooted = decided.join(roots, "page", "left").withColumn("root", F.coalesce("root", "page"))
-    spoken = rooted.where("verdict is not null and root <> ''").groupBy("root").agg(
+    # Rows without a host have no aliases and stay out of the joins, where they would be one key.
+    rooted = decided.where("page <> ''").join(roots, "page", "left").withColumn("root", F.coalesce("root", "page"))
+    spoken = rooted.where("verdict is not null").groupBy("root").agg(
         F.bool_or(F.col("verdict") == "allow").alias("allowed"), F.bool_or(F.col("verdict") == "block").alias("blocked"))
-    return rooted.join(spoken, "root", "left").select(
-        "page_id", "host", "path", "rule",
-        F.coalesce("verdict", F.when(F.col("blocked") & ~F.col("allowed"), "block"), F.lit("allow")).alias("verdict"))
+    joined = rooted.join(spoken, "root", "left").select("page_id", "host", "path", "rule", F.coalesce(
+        "verdict", F.when(F.col("blocked") & ~F.col("allowed"), "block"), F.lit("allow")).alias("verdict"))
+    alone = decided.where("page = ''").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    return joined.unionByName(alone)
