@@ -21,13 +21,15 @@ BREAK = b"."
 NO_LANG = "und"
 #: Bits of a phrase's hash that number its bucket; bitmaps of buckets have 8 MB, whatever the corpus.
 BITS = 26
+#: Bytes of text in a row of the encoded corpus; a task holds some ten times as much.
+CHUNK = 4 << 20
 IDS = "lang string, words array<binary>, hashes binary, ids binary"
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of about 8 MB and one language as numbers of their own vocabulary."""
+    """Texts of about ``CHUNK`` bytes and one language as numbers of their own vocabulary."""
     for batch in batches:
-        for part in byte_chunks(batch, "text", 8 << 20):
+        for part in byte_chunks(batch, "text", CHUNK):
             texts = as_bytes(part)
             rows: dict[str, list[int]] = {}
             for row, lang in enumerate(part.column("lang").to_pylist()):
@@ -35,12 +37,12 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, own in rows.items():
                 blob = b".".join([BREAK, *[texts[r] for r in own], b""]).translate(PIECES)
                 coded = pa.array(blob.replace(BREAK, b" . ").split(), pa.binary()).dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in coded.dictionary), np.uint64, len(coded.dictionary))
+                words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([words], pa.list_(pa.binary())), pa.array([hashes.tobytes()], pa.binary()),
-                     pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary())],
+                    [pa.array([lang]), words, pa.array([hashes.tobytes()], pa.binary()), pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary())],
                     names=["lang", "words", "hashes", "ids"])
+                pa.default_memory_pool().release_unused()
 
 
 class Chunk:
@@ -87,6 +89,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
         for row in range(batch.num_rows):
             yield Chunk(batch, row)
+        pa.default_memory_pool().release_unused()
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(chunk.ids, minlength=len(chunk.words))[1:]
         first = Chunk.buckets(_Vocabulary(chunk), 1)[0][1:]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk.lang] * (len(counts) + 1)), pa.array([*chunk.words[1:].cast(pa.string()).to_pylist(), None], pa.string()),
+            [pa.array([chunk.lang] * (len(counts) + 1)), pa.concat_arrays([chunk.words[1:].cast(pa.string()), pa.nulls(1, pa.string())]),
              pa.array(np.append(first, 0).astype(np.int32)), pa.array(np.append(counts, counts.sum()).astype(np.int64))],
             names=["lang", "phrase", "bucket", "f"])
 
@@ -130,7 +133,7 @@ def _bucket_counts(encoded: DataFrame, k: int, frequent) -> DataFrame:
 
         for chunk in _chunks(batches):
             held.append(chunk.admissible(k, frequent.value)[1])
-            if sum(map(len, held)) > 1 << 22:
+            if sum(map(len, held)) > 1 << 21:
                 yield told()
         if held:
             yield told()
