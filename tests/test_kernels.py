@@ -26,6 +26,24 @@ def test_rolling_order_statistics(x, w, q):
     assert np.array_equal(k.rolling_extreme(x, w), [v.min() for v in windows(x, w)])
 
 
+def test_order_statistics_of_a_long_window():
+    """The reference's window of 9,000 frames, with ties and missing values."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(100, 10, 40_000).round(1) + np.linspace(0, 50, 40_000)
+    at = [0, 1, 17, 4499, 4500, 4501, 20_000, 35_500, 35_501, 39_999]
+    padded = np.pad(x, (4500, 4499), mode="symmetric")
+    got = k.rolling_rank(x, 9000, 20)
+    assert [got[i] for i in at] == [np.sort(padded[i : i + 9000])[1800] for i in at]
+    y = np.where(rng.random(40_000) < 0.3, np.nan, x)
+    padded = np.pad(y, (4500, 4499), mode="symmetric")
+    got = k.rolling_percentile(y, 9000, 20)
+    np.testing.assert_allclose([got[i] for i in at], [np.nanpercentile(padded[i : i + 9000], 20) for i in at])
+    # a span of a trace gives what the whole gives
+    for begin, size in ((0, 3000), (10_000, 3000), (37_000, 3000)):
+        low, high = max(0, begin - 4500), min(40_000, begin + size + 4499)
+        assert np.array_equal(k.rolling_rank(x[low:high], 9000, 20, begin - low, size), k.rolling_rank(x, 9000, 20)[begin : begin + size])
+
+
 @settings(max_examples=30, deadline=None)
 @given(values)
 def test_gaussian_is_a_weighted_mean(x):

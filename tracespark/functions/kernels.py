@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
@@ -13,41 +12,71 @@ def mirrored(x: np.ndarray, left: int, right: int) -> np.ndarray:
     return np.pad(x, (left, right), mode="symmetric")
 
 
-def rolling_rank(x: np.ndarray, window: int, q: float) -> np.ndarray:
-    """The order statistic int(window * q / 100) of the window i - w//2 .. i - w//2 + w - 1.
+class OrderStatistics:
+    """The k-th smallest value of many ranges of an array at once (a wavelet matrix).
 
-    A sorted window is kept, one value put in and one taken out per step.
+    Values become ranks. Level by level, from the highest bit, the ranks are parted by
+    their bit, and running counts of zeros carry every range, and its k, into the part in
+    which its answer lies: as many array steps as a rank has bits, for all ranges together.
     """
+
+    def __init__(self, x: np.ndarray):
+        self.values, ranks = np.unique(x, return_inverse=True)
+        self.zeros: list[np.ndarray] = []
+        self.bits = max(1, int(self.values.size - 1).bit_length())
+        for level in reversed(range(self.bits)):
+            bit = (ranks >> level & 1).astype(bool)
+            self.zeros.append(np.concatenate([[0], np.cumsum(~bit)]))
+            ranks = np.concatenate([ranks[~bit], ranks[bit]])
+
+    def smallest(self, starts: np.ndarray, stops: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Value number k (from 0) of each range in order of size."""
+        found = np.zeros(len(starts), np.int64)
+        for zeros in self.zeros:
+            low, high = zeros[starts], zeros[stops]
+            one = k >= high - low
+            found = found << 1 | one
+            k = np.where(one, k - (high - low), k)
+            starts = np.where(one, zeros[-1] + starts - low, low)
+            stops = np.where(one, zeros[-1] + stops - high, high)
+        return self.values[found]
+
+
+def windowed(x: np.ndarray, window: int, before: int = 0, size: int | None = None) -> np.ndarray:
+    """The samples that the windows i - w//2 .. i - w//2 + w - 1 of ``size`` positions from
+    ``before`` on need: what ``x`` has of them, and reflected samples where it ends."""
     half = window // 2
-    padded = mirrored(x, half, window - half - 1).tolist()
+    size = len(x) - before if size is None else size
+    after = len(x) - before - size
+    left, right = max(0, half - before), max(0, window - half - 1 - after)
+    padded = mirrored(x, left, right)
+    begin = before + left - half
+    return padded[begin : begin + size + window - 1]
+
+
+def rolling_rank(x: np.ndarray, window: int, q: float, before: int = 0, size: int | None = None) -> np.ndarray:
+    """The order statistic int(window * q / 100) of each position's window."""
+    padded = windowed(x, window, before, size)
+    at = np.arange(len(padded) - window + 1)
     rank = min(window - 1, int(window * q / 100))
-    held = sorted(padded[:window])
-    out = [held[rank]]
-    for old, new in zip(padded, padded[window:]):
-        del held[bisect.bisect_left(held, old)]
-        bisect.insort(held, new)
-        out.append(held[rank])
-    return np.array(out)
+    return OrderStatistics(padded).smallest(at, at + window, np.full(len(at), rank))
 
 
-def rolling_percentile(x: np.ndarray, window: int, q: float) -> np.ndarray:
+def rolling_percentile(x: np.ndarray, window: int, q: float, before: int = 0, size: int | None = None) -> np.ndarray:
     """Percentile with interpolation over what is not missing in the window; nothing: missing."""
-    half = window // 2
-    padded = mirrored(x, half, window - half - 1)
-    held = sorted(v for v in padded[:window].tolist() if v == v)
-    out = np.full(x.size, np.nan)
-    for i in range(x.size):
-        if held:
-            place = (len(held) - 1) * q / 100
-            low = int(place)
-            high = min(low + 1, len(held) - 1)
-            out[i] = held[low] + (held[high] - held[low]) * (place - low)
-        if i + 1 < x.size:
-            old, new = padded[i], padded[i + window]
-            if old == old:
-                del held[bisect.bisect_left(held, old)]
-            if new == new:
-                bisect.insort(held, float(new))
+    padded = windowed(x, window, before, size)
+    known = ~np.isnan(padded)
+    counts = np.concatenate([[0], np.cumsum(known)])
+    starts, stops = counts[: len(counts) - window], counts[window:]
+    some = stops > starts
+    starts, stops = starts[some], stops[some]
+    place = (stops - starts - 1) * q / 100
+    low = place.astype(np.int64)
+    order = OrderStatistics(padded[known])
+    out = np.full(len(some), np.nan)
+    if some.any():
+        least, most = order.smallest(starts, stops, low), order.smallest(starts, stops, np.minimum(low + 1, stops - starts - 1))
+        out[some] = least + (most - least) * (place - low)
     return out
 
 
@@ -65,25 +94,26 @@ def rolling_extreme(x: np.ndarray, window: int, largest: bool = False) -> np.nda
     return view.max(1) if largest else view.min(1)
 
 
-def percentile_dff(x: np.ndarray, window: int = 9000, q: float = 20.0, eps: float = 1e-8) -> np.ndarray:
-    """(F - b) / (b + eps) over the rolling rank baseline; an all-missing trace stays so."""
-    if np.isnan(x).all():
-        return x
-    base = rolling_rank(x, window, q)
-    return (x - base) / (base + eps)
+def percentile_dff(x: np.ndarray, window: int = 9000, q: float = 20.0, eps: float = 1e-8, before: int = 0, size: int | None = None) -> np.ndarray:
+    """(F - b) / (b + eps) over the rolling rank baseline; missing samples stay missing."""
+    own = x[before:][:size]
+    base = rolling_rank(x, window, q, before, size)
+    return (own - base) / (base + eps)
 
 
-def absolute_dff(x: np.ndarray, window: int, q: float, eps: float = 1e-9) -> np.ndarray:
+def absolute_dff(x: np.ndarray, window: int, q: float, eps: float = 1e-9, before: int = 0, size: int | None = None) -> np.ndarray:
     """The same over the size of the baseline."""
-    base = rolling_rank(x, window, q)
-    return (x - base) / (np.abs(base) + eps)
+    own = x[before:][:size]
+    base = rolling_rank(x, window, q, before, size)
+    return (own - base) / (np.abs(base) + eps)
 
 
-def sparse_dff(x: np.ndarray, window: int, q: float, eps: float = 0.1) -> np.ndarray:
+def sparse_dff(x: np.ndarray, window: int, q: float, eps: float = 0.1, before: int = 0, size: int | None = None) -> np.ndarray:
     """With missing values skipped and negative values taken as missing."""
     x = np.where(x < 0, np.nan, x)
-    base = rolling_percentile(x, window, q)
-    return (x - base) / (base + eps)
+    own = x[before:][:size]
+    base = rolling_percentile(x, window, q, before, size)
+    return (own - base) / (base + eps)
 
 
 def smooth_minimum_dff(x: np.ndarray, window: int = 1800, sigma: float = 300.0) -> np.ndarray:

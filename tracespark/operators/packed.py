@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,43 @@ def per_trace(traces: DataFrame, f: Callable[[np.ndarray], np.ndarray], value: s
     return traces.mapInPandas(run, schema)
 
 
+def rolled(
+    rows: DataFrame, by: list[str], window: int, f: Callable[[np.ndarray, int, int], np.ndarray], value: str = "value", order: str = "frame",
+    span: int = 1 << 15,
+) -> DataFrame:
+    """A function of each sample's window, for long traces of any length.
+
+    ``rows``: by, order (whole numbers from 0 without gaps), value. A trace is cut into spans
+    of ``span`` frames, each packed with the half windows around it, so that one long trace
+    is many tasks' work; at its ends the trace is reflected. ``f`` gets the samples of a span
+    (missing ones NaN), how many lie before it and its size, and gives a value for each of its
+    frames. Returns by, order, value (missing: null).
+    """
+    half = window // 2
+    first = F.greatest(F.lit(0), F.floor((F.col(order) - (window - half - 1)) / span))
+    spread = rows.select(*by, order, value, F.explode(F.sequence(first.cast("long"), F.floor((F.col(order) + half) / span).cast("long"))).alias("_span"))
+    spans = spread.groupBy(*by, "_span").agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_x")).select(
+        *by, "_span", (F.col("_span") * span - F.col("_x")[0][order]).cast("int").alias("_before"), F.col(f"_x.{value}").cast("array<double>").alias(value))
+
+    at = spans.columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for before, samples in zip(batch.column("_before").to_pylist(), batch.column(value)):
+                x = samples.values.to_numpy(zero_copy_only=False).astype(float)
+                size = min(span, len(x) - before)
+                out.append(f(x, before, size) if size > 0 else [])
+            offsets = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+            flat = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays(
+                [c if k != at else pa.ListArray.from_arrays(offsets, flat) for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    done = spans.mapInArrow(run, spans.schema)
+    return done.select(*by, "_span", F.posexplode(value).alias("_k", value)).select(
+        *by, (F.col("_span") * span + F.col("_k")).alias(order), value)
+
+
 def per_group(rows: DataFrame, by: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply a function to each group; groups are dealt out by key."""
     return rows.groupBy(*by).applyInPandas(f, schema)

@@ -30,6 +30,11 @@ def unpacked(traces, name="value"):
     return op.long(traces, UNIT, "value").select("roi", "frame", rounded(F.col("value")).alias(name))
 
 
+def baselined(spark, d, dff):
+    rows = b.traces(spark, d).select("roi", "frame", "value")
+    return op.rolled(rows, UNIT, WINDOW, lambda x, before, size: dff(x, WINDOW, 20, before=before, size=size)).select("roi", "frame", rounded(F.col("value")).alias("dff"))
+
+
 #: Each unit with mirrored edges of k rows.
 MIRROR = """n AS (SELECT roi, max(frame) + 1 AS n FROM fr GROUP BY roi),
 mi AS (SELECT roi, frame AS k, value FROM fr UNION ALL SELECT roi, -1 - frame, value FROM fr WHERE frame < {k}
@@ -40,18 +45,18 @@ bs AS (SELECT rk.* FROM rk JOIN n ON rk.roi = n.roi WHERE frame >= 0 AND frame <
 
 @query("t7_percentile_dff", f"WITH {RANKED} SELECT roi, frame, round((value - b) / (b + 1e-8), 6) AS dff FROM bs -- FROM fr")
 def t7(spark, d):
-    return unpacked(op.per_trace(packed(spark, d), lambda x: kernels.percentile_dff(x, WINDOW, 20)), "dff")
+    return baselined(spark, d, kernels.percentile_dff)
 
 
 @query("t8_absolute_dff", f"WITH {RANKED} SELECT roi, frame, round((value - b) / (abs(b) + 1e-9), 6) AS dff FROM bs -- FROM fr")
 def t8(spark, d):
-    return unpacked(op.per_trace(packed(spark, d), lambda x: kernels.absolute_dff(x, WINDOW, 20)), "dff")
+    return baselined(spark, d, kernels.absolute_dff)
 
 
 @query("t8_sparse_dff", f"""WITH {MIRROR.format(k=45)}, q AS (SELECT roi, k AS frame, value, quantile_cont(value, 0.2) OVER (PARTITION BY roi ORDER BY k ROWS BETWEEN 45 PRECEDING AND 45 FOLLOWING) AS b FROM mi)
 SELECT q.roi, frame, round((value - b) / (b + 0.1), 6) AS dff FROM q JOIN n ON q.roi = n.roi WHERE frame >= 0 AND frame < n -- FROM fr""")
 def t8_sparse(spark, d):
-    return unpacked(op.per_trace(packed(spark, d), lambda x: kernels.sparse_dff(x, WINDOW, 20)), "dff")
+    return baselined(spark, d, kernels.sparse_dff)
 
 
 def gauss_sql(sigma: float) -> str:
