@@ -1,8 +1,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
 from tracespark import sources
 from tracespark.operators import behaviour, logs, timejoin
+from tracespark.sources import binary
 
 
 def test_logs_keep_line_numbers(spark, tmp_path):
@@ -22,8 +25,89 @@ def test_movie_and_regions(spark, tmp_path):
     means = sources.roi_means(frames, {1: np.arange(12), 2: np.arange(3)})
     got = {(r.frame, r.roi): r.value for r in means.collect()}
     assert got[3, 1] == movie[3, :12].mean() and got[3, 2] is None
-    joined = sources.roi_means(frames, {1: np.arange(12), 2: np.arange(3)}, most_broadcast=5)  # masks too large to go along
-    assert {(r.frame, r.roi): r.value for r in joined.collect()} == got
+    blocks = sources.roi_means(frames, {1: np.arange(12), 2: np.arange(3), 3: np.arange(20, 40)}, most_broadcast=5)  # a block at a time
+    assert {(r.frame, r.roi): r.value for r in blocks.where("roi < 3").collect()} == got
+    for most in (5, 1000):  # a pixel outside the frame fails, however many masks there are
+        with pytest.raises(Exception, match="out of bounds"):
+            sources.roi_means(frames, {1: [3, 64]}, 1, most_broadcast=most).collect()
+
+
+def test_one_movie_file_is_many_partitions(spark, tmp_path):
+    movie = np.arange(100 * 64, dtype="<i2").reshape(100, 64)
+    (tmp_path / "a.bin").write_bytes(movie[:70].tobytes())
+    (tmp_path / "b.bin").write_bytes(movie[70:].tobytes())
+    frames = sources.read_movie(spark, str(tmp_path), 8, 8, split=1000)
+    assert frames.rdd.getNumPartitions() == 10 + 5
+    assert {r.frame: bytes(r.pixels) for r in frames.collect()} == {k: movie[k].tobytes() for k in range(100)}
+    some = sources.read_movie(spark, str(tmp_path), 8, 8, frames=(65, 72), split=1000)
+    assert some.rdd.getNumPartitions() == 2 and sorted(r.frame for r in some.collect()) == list(range(65, 72))
+    (tmp_path / "b.bin").write_bytes(movie[70:].tobytes()[:-1])
+    with pytest.raises(Exception, match="whole number of frames"):
+        sources.read_movie(spark, str(tmp_path), 8, 8).collect()
+
+
+def test_filters_on_frames_narrow_the_byte_ranges(spark, tmp_path):
+    movie = np.arange(100 * 64, dtype="<i2").reshape(100, 64)
+    (tmp_path / "a.bin").write_bytes(movie.tobytes())
+    options = {"path": str(tmp_path), "height": "8", "width": "8", "split": "1280"}
+    reader = binary.PushedMovieReader(options)
+    other = EqualTo(("mean",), 3.0)
+    assert reader.pushFilters([GreaterThan(("frame",), 41), LessThanOrEqual(("frame",), 55), other]) == [other]
+    assert [(p.start, p.first, p.count) for p in reader.partitions()] == [(42 * 128, 42, 10), (52 * 128, 52, 4)]
+    key = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(key, "true")
+    try:
+        frames = sources.read_movie(spark, str(tmp_path), 8, 8, split=1280).where("frame >= 95 and mean > 0")
+        assert frames.rdd.getNumPartitions() == 1 and sorted(r.frame for r in frames.collect()) == [95, 96, 97, 98, 99]
+    finally:
+        spark.conf.unset(key)
+
+
+def test_movies_and_matrices_written_by_tasks(spark, tmp_path):
+    movie = np.arange(60 * 12, dtype="<i2").reshape(60, 12)
+    rows = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(movie)], "frame long, pixels binary").repartition(7)
+    sources.write_movie(rows, str(tmp_path / "movie"))
+    assert b"".join(p.read_bytes() for p in sorted((tmp_path / "movie").glob("*.bin"))) == movie.tobytes()
+    assert not list((tmp_path / "movie").glob("_*"))
+    x = {"a": np.random.default_rng(1).random((30, 50)), "b": np.arange(8.0).reshape(2, 4)}
+    traces = spark.createDataFrame([(r, k, v.tolist()) for r, m in x.items() for k, v in enumerate(m)], "rec string, roi long, values array<double>")
+    sources.write_traces(traces.repartition(5), str(tmp_path / "npy"))
+    assert all(np.array_equal(np.load(tmp_path / "npy" / f"{r}.npy"), m) for r, m in x.items())
+    read = sources.read_traces(spark, str(tmp_path / "npy"), split=4000)
+    assert read.rdd.getNumPartitions() == 4
+    assert {(r.rec, r.roi): r["values"] for r in read.collect()} == {(r, k): v.tolist() for r, m in x.items() for k, v in enumerate(m)}
+    assert {(r.rec, r.roi) for r in sources.read_traces(spark, str(tmp_path / "npy"), rois=(1, 3)).collect()} == {("a", 1), ("a", 2), ("b", 1)}
+    (tmp_path / "npy" / "c.npy").write_bytes((tmp_path / "npy" / "b.npy").read_bytes()[:-8])
+    with pytest.raises(Exception, match="do not fit"):
+        sources.read_traces(spark, str(tmp_path / "npy")).collect()
+
+
+def test_a_log_in_fifty_splits(spark, tmp_path):
+    """Line numbers, trials and counters run on over the splits of one file."""
+    raw, t = [], 0
+    for k in range(4000):
+        t += 700
+        raw.append("" if k % 97 == 0 else f"${('NT' if k % 50 == 49 else 'TR' if k % 50 == 0 else 'LE')},{t % 100_000},1")
+    (tmp_path / "A1.txt").write_text("\r\n".join(raw) + "\n")
+    (tmp_path / "A2.txt").write_text("$TR,5\nlast without end")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, str((tmp_path / "A1.txt").stat().st_size // 50 + 1))
+    try:
+        read = sources.read_logs(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 0 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 50
+        got = {(r.rec, r.line_no): r.raw for r in read.collect()}
+        assert got == {("A1", k): x for k, x in enumerate(raw) if x} | {("A2", 0): "$TR,5", ("A2", 1): "last without end"}
+        for slot_lines in (1 << 20, 64):
+            log = logs.unwrapped(logs.with_trials(logs.parsed(read), slot_lines=slot_lines), 100_000, slot_lines=slot_lines)
+            rows = {r.line_no: (r.trial, r.t_ms) for r in log.where("rec = 'A1'").collect()}
+            trial, expected = 0, {}
+            for k, x in enumerate(raw):
+                if x and k >= 50:  # the first $TR is on an empty line
+                    expected[k] = (trial, 700.0 * (k + 1))
+                trial += x.startswith("$NT")
+            assert rows == expected
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_groups_settle_or_fail(spark):

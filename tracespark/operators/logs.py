@@ -11,10 +11,6 @@ WHEEL_SCALE = 0.04 * 50
 FRAME_GAP = 50.0
 
 
-def in_order(by: str = "rec", order: str = "line_no"):
-    return Window.partitionBy(by).orderBy(order)
-
-
 def parsed(lines: DataFrame) -> DataFrame:
     """rec, line_no, raw -> tag, t_ms, f (the fields behind tag and time)."""
     parts = F.split("raw", ",")
@@ -42,25 +38,57 @@ def typed(log: DataFrame, tag: str) -> DataFrame:
     return rows
 
 
-def with_trials(log: DataFrame, free: tuple[str, ...] = ("$PP", "$BT")) -> DataFrame:
+#: Lines of a recording that one task numbers at once.
+SLOT_LINES = 1 << 20
+
+
+def running(log: DataFrame, sums: dict[str, Column], by: str = "rec", order: str = "line_no", slot_lines: int = SLOT_LINES) -> DataFrame:
+    """Adds, for each named number of a line, its sum over all lines up to this one.
+
+    A log is cut into slots of ``slot_lines`` line numbers. Sums run inside a slot, and the
+    sums of the slots before it are added: only those, a row for each slot, are ordered by
+    recording alone.
+    """
+    slot = F.floor(F.col(order) / slot_lines)
+    rows = log.withColumns({"_slot": slot, **{f"_x_{n}": c for n, c in sums.items()}})
+    names = {by: "_of", "_slot": "_of_slot"}
+    before = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(by, "_slot").agg(*[F.sum(f"_x_{n}").alias(f"_x_{n}") for n in sums]).select(
+        by, "_slot", *[F.coalesce(F.sum(f"_x_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums]).withColumnsRenamed(names)
+    inside = Window.partitionBy(by, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumns({n: F.sum(f"_x_{n}").over(inside) for n in sums}).join(
+        carried, F.col(by).eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_of_slot")))
+    return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums}).drop(
+        "_slot", *names.values(), *[f"_x_{n}" for n in sums], *[f"_c_{n}" for n in sums])
+
+
+def with_trials(log: DataFrame, free: tuple[str, ...] = ("$PP", "$BT"), slot_lines: int = SLOT_LINES) -> DataFrame:
     """Trial number of each line: a trial ends with $NT, the first starts with $TR.
 
     Lines before a recording's first $TR are dropped, but for tags in ``free``.
     """
-    w = in_order()
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    begun = F.max((F.col("tag") == "$TR").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
-    return log.withColumns({
-        "trial": F.coalesce(F.sum((F.col("tag") == "$NT").cast("long")).over(past), F.lit(0)), "_begun": begun,
-    }).where(F.col("_begun") | F.col("tag").isin(*free)).drop("_begun")
-
-
-def unwrapped(log: DataFrame, period: float, t: str = "t_ms", by: str = "rec", order: str = "line_no") -> DataFrame:
-    """Undo counter wraps: a drop of over half the period adds a period to all later lines."""
-    w = in_order(by, order)
-    fell = (F.lag(t).over(w) - F.col(t) > period / 2).cast("int")
-    return log.withColumn("_fell", F.coalesce(fell, F.lit(0))).withColumn(
-        t, F.col(t) + F.sum("_fell").over(w.rowsBetween(Window.unboundedPreceding, 0)) * period).drop("_fell")
+    ends, starts = ((F.col("tag") == tag).cast("long") for tag in ("$NT", "$TR"))
+    counted = running(log, {"trial": F.coalesce(ends, F.lit(0)), "_begun": F.coalesce(starts, F.lit(0))}, slot_lines=slot_lines)
+    own = F.coalesce(ends, F.lit(0))  # a trial's last line belongs to it
+    return counted.withColumn("trial", F.col("trial") - own).where((F.col("_begun") > 0) | F.col("tag").isin(*free)).drop("_begun")
+
+
+def unwrapped(log: DataFrame, period: float, t: str = "t_ms", by: str = "rec", order: str = "line_no", slot_lines: int = SLOT_LINES) -> DataFrame:
+    """Undo counter wraps: a drop of over half the period adds a period to all later lines.
+
+    The line before a slot's first one comes from the slot before, as its last line.
+    """
+    slot = F.floor(F.col(order) / slot_lines)
+    rows = log.withColumn("_slot", slot)
+    names = {by: "_of", "_slot": "_of_slot"}
+    ends = rows.groupBy(by, "_slot").agg(F.max_by(F.struct(F.col(t).alias("t")), order).alias("_end")).select(
+        by, "_slot", F.lag("_end").over(Window.partitionBy(by).orderBy("_slot"))["t"].alias("_end")).withColumnsRenamed(names)
+    inside = Window.partitionBy(by, "_slot").orderBy(order)
+    last = F.when(F.row_number().over(inside) == 1, F.col("_end")).otherwise(F.lag(t).over(inside))
+    linked = rows.join(ends, F.col(by).eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_of_slot"))).withColumn("_last", last)
+    fell = F.coalesce((F.col("_last") - F.col(t) > period / 2).cast("long"), F.lit(0))
+    counted = running(linked.drop("_slot", *names.values(), "_end"), {"_fell": fell}, by, order, slot_lines)
+    return counted.withColumn(t, F.col(t) + F.col("_fell") * period).drop("_fell", "_last")
 
 
 def filled_frames(frames: DataFrame, by: str = "rec", t: str = "t", gap: float = FRAME_GAP) -> DataFrame:

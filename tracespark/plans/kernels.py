@@ -298,13 +298,11 @@ def s2(spark, d):
     return sources.read_logs(spark, path, r"/rec=([0-9]+)/").withColumn("rec", F.col("rec").cast("long"))
 
 
-#: int16 value of the mark that ends a frame: "\u0100" in UTF-8, little end first.
-MARK = int.from_bytes("\u0100".encode(), "little", signed=True)
 PIXEL = "px AS (SELECT frame, roi, floor(value)::BIGINT % 30000 AS v FROM fr), sz AS (SELECT max(roi) + 1 AS n FROM px)"
 
 
 def movie(spark, d):
-    """A movie of one row of pixels, one for each unit and the mark."""
+    """A movie of one row of pixels, one for each unit, written and read again."""
     width = b.traces(spark, d).agg(F.max("roi")).first()[0] + 1
 
     def frame(batches):
@@ -320,10 +318,10 @@ def movie(spark, d):
     packed_ = each.groupBy("frame").agg(F.collect_list(F.struct("roi", "v")).alias("x")).select("frame", F.col("x.roi").alias("rois"), F.col("x.v").alias("values"))
     path = sources.scratch(spark, "movie")
     sources.write_movie(packed_.mapInPandas(frame, "frame long, pixels binary"), path)
-    return sources.read_movie(spark, path, 1, width + 1)
+    return sources.read_movie(spark, path, 1, width)
 
 
-@query("s4_movie_frames", f"WITH {PIXEL} SELECT frame, round((sum(v) + {MARK}) / (any_value(n) + 1.0::DOUBLE), 6) AS mean FROM px, sz GROUP BY frame -- FROM fr")
+@query("s4_movie_frames", f"WITH {PIXEL} SELECT frame, round(sum(v) / any_value(n)::DOUBLE, 6) AS mean FROM px, sz GROUP BY frame -- FROM fr")
 def s4(spark, d):
     return movie(spark, d).select("frame", rounded(F.col("mean")).alias("mean"))
 
@@ -342,7 +340,7 @@ def s5(spark, d):
     path = sources.scratch(spark, "traces")
     sources.write_traces(b.table(spark, d, "embeddings").select(F.col("label").alias("rec"), F.col("vec_id").alias("roi"), F.col("embedding").alias("values")), path)
     energy = F.aggregate("values", F.lit(0.0), lambda a, v: a + v * v)
-    return sources.read_traces(spark, path, "part-*", r"/rec=([0-9]+)/").select(
+    return sources.read_traces(spark, path).select(
         F.col("rec").cast("long").alias("rec"), "roi", F.size("values").cast("long").alias("n"), rounded(energy).alias("energy"))
 
 

@@ -6,14 +6,15 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from io import BytesIO
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracespark.sources import binary
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir), set as the
@@ -53,11 +54,21 @@ def write_logs(lines: DataFrame, path: str) -> None:
 
 def read_logs(spark: SparkSession, path: str, rec: str = FILE_NAME) -> DataFrame:
     """Behaviour logs: rec (what the pattern finds in a file's path), line_no and raw of
-    every line that is not empty. A log has to fit into a task, since its lines are numbered."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), rec, 1).alias("rec"), "value")
-    return files.select("rec", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw")).where("raw <> ''").withColumn(
-        "line_no", F.col("line_no").cast("long"))
+    every line that is not empty.
+
+    Long logs are read in Spark's splits. Lines are numbered inside a split, and the numbers of
+    lines in the splits before it are added; the table of these has a row for each split.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "value",
+        F.monotonically_increasing_id().alias("_at"))
+    counts = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1
+    return lines.withColumn("_k", inside).join(F.broadcast(offsets), ["_file", "_block"]).select(
+        F.regexp_extract("_file", rec, 1).alias("rec"), (F.col("_before") + F.col("_k")).alias("line_no"),
+        F.regexp_replace("value", "\r$", "").alias("raw")).where("raw <> ''")
 
 
 def discovered(a: DataFrame, z: DataFrame, by: str = "rec") -> DataFrame:
@@ -71,60 +82,55 @@ def files_of(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("rec"))
 
 
-def write_movie(frames: DataFrame, path: str, mark: str = "\u0100") -> None:
-    """Frames (frame, pixels: bytes of int16) as raw movie files of some frames each.
+def _registered(spark: SparkSession, source: type) -> str:
+    spark.dataSource.register(source)
+    return source.name()
 
-    Spark's text writer ends each row with its separator: here the last pixel of every
-    frame, so that ``pixels`` has one pixel less. Parts are in order of frame.
-    """
-    frames.repartitionByRange("frame").sortWithinPartitions("frame").select(
-        F.col("pixels").cast("string").alias("value")).write.option("lineSep", mark).text(path)
 
+def _pushed(spark: SparkSession) -> str:
+    """Whether the session lets Python data sources take filters."""
+    return str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower()
 
-def read_movie(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
-    """Raw int16 movie: frame, mean and pixels of each frame.
 
-    A record is one frame, so that a movie is read in splits; its size must be a whole
-    number of frames (else Spark fails at its end). The parts of a folder follow each
-    other by name.
-    """
-    parts = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
-    records = spark.sparkContext.binaryRecords(",".join(parts), 2 * height * width).map(bytearray).zipWithIndex()
-    frames = spark.createDataFrame(records, "pixels binary, frame long")
+def write_movie(frames: DataFrame, path: str) -> None:
+    """Frames (frame, pixels: bytes of int16) as raw movie files of some frames each, named
+    in order of frame."""
+    frames.repartitionByRange("frame").sortWithinPartitions("frame").select("frame", "pixels").write.format(
+        _registered(frames.sparkSession, binary.RawMovie)).mode("append").save(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pixels = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i2").reshape(batch.num_rows, height * width)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(pixels.mean(1))], names=["frame", "pixels", "mean"])
 
-    return frames.mapInArrow(run, "frame long, pixels binary, mean double")
+def read_movie(spark: SparkSession, path: str, height: int, width: int, frames: tuple[int, int] | None = None, split: int = binary.SPLIT) -> DataFrame:
+    """Raw int16 movie: frame, mean and pixels of each frame.
+
+    A file, or the files of a folder by name, are cut into ranges of about ``split`` bytes;
+    their sizes must be whole numbers of frames. Only frames from ``frames[0]`` to before
+    ``frames[1]`` are read; filters on frame narrow this further where the session
+    lets data sources take them (spark.sql.python.filterPushdown.enabled).
+    """
+    low, high = frames or (0, 2**62)
+    return spark.read.format(_registered(spark, binary.RawMovie)).options(
+        height=height, width=width, split=split, pushed=_pushed(spark), **{"from": low, "to": high}).load(path)
 
 
 def roi_means(frames: DataFrame, masks: DataFrame | dict, least: int = 10, most_broadcast: int = 4_000_000) -> DataFrame:
     """Mean of each region's pixels in every frame; regions of fewer than ``least`` pixels are missing.
 
     ``masks`` has a row (roi, pixel) for each pixel (flat index) of a region, or is a dict
-    of such. Up to ``most_broadcast`` rows go along with the frames, which are split; more
-    are joined with the frames' pixels instead.
+    of such. Masks go along with the frames, which are split, in blocks of whole regions of about
+    ``most_broadcast`` rows, one block after the other. A pixel outside a frame is an error.
     """
     spark = frames.sparkSession
     if isinstance(masks, dict):
         masks = spark.createDataFrame([(int(k), int(x)) for k, v in masks.items() for x in v], "roi long, pixel long")
-    sizes = masks.groupBy("roi").agg(F.count("*").alias("n"))
-    if (sizes.agg(F.sum("n")).first()[0] or 0) > most_broadcast:
-        def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for frame, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    x = np.frombuffer(x, "<i2")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(x.size, frame)), pa.array(np.arange(x.size)), pa.array(x.astype(float))], names=["frame", "pixel", "value"])
-
-        pixels = frames.select("frame", "pixels").mapInArrow(long, "frame long, pixel long, value double")
-        return pixels.join(masks, "pixel").groupBy("frame", "roi").agg(
-            F.when(F.count("*") >= least, F.avg("value")).alias("value"))
-    own = masks.toPandas()
+    n_blocks = -(-masks.count() // most_broadcast) or 1
+    means = [_block_means(frames, masks.where(F.pmod(F.xxhash64("roi"), F.lit(n_blocks)) == k), least) for k in range(n_blocks)]
+    return reduce(DataFrame.unionByName, means)
+
+
+def _block_means(frames: DataFrame, masks: DataFrame, least: int) -> DataFrame:
+    own = masks.select("roi", "pixel").toPandas()
     rois, order = np.unique(own["roi"].to_numpy(np.int64), return_inverse=True)
-    shared = spark.sparkContext.broadcast((rois, order, own["pixel"].to_numpy(np.int64)))
+    shared = frames.sparkSession.sparkContext.broadcast((rois, order, own["pixel"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rois, order, pixel = shared.value
@@ -139,33 +145,23 @@ def roi_means(frames: DataFrame, masks: DataFrame | dict, least: int = 10, most_
 
 
 def write_traces(packed: DataFrame, path: str) -> None:
-    """Traces (rec, roi, values) as one .npy matrix per recording, in a folder of its own.
-
-    ``np.load`` ends with the matrix, so that the separator behind it does not matter.
-    """
+    """Traces (rec, roi, values) as one .npy matrix per recording, named after it: rows in
+    order of ROI, written one by one."""
+    sizes = packed.groupBy("rec").agg(F.count("*").alias("n_rows"), F.max(F.size("values")).cast("long").alias("n_samples"))
+    packed.join(sizes, "rec").repartition("rec").sortWithinPartitions("rec", "roi").select(
+        F.col("rec").cast("string").alias("rec"), "n_rows", "n_samples", F.col("values").cast("array<double>").alias("values")).write.format(
+        _registered(packed.sparkSession, binary.TraceMatrices)).mode("append").save(path)
 
-    def matrix(group: pd.DataFrame) -> pd.DataFrame:
-        out = BytesIO()
-        np.save(out, np.array(group.sort_values("roi")["values"].tolist(), float))
-        return pd.DataFrame({"rec": [group["rec"].iloc[0]], "value": [out.getvalue()]})
 
-    kind = packed.schema["rec"].dataType.simpleString()
-    packed.groupBy("rec").applyInPandas(matrix, f"rec {kind}, value binary").select("rec", F.col("value").cast("string").alias("value")).repartition(
-        "rec").write.partitionBy("rec").option("maxRecordsPerFile", 1).text(path)
-
-
-def read_traces(spark: SparkSession, path: str, pattern: str = "*.npy", rec: str = FILE_NAME) -> DataFrame:
+def read_traces(
+    spark: SparkSession, path: str, pattern: str = r"\.npy$", rec: str = FILE_NAME, rois: tuple[int, int] | None = None, split: int = binary.SPLIT,
+) -> DataFrame:
     """Trace matrices saved as .npy: rec (what the pattern finds in a file's path), roi and
-    values. A recording's matrix has to fit into a task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["rec"], batch["content"], strict=True):
-                x = np.load(BytesIO(content), allow_pickle=False)
-                yield pd.DataFrame({"rec": name, "roi": np.arange(len(x)), "values": list(x.astype(float))})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.regexp_extract("path", rec, 1).alias("rec"), "content").mapInPandas(run, "rec string, roi long, values array<double>")
+    values. Headers are held against the files' sizes; a matrix is read in ranges of rows,
+    and of those only from ``rois[0]`` to before ``rois[1]``; see ``read_movie``."""
+    low, high = rois or (0, 2**62)
+    return spark.read.format(_registered(spark, binary.TraceMatrices)).options(
+        pattern=pattern, rec=rec, split=split, pushed=_pushed(spark), **{"from": low, "to": high}).load(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:
