@@ -221,54 +221,59 @@ def double_array(paths: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndar
     return base[: end + n_symbols + 1], check[: end + n_symbols + 1], states[node]
 
 
-TRIE = "vocabulary array<binary>, langs array<string>, base binary, check binary, last binary"
+TRIE = "vocabulary array<binary>, langs array<string>, radix int, base binary, check binary, last binary"
 
 
 def _trie(table: pa.Table) -> pa.Table:
-    """A block of candidates (slot, lang, phrase) as one row: a double-array trie whose
-    first symbol is the language, and the last states of the candidates by slot."""
+    """A block of candidates (slot, lang, phrase) as one row: a double-array trie and the last
+    states of the candidates by slot. A path is the language and two digits for each
+    word: with some hundreds of digits, nodes are narrow and lie close together, where one
+    symbol for each of 100,000 words would scatter them."""
     table = table.sort_by("slot")
     langs = sorted(set(table.column("lang").to_pylist()))
     words = pc.split_pattern(table.column("phrase").combine_chunks().cast(pa.binary()), b" ")
     k = len(words[0])
     coded = words.flatten().dictionary_encode()
-    paths = np.empty((table.num_rows, k + 1), np.int32)
+    paths = np.empty((table.num_rows, 2 * k + 1), np.int32)
     paths[:, 0] = 1 + np.searchsorted(langs, table.column("lang").to_pylist())
-    paths[:, 1:] = coded.indices.to_numpy().reshape(-1, k) + 1 + len(langs)
+    radix = int(len(coded.dictionary) ** 0.5) + 1
+    symbols = coded.indices.to_numpy().reshape(-1, k)
+    paths[:, 1::2], paths[:, 2::2] = symbols // radix + 1, symbols % radix + 1
     order = np.lexsort(paths.T[::-1])
-    base, check, last = double_array(paths[order], len(langs) + len(coded.dictionary))
+    base, check, last = double_array(paths[order], max(len(langs), radix))
     by_slot = np.empty(len(last), np.int32)
     by_slot[order] = last
     return pa.Table.from_arrays(
-        [pa.array([coded.dictionary.to_pylist()], pa.list_(pa.binary())), pa.array([langs], pa.list_(pa.string())),
+        [pa.array([coded.dictionary.to_pylist()], pa.list_(pa.binary())), pa.array([langs], pa.list_(pa.string())), pa.array([radix], pa.int32()),
          *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (base, check, by_slot)]],
-        names=["vocabulary", "langs", "base", "check", "last"])
+        names=["vocabulary", "langs", "radix", "base", "check", "last"])
 
 
 def _trie_counts(encoded: DataFrame, k: int, shared) -> DataFrame:
     """How often the candidates of a trie occur, by slot.
 
     All positions of a chunk are in a state of the trie at once; each level takes them on
-    by one word and lets go those without a child. The states in which positions end
+    by one digit and lets go those without a child. The states in which positions end
     are counted by one bincount, chunk after chunk; a task gives its sums at its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, langs, base, check, last = shared.value
+        vocabulary, langs, radix, base, check, last = shared.value
         total = np.zeros(len(check), np.int64)
         for chunk in _chunks(batches):
             if chunk.lang not in langs:
                 continue
-            known = pc.fill_null(pc.index_in(chunk.words, value_set=vocabulary), -1).to_numpy() + 1 + len(langs)
-            known[known == len(langs)] = 0  # no word of the block: a symbol without arcs
-            symbols = known.astype(np.int32)[chunk.ids]
-            at = np.flatnonzero(symbols[: len(symbols) - k + 1])
+            known = pc.fill_null(pc.index_in(chunk.words, value_set=vocabulary), -1).to_numpy().astype(np.int32)
+            symbols = known[chunk.ids]  # -1: no word of the block
+            at = np.flatnonzero(symbols[: max(0, len(symbols) - k + 1)] >= 0)
             state = np.full(len(at), base[1] + 1 + langs.index(chunk.lang), np.int32)
             for j in range(k):
-                symbol = symbols[at + j]
-                child = base[state] + symbol
-                lives = (check[child] == state) & (symbol > 0)
-                at, state = at[lives], child[lives]
+                alive = symbols[at + j] >= 0
+                at, state = at[alive], state[alive]
+                for digit in (np.floor_divide, np.remainder):
+                    child = base[state] + digit(symbols[at + j], radix) + 1
+                    alive = check[child] == state
+                    at, state = at[alive], child[alive]
             total += np.bincount(state, minlength=len(total))
         found = total[last]
         some = np.flatnonzero(found)
@@ -293,7 +298,7 @@ def _frequent(encoded: DataFrame, k: int, shorter: DataFrame, least: int, block:
         if trie is None:
             continue
         shared = context.broadcast((
-            pa.array([bytes(w) for w in trie.vocabulary], pa.binary()), list(trie.langs), *[np.frombuffer(bytes(x), np.int32) for x in (trie.base, trie.check, trie.last)]))
+            pa.array([bytes(w) for w in trie.vocabulary], pa.binary()), list(trie.langs), trie.radix, *[np.frombuffer(bytes(x), np.int32) for x in (trie.base, trie.check, trie.last)]))
         counts = _trie_counts(encoded, k, shared).where(F.col("f") >= least)
         counted.append(stored(own.join(counts, "slot").select("lang", "phrase", "bucket", "f"), "phrases"))
         shared.destroy()
