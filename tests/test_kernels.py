@@ -137,3 +137,13 @@ def test_p_values():
     assert pvalues.w_test(3, 8, 0) == 0.0390625
     assert abs(pvalues.normal(1.959964) - 0.05) < 1e-6
     assert pvalues.u_test(0, 0, 5, 0) != pvalues.u_test(0, 0, 5, 0)
+
+
+def test_correlation_at_all_lags():
+    rng = np.random.default_rng(5)
+    x, y = rng.random(37), rng.random(37)
+    lags, r = k.cross_correlation(x, y)
+    expected = np.correlate((x - x.mean()) / x.std(), (y - y.mean()) / y.std(), "full") / 37
+    np.testing.assert_allclose(r, expected, atol=1e-12)
+    assert lags.tolist() == list(range(-36, 37)) and np.isnan(k.cross_correlation(x, np.ones(37))[1]).all()
+    assert k.upsampled(np.array([0.0, 3.0]), 3).tolist() == [0, 1, 2, 3, 3, 3]

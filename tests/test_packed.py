@@ -3,7 +3,7 @@
 import numpy as np
 
 from tracespark.functions import kernels
-from tracespark.operators.packed import rolled
+from tracespark.operators.packed import grouped_information_null, rolled
 
 
 def test_spans_of_a_trace_give_what_the_whole_gives(spark):
@@ -29,3 +29,29 @@ def test_one_trace_of_most_rows_is_many_spans(spark):
     got = [r.value for r in found.orderBy("frame").collect()]
     np.testing.assert_allclose(got, kernels.percentile_dff(x, 101, 20))
     assert found.filter("value is null").count() == 0
+
+
+def test_null_of_groups_that_share_their_valid_laps(spark):
+    """Every cell by itself, with its group's shifts, on its valid frames."""
+    rng = np.random.default_rng(4)
+    rows, valid, cells = [], [], {}
+    sets = {("s1", k): (0, 1, 2, 5) if k % 3 else (0, 2, 3, 70, 71) for k in range(9)} | {("s2", 20): (1, 2, 3), ("s2", 21): (1,), ("s2", 22): (1, 2, 3)}
+    for (rec, roi), laps in sets.items():
+        for lap in (0, 1, 2, 3, 5, 70, 71):
+            for k in range(12):
+                rows.append((rec, roi, lap, lap * 12 + k, k // 3, float(rng.random() + (k // 3 == roi % 4))))
+        valid += [(rec, roi, lap) for lap in laps]
+        cells[rec, roi] = [(r[4], r[5]) for r in rows if r[:2] == (rec, roi) and r[2] in laps]
+    df = spark.createDataFrame(rows, "rec string, roi long, lap long, frame long, bin long, value double").repartition(6)
+    ok = spark.createDataFrame(valid, "rec string, roi long, lap long")
+    for batch in (64, 2):
+        got = {(r.rec, r.roi): r for r in grouped_information_null(df, ok, ["rec"], 4, 300, 5, least_laps=3, batch=batch).collect()}
+        assert set(got) == {key for key, laps in sets.items() if len(laps) >= 3}
+        for (rec, roi), r in got.items():
+            group = sorted(k for (q, k), laps in sets.items() if q == rec and laps == sets[rec, roi])
+            assert (r.first_cell, r.n_cells, r.n_laps, r.n_frames) == (group[0], len(group), len(sets[rec, roi]), 12 * len(sets[rec, roi]))
+            bins, x = map(np.array, zip(*cells[rec, roi]))
+            occupancy = np.bincount(bins, minlength=4).astype(float)
+            bits = lambda s: kernels.information(np.bincount(bins, np.roll(x, s), 4), occupancy)  # noqa: B023, E731
+            null = [bits(s) for s in kernels.draw_shifts(x.size, 300, 5, group[0])]
+            assert abs(r.info_bits - bits(0)) < 1e-9 and abs(r.null_95 - np.percentile(null, 95)) < 1e-9

@@ -136,6 +136,26 @@ def shifted_sums(x: np.ndarray, n_before: int, shifts: np.ndarray) -> tuple[np.n
     return out[0], out[1], out[2], out[3]
 
 
+def upsampled(x: np.ndarray, factor: float) -> np.ndarray:
+    """Linear interpolation at ``factor`` times the rate; the last value holds to the end."""
+    return np.interp(np.arange(round(x.size * factor)) / factor, np.arange(x.size), x)
+
+
+def cross_correlation(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lags -(n - 1) .. n - 1 and the correlation of z-scored x at i + lag with y at i, over n.
+
+    All lags come from one product of spectra. A constant or missing signal has none.
+    """
+    n = x.size
+    lags = np.arange(-n + 1, n)
+    sds = x.std(), y.std()
+    if not n or not all(np.isfinite(s) and s > 0 for s in sds):
+        return lags, np.full(lags.size, np.nan)
+    size = 1 << int(2 * n - 1).bit_length()
+    a, z = (np.fft.rfft((v - v.mean()) / s, size) for v, s in zip((x, y), sds))
+    return lags, np.fft.irfft(a * np.conj(z), size)[lags] / n
+
+
 def information(activity: np.ndarray, occupancy: np.ndarray) -> float:
     """Bits per event from sums and frames per bin."""
     p = occupancy / occupancy.sum()
@@ -148,17 +168,29 @@ def information(activity: np.ndarray, occupancy: np.ndarray) -> float:
     return float((p[on] * x * np.log2(x)).sum())
 
 
+def informations(activity: np.ndarray, occupancy: np.ndarray) -> np.ndarray:
+    """The information of each row of sums (..., bins) over the same frames per bin."""
+    p = occupancy / occupancy.sum()
+    rate = np.divide(activity, occupancy, out=np.zeros_like(activity, dtype=float), where=occupancy > 0)
+    with np.errstate(all="ignore"):
+        mean = rate @ p
+        x = rate / mean[..., None]
+        bits = np.where((occupancy > 0) & (rate > 0), p * x * np.log2(np.where(rate > 0, x, 1.0)), 0.0).sum(-1)
+    return np.where(mean == 0, np.nan, bits)
+
+
 def shifted_information(values: np.ndarray, bins: np.ndarray, n_bins: int, shifts: np.ndarray) -> np.ndarray:
-    """Information of the activity rolled by each shift.
+    """Information of the activity rolled by each shift, of one trace or of many (traces,
+    frames) that share their bins and shifts.
 
     The bin sums of all rolls are a circular cross-correlation of the activity with the
-    bins' indicators, so that one FFT per bin gives every shift.
+    bins' indicators, so that one FFT per bin and trace gives every shift.
     """
-    n = values.size
+    n = values.shape[-1]
     occupancy = np.bincount(bins, minlength=n_bins).astype(float)
     spectrum = np.conj(np.fft.rfft(values))
-    sums = np.stack([np.fft.irfft(np.fft.rfft((bins == k).astype(float)) * spectrum, n) for k in range(n_bins)], 1)
-    return np.array([information(sums[s], occupancy) for s in shifts])
+    sums = np.stack([np.fft.irfft(np.fft.rfft((bins == k).astype(float)) * spectrum, n)[..., shifts] for k in range(n_bins)], -1)
+    return informations(sums, occupancy)
 
 
 def temporal_null(values: np.ndarray, lap: np.ndarray, bins: np.ndarray, n_bins: int, shifts: np.ndarray) -> np.ndarray:

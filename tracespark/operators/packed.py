@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracespark.functions import kernels
 
@@ -106,6 +107,67 @@ def information_null(traces: DataFrame, by: list[str], n_bins: int, draws: int,
     return traces.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", info_bits double, null_95 double, n_frames long")
 
 
+def lap_masks(valid: DataFrame, by: list[str], cell: str = "roi", lap: str = "lap", least: int = 1) -> DataFrame:
+    """The cells of each exact set of valid laps: by, cell, mask (a bit for each lap), n_laps,
+    first_cell (the group's smallest, which names it) and n_cells. Cells of fewer than ``least`` valid laps drop out."""
+    own = valid.select(*by, cell, lap).distinct().groupBy(*by, cell, F.shiftright(lap, 6).alias("_word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({lap} % 64 as int))")).alias("_bits"), F.count("*").alias("_n"))
+    masks = own.groupBy(*by, cell).agg(F.array_sort(F.collect_list(F.struct("_word", "_bits"))).alias("mask"), F.sum("_n").alias("n_laps")).where(
+        F.col("n_laps") >= least)
+    groups = masks.groupBy(*by, "mask").agg(F.min(cell).alias("first_cell"), F.count("*").alias("n_cells"))
+    return masks.join(groups, [*by, "mask"])
+
+
+def grouped_information_null(
+    rows: DataFrame, valid: DataFrame, by: list[str], n_bins: int, draws: int, least_shift: int, *, least_laps: int = 1, cell: str = "roi",
+    lap: str = "lap", order: str = "frame", batch: int = 64,
+) -> DataFrame:
+    """Observed information and its 95th null percentile on each cell's own valid laps.
+
+    ``rows``: by, cell, lap, order, bin, value (running frames); ``valid``: by, cell, lap. The cells of
+    a recording that share all their valid laps are one group: they have the same frames, one
+    occupancy and one set of shifts, drawn by the group's smallest cell, and the spectra of
+    the bins are taken once for all of them. A group's cells are dealt out in batches of
+    about ``batch``. Cells of fewer than ``least_laps`` valid laps have no row; groups of no
+    more than twice ``least_shift`` frames have no null.
+
+    Returns by, cell, first_cell, n_cells, n_laps, n_frames, info_bits, null_95.
+    """
+    masks = lap_masks(valid, by, cell, lap, least_laps)
+    kept = rows.join(valid.select(*by, cell, lap).distinct(), [*by, cell, lap], "left_semi")
+    own = packed(kept, [*by, cell], ["value", "bin"], order).join(masks.drop("mask"), [*by, cell])
+    columns = [f"by{k}" for k in range(len(by))]
+    dealt = own.select(
+        *[F.col(c).alias(k) for c, k in zip(by, columns)], F.col(cell).cast("long").alias("cell"), F.col("first_cell").cast("long").alias("first_cell"),
+        "n_cells", "n_laps", F.col("value").cast("array<double>").alias("value"), F.col("bin").cast("array<int>").alias("bin"),
+        F.pmod(F.xxhash64(cell), F.ceil(F.col("n_cells") / batch)).alias("deal")).repartition(*columns, "first_cell", "deal")
+    added = "n_frames long, info_bits double, null_95 double"
+    names = [*columns, "cell", "first_cell", "n_cells", "n_laps"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            groups: dict[tuple, list[int]] = {}
+            for row, key in enumerate(zip(*[part.column(c).to_pylist() for c in (*columns, "first_cell")])):
+                groups.setdefault(key, []).append(row)
+            found: list = [None] * part.num_rows
+            for key, own in groups.items():
+                for some in (own[a : a + batch] for a in range(0, len(own), batch)):
+                    bins = part.column("bin")[some[0]].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    values = np.stack([part.column("value")[r].values.to_numpy(zero_copy_only=False) for r in some])
+                    seen = kernels.shifted_information(values, bins, n_bins, np.array([0]))[:, 0]
+                    null = np.full(len(some), np.nan)
+                    if bins.size > 2 * least_shift:
+                        shifts = kernels.draw_shifts(bins.size, draws, least_shift, key[-1])
+                        null = np.nanpercentile(kernels.shifted_information(values, bins, n_bins, shifts), 95, axis=1)
+                    for r, x, z in zip(some, seen.tolist(), null.tolist()):
+                        found[r] = (bins.size, x, None if np.isnan(z) else z)
+            made = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *made], names=[*names, "n_frames", "info_bits", "null_95"])
+
+    schema = StructType(dealt.select(*names).schema.fields + StructType.fromDDL(added).fields)
+    return dealt.mapInArrow(run, schema).withColumnsRenamed({**dict(zip(columns, by)), "cell": cell})
+
+
 def temporal_information_null(traces: DataFrame, by: list[str], n_bins: int, draws: int, least: int) -> DataFrame:
     """95th null percentile of the temporal information, for packed value, lap and bin arrays.
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tracespark.functions import kernels
 from tracespark.functions.semantics import finite, median, ratio
 
 
@@ -133,14 +139,39 @@ def profile(aligned: DataFrame, by: list[str], value: str = "value") -> DataFram
         F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"))
 
 
-def cross_correlation(rows: DataFrame, a: str, z: str, lags: int, by: list[str], order: str = "rel") -> DataFrame:
-    """Correlation of two z-scored signals at each lag: sum of products / n."""
-    score = lambda c: ratio(F.col(c) - F.avg(c).over(unit(by)), F.stddev_pop(c).over(unit(by)))
-    scored = rows.select(*by, order, score(a).alias("_a"), score(z).alias("_z"), F.count("*").over(unit(by)).alias("_n"))
-    left = scored.select(*by, "_a", "_n", F.explode(F.sequence(F.lit(-lags), F.lit(lags))).alias("lag"), F.col(order).alias("_at"))
-    left = left.withColumn(order, F.col("_at") + F.col("lag"))
-    return left.join(scored.select(*by, order, "_z"), [*by, order]).groupBy(*by, "lag").agg(
-        (F.sum(F.col("_a") * F.col("_z")) / F.first("_n")).alias("r"))
+def cross_correlation(pairs: DataFrame, a: str, z: str, by: list[str], factor_a: float = 1.0, factor_z: float = 1.0) -> DataFrame:
+    """Correlation of two signals of a unit at every lag, its peak, the peak's lag and lag 0.
+
+    ``pairs``: by and two packed signals. Each is brought to the common rate first (the
+    factor by which it is too slow) and z-scored; where one is shorter the other is cut.
+    ``lag`` counts samples of the common rate by which ``a`` is behind ``z``; of equal peaks the
+    earliest counts. A constant or missing signal gives nulls.
+
+    Returns by, first_lag, r array<double>, peak, peak_lag, lag_0.
+    """
+    columns = [f"by{k}" for k in range(len(by))]
+    plain = pairs.select(*[F.col(c).alias(k) for c, k in zip(by, columns)], F.col(a).cast("array<double>").alias("a"), F.col(z).cast("array<double>").alias("z"))
+    schema = StructType(plain.select(*columns).schema.fields + StructType.fromDDL("first_lag long, r array<double>, peak double, peak_lag long, lag_0 double").fields)
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for xa, xz in zip(batch.column("a"), batch.column("z")):
+                x, y = (kernels.upsampled(v.values.to_numpy(zero_copy_only=False).astype(float), f) if v.is_valid and len(v) else np.empty(0)
+                        for v, f in ((xa, factor_a), (xz, factor_z)))
+                n = min(x.size, y.size)
+                lags, r = kernels.cross_correlation(x[:n], y[:n])
+                if n == 0 or np.isnan(r).any():
+                    out.append((None,) * 5)
+                else:
+                    top = int(np.argmax(r))
+                    out.append((int(lags[0]), r.tolist(), float(r[top]), int(lags[top]), float(r[n - 1])))
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.float64())
+            made = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], names=names)
+
+    return plain.mapInArrow(run, schema).withColumnsRenamed(dict(zip(columns, by)))
 
 
 def on_kept_frames(rows: DataFrame, keep: Column, by: list[str], operator, order: str = "frame") -> DataFrame:

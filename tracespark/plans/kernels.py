@@ -127,32 +127,41 @@ def t34(spark, d):
     return fits.groupBy((F.col("roi") % 5).alias("step")).agg(F.avg("tau").alias("tau"), F.count("*").alias("n"))
 
 
-#: Null information of rows s(roi, i, value, bin) for each draw's shift, as FFTs give it.
-SHIFTED = """z AS (SELECT roi, count(*) AS n FROM s GROUP BY roi),
-dr AS (SELECT s.roi, draw, value, (i + 15 + (draw * 7919 + s.roi * 104729 + draw * s.roi * 1299709 + 1) % 2147483647 % greatest(1, n - 30)) % n AS dest FROM s JOIN z USING (roi), (SELECT unnest(range(50)) AS draw)),
+DRAWS = 1000
+#: Null information of rows s(roi, grp, i, value, bin) for each draw's shift, as FFTs give it; draws of one shift are one row.
+SHIFTED = f"""z AS (SELECT roi, any_value(grp) AS grp, count(*) AS n FROM s GROUP BY roi),
+sh AS (SELECT roi, draw, 15 + (draw * 7919 + grp * 104729 + draw * grp * 1299709 + 1) % 2147483647 % greatest(1, n - 30) AS shift FROM z, (SELECT unnest(range({DRAWS})) AS draw) WHERE n > 30),
+dr AS (SELECT s.roi, shift, value, (i + shift) % n AS dest FROM s JOIN z USING (roi) JOIN (SELECT DISTINCT roi, shift FROM sh) USING (roi)),
 b0 AS (SELECT roi, bin, count(*) AS o, sum(value) AS a FROM s GROUP BY 1, 2),
-b1 AS (SELECT dr.roi, draw, s.bin, sum(dr.value) AS a FROM dr JOIN s ON s.roi = dr.roi AND s.i = dest GROUP BY 1, 2, 3),
-r0 AS (SELECT roi, -1 AS draw, bin, o, a / o AS r FROM b0 UNION ALL SELECT b1.roi, draw, b1.bin, o, b1.a / o FROM b1 JOIN b0 ON b0.roi = b1.roi AND b0.bin = b1.bin),
-r1 AS (SELECT *, o / sum(o) OVER (PARTITION BY roi, draw) AS p FROM r0), r2 AS (SELECT *, sum(p * r) OVER (PARTITION BY roi, draw) AS m FROM r1),
-inf AS (SELECT roi, draw, CASE WHEN any_value(m) <> 0 THEN coalesce(sum(CASE WHEN r > 0 THEN p * r / m * log2(r / m) END), 0) END AS bits FROM r2 GROUP BY 1, 2),
-nul AS (SELECT roi, any_value(bits) FILTER (draw = -1) AS info_bits, quantile_cont(bits, 0.95) FILTER (draw >= 0) AS null_95 FROM inf GROUP BY roi)"""
-WHOLE = f"WITH {RUN}, s AS (SELECT roi, frame AS i, value, bin FROM lp), {SHIFTED}"
+b1 AS (SELECT dr.roi, shift, s.bin, sum(dr.value) AS a FROM dr JOIN s ON s.roi = dr.roi AND s.i = dest GROUP BY 1, 2, 3),
+r0 AS (SELECT roi, -1 AS shift, bin, o, a / o AS r FROM b0 UNION ALL SELECT b1.roi, shift, b1.bin, o, b1.a / o FROM b1 JOIN b0 ON b0.roi = b1.roi AND b0.bin = b1.bin),
+r1 AS (SELECT *, o / sum(o) OVER (PARTITION BY roi, shift) AS p FROM r0), r2 AS (SELECT *, sum(p * r) OVER (PARTITION BY roi, shift) AS m FROM r1),
+inf AS (SELECT roi, shift, CASE WHEN any_value(m) <> 0 THEN coalesce(sum(CASE WHEN r > 0 THEN p * r / m * log2(r / m) END), 0) END AS bits FROM r2 GROUP BY 1, 2),
+n95 AS (SELECT roi, quantile_cont(bits, 0.95) AS null_95 FROM sh JOIN inf USING (roi, shift) GROUP BY roi),
+nul AS (SELECT roi, bits AS info_bits, null_95 FROM inf LEFT JOIN n95 USING (roi) WHERE shift = -1)"""
+WHOLE = f"WITH {RUN}, s AS (SELECT roi, roi AS grp, frame AS i, value, bin FROM lp), {SHIFTED}"
 
 
 @query("p8_information_null", f"{WHOLE} SELECT nul.roi, round(info_bits, 8) AS info_bits, round(null_95, 8) AS null_95, n AS n_frames FROM nul JOIN z ON nul.roi = z.roi -- FROM fr")
 def p8(spark, d):
     rows = op.packed(running(spark, d), UNIT, ["value", "bin"])
-    return op.information_null(rows, UNIT, 9, 50, 15).select("roi", F.round("info_bits", 8).alias("info_bits"), F.round("null_95", 8).alias("null_95"), "n_frames")
+    return op.information_null(rows, UNIT, 9, DRAWS, 15).select("roi", F.round("info_bits", 8).alias("info_bits"), F.round("null_95", 8).alias("null_95"), "n_frames")
 
 
-@query("p9_valid_lap_null", f"""WITH {RUN}, s AS (SELECT roi, row_number() OVER (PARTITION BY roi ORDER BY frame) - 1 AS i, value, bin FROM lp SEMI JOIN vl USING (roi, lap)), {SHIFTED}
-SELECT nul.roi, round(null_95, 8) AS null_95, n AS n_frames FROM nul JOIN z ON nul.roi = z.roi -- FROM fr""")
+@query("p9_valid_lap_null", f"""WITH {RUN}, vr AS (SELECT vl.roi, rec, vl.lap FROM vl JOIN unit ON unit.roi = vl.roi),
+mk AS (SELECT rec, roi, list_sort(list(lap)) AS mask FROM vr GROUP BY 1, 2 HAVING count(*) >= 20),
+gr AS (SELECT rec, mask, min(roi) AS grp, count(*) AS n_cells FROM mk GROUP BY 1, 2),
+s AS (SELECT lp.roi, grp, row_number() OVER (PARTITION BY lp.roi ORDER BY frame) - 1 AS i, value, bin FROM lp SEMI JOIN vl USING (roi, lap) JOIN mk ON mk.roi = lp.roi JOIN gr ON gr.rec = mk.rec AND gr.mask = mk.mask), {SHIFTED}
+SELECT mk.rec, nul.roi, z.grp AS first_cell, n_cells, len(mk.mask) AS n_laps, n AS n_frames, round(info_bits, 8) AS info_bits, round(null_95, 8) AS null_95
+FROM nul JOIN z ON nul.roi = z.roi JOIN mk ON mk.roi = nul.roi JOIN gr ON gr.rec = mk.rec AND gr.mask = mk.mask -- FROM fr JOIN unit""")
 def p9(spark, d):
-    """The null on each cell's valid laps only."""
+    """The null on each cell's valid laps only, by groups of cells that share all of them."""
     from tracespark.plans.places import laps
 
-    rows = running(spark, d).join(laps(spark, d), ["roi", "lap"], "left_semi")
-    return op.information_null(op.packed(rows, UNIT, ["value", "bin"]), UNIT, 9, 50, 15).select("roi", F.round("null_95", 8).alias("null_95"), "n_frames")
+    units = b.units(spark, d).select("roi", "rec")
+    return op.grouped_information_null(
+        running(spark, d).join(units, "roi"), laps(spark, d).join(units, "roi"), ["rec"], 9, DRAWS, 15, least_laps=20).select(
+        "rec", "roi", "first_cell", "n_cells", "n_laps", "n_frames", F.round("info_bits", 8).alias("info_bits"), F.round("null_95", 8).alias("null_95"))
 
 
 #: Laps of three frames or more; three frames a bin; some bins miss all of their values.
@@ -161,20 +170,21 @@ s AS (SELECT roi, lap, row_number() OVER (PARTITION BY roi ORDER BY frame) - 1 A
 
 
 @query("p10_temporal_null", f"""WITH {RUN}, {TEMPORAL}, z AS (SELECT roi, count(*) AS n FROM s GROUP BY roi),
-dr AS (SELECT s.roi, draw, value, (i + 15 + (draw * 7919 + s.roi * 104729 + draw * s.roi * 1299709 + 1) % 2147483647 % greatest(1, n - 30)) % n AS dest FROM s JOIN z USING (roi), (SELECT unnest(range(50)) AS draw)),
-b1 AS (SELECT dr.roi, draw, s.lap, s.bin, sum(dr.value) AS a, count(dr.value) AS o FROM dr JOIN s ON s.roi = dr.roi AND s.i = dest WHERE s.bin < 9 GROUP BY 1, 2, 3, 4),
-ok AS (SELECT roi, draw, lap FROM b1 GROUP BY 1, 2, 3 HAVING min(o) > 0),
-b2 AS (SELECT roi, draw, bin, sum(a) / sum(o) AS r, sum(o) AS o FROM b1 SEMI JOIN ok USING (roi, draw, lap) GROUP BY 1, 2, 3),
-r1 AS (SELECT *, o / sum(o) OVER (PARTITION BY roi, draw) AS p FROM b2), r2 AS (SELECT *, sum(p * r) OVER (PARTITION BY roi, draw) AS m FROM r1),
-inf AS (SELECT roi, draw, CASE WHEN any_value(m) <> 0 THEN coalesce(sum(CASE WHEN r > 0 THEN p * r / m * log2(r / m) END), 0) END AS bits FROM r2 GROUP BY 1, 2),
-nul AS (SELECT roi, quantile_cont(bits, 0.95) AS null_95 FROM inf GROUP BY roi)
+sh AS (SELECT roi, draw, 15 + (draw * 7919 + roi * 104729 + draw * roi * 1299709 + 1) % 2147483647 % greatest(1, n - 30) AS shift FROM z, (SELECT unnest(range({DRAWS})) AS draw)),
+dr AS (SELECT s.roi, shift, value, (i + shift) % n AS dest FROM s JOIN z USING (roi) JOIN (SELECT DISTINCT roi, shift FROM sh) USING (roi)),
+b1 AS (SELECT dr.roi, shift, s.lap, s.bin, sum(dr.value) AS a, count(dr.value) AS o FROM dr JOIN s ON s.roi = dr.roi AND s.i = dest WHERE s.bin < 9 GROUP BY 1, 2, 3, 4),
+ok AS (SELECT roi, shift, lap FROM b1 GROUP BY 1, 2, 3 HAVING min(o) > 0),
+b2 AS (SELECT roi, shift, bin, sum(a) / sum(o) AS r, sum(o) AS o FROM b1 SEMI JOIN ok USING (roi, shift, lap) GROUP BY 1, 2, 3),
+r1 AS (SELECT *, o / sum(o) OVER (PARTITION BY roi, shift) AS p FROM b2), r2 AS (SELECT *, sum(p * r) OVER (PARTITION BY roi, shift) AS m FROM r1),
+inf AS (SELECT roi, shift, CASE WHEN any_value(m) <> 0 THEN coalesce(sum(CASE WHEN r > 0 THEN p * r / m * log2(r / m) END), 0) END AS bits FROM r2 GROUP BY 1, 2),
+nul AS (SELECT roi, quantile_cont(bits, 0.95) AS null_95 FROM sh JOIN inf USING (roi, shift) GROUP BY roi)
 SELECT z.roi, round(null_95, 8) AS null_95, n AS n_frames FROM z LEFT JOIN nul ON nul.roi = z.roi -- FROM fr""")
 def p10(spark, d):
     """The whole running trace is rolled; laps that then miss a bin drop out."""
     w = Window.partitionBy("roi", "lap")
     rows = running(spark, d).withColumns({"k": F.row_number().over(w.orderBy("frame")) - 1, "n": F.count("*").over(w)}).where("n >= 3").select(
         "roi", "frame", "lap", F.floor(F.col("k") / 3).alias("bin"), F.when(F.col("frame") % 170 >= 4, F.col("value")).alias("value"))
-    return op.temporal_information_null(op.packed(rows, UNIT, ["value", "lap", "bin"]), UNIT, 9, 50, 15).withColumn("null_95", F.round("null_95", 8))
+    return op.temporal_information_null(op.packed(rows, UNIT, ["value", "lap", "bin"]), UNIT, 9, DRAWS, 15).withColumn("null_95", F.round("null_95", 8))
 
 
 @query("p16_over_null", f"{WHOLE} SELECT roi, info_bits > null_95 AS significant FROM nul -- FROM fr")

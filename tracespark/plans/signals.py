@@ -287,19 +287,30 @@ def t32(spark, d):
     return trial.groupBy("roi").agg(rounded(F.avg(F.col("active").cast("double"))).alias("share"))
 
 
-MEANS = ALIGNED + ", pr AS (SELECT roi, rel, avg(value) AS a, avg(second) AS z FROM aligned GROUP BY 1, 2)"
+#: Signals of a unit's mean event, twice as many samples a second.
+FASTER = 2
+MEANS = ALIGNED + f""", pr AS (SELECT roi, rel + {PRE} AS k, avg(value) AS a, avg(second) AS z FROM aligned GROUP BY 1, 2),
+up AS (SELECT x.roi, i, x.a + (coalesce(y.a, x.a) - x.a) * (i % {FASTER}) / {FASTER}.0::DOUBLE AS a, x.z + (coalesce(y.z, x.z) - x.z) * (i % {FASTER}) / {FASTER}.0::DOUBLE AS z
+  FROM pr x JOIN (SELECT unnest(range({LENGTH * FASTER})) AS i) ON x.k = i // {FASTER} LEFT JOIN pr y ON y.roi = x.roi AND y.k = x.k + 1),
+sc AS (SELECT roi, i, (a - avg(a) OVER w) / nullif(stddev_pop(a) OVER w, 0) AS a, (z - avg(z) OVER w) / nullif(stddev_pop(z) OVER w, 0) AS z FROM up WINDOW w AS (PARTITION BY roi)),
+cc AS (SELECT l.roi, l.i - r.i AS lag, sum(l.a * r.z) / {LENGTH * FASTER} AS r FROM sc l JOIN sc r ON r.roi = l.roi GROUP BY 1, 2)"""
 
 
-def mean_pair(spark, d):
-    return aligned(spark, d).groupBy("roi", "rel").agg(F.avg("value").alias("a"), F.avg("second").alias("z"))
+def correlations(spark, d):
+    """Mean speed and mean signal around events, at twice their rate, at all lags."""
+    means = aligned(spark, d).groupBy("roi", "rel").agg(F.avg("value").alias("a"), F.avg("second").alias("z"))
+    return op.cross_correlation(packing.packed(means, UNIT, ["a", "z"], "rel"), "a", "z", UNIT, FASTER, FASTER)
 
 
-@query("t38_cross_correlation", f"""WITH {MEANS}, s AS (SELECT roi, rel, (a - avg(a) OVER w) / stddev_pop(a) OVER w AS a, (z - avg(z) OVER w) / stddev_pop(z) OVER w AS z, count(*) OVER w AS n
- FROM pr WINDOW w AS (PARTITION BY roi)),
-x AS (SELECT l.roi, k.lag, sum(l.a * r.z) / any_value(l.n) AS r FROM s l CROSS JOIN (SELECT unnest(range(-5, 6)) AS lag) k JOIN s r ON r.roi = l.roi AND r.rel = l.rel + k.lag GROUP BY 1, 2)
-SELECT roi, lag::BIGINT AS lag, round(r, 6) AS r FROM x -- FROM fr""")
+@query("t38_cross_correlation", f"WITH {MEANS} SELECT roi, lag::BIGINT AS lag, round(r, 6) AS r FROM cc -- FROM fr")
 def t38(spark, d):
-    return op.cross_correlation(mean_pair(spark, d), "a", "z", 5, UNIT).select("roi", F.col("lag").cast("long").alias("lag"), rounded(F.col("r")).alias("r"))
+    return correlations(spark, d).select("roi", "first_lag", F.posexplode("r").alias("k", "r")).select(
+        "roi", (F.col("first_lag") + F.col("k")).alias("lag"), rounded(F.col("r")).alias("r"))
+
+
+@query("t38_peaks", f"""WITH {MEANS} SELECT roi, round(max(r), 6) AS peak, arg_max(lag, (r, -lag))::BIGINT AS peak_lag, round(max(r) FILTER (lag = 0), 6) AS lag_0 FROM cc GROUP BY roi -- FROM fr""")
+def t38_peaks(spark, d):
+    return correlations(spark, d).select("roi", rounded(F.col("peak")).alias("peak"), "peak_lag", rounded(F.col("lag_0")).alias("lag_0"))
 
 
 @query("t39_trial_correlation", f"""WITH {ALIGNED}, c AS (SELECT roi, event_frame, corr(value, second) AS r FROM aligned GROUP BY 1, 2)
