@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,24 +57,48 @@ def first_rows(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, less their means and of length 1; a
+    constant or missing one is NaN."""
+    x = np.stack([np.array(v if v is not None else [np.nan], float) for v in vectors.to_pylist()]) if len(vectors) else np.empty((0, 0))
+    x = x - x.mean(1, keepdims=True) if x.size else x
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+
+
 def pairwise_similarity(rows: DataFrame, by: str, item: str, vector: str, block: int = 512) -> DataFrame:
     """Normalised cross-correlation of all pairs of sessions of one animal.
 
-    An animal of over ``block`` sessions is dealt out as pairs of blocks, so that no
-    task compares more than two blocks' sessions, however many an animal has.
+    An animal's sessions are dealt to blocks of about ``block``. Pairs of blocks are cogrouped, and
+    each is one matrix product in a task that holds no more than two blocks, however many
+    sessions an animal has. Vectors of an animal have one length (else an error); constant
+    ones have no similarity (null).
+
+    Returns by, a, z (a before z), similarity.
     """
-    n = F.size(vector)
-    mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x) / n
-    centred = rows.select(by, item, F.col(vector).alias("_v"), mean.alias("_m")).withColumn("_c", F.transform("_v", lambda x: x - F.col("_m")))
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
     blocks = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    unit = centred.withColumn("_norm", norm).withColumn("_u", F.transform("_c", lambda x: F.try_divide(x, F.col("_norm")))).join(blocks, by).select(
-        by, item, "_u", "_n", F.pmod(F.xxhash64(item), F.col("_n")).cast("int").alias("_b"))
-    a = unit.select(by, F.col(item).alias("a"), F.col("_u").alias("_ua"), F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_j"))
-    z = unit.select(by, F.col(item).alias("z"), F.col("_u").alias("_uz"), F.col("_b").alias("_j"), F.explode(F.sequence(F.lit(0), "_b")).alias("_i"))
-    dot = F.aggregate(F.zip_with("_ua", "_uz", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(z, [by, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("a") < F.col("z"))).select(
-        by, F.least("a", "z").alias("a"), F.greatest("a", "z").alias("z"), dot.alias("similarity"))
+    dealt = rows.select(by, F.col(item).alias("_item"), F.col(vector).cast("array<double>").alias("_v")).join(blocks, by).withColumn(
+        "_b", F.pmod(F.xxhash64("_item"), F.col("_n")).cast("int"))
+    own = lambda p: [F.col(c).alias(f"{p}{k}") for c, k in ((by, "by"), ("_item", "item"), ("_v", "v"))]
+    a = dealt.select(*own("a_"), F.col("_b").alias("a_i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("a_j"))
+    z = dealt.select(*own("z_"), F.col("_b").alias("z_j"), F.explode(F.sequence(F.lit(0), "_b")).alias("z_i"))
+    names = {f.name: f.dataType.simpleString() for f in dealt.schema}
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], left.schema.field(c).type) for c in (0, 1, 1)] + [pa.array([], pa.float64())], names=[by, "a", "z", "similarity"])
+        together = unit_rows(left.column("a_v")) @ unit_rows(right.column("z_v")).T
+        same = left.column("a_i")[0] == left.column("a_j")[0]
+        first, second = left.column("a_item").combine_chunks(), right.column("z_item").combine_chunks()
+        i, j = np.indices(together.shape).reshape(2, -1)
+        one, other = first.take(pa.array(i)), second.take(pa.array(j))
+        less = pc.less(one, other)
+        low, high = pc.if_else(less, one, other), pc.if_else(less, other, one)
+        found = pa.table([pa.repeat(left.column(0)[0], len(i)), low, high, pa.array(together.reshape(-1), from_pandas=True)], names=[by, "a", "z", "similarity"])
+        return found.filter(less) if same else found
+
+    return a.groupBy("a_by", "a_i", "a_j").cogroup(z.groupBy("z_by", "z_i", "z_j")).applyInArrow(
+        product, f"{by} {names[by]}, a {names['_item']}, z {names['_item']}, similarity double")
 
 
 def paired_metrics(a: DataFrame, z: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
