@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a recording that one task orders at once.
-SLOT_ROWS = 1 << 20
+#: Grid rows of a recording that one task orders at once, with the rows that fall among them.
+SLOT_ROWS = 1 << 15
 
 
 def _stacked(rows: DataFrame, grid: DataFrame, by: list[str], t: str) -> DataFrame:
@@ -30,37 +30,50 @@ def _type(df: DataFrame):
     return df.schema[0].dataType
 
 
-def _slotted(both: DataFrame, by: list[str], t: str, slot_rows: int) -> DataFrame:
-    """``both`` with ``_slot``: recordings of over ``slot_rows`` rows are cut into spans of equal
-    time that hold about so many rows, others are slot 0 as a whole.
+def _same(names: dict[str, str]) -> Column:
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(z)) for a, z in names.items()])
+
+
+def _renamed(by: list[str]) -> dict[str, str]:
+    return {c: f"_of_{c}" for c in by}
+
 
-    The table of long recordings has at most one row for each ``slot_rows`` rows of the
-    input, which bounds the broadcast.
+def _long(grid: DataFrame, by: list[str], t: str, slot_rows: int) -> DataFrame:
+    """Recordings of over ``slot_rows`` grid rows: their key, span of time and number of slots.
+
+    At most one row for each ``slot_rows`` rows of the grid, which bounds its broadcast.
     """
-    names = {c: f"_of_{c}" for c in by}
     at = F.col(t).cast("double")
-    long = both.groupBy(*by).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")).where(
-        (F.col("_n") > slot_rows) & (F.col("_hi") > F.col("_lo"))).withColumnsRenamed(names)
-    slot = F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.ceil(F.col("_n") / slot_rows))
-    return both.join(F.broadcast(long), _same(names), "left").withColumns(
-        {"_slot": F.coalesce(slot, F.lit(0)), "_long": F.col("_n").isNotNull()}).drop(*names.values(), "_n", "_lo", "_hi")
+    return grid.groupBy(*by).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi")).where(
+        (F.col("_n") > slot_rows) & (F.col("_hi") > F.col("_lo"))).withColumn("_n", F.ceil(F.col("_n") / slot_rows)).withColumnsRenamed(_renamed(by))
 
 
-def _same(names: dict[str, str]) -> Column:
-    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(z)) for a, z in names.items()])
+def _slotted(rows: DataFrame, long: DataFrame, by: list[str], t: str) -> DataFrame:
+    """``rows`` with ``_slot``: long recordings are cut into spans of equal time, from the grid's
+    first row to its last; others are slot 0 as a whole."""
+    place = F.floor((F.col(t).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_n"))
+    slot = F.when(F.col("_n").isNull() | place.isNull(), 0).otherwise(F.least(F.greatest(place, F.lit(0)), F.col("_n")))
+    return rows.join(F.broadcast(long), _same(_renamed(by)), "left").withColumn("_slot", slot.cast("long")).drop(*_renamed(by).values(), "_n", "_lo", "_hi")
 
 
-def _carried(slotted: DataFrame, by: list[str], t: str) -> DataFrame:
-    """``slotted`` with ``_last`` and ``_first``: the last grid row of the slots before a row's own, and
-    the first one of those behind it. Slots are summed up to a row each, so that the scan over
-    a recording's slots, and the broadcast of what it finds, is as small as ``_slotted``'s."""
-    names = {c: f"_of_{c}" for c in [*by, "_slot"]}
-    at = F.when(F.col("_grid").isNotNull(), F.col(t))
-    ends = slotted.where("_long").groupBy(*by, "_slot").agg(F.max_by("_grid", at).alias("_end"), F.min_by("_grid", at).alias("_begin"))
-    over = lambda order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*by, "_slot", F.last("_end", ignorenulls=True).over(over(F.asc("_slot"))).alias("_last"),
-                        F.last("_begin", ignorenulls=True).over(over(F.desc("_slot"))).alias("_first")).withColumnsRenamed(names)
-    return slotted.join(F.broadcast(carry), _same(names), "left").drop(*names.values())
+def _carried(rows: DataFrame, grid: DataFrame, by: list[str], t: str, slot_rows: int) -> DataFrame:
+    """Both sides as one table with ``_slot``, ``_last`` and ``_first``: the last grid row of the slots
+    before a row's own, and the first one of those behind it.
+
+    The grid's slots are summed up to a row each, and only those are ordered by recording
+    alone. They are no more than two for each ``slot_rows`` rows of the grid, so that they can be broadcast.
+    """
+    long = _long(grid, by, t, slot_rows)
+    own = _slotted(grid.select(*by, t, F.struct(*[c for c in grid.columns if c not in by]).alias("_grid")), long, by, t)
+    ends = own.groupBy(*by, "_slot").agg(F.max_by("_grid", t).alias("_end"), F.min_by("_grid", t).alias("_begin"))
+    every = long.select(*_renamed(by).values(), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))).alias("_of_slot"))
+    names = {**_renamed(by), "_slot": "_of_slot"}
+    slots = every.join(ends, _same(names), "left").drop(*by, "_slot")
+    over = lambda order: Window.partitionBy(*_renamed(by).values()).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carry = slots.select(*names.values(), F.last("_end", ignorenulls=True).over(over(F.asc("_of_slot"))).alias("_last"),
+                         F.last("_begin", ignorenulls=True).over(over(F.desc("_of_slot"))).alias("_first"))
+    both = _slotted(_stacked(rows, grid, by, t), long, by, t)
+    return both.join(F.broadcast(carry), _same(names), "left").drop(*names.values())
 
 
 def _seen(by: list[str], t: str, forward: bool):
@@ -76,9 +89,10 @@ def asof(
 
     Grid columns other than ``by`` come with a prefix; without such a row they are null. A
     recording of any length is spread over tasks: it is cut into slots of about ``slot_rows``
-    rows, and what a slot's first rows need from earlier slots is carried over.
+    grid rows, and what a slot's first rows need from earlier slots is carried over. The
+    plan holds ``rows`` once, so that time joins may follow each other.
     """
-    spread = _carried(_slotted(_stacked(rows, grid, by, t), by, t, slot_rows), by, t)
+    spread = _carried(rows, grid, by, t, slot_rows)
     inside = F.last("_grid", ignorenulls=True).over(_seen(by, t, forward))
     found = spread.withColumn("_grid", F.coalesce(inside, F.col("_first" if forward else "_last")))
     return _unstacked(found.where("_row is not null"), rows, grid, by, t, prefix)
@@ -92,7 +106,7 @@ def _unstacked(found: DataFrame, rows: DataFrame, grid: DataFrame, by: list[str]
 def nearest(rows: DataFrame, grid: DataFrame, by: list[str], t: str = "t", prefix: str = "at_", slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Each row with the grid row nearest in time; of two as near the earlier one. Long
     recordings are cut as in ``asof``."""
-    spread = _carried(_slotted(_stacked(rows, grid, by, t), by, t, slot_rows), by, t)
+    spread = _carried(rows, grid, by, t, slot_rows)
     known = lambda forward: F.last("_grid", ignorenulls=True).over(_seen(by, t, forward))
     found = (
         spread.withColumn("_before", F.coalesce(known(False), F.col("_last")))

@@ -39,6 +39,51 @@ def t36(spark, d):
     return train_dff(spark, d).select("roi", "event_frame", F.col("rel").cast("long").alias("rel"), rounded(F.col("dff")).alias("dff"))
 
 
+#: Frames with a value that is missing now and then, and cycles of pulses: three to a block.
+STIMULATED = MENDED + """, fv AS (SELECT rec, t, CASE WHEN row_number() OVER w % 19 <> 7 THEN value END AS value, value < 25 AS dark, row_number() OVER w - 1 AS frame
+  FROM ev WHERE kind = 'view' WINDOW w AS (PARTITION BY rec ORDER BY t)),
+cy AS (SELECT rec, trial // 3 AS block, trial AS cycle, trial % 2 AS condition, min(start) AS start, max("end") AS "end" FROM mended GROUP BY rec, trial),
+st AS (SELECT rec, frame, t - lag(t) OVER (PARTITION BY rec ORDER BY frame) AS step FROM fv),
+rt AS (SELECT rec, 1000.0::DOUBLE / (quantile_cont(step, 0.5) FILTER (step > 0)) AS rate, max(frame) + 1 AS n FROM st GROUP BY rec),
+g0 AS (SELECT *, lead(start) OVER (PARTITION BY rec, block ORDER BY start) - "end" AS gap FROM cy),
+g1 AS (SELECT * REPLACE (CASE WHEN gap > 0 THEN gap END AS gap) FROM g0),
+gm AS (SELECT rec, block, quantile_cont(gap, 0.5) AS m FROM g1 GROUP BY 1, 2), ga AS (SELECT rec, quantile_cont(gap, 0.5) AS m FROM g1 GROUP BY 1),
+sz AS (SELECT g1.rec, cycle, condition, start, "end", n, round_even(300000.0::DOUBLE * rate, 0)::BIGINT AS pre, ceil(("end" - start + coalesce(gap, gm.m, ga.m)) / 1000 * rate)::BIGINT AS post
+  FROM g1 JOIN gm ON g1.rec = gm.rec AND g1.block = gm.block JOIN ga ON ga.rec = g1.rec JOIN rt ON rt.rec = g1.rec),
+s1 AS (SELECT sz.*, f.frame AS first FROM sz ASOF LEFT JOIN fv f ON sz.rec = f.rec AND sz.start >= f.t),
+s2 AS (SELECT s1.*, f.frame AS last FROM s1 ASOF LEFT JOIN fv f ON s1.rec = f.rec AND s1."end" >= f.t)"""
+ANCHORED = """tr AS (SELECT o.rec, cycle, condition, onset, rel FROM o, unnest(range(-pre, post + 1)) AS u(rel) WHERE onset >= pre AND onset + post < n),
+rw AS (SELECT tr.*, value FROM tr LEFT JOIN fv ON fv.rec = tr.rec AND fv.frame = onset + rel),
+f0 AS (SELECT rec, cycle, avg(value) AS f0 FROM rw WHERE rel < 0 GROUP BY 1, 2 HAVING avg(value) <> 0),
+df AS (SELECT rw.rec, rw.cycle, condition, rel, f0, (value - f0) / f0 AS dff FROM rw JOIN f0 ON f0.rec = rw.rec AND f0.cycle = rw.cycle),
+k AS (SELECT rec, condition, count(DISTINCT cycle) AS cycles FROM df GROUP BY 1, 2)
+SELECT df.rec, cycle, df.condition, rel, round(CASE WHEN count(dff) OVER (PARTITION BY df.rec, df.condition, rel) = cycles THEN dff END, 6) AS dff, round(f0, 6) AS f0
+FROM df JOIN k ON k.rec = df.rec AND k.condition = df.condition -- FROM ev JOIN trial"""
+
+
+def anchored(spark, d, anchor):
+    number = F.row_number().over(Window.partitionBy("rec").orderBy("t"))
+    frames = b.events(spark, d, "view").select(
+        "rec", "t", F.when(number % 19 != 7, F.col("value")).alias("value"), (F.col("value") < 25).alias("dark"), (number - 1).cast("long").alias("frame"))
+    cycles = mended(spark, d).groupBy("rec", F.col("trial").alias("cycle")).agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumns({
+        "block": F.floor(F.col("cycle") / 3), "condition": F.col("cycle") % 2, "first_pulse": F.col("start")})
+    return stim.anchored_dff(frames, cycles, ["rec"], anchor, 300_000.0).select(
+        "rec", "cycle", "condition", "rel", rounded(F.col("dff")).alias("dff"), rounded(F.col("f0")).alias("f0"))
+
+
+@query("t36_pulse_dff", f"WITH {STIMULATED}, o AS (SELECT *, first AS onset FROM s2 WHERE first IS NOT NULL), {ANCHORED}")
+def t36_pulse(spark, d):
+    """Aligned to the frame of a cycle's first pulse."""
+    return anchored(spark, d, "pulse")
+
+
+@query("t36_cutoff_dff", f"""WITH {STIMULATED}, dk AS (SELECT rec, frame FROM (SELECT rec, frame, dark, coalesce(lag(dark) OVER (PARTITION BY rec ORDER BY frame), false) AS was FROM fv) WHERE dark AND NOT was),
+o AS (SELECT s2.*, (SELECT min(frame) FROM dk WHERE dk.rec = s2.rec AND dk.frame BETWEEN coalesce(first, 0) AND last) AS onset FROM s2 WHERE onset IS NOT NULL), {ANCHORED}""")
+def t36_cutoff(spark, d):
+    """Aligned to a cycle's first dark frame."""
+    return anchored(spark, d, "cutoff")
+
+
 @query("t36_rising_edges", """WITH g AS (SELECT roi, frame, value < 3000 AS dark, lag(value < 3000) OVER (PARTITION BY roi ORDER BY frame) AS was FROM fr)
 SELECT roi, frame FROM g WHERE dark AND NOT coalesce(was, false)""")
 def t36_edges(spark, d):
