@@ -23,6 +23,8 @@ NO_LANG = "und"
 BITS = 26
 #: Bytes of text in a row of the encoded corpus; a task holds some ten times as much.
 CHUNK = 4 << 20
+#: Candidates whose counts travel as one array.
+SUMS = 4096
 IDS = "lang string, words array<binary>, hashes binary, ids binary"
 
 
@@ -254,7 +256,8 @@ def _trie_counts(encoded: DataFrame, k: int, shared) -> DataFrame:
 
     All positions of a chunk are in a state of the trie at once; each level takes them on
     by one digit and lets go those without a child. The states in which positions end
-    are counted by one bincount, chunk after chunk; a task gives its sums at its end.
+    are counted by one bincount, chunk after chunk; a task gives its sums at its end, as
+    arrays of ``SUMS`` slots, and arrays of the same slots are added up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +278,22 @@ def _trie_counts(encoded: DataFrame, k: int, shared) -> DataFrame:
                     alive = check[child] == state
                     at, state = at[alive], child[alive]
             total += np.bincount(state, minlength=len(total))
-        found = total[last]
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], names=["slot", "n"])
-
-    return encoded.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("f"))
+        found = np.append(total[last], np.zeros(-len(last) % SUMS, np.int64)).reshape(-1, SUMS)
+        some = np.flatnonzero(found.any(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array([found[k].tobytes() for k in some], pa.binary())], names=["part", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                own = np.frombuffer(counts.as_buffer(), np.int64)
+                sums[part] = sums[part] + own if part in sums else own
+        for part, counts in sums.items():
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array((part * SUMS + some).astype(np.int32)), pa.array(counts[some])], names=["slot", "f"])
+
+    return encoded.mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(added, "slot int, f long")
 
 
 def _frequent(encoded: DataFrame, k: int, shorter: DataFrame, least: int, block: int) -> list[DataFrame]:
