@@ -246,44 +246,63 @@ def masked_residual(y: np.ndarray, x: np.ndarray, quiet: np.ndarray, bounds: lis
     return out
 
 
-def decay_fit(t: np.ndarray, y: np.ndarray, peak: int, span: float, least: int = 5) -> dict[str, float]:
-    """A exp(-t / tau) + C from the peak on, C: the fitted part's minimum; damped Gauss-Newton.
+def decay_fits(t: np.ndarray, y: np.ndarray, peak: np.ndarray, span: float, least: int = 5, rounds: int = 200) -> dict[str, np.ndarray]:
+    """A exp(-t / tau) + C from the peak on for each row of ``t`` and ``y`` (units, samples; NaN
+    where a unit has fewer), C: the fitted part's minimum.
 
-    Too few points or no convergence give missing values.
+    Damped Gauss-Newton: the 2 x 2 systems of all units are solved together, each with its own
+    damping, and units that have converged leave. Too few points give NaN.
     """
-    use = (t >= t[peak]) & (t <= t[peak] + span) & np.isfinite(y)
-    none = dict.fromkeys(("tau", "a", "c", "tau_se", "r2"), float("nan")) | {"n_points": float(use.sum())}
-    if use.sum() < least:
-        return none
-    x, v = t[use] - t[peak], y[use]
-    c = v.min()
-    p = np.array([max(v[0] - c, 1e-9), max((x[-1] - x[0]) / 3, 1e-9)])
-    damp = 1e-3
-    model = lambda q: q[0] * np.exp(-x / q[1]) + c
-    loss = float(((v - model(p)) ** 2).sum())
-    for _ in range(200):
-        e = np.exp(-x / p[1])
-        j = np.stack([e, p[0] * e * x / p[1] ** 2], 1)
-        h, g = j.T @ j, j.T @ (v - model(p))
-        step = np.linalg.lstsq(h + damp * np.diag(np.diag(h) + 1e-12), g, rcond=None)[0]
-        new = p + step
-        better = new[1] > 0 and float(((v - model(new)) ** 2).sum()) < loss
-        if better:
-            done = np.abs(step).max() < 1e-10 * (1 + np.abs(p).max())
-            p, loss, damp = new, float(((v - model(new)) ** 2).sum()), damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    total = float(((v - v.mean()) ** 2).sum())
-    e = np.exp(-x / p[1])
-    j = np.stack([e, p[0] * e * x / p[1] ** 2], 1)
-    h = j.T @ j
-    se = math.sqrt(loss / (v.size - 2) * np.linalg.pinv(h)[1, 1]) if v.size > 2 else float("nan")
-    return {"tau": float(p[1]), "a": float(p[0]), "c": float(c), "tau_se": se, "r2": 1 - loss / total if total > 0 else float("nan"),
-            "n_points": float(v.size)}
+    rows = np.arange(len(t))
+    begin = t[rows, peak][:, None]
+    with np.errstate(invalid="ignore"):
+        use = (t >= begin) & (t <= begin + span) & np.isfinite(y)
+    n = use.sum(1)
+    out = {k: np.full(len(t), np.nan) for k in ("tau", "a", "c", "tau_se", "r2")} | {"n_points": n.astype(float)}
+    own = np.flatnonzero(n >= least)
+    if not own.size:
+        return out
+    use, n = use[own], n[own]
+    x, v = np.where(use, t[own] - begin[own], 0.0), np.where(use, y[own], 0.0)
+    c = np.where(use, v, np.inf).min(1)
+    first = v[np.arange(own.size), use.argmax(1)]
+    ends = np.where(use, x, -np.inf).max(1) - np.where(use, x, np.inf).min(1)
+    a, tau = np.maximum(first - c, 1e-9), np.maximum(ends / 3, 1e-9)
+
+    def parts(k, a, tau):
+        e = np.exp(-x[k] / tau[:, None]) * use[k]
+        return e, a[:, None] * e * x[k] / (tau * tau)[:, None], np.where(use[k], v[k] - c[k, None] - a[:, None] * e, 0.0)
+
+    loss = (parts(slice(None), a, tau)[2] ** 2).sum(1)
+    damp = np.full(own.size, 1e-3)
+    open_ = np.arange(own.size)
+    for _ in range(rounds):
+        if not open_.size:
+            break
+        e, slope, rest = parts(open_, a[open_], tau[open_])
+        h11, h12, h22 = (e * e).sum(1), (e * slope).sum(1), (slope * slope).sum(1)
+        g1, g2 = (e * rest).sum(1), (slope * rest).sum(1)
+        d11, d22 = h11 + damp[open_] * (h11 + 1e-12), h22 + damp[open_] * (h22 + 1e-12)
+        with np.errstate(all="ignore"):
+            det = d11 * d22 - h12 * h12
+            s1, s2 = np.nan_to_num((d22 * g1 - h12 * g2) / det), np.nan_to_num((d11 * g2 - h12 * g1) / det)
+        na, nt = a[open_] + s1, tau[open_] + s2
+        new = (parts(open_, na, np.where(nt > 0, nt, 1.0))[2] ** 2).sum(1)
+        better = (nt > 0) & (new < loss[open_])
+        small = np.maximum(np.abs(s1), np.abs(s2)) < 1e-10 * (1 + np.maximum(np.abs(a[open_]), np.abs(tau[open_])))
+        k = open_[better]
+        a[k], tau[k], loss[k], damp[k] = na[better], nt[better], new[better], damp[k] / 3
+        damp[open_[~better]] *= 4
+        open_ = open_[np.where(better, ~small, damp[open_] <= 1e12)]
+    e, slope, _ = parts(slice(None), a, tau)
+    h = np.stack([np.stack([(e * e).sum(1), (e * slope).sum(1)], 1), np.stack([(e * slope).sum(1), (slope * slope).sum(1)], 1)], 1)
+    mean = v.sum(1) / n
+    total = (np.where(use, v - mean[:, None], 0.0) ** 2).sum(1)
+    with np.errstate(all="ignore"):
+        out["tau_se"][own] = np.where(n > 2, np.sqrt(loss / (n - 2) * np.linalg.pinv(h)[:, 1, 1]), np.nan)
+        out["r2"][own] = np.where(total > 0, 1 - loss / total, np.nan)
+    out["tau"][own], out["a"][own], out["c"][own] = tau, a, c
+    return out
 
 
 def track_exit(position: np.ndarray, track: float) -> int:

@@ -1,10 +1,16 @@
-"""Artifact regression in closed form, from grouped moments."""
+"""Artifact regression in closed form, from grouped moments; decay fits of many units at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tracespark.functions import kernels
 from tracespark.functions.semantics import ratio
 
 
@@ -54,3 +60,32 @@ def segments(events: DataFrame, by: list[str], before: int, after: int, last: Da
         *by, (F.row_number().over(w) - 1).cast("long").alias("segment"),
         F.coalesce(F.lag(F.col("event_frame") + after).over(w), F.lit(0)).alias("first_frame"),
         (F.col("event_frame") + after).alias("end_frame"))
+
+
+def decay_fits(profiles: DataFrame, by: list[str], first: int, last: int, span: float, least: int = 5, t: str = "rel", y: str = "mean") -> DataFrame:
+    """Exponential decay after the peak of each unit's profile (by, and the arrays t and y).
+
+    The peak is the largest of samples ``first`` .. ``last`` - 1; the fit takes ``span`` of time from
+    there on. The units of an Arrow batch are fitted together. What a unit cannot give (too few
+    points, no variance) is null.
+
+    Returns by, tau, a, c, tau_se, r2, n_points.
+    """
+    columns = [f"by{k}" for k in range(len(by))]
+    names = ["tau", "a", "c", "tau_se", "r2", "n_points"]
+    plain = profiles.select(*[F.col(c).alias(k) for c, k in zip(by, columns)], F.col(t).cast("array<double>").alias("t"), F.col(y).cast("array<double>").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[x.values.to_numpy(zero_copy_only=False).astype(float) if x.is_valid else np.empty(0) for x in batch.column(c)] for c in ("t", "y")]
+            width = max([last, *map(len, lists[0])])
+            times, values = (np.full((batch.num_rows, width), np.nan) for _ in lists)
+            for row, (a, z) in enumerate(zip(*lists)):
+                times[row, : len(a)], values[row, : len(z)] = a, z
+            seen = np.where(np.isfinite(values[:, first:last]), values[:, first:last], -np.inf)
+            fits = kernels.decay_fits(times, values, first + seen.argmax(1), span, least)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in columns], *[pa.array(fits[n], from_pandas=True) for n in names]], names=[*columns, *names])
+
+    schema = StructType(plain.select(*columns).schema.fields + [StructField(n, DoubleType()) for n in names])
+    return plain.mapInArrow(run, schema).withColumnsRenamed(dict(zip(columns, by)))

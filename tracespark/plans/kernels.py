@@ -11,6 +11,7 @@ from tracespark import sources
 from tracespark.functions import kernels
 from tracespark.functions.semantics import rounded
 from tracespark.operators import packed as op
+from tracespark.operators import regression
 from tracespark.operators.behaviour import resampled
 from tracespark.plans import bindings as b
 from tracespark.plans.bindings import query
@@ -105,25 +106,19 @@ def t29(spark, d):
     return op.per_group(rows, UNIT, fit, "roi long, frame long, corrected double")
 
 
-def decays(spark, d, key):
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("rel")
-        t, y = g["rel"].to_numpy(float), g["mean"].to_numpy()
-        f = kernels.decay_fit(t, y, int(np.argmax(y[20:35])) + 20, 15.0)
-        return pd.DataFrame({key: [g[key].iloc[0]], **{k: [v] for k, v in f.items()}})
-
-    mean = aligned(spark, d).withColumn("step", F.col("roi") % 5).groupBy(key, "rel").agg(F.avg("value").alias("mean"))
-    return op.per_group(mean, [key], fit, f"{key} long, tau double, a double, c double, tau_se double, r2 double, n_points double")
+def decays(spark, d):
+    mean = aligned(spark, d).groupBy("roi", F.col("rel").alias("at")).agg(F.avg("value").alias("mean"), F.first("rel").alias("rel"))
+    return regression.decay_fits(op.packed(mean, UNIT, ["rel", "mean"], "at"), UNIT, 20, 35, 15.0)
 
 
 @query("t33_decay_fits")
 def t33(spark, d):
-    return decays(spark, d, "roi")
+    return decays(spark, d)
 
 
 @query("t34_decay_by_step")
 def t34(spark, d):
-    fits = decays(spark, d, "roi").where("r2 > 0.3")
+    fits = decays(spark, d).where("r2 > 0.3")
     return fits.groupBy((F.col("roi") % 5).alias("step")).agg(F.avg("tau").alias("tau"), F.count("*").alias("n"))
 
 
