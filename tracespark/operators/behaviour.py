@@ -164,6 +164,19 @@ def controls(trials: DataFrame, flag: Column, lag: int = 1, by: str = "rec", ord
         "label", F.when(F.col("_flag"), "stim").when(F.col("_was"), "control").otherwise("none")).drop("_flag", "_was")
 
 
+def speed_tests(rows: DataFrame, by: str) -> DataFrame:
+    """Student's t of the two groups' speeds in each bin: by, bin, n0, n1, m0, m1, t, df, p."""
+    from tracespark.operators.stats import two_sample_t, with_p
+
+    return with_p(two_sample_t(rows, [by, "bin"], "group", "speed", equal=True), "t")
+
+
+def speed_gated(rows: DataFrame, by: str, tolerance: float, level: float = 0.05) -> DataFrame:
+    """``speed_matched`` for the recordings in which any bin's speeds differ with p below
+    ``level``; the others keep every trial."""
+    return speed_matched(rows, by, tolerance, speed_tests(rows, by).where(F.col("p") < level))
+
+
 def speed_matched(rows: DataFrame, by: str, tolerance: float, significant: DataFrame | None = None) -> DataFrame:
     """Trials of two groups that stay within the other group's mean +- tolerance * sd.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,18 +59,72 @@ def information(maps: DataFrame, by: list[str]) -> DataFrame:
         F.when(F.first("_m") != 0, F.coalesce(F.sum("_t"), F.lit(0.0))).alias("info_bits"))
 
 
-def field_map(maps: DataFrame, by: list[str]) -> DataFrame:
-    """Counts and occupancy smoothed over five bins (zero outside), their ratio, over its largest."""
-    import math
-
+def smoothed_map(maps: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and occupancy smoothed over five bins (zero outside), and their ratio as ``smooth``."""
     w = Window.partitionBy(*by).orderBy("bin")
     weights = {k: math.exp(-(k * k) / KERNEL_WIDTH) for k in range(-2, 3)}
     total = sum(weights.values())
     at = lambda c, k: F.col(c) if not k else F.coalesce((F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w), F.lit(0.0))
     smooth = lambda c: sum((at(c, k) * (x / total) for k, x in weights.items()), F.lit(0.0))
-    raw = maps.withColumn("_raw", ratio(smooth("activity"), smooth("occupancy")))
-    top = F.max("_raw").over(Window.partitionBy(*by))
-    return raw.withColumn("field", F.when(top == 0, F.col("_raw")).otherwise(ratio(F.col("_raw"), top))).drop("_raw")
+    return maps.withColumn("smooth", ratio(smooth("activity"), smooth("occupancy")))
+
+
+def field_map(maps: DataFrame, by: list[str]) -> DataFrame:
+    """The smoothed map over its largest value."""
+    top = F.max("smooth").over(Window.partitionBy(*by))
+    return smoothed_map(maps, by).withColumn("field", F.when(top == 0, F.col("smooth")).otherwise(ratio(F.col("smooth"), top))).drop("smooth")
+
+
+def field_peaks(maps: DataFrame, by: list[str], width: float = BIN_CM) -> DataFrame:
+    """Peak bin of the smoothed map (of equal ones the first), its centre and its rate; a map
+    without values has bin 0 and no position."""
+    top = F.max_by("bin", F.when(F.col("smooth").isNotNull(), F.struct("smooth", -F.col("bin"))))
+    return smoothed_map(maps, by).groupBy(*by).agg(
+        F.coalesce(top, F.lit(0)).cast("long").alias("peak_bin"), ((top + 0.5) * width).alias("position_cm"), F.max("smooth").alias("amplitude"))
+
+
+def session_metrics(cells: DataFrame, by: list[str], track: float = TRACK_CM, onset: float = 30.0, reward: float = 150.0) -> DataFrame:
+    """Share of place cells among a session's cells, and of the place cells' fields in the onset
+    and reward zones, with the enrichment over an even spread.
+
+    ``cells``: by, significant, position_cm. Without place cells the zones' shares are missing.
+    """
+    place = F.coalesce(F.col("significant"), F.lit(False))
+    share = lambda c: F.avg(F.when(place & F.col("position_cm").isNotNull(), c.cast("double")))
+    early = share((F.col("position_cm") >= 0) & (F.col("position_cm") < onset))
+    late = share((F.col("position_cm") >= reward) & (F.col("position_cm") < track))
+    return cells.groupBy(*by).agg(
+        F.count("*").alias("n_cells"), F.count_if(place).alias("n_place_cells"), (100.0 * F.count_if(place) / F.count("*")).alias("place_cell_percent"),
+        early.alias("onset_share"), late.alias("reward_share"), (early / (onset / track)).alias("onset_enrichment"),
+        (late / ((track - reward) / track)).alias("reward_enrichment"))
+
+
+def cohort_metrics(by_lap: DataFrame, laps: DataFrame, cohort: DataFrame, by: list[str], width: float = BIN_CM, lowest: int = 25) -> DataFrame:
+    """Metrics of one fixed cohort of cells for each trial type.
+
+    ``by_lap``: by, lap, bin, rate and ``laps``: by, lap (valid), where ``by`` ends with the trial type;
+    ``cohort``: by without the type. A type's map is the mean of its laps' rates and every bin
+    counts alike; the primary field is the one that holds the map's peak, else the first.
+
+    Returns by, n_laps, info_bits, location_cm, field_width_cm, in_out, odd_even (four laps or
+    more), consecutive (two or more).
+    """
+    own = laps.join(cohort.select(*by[:-1]).distinct(), by[:-1], "left_semi")
+    rows = by_lap.join(own, [*by, "lap"], "left_semi")
+    maps = rows.groupBy(*by, "bin").agg(F.avg("rate").alias("rate"), F.lit(1.0).alias("occupancy")).withColumn("activity", F.col("rate"))
+    counts = own.groupBy(*by).agg(F.count("*").alias("n_laps"))
+    peaks = maps.groupBy(*by).agg(F.max_by("bin", F.struct("rate", -F.col("bin"))).alias("peak_bin"))
+    fields = tentative_fields(maps, by, lowest=lowest)
+    holds = (F.col("peak_bin") >= F.col("start")) & (F.col("peak_bin") <= F.col("end"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(holds.desc(), "field"))
+    primary = fields.join(peaks, by).withColumn("_r", first).where("_r = 1").select(*by, "field", "start", "end")
+    sizes = field_metrics(primary, maps, by, width).select(*by, F.col("width_cm").alias("field_width_cm"), "in_out")
+    odd = stability(rows, own, by).withColumnRenamed("stability", "odd_even")
+    near = lap_correlations(rows, own, by).select(*by, "consecutive")
+    found = counts.join(information(maps, by), by).join(peaks.select(*by, ((F.col("peak_bin") + 0.5) * width).alias("location_cm")), by)
+    for more in (sizes, odd, near):
+        found = found.join(more, by, "left")
+    return found.withColumns({"odd_even": F.when(F.col("n_laps") >= 4, F.col("odd_even")), "consecutive": F.when(F.col("n_laps") >= 2, F.col("consecutive"))})
 
 
 def tentative_fields(maps: DataFrame, by: list[str], share: float = 0.25, lowest: int = 25, value: str = "rate") -> DataFrame:

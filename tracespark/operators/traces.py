@@ -24,6 +24,12 @@ def block_traces(pixels: DataFrame, side: int = 16, least: int = 10, by: tuple[s
         F.count("*").alias("n_pixels"), F.when(F.count("*") >= least, F.avg("value")).alias("mean"))
 
 
+def field_traces(pixels: DataFrame, height: int, width: int, border: int = 16, by: tuple[str, ...] = ("rec", "frame")) -> DataFrame:
+    """Mean of each frame's pixels away from the border (missing without any), and of all its pixels."""
+    inner = (F.col("y") >= border) & (F.col("y") < height - border) & (F.col("x") >= border) & (F.col("x") < width - border)
+    return pixels.groupBy(*by).agg(F.avg(F.when(inner, F.col("value"))).alias("inner_mean"), F.avg("value").alias("whole_mean"))
+
+
 def frame_cutoff(means: DataFrame, by: str, value: str, search: float = 0.25, least_gap: float = 0.0) -> DataFrame:
     """Dark-frame threshold: the middle of the largest gap between sorted values up to a
     percentile. Fails where that gap is too small."""

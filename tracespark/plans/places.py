@@ -111,6 +111,18 @@ def p11(spark, d):
     return op.field_map(maps(spark, d), CELL).select("roi", "bin", rounded(F.col("field")).alias("field"))
 
 
+PEAKS = FIELD_MAP + """, fp AS (SELECT roi, arg_max(bin, (r, -bin)) AS peak_bin, (arg_max(bin, (r, -bin)) + 0.5) * 20 AS position_cm, max(r) AS amplitude FROM sm WHERE r IS NOT NULL GROUP BY roi)"""
+
+
+def field_peaks(spark, d):
+    return op.field_peaks(maps(spark, d), CELL, 20.0)
+
+
+@query("p11_field_peaks", f"WITH {PEAKS} SELECT roi, peak_bin, round(position_cm, 6) AS position_cm, round(amplitude, 6) AS amplitude FROM fp -- FROM fr")
+def p11_peaks(spark, d):
+    return field_peaks(spark, d).select("roi", "peak_bin", rounded(F.col("position_cm")).alias("position_cm"), rounded(F.col("amplitude")).alias("amplitude"))
+
+
 FIELDS = RUN + """, rk AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY rate, bin) AS k FROM mp),
 th AS (SELECT roi, avg(rate) FILTER (k <= 5) AS base, max(rate) AS peak FROM rk GROUP BY roi),
 hi AS (SELECT mp.roi, bin, rate > base + 0.25 * (peak - base) AS hit FROM mp JOIN th USING (roi)),
@@ -147,7 +159,7 @@ def p14(spark, d):
 
 @query("p15_significant_cells", f"WITH {FIELDS} SELECT roi, bool_or(coalesce(width_cm >= 40 AND in_out > 1.1 AND peak >= 41000 AND fraction >= 0.21, false)) AS significant FROM fmx GROUP BY roi -- FROM fr")
 def p15(spark, d):
-    return op.significant(metrics(spark, d), CELL, 40.0, 1.1, 41_000.0, 0.21)
+    return place_cells(spark, d)
 
 
 HALF = """SELECT roi, CASE WHEN count(a + z) >= 3 THEN round(corr(a, z), 6) END AS stability FROM
@@ -188,25 +200,53 @@ def p20(spark, d):
     return op.primary_field(metrics(spark, d), peaks(maps(spark, d)), CELL).select("roi", "field", "start", "end")
 
 
-@query("p21_session_metrics", f"""WITH {RUN}, c AS (SELECT pk.roi, rec, (peak_bin + 0.5) * 20 AS pos FROM pk JOIN unit USING (roi))
-SELECT rec, count(*) AS n_cells, round(avg((pos < 30)::INT), 6) AS onset_share, round(avg((pos >= 150)::INT), 6) AS reward_share,
- round(avg((pos >= 150)::INT) / (30 / 180), 6) AS enrichment FROM c GROUP BY rec -- FROM fr""")
-def p21(spark, d):
-    pos = (F.col("peak_bin") + 0.5) * 20
-    share = lambda c: F.avg(c.cast("double"))
-    return peaks(maps(spark, d)).join(b.units(spark, d), "roi").withColumn("pos", pos).groupBy("rec").agg(
-        F.count("*").alias("n_cells"), rounded(share(F.col("pos") < 30)).alias("onset_share"), rounded(share(F.col("pos") >= 150)).alias("reward_share"),
-        rounded(share(F.col("pos") >= 150) / (30 / 180)).alias("enrichment"))
+def place_cells(spark, d):
+    return op.significant(metrics(spark, d), CELL, 40.0, 1.1, 41_000.0, 0.21)
 
 
-@query("p22_by_trial_type", f"""WITH {RUN}, ty AS (SELECT roi, lap, bin, activity, occupancy, lap % 2 AS type FROM bl SEMI JOIN vl USING (roi, lap)),
-m2 AS (SELECT roi, type, bin, sum(activity) / sum(occupancy) AS rate, sum(occupancy) AS occupancy FROM ty GROUP BY 1, 2, 3),
-q AS (SELECT *, occupancy / sum(occupancy) OVER (PARTITION BY roi, type) AS p FROM m2), q2 AS (SELECT *, sum(p * rate) OVER (PARTITION BY roi, type) AS m FROM q)
-SELECT roi, type::BIGINT AS type, round(sum(CASE WHEN rate > 0 THEN p * rate / m * log2(rate / m) END), 8) AS info_bits FROM q2 GROUP BY 1, 2 -- FROM fr""")
+COHORT = """sg AS (SELECT roi, bool_or(coalesce(width_cm >= 40 AND in_out > 1.1 AND peak >= 41000 AND fraction >= 0.21, false)) AS significant FROM fmx GROUP BY roi)"""
+SIGNIFICANT = f"{FIELDS[len(RUN) + 2:]}, {COHORT}"
+
+
+@query("p21_session_metrics", f"""WITH {PEAKS}, {SIGNIFICANT},
+c AS (SELECT fp.roi, rec, position_cm AS pos, coalesce(significant, false) AS pc FROM fp JOIN unit USING (roi) LEFT JOIN sg ON sg.roi = fp.roi),
+k AS (SELECT rec, count(*) AS n_cells, count_if(pc) AS n_place_cells, avg((pos < 30)::INT) FILTER (pc) AS onset, avg((pos >= 150)::INT) FILTER (pc) AS reward FROM c GROUP BY rec)
+SELECT rec, n_cells, n_place_cells, round(100.0 * n_place_cells / n_cells, 6) AS place_cell_percent, round(onset, 6) AS onset_share, round(reward, 6) AS reward_share,
+ round(onset / (30.0::DOUBLE / 180), 6) AS onset_enrichment, round(reward / (30.0::DOUBLE / 180), 6) AS reward_enrichment FROM k -- FROM fr""")
+def p21(spark, d):
+    cells = field_peaks(spark, d).join(place_cells(spark, d), "roi", "left").join(b.units(spark, d), "roi")
+    found = op.session_metrics(cells, ["rec"])
+    return found.select("rec", "n_cells", "n_place_cells", *[rounded(F.col(c)).alias(c) for c in (
+        "place_cell_percent", "onset_share", "reward_share", "onset_enrichment", "reward_enrichment")])
+
+
+@query("p22_by_trial_type", f"""WITH {FIELDS}, {COHORT},
+tl AS (SELECT roi, lap, lap % 2 AS type FROM vl SEMI JOIN (SELECT roi FROM sg WHERE significant) USING (roi)),
+rw AS (SELECT bl.roi, type, bl.lap, bin, rate, dense_rank() OVER (PARTITION BY bl.roi, type ORDER BY bl.lap) AS k FROM bl JOIN tl ON bl.roi = tl.roi AND bl.lap = tl.lap),
+nl AS (SELECT roi, type, count(*) AS n_laps FROM tl GROUP BY 1, 2),
+mt AS (SELECT roi, type, bin, avg(rate) AS r FROM rw GROUP BY 1, 2, 3),
+inf AS (SELECT roi, type, sum(CASE WHEN r > 0 THEN r / m * log2(r / m) / 9 END) AS info_bits FROM (SELECT *, avg(r) OVER (PARTITION BY roi, type) AS m FROM mt) GROUP BY 1, 2),
+pt AS (SELECT roi, type, arg_max(bin, (r, -bin)) AS peak_bin FROM mt GROUP BY 1, 2),
+r5 AS (SELECT *, row_number() OVER (PARTITION BY roi, type ORDER BY r, bin) AS k FROM mt), l5 AS (SELECT roi, type, avg(r) FILTER (k <= 5) AS base, max(r) AS top FROM r5 GROUP BY 1, 2),
+h5 AS (SELECT mt.roi, mt.type, bin, r > base + 0.25 * (top - base) AS hit FROM mt JOIN l5 ON l5.roi = mt.roi AND l5.type = mt.type),
+g5 AS (SELECT roi, type, bin, bin - row_number() OVER (PARTITION BY roi, type ORDER BY bin) AS g FROM h5 WHERE hit),
+f5 AS (SELECT roi, type, min(bin) AS a, max(bin) AS z FROM g5 GROUP BY roi, type, g),
+p5 AS (SELECT f5.*, row_number() OVER (PARTITION BY f5.roi, f5.type ORDER BY (peak_bin BETWEEN a AND z) DESC, a) AS k FROM f5 JOIN pt ON pt.roi = f5.roi AND pt.type = f5.type),
+io AS (SELECT mt.roi, mt.type, any_value(z - a + 1) * 20.0::DOUBLE AS width, avg(r) FILTER (bin BETWEEN a AND z) AS i, avg(r) FILTER (bin NOT BETWEEN a AND z) AS o
+  FROM mt JOIN p5 ON p5.roi = mt.roi AND p5.type = mt.type AND p5.k = 1 GROUP BY 1, 2),
+oe AS (SELECT roi, type, corr(x, y) AS r FROM (SELECT roi, type, bin, avg(rate) FILTER (k % 2 = 1) AS x, avg(rate) FILTER (k % 2 = 0) AS y FROM rw GROUP BY 1, 2, 3) GROUP BY 1, 2),
+cs AS (SELECT roi, type, avg(r) AS r FROM (SELECT x.roi, x.type, x.k, coalesce(corr(x.rate, y.rate), 0) AS r FROM rw x JOIN rw y ON x.roi = y.roi AND x.type = y.type AND x.bin = y.bin AND y.k = x.k + 1 GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT nl.roi, nl.type::BIGINT AS type, n_laps, round(info_bits, 8) AS info_bits, (peak_bin + 0.5) * 20.0::DOUBLE AS location_cm, width AS field_width_cm,
+  round(CASE WHEN o > 0 THEN i / o END, 6) AS in_out, CASE WHEN n_laps >= 4 THEN round(oe.r, 6) END AS odd_even, CASE WHEN n_laps >= 2 THEN round(cs.r, 6) END AS consecutive
+FROM nl JOIN inf ON inf.roi = nl.roi AND inf.type = nl.type JOIN pt ON pt.roi = nl.roi AND pt.type = nl.type LEFT JOIN io ON io.roi = nl.roi AND io.type = nl.type
+LEFT JOIN oe ON oe.roi = nl.roi AND oe.type = nl.type LEFT JOIN cs ON cs.roi = nl.roi AND cs.type = nl.type -- FROM fr""")
 def p22(spark, d):
+    """Even and odd laps of the significant cells."""
     lap = by_lap(spark, d).withColumn("type", F.col("lap") % 2)
-    valid = op.valid_laps(lap, BINS, ["roi", "type"])
-    return op.information(op.rate_map(lap, valid, ["roi", "type"]), ["roi", "type"]).select("roi", "type", F.round("info_bits", 8).alias("info_bits"))
+    cohort = place_cells(spark, d).where("significant")
+    found = op.cohort_metrics(lap, op.valid_laps(lap, BINS, ["roi", "type"]), cohort, ["roi", "type"], 20.0, lowest=5)
+    return found.select("roi", "type", "n_laps", F.round("info_bits", 8).alias("info_bits"), "location_cm", "field_width_cm",
+                        *[rounded(F.col(c)).alias(c) for c in ("in_out", "odd_even", "consecutive")])
 
 
 @query("p23_joint_maps", f"""WITH {RUN}, g AS (SELECT roi, lap % 2 AS grp, bin, avg(rate) AS r FROM bl SEMI JOIN vl USING (roi, lap) GROUP BY 1, 2, 3),
