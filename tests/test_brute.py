@@ -211,3 +211,49 @@ def test_p_values_of_counts(spark):
     for r in rows(spark, "z5_p_values"):
         k, n = r["k"], r["n"]
         assert near(r["p"], sum(math.comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k, n + 1)), 1e-9)
+
+
+def test_p_values_of_windows(spark):
+    for r in rows(spark, "z4_p_values"):
+        n = r["n0"] + r["n1"]
+        var = r["n0"] * r["n1"] / 12 * (n + 1 - r["ties"] / (n * (n - 1)))
+        assert near(r["p_t"], t_tail(r["t"], r["df"]), 1e-4)
+        assert near(r["p_u"], min(1.0, normal_tail(max(0, abs(r["u"] - r["n0"] * r["n1"] / 2) - 0.5) / math.sqrt(var))), 1e-6)
+
+
+def test_p_values_of_fits(spark, traces):
+    got = {r["roi"]: r for r in rows(spark, "z6_p_values")}
+    assert got.keys() == traces.keys()
+    for roi, g in traces.items():
+        r, n = np.corrcoef(g["value"].astype(float), g["second"].astype(float))[0, 1], len(g)
+        assert near(got[roi]["p"], t_tail(r * math.sqrt((n - 2) / (1 - r * r)), n - 2), 1e-4)
+
+
+def test_speeds_before_and_after_matching(spark):
+    """Gate and p of every recording from its trials' bins, one test after the other."""
+    from tracespark.plans.behaviours import binned
+
+    table = [r.asDict() for r in binned(spark, FOLDER).collect()]
+    kept = {(r["rec"], r["trial"]): r["kept"] for r in rows(spark, "b25_speed_gated")}
+    got = {(r["rec"], r["bin"]): r for r in rows(spark, "b25_p_values")}
+
+    def tests(some):
+        out = {}
+        for rec, k in {(r["rec"], r["bin"]) for r in some}:
+            a, z = ([r["speed"] for r in some if (r["rec"], r["bin"], r["group"]) == (rec, k, g)] for g in (0, 1))
+            if len(a) > 1 and len(z) > 1:
+                df = len(a) + len(z) - 2
+                pooled = ((len(a) - 1) * np.var(a, ddof=1) + (len(z) - 1) * np.var(z, ddof=1)) / df
+                t = (np.mean(a) - np.mean(z)) / math.sqrt(pooled * (1 / len(a) + 1 / len(z)))
+                out[rec, k] = t_tail(t, df, 20_000)
+        return out
+
+    before = tests(table)
+    assert before.keys() == got.keys() and all(near(got[k]["p_before"], p, 1e-3) for k, p in before.items())
+    gated = {rec for (rec, _), p in before.items() if p < 0.05}
+    for (rec, trial), is_kept in kept.items():
+        if rec not in gated:
+            assert is_kept
+    after = tests([r for r in table if kept.get((r["rec"], r["trial"]))])
+    assert all(near(got[k]["p_after"], p, 1e-3) for k, p in after.items() if k in got)
+    assert all(got[k]["p_after"] is None for k in got.keys() - after.keys())

@@ -80,6 +80,14 @@ def linear_fit(rows: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
         F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"))
 
 
+def fit_p(fits: DataFrame) -> DataFrame:
+    """``linear_fit``'s rows plus p, two-sided, that the slope is zero: Student's t of r; an exact
+    fit has p 0, fewer than three points none."""
+    df = (F.col("n") - 2).cast("double")
+    t = F.when(F.abs("r") >= 1, F.lit(1e300)).otherwise(F.col("r") * F.sqrt(df / (1 - F.col("r") ** 2)))
+    return with_p(fits.withColumns({"_t": F.when(df > 0, t), "_df": df}), "t", t="_t", df="_df").drop("_t", "_df")
+
+
 def ecdf(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Share of the group's values at or below each of its values."""
     w = Window.partitionBy(*by)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracespark.functions import pvalues
 from tracespark.functions.semantics import median, ratio, rounded
 from tracespark.operators import behaviour as op
 from tracespark.operators import timejoin
@@ -167,12 +169,15 @@ def b17(spark, d):
     return metrics(spark, d).select("rec", "trial", F.round("iti", 3).alias("iti"), F.round("duration", 3).alias("length"))
 
 
-@query("b18_session_summary", f"""WITH {METRICS} SELECT rec, round(quantile_cont(top_speed, 0.5), 6) AS speed_median, round(quantile_cont(duration, 0.5), 6) AS length_median,
-  count(*) FILTER (valid) AS n_valid, round(avg(valid::INT), 6) AS valid_share FROM met GROUP BY rec -- FROM ev JOIN trial""")
+@query("b18_session_summary", f"""WITH {METRICS}, {IN_TRIAL}, li AS (SELECT rec, trial, sum((value >= 50)::INT) / count(*) AS lick_index FROM l GROUP BY 1, 2),
+lm AS (SELECT rec, avg(lick_index) AS lick_index FROM li GROUP BY rec)
+SELECT met.rec, round(any_value(lick_index), 6) AS lick_index, round(quantile_cont(top_speed, 0.5), 6) AS speed_median, round(quantile_cont(duration, 0.5), 6) AS length_median,
+  count(*) FILTER (valid) AS n_valid, round(avg(valid::INT), 6) AS valid_share FROM met LEFT JOIN lm ON lm.rec = met.rec GROUP BY met.rec -- FROM ev JOIN trial JOIN lick""")
 def b18(spark, d):
+    licks = op.lick_index(licks_in_trials(spark, d), ["rec", "trial"], F.col("value") >= 50).groupBy("rec").agg(rounded(F.avg("lick_index")).alias("lick_index"))
     return metrics(spark, d).groupBy("rec").agg(
         rounded(median("top_speed")).alias("speed_median"), rounded(median("duration")).alias("length_median"),
-        F.count_if("valid").alias("n_valid"), rounded(F.avg(F.col("valid").cast("double"))).alias("valid_share"))
+        F.count_if("valid").alias("n_valid"), rounded(F.avg(F.col("valid").cast("double"))).alias("valid_share")).join(licks, "rec", "left")
 
 
 @query("b19_learning_summary", f"""WITH {METRICS}, {IN_TRIAL},
@@ -245,6 +250,39 @@ def b25(spark, d):
     return op.speed_matched(binned(spark, d), "rec", 1.5).select("rec", "trial", "kept")
 
 
+def critical_t(level: float, most: int) -> str:
+    """Rows (df, limit) of the t whose two-sided p is the level, for SQL that has no such function."""
+    df = np.arange(1.0, most + 1)
+    low, high = np.zeros(most), np.full(most, 1e4)
+    for _ in range(200):
+        mid = (low + high) / 2
+        inside = pvalues.t_test(mid, df) > level
+        low, high = np.where(inside, mid, low), np.where(inside, high, mid)
+    return "(VALUES " + ", ".join(f"({int(d)}, {float(x)!r})" for d, x in zip(df, low)) + ") AS ct(df, t_limit)"
+
+
+@query("b25_speed_gated", f"""WITH {BINNED}, s AS (SELECT rec, grp, bin, avg(speed) AS m, stddev_pop(speed) AS sd FROM g GROUP BY ALL),
+tb AS (SELECT rec, bin, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1, avg(speed) FILTER (grp = 0) AS m0, avg(speed) FILTER (grp = 1) AS m1,
+  var_samp(speed) FILTER (grp = 0) AS v0, var_samp(speed) FILTER (grp = 1) AS v1 FROM g GROUP BY 1, 2),
+tt AS (SELECT rec, n0 + n1 - 2 AS df, (m0 - m1) / nullif(sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0::DOUBLE / n0 + 1.0::DOUBLE / n1)), 0) AS t FROM tb WHERE n0 > 1 AND n1 > 1),
+sg AS (SELECT DISTINCT rec FROM tt JOIN {critical_t(0.05, 400)} ON ct.df = tt.df WHERE abs(t) > t_limit)
+SELECT g.rec, g.trial, bool_and(abs(speed - m) <= 1.5 * sd OR g.rec NOT IN (SELECT rec FROM sg)) AS kept
+FROM g JOIN s ON g.rec = s.rec AND g.bin = s.bin AND g.grp = 1 - s.grp GROUP BY ALL -- FROM lick JOIN trial""")
+def b25_gated(spark, d):
+    """Only recordings whose groups differ in speed in some bin are thinned out."""
+    return op.speed_gated(binned(spark, d), "rec", 1.5).select("rec", "trial", "kept")
+
+
+@query("b25_p_values")
+def b25_p(spark, d):
+    """The bins' p before and after matching."""
+    rows = binned(spark, d)
+    kept = op.speed_gated(rows, "rec", 1.5).where("kept").select("rec", "group", "trial")
+    return op.speed_tests(rows, "rec").select("rec", "bin", "t", "df", F.col("p").alias("p_before")).join(
+        op.speed_tests(rows.join(kept, ["rec", "group", "trial"], "left_semi"), "rec").select("rec", "bin", F.col("t").alias("t_after"), F.col("df").alias("df_after"), F.col("p").alias("p_after")),
+        ["rec", "bin"], "left")
+
+
 @query("b26_runs", """WITH n AS (SELECT roi, frame, value > 40000 AS hit, frame - row_number() OVER (PARTITION BY roi, value > 40000 ORDER BY frame) AS g FROM fr)
 SELECT roi, min(frame) AS start, max(frame) AS "end", count(*) AS length FROM n WHERE hit GROUP BY roi, g""")
 def b26(spark, d):

@@ -374,16 +374,28 @@ SELECT q.win::BIGINT AS win, grp, round(mid, 6) AS mid, round(q1, 6) AS q1, roun
 FROM q JOIN s USING (win) JOIN u USING (win) -- FROM fr""")
 def z4(spark, d):
     """Per window after the event, less the baseline: both groups' quartiles, Welch's t and U."""
-    rows = aligned(spark, d)
-    base = rows.where("rel < 0").groupBy("roi").agg(F.avg("value").alias("m"))
-    x = rows.where("rel >= 0").join(base, "roi").groupBy("roi", (F.col("roi") % 2).alias("grp"), F.floor(F.col("rel") / 10).alias("win")).agg(
-        F.avg(F.col("value") - F.col("m")).alias("x"))
+    x = window_means(spark, d)
     q = lambda p: rounded(F.percentile("x", p))
     t = stats.two_sample_t(x, ["win"], "grp", "x").select("win", F.round("t", 5).alias("t"), F.round("df", 4).alias("df"))
     u = stats.mann_whitney(x, ["win"], "grp", "x").select("win", "u")
     return x.groupBy("win", "grp").agg(q(0.5).alias("mid"), q(0.25).alias("q1"), q(0.75).alias("q3")).join(t, "win").join(u, "win")
 
 
+def window_means(spark, d):
+    rows = aligned(spark, d)
+    base = rows.where("rel < 0").groupBy("roi").agg(F.avg("value").alias("m"))
+    return rows.where("rel >= 0").join(base, "roi").groupBy("roi", (F.col("roi") % 2).alias("grp"), F.floor(F.col("rel") / 10).alias("win")).agg(
+        F.avg(F.col("value") - F.col("m")).alias("x"))
+
+
+@query("z4_p_values")
+def z4_p(spark, d):
+    """p of both tests of each window."""
+    x = window_means(spark, d)
+    t = stats.with_p(stats.two_sample_t(x, ["win"], "grp", "x"), "t").select("win", "t", "df", F.col("p").alias("p_t"))
+    return t.join(stats.with_p(stats.mann_whitney(x, ["win"], "grp", "x"), "u").select("win", "u", "n0", "n1", "ties", F.col("p").alias("p_u")), "win")
+
+
 @query("z5_class_counts", f"""WITH {RESPONSE}, {NULLS[len(ALIGNED) + 2:]}, q AS (SELECT roi, quantile_cont(amplitude, 0.95) AS hi FROM nul GROUP BY roi)
 SELECT rec, count(*) FILTER (amp > hi) AS k, count(*) AS n FROM resp JOIN q USING (roi) JOIN unit USING (roi) GROUP BY rec -- FROM fr""")
 def z5(spark, d):
@@ -411,6 +423,12 @@ def z6(spark, d):
     return stats.linear_fit(b.traces(spark, d), UNIT, "value", "second").select("roi", *[rounded(F.col(c)).alias(c) for c in ("slope", "intercept", "r")])
 
 
+@query("z6_p_values")
+def z6_p(spark, d):
+    """p of the fit's slope: t of r with two degrees of freedom less."""
+    return stats.fit_p(stats.linear_fit(b.traces(spark, d), UNIT, "value", "second")).select("roi", "n", "r", "p")
+
+
 @query("z7_ecdf", """WITH c AS (SELECT roi % 2 AS grp, second, count(*) AS n FROM fr GROUP BY 1, 2)
 SELECT grp, second, round(sum(n) OVER (PARTITION BY grp ORDER BY second) / sum(n) OVER (PARTITION BY grp), 6) AS share FROM c -- FROM fr""")
 def z7(spark, d):

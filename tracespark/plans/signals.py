@@ -49,9 +49,10 @@ def t3(spark, d):
     return op.block_traces(rows).withColumn("mean", exact(F.col("mean"), 100 * F.col("n_pixels")))
 
 
-@query("t4_field_trace", f"WITH {PIXELS} SELECT rec, frame, round(avg(value), 6) AS mean FROM px WHERE y BETWEEN 16 AND 47 GROUP BY 1, 2 -- FROM fr")
+@query("t4_field_trace", f"""WITH {PIXELS} SELECT rec, frame, round(avg(value) FILTER (y BETWEEN 16 AND 47 AND x BETWEEN 16 AND 47), 6) AS inner_mean, round(avg(value), 6) AS whole_mean
+FROM px GROUP BY 1, 2 -- FROM fr""")
 def t4(spark, d):
-    return pixels(spark, d).where("y between 16 and 47").groupBy("rec", "frame").agg(rounded(F.avg("value")).alias("mean"))
+    return op.field_traces(pixels(spark, d), 64, 64).select("rec", "frame", rounded(F.col("inner_mean")).alias("inner_mean"), rounded(F.col("whole_mean")).alias("whole_mean"))
 
 
 @query("t5_frame_cutoff", """WITH l AS (SELECT roi, quantile_cont(value, 0.25) AS lim FROM fr GROUP BY roi),
@@ -223,6 +224,23 @@ def t25(spark, d):
     return responses(spark, d).select("roi", response.ratio_class(F.col("response_ratio"), 1.02).alias("class"))
 
 
+@query("t25_dual_classes", f"""WITH {RESPONSE}, {NULLS[len(ALIGNED) + 2:]}, q AS (SELECT roi, quantile_cont(amplitude, 0.95) AS hi, quantile_cont(amplitude, 0.05) AS lo FROM nul GROUP BY roi),
+sc AS (SELECT roi, avg(value) AS first_mean, avg(second) AS second_mean, avg(second) FILTER (rel >= 0) / nullif(avg(second) FILTER (rel < 0), 0) AS ratio2 FROM aligned GROUP BY roi),
+cl AS (SELECT roi, first_mean > 0 AND first_mean < 39000 AND second_mean > 0 AND second_mean < 26 AS valid,
+  CASE WHEN amp > hi AND effect > 0.05 THEN 'Up' WHEN amp < lo AND effect < -0.05 THEN 'Down' ELSE 'Stable' END AS a,
+  CASE WHEN ratio2 > 1.02 THEN 'Up' WHEN ratio2 < 1 / 1.02 THEN 'Down' ELSE 'Stable' END AS z FROM resp JOIN q USING (roi) JOIN sc USING (roi))
+SELECT roi, valid, CASE WHEN valid THEN a END AS first_class, CASE WHEN valid THEN z END AS second_class, CASE WHEN valid THEN a || '/' || z END AS label FROM cl -- FROM fr""")
+def t25_dual(spark, d):
+    """Both signals of a unit, with limits to their means."""
+    mean = lambda c: F.avg(F.when(c, F.col("second")))
+    own = aligned(spark, d).groupBy("roi").agg(F.avg("value").alias("first_mean"), F.avg("second").alias("second_mean"),
+                                              ratio(mean(F.col("rel") >= 0), mean(F.col("rel") < 0)).alias("ratio"))
+    stats = responses(spark, d).join(bounds_of(spark, d), "roi").join(own, "roi")
+    found = response.dual_classes(stats, F.col("hi"), F.col("lo"), 0.05, 1.02, 1 / 1.02, {"first": 39_000.0, "second": 26.0},
+                                  {"first": "first_mean", "second": "second_mean"})
+    return found.select("roi", "valid", "first_class", "second_class", "label")
+
+
 @query("t26_valid_profiles", """SELECT vec_id, list_min(embedding) >= -0.35 AND list_max(embedding) <= 0.35 AS valid,
 round(list_avg(embedding::DOUBLE[]), 6) AS mean FROM embeddings""")
 def t26(spark, d):
@@ -238,6 +256,15 @@ def t27(spark, d):
     return response.block_pixels(masks)
 
 
+@query("t27_block_overlaps", f"""WITH {PIXELS}, u AS (SELECT DISTINCT rec, frame % 2 AS mask, y, x FROM px),
+j AS (SELECT rec, y, x, bool_or(mask = 0) AS a, bool_or(mask = 1) AS z FROM u GROUP BY 1, 2, 3)
+SELECT rec, (y // 16)::INT AS gy, (x // 16)::INT AS gx, count_if(a) AS n_a, count_if(z) AS n_z, count_if(a AND z) AS n_both, count_if(a) >= 12 AS valid FROM j GROUP BY 1, 2, 3 -- FROM fr""")
+def t27_overlaps(spark, d):
+    """Pixels of both masks and of their intersection by grid block, and blocks with enough of them."""
+    px = pixels(spark, d)
+    return response.block_overlaps(px.where("frame % 2 = 0"), px.where("frame % 2 = 1"), least=12)
+
+
 SEGMENTS = """last AS (SELECT roi, max(frame) + 1 AS n FROM fr GROUP BY roi),
 ke AS (SELECT fr.roi, frame AS e FROM fr JOIN last USING (roi) WHERE frame % 60 = 30 AND frame - 20 >= 0 AND frame + 40 < n),
 seg AS (SELECT roi, row_number() OVER w - 1 AS segment, coalesce(lag(e + 40) OVER w, 0) AS a, e + 40 AS z FROM ke WINDOW w AS (PARTITION BY roi ORDER BY e)),
@@ -280,6 +307,28 @@ def t31(spark, d):
     return stats.join(long, "roi").select("roi", rounded(F.col("skew")).alias("skew"), "longest", ((F.col("skew") > 0.1) & (F.col("longest") >= 3)).alias("active"))
 
 
+@query("t31_active_somas", """WITH s AS (SELECT roi, avg(value) m, stddev_pop(value) sd, count(*) n FROM fr GROUP BY roi),
+k AS (SELECT fr.roi, sum(pow((value - m) / sd, 3)) / any_value(n) AS skew FROM fr JOIN s USING (roi) GROUP BY fr.roi),
+h AS (SELECT fr.roi, frame - row_number() OVER (PARTITION BY fr.roi ORDER BY frame) AS g FROM fr JOIN s USING (roi) WHERE value > m + 2 * sd),
+r AS (SELECT roi, max(c) AS longest FROM (SELECT roi, g, count(*) AS c FROM h GROUP BY 1, 2) GROUP BY roi),
+p AS (SELECT p_partkey AS roi, p_size * 15 AS n_pixels, p_retailprice * 2 AS area, p_size / 50.0::DOUBLE AS compactness, p_size % 5 AS aspect, p_size % 7 / 7.0::DOUBLE AS hollowness FROM part),
+c AS (SELECT k.roi, skew, longest, n_pixels > 100 AND n_pixels < 600 AND area < 2000 AND compactness > 0.1 AND aspect < 3 AND hollowness > 0.25 AS is_soma,
+  coalesce(skew > 0.1 AND longest > 0 AND longest < 3, false) AS is_active FROM k JOIN p ON p.roi = k.roi LEFT JOIN r ON r.roi = k.roi)
+SELECT roi, round(skew, 6) AS skew, longest, is_soma, is_active, is_soma AND is_active AS is_active_soma FROM c -- FROM fr""")
+def t31_somas(spark, d):
+    """Regions of a soma's shape (columns of their own table) whose activity is skewed and lasts."""
+    rows = b.traces(spark, d)
+    stats = rows.groupBy("roi").agg(F.skewness("value").alias("skew"), (F.avg("value") + 2 * F.stddev_pop("value")).alias("limit"))
+    longest = runs(rows.join(stats, "roi"), F.col("value") > F.col("limit"), UNIT, "frame").groupBy("roi").agg(F.max("length").alias("longest"))
+    size = F.col("p_size")
+    shapes = b.table(spark, d, "part").select(
+        F.col("p_partkey").alias("roi"), (size * 15).alias("n_pixels"), (F.col("p_retailprice") * 2).alias("area"), (size / 50).alias("compactness"),
+        (size % 5).alias("aspect"), (size % 7 / 7).alias("hollowness"))
+    found = stats.join(shapes, "roi").join(longest, "roi", "left").withColumns({
+        "is_soma": response.is_soma(), "is_active": response.is_active(F.col("skew"), F.col("longest"), {"skewness": 0.1, "least_frames": 0, "most_frames": 3})})
+    return found.select("roi", rounded(F.col("skew")).alias("skew"), "longest", "is_soma", "is_active", (F.col("is_soma") & F.col("is_active")).alias("is_active_soma"))
+
+
 @query("t32_active_trials", f"""WITH {ALIGNED}, c AS (SELECT roi, event_frame, count_if(value > 60000) > 25 AS active FROM aligned GROUP BY 1, 2)
 SELECT roi, round(avg(active::INT), 6) AS share FROM c GROUP BY roi -- FROM fr""")
 def t32(spark, d):
