@@ -122,25 +122,54 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     return whole
 
 
-def _bucket_counts(encoded: DataFrame, k: int, frequent) -> DataFrame:
-    """How often admissible phrases of k words fall into each bucket."""
+def _heavy_buckets(encoded: DataFrame, k: int, frequent, least: int) -> np.ndarray:
+    """The bitmap of buckets into which admissible phrases of k words fall ``least`` times or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks send the counts of their buckets by ranges of 65,536, as arrays; each range is added
+    up and comes back as 8 KB of bits.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def told() -> pa.RecordBatch:
             buckets, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+            parts, begins = np.unique(buckets >> 16, return_index=True)
+            low, n = (buckets & 0xFFFF).astype(np.uint16), n.astype(np.uint32)
+            cuts = list(zip(begins, [*begins[1:], len(buckets)]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(parts.astype(np.int32)), *[pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (low, n)]], names=["part", "low", "n"])
 
         for chunk in _chunks(batches):
             held.append(chunk.admissible(k, frequent.value)[1])
             if sum(map(len, held)) > 1 << 21:
                 yield told()
-        if held:
+        if sum(map(len, held)):
+            yield told()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = None, np.zeros(1 << 16, np.int64)
+
+        def told() -> pa.RecordBatch:
+            bits = np.packbits(sums >= least, bitorder="little")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for own, low, n in zip(batch.column("part").to_pylist(), batch.column("low"), batch.column("n")):
+                if own != part:
+                    if part is not None:
+                        yield told()
+                    part, sums = own, np.zeros(1 << 16, np.int64)
+                sums[np.frombuffer(low.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)
+        if part is not None:
             yield told()
 
-    return encoded.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = encoded.mapInArrow(counted, "part int, low binary, n binary")
+    whole = np.zeros(1 << BITS - 3, np.uint8)
+    for r in counts.repartition("part").sortWithinPartitions("part").mapInArrow(added, "part int, bits binary").collect():
+        whole[r.part << 13 : r.part + 1 << 13] = np.frombuffer(bytes(r.bits), np.uint8)
+    return whole
 
 
 def _candidates(encoded: DataFrame, k: int, frequent, heavy) -> DataFrame:
@@ -300,7 +329,7 @@ def _frequent(encoded: DataFrame, k: int, shorter: DataFrame, least: int, block:
     """Phrases of k words that occur at least ``least`` times: lang, phrase, bucket, f."""
     spark, context = encoded.sparkSession, encoded.sparkSession.sparkContext
     frequent = context.broadcast(_bitmap(shorter))
-    heavy = context.broadcast(_bitmap(_bucket_counts(encoded, k, frequent).where(F.col("n") >= least)))
+    heavy = context.broadcast(_heavy_buckets(encoded, k, frequent, least))
     found = stored(_candidates(encoded, k, frequent, heavy), "phrase-candidates")
     n_blocks = -(-found.count() // block)
     slot = F.row_number().over(Window.partitionBy("block").orderBy("lang", "phrase")) - 1
