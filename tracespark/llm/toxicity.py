@@ -7,16 +7,24 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import WORD_TABLE, as_bytes, chunks, dropped, stored
+from tracespark.llm.common import WORD_TABLE, as_bytes, chunks, dropped, row_tie, stored
 
 #: The closed word classes of the grammar (en, de, fr, es).
-THREATS = frozenset("kill hurt beat stab shoot strangle destroy burn töte töten schlage schlagen tuer frapper brûler matar golpear quemar".encode().split())
+THREATS = frozenset("""kill hurt beat stab shoot strangle destroy burn smash crush punch hunt bury choke drown slap murder
+töte töten schlage schlagen erschlage erwürge würgen verbrenne vernichte verprügle prügeln erschießen
+tuer tuerai frapper brûler étrangler écraser cogner poignarder massacrer
+matar mataré golpear golpearé quemar quemaré apuñalar aplastar estrangular disparar destruir""".encode().split())
+INTENTS = frozenset("""will shall gonna going ll want must should werde wirst wird werden will soll muss vais vas va allons veux dois
+voy vas va vamos quiero debo""".encode().split())
+COPULAS = frozenset("""are is re am were was be bist ist sind seid warst war es est êtes sommes sont étais était
+eres son está estás fue sois""".encode().split())
 TARGETS = frozenset("you your yours yourself he she they them him her du dich dir dein ihr euch tu te toi vous ton tes usted ustedes ti te tú".encode().split())
 NEGATIONS = frozenset("not never no nobody neither nor nicht kein keine nie jamais aucun nunca ningún jamás".encode().split())
 REPORTS = frozenset("said says say called calls wrote writes quoted claimed told sagte sagt nannte schrieb dit disait écrit dijo dice llamó escribió".encode().split())
@@ -27,16 +35,22 @@ STEMS = (4, 5, 6, 7)
 #: A negation works on the next so many words.
 REACH = 3
 
-#: Symbols that the lexicon gives for words: insult, threat, target, negation, report, other.
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "itanro"
+#: Symbols that the lexicon gives for words: insult, threat, target, negation, report, other, intent, copula.
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, INTENT, COPULA = "itanrowc"
 #: Symbols of rewritten insults and threats: denied, quoted.
 DENIED = {INSULT: "d", THREAT: "D"}
 QUOTED = {INSULT: "q", THREAT: "Q"}
-#: Ends a clause; comes out as one of the two that follow.
-STOP, AIMED, UNAIMED = ".", "A", "U"
+#: Ends a clause. The insult transducer writes SAID for a clause that says an insult of someone, the
+#: threat transducer MEANT, or BOTH after SAID, for one that announces a threat.
+STOP, SAID, MEANT, BOTH = ".", ":", ";", "!"
+#: What comes out at the end: whether the clause is aimed at someone, and the same with SAID, MEANT and BOTH.
+AIMED, UNAIMED = "A", "U"
+ENDS = {STOP: (AIMED, UNAIMED), SAID: ("A:", "U:"), MEANT: ("A;", "U;"), BOTH: ("A!", "U!")}
+AIMED_ENDS = frozenset(aimed for aimed, _ in ENDS.values())
+SAID_ENDS, MEANT_ENDS = (frozenset((*ENDS[x], *ENDS[BOTH])) for x in (SAID, MEANT))
 MARKS = (INSULT, THREAT, *DENIED.values(), *QUOTED.values())
 
-FIXED = {**{w: TARGET for w in TARGETS}, **{w: THREAT for w in THREATS},
+FIXED = {**{w: INTENT for w in INTENTS}, **{w: COPULA for w in COPULAS}, **{w: TARGET for w in TARGETS}, **{w: THREAT for w in THREATS},
          **{w: REPORT for w in REPORTS}, **{w: NEGATION for w in NEGATIONS}}
 
 
@@ -66,6 +80,37 @@ class Transducer:
         return Transducer(start, arcs)
 
 
+def insult() -> Transducer:
+    """Marks the end of a clause in which an insult follows a target and a copula within
+    ``REACH`` words ("you are such a ..."); a negation in between undoes it.
+
+    States: (words left, whether said), with -1 for right behind a target.
+    """
+    arcs = {}
+    for said in (0, 1):
+        for left in range(-1, REACH + 1):
+            arcs[(left, said), TARGET] = (-1, said), TARGET
+            arcs[(left, said), COPULA] = (REACH if left == -1 else max(0, left - 1), said), OTHER
+            arcs[(left, said), NEGATION] = (0, said), NEGATION
+            arcs[(left, said), INSULT] = (max(0, left - 1), 1 if left > 0 else said), INSULT
+            arcs[(left, said), STOP] = (0, 0), SAID if said else STOP
+    return Transducer((0, 0), arcs, idle=lambda state: (max(0, state[0] - 1), state[1]))
+
+
+def threat() -> Transducer:
+    """Marks the end of a clause in which a threat follows an intent within ``REACH`` words
+    ("will ... hurt"); a negation in between undoes it. States: (words left, whether meant)."""
+    arcs = {}
+    for meant in (0, 1):
+        for left in range(REACH + 1):
+            arcs[(left, meant), INTENT] = (REACH, meant), OTHER
+            arcs[(left, meant), NEGATION] = (0, meant), NEGATION
+            arcs[(left, meant), THREAT] = (max(0, left - 1), 1 if left else meant), THREAT
+            arcs[(left, meant), STOP] = (0, 0), MEANT if meant else STOP
+            arcs[(left, meant), SAID] = (0, 0), BOTH if meant else SAID
+    return Transducer((0, 0), arcs, idle=lambda state: (max(0, state[0] - 1), state[1]))
+
+
 def negation() -> Transducer:
     """Insults and threats within ``REACH`` words of a negation come out as denied."""
     arcs = {}
@@ -84,28 +129,29 @@ def reported_speech() -> Transducer:
 
 def target() -> Transducer:
     """The clause's end comes out as aimed or unaimed: whether someone is meant."""
-    arcs = {(k, TARGET): (1, OTHER) for k in (0, 1)} | {(0, STOP): (0, UNAIMED), (1, STOP): (0, AIMED)}
+    arcs = {(k, TARGET): (1, OTHER) for k in (0, 1)} | {(k, end): (0, out[1 - k]) for k in (0, 1) for end, out in ENDS.items()}
     return Transducer(0, arcs)
 
 
-WORDS = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER + STOP
+WORDS = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER + INTENT + COPULA + STOP
+PARTS = (insult, threat, negation, reported_speech, target)
 #: The composed grammar as a table: for each state, symbol to (state, output).
-GRAMMAR = negation().then(reported_speech(), WORDS).then(target(), WORDS)
+GRAMMAR = reduce(lambda a, z: a.then(z(), WORDS), PARTS[1:], insult())
 TABLE: dict = {}
 for (_state, _symbol), _arc in GRAMMAR.arcs.items():
     TABLE.setdefault(_state, {})[_symbol] = _arc
-FEATURES = 9
+FEATURES = 11
 
 
 @dataclass
 class Grammar:
     """A weighted grammar of toxic clauses.
 
-    The insult transducer maps words to symbols; its arcs, words and stems, carry
-    weights learned from labels. It is composed with the transducers of threats,
-    targets, negation and reported speech (``GRAMMAR``). A clause runs through the
-    composition; its path collects the weights of what comes out, by mark and by the
-    clause's aim. A clause that no mark comes out of doesn't match. A document's score is
+    The arcs of insults, words and stems, carry weights learned from labels; those of threats
+    weigh 1, or more where labels teach it. The transducers of insults, threats, negation,
+    reported speech and targets are composed to one (``GRAMMAR``). A clause runs through
+    the composition; its path collects the weights of what comes out, by mark, by the
+    clause's aim, and by whether its end says an insult of someone or announces a threat. A clause that no mark comes out of doesn't match. A document's score is
     the logistic of weights times what its matched clauses collect.
     """
 
@@ -126,11 +172,16 @@ class Grammar:
                 self._known.clear()
             weight = max((self.arcs.get(t, 0.0) for t in terms(word)), default=0.0)
             symbol = FIXED.get(word) or (INSULT if weight else OTHER)
-            known = self._known[word] = symbol, weight if symbol == INSULT else 1.0
+            known = self._known[word] = symbol, weight if symbol == INSULT else max(1.0, weight) if symbol == THREAT else 1.0
         return known
 
     def clause(self, words: list[bytes]) -> tuple[bool, dict[str, float]]:
         """Whether a clause is aimed at someone, and the weights that its path collects by mark."""
+        end, found = self.path(words)
+        return end in AIMED_ENDS, found
+
+    def path(self, words: list[bytes]) -> tuple[str, dict[str, float]]:
+        """What comes out at a clause's end, and the weights that its path collects by mark."""
         state, found = GRAMMAR.start, {}
         read = self.read
         for word in words:
@@ -138,7 +189,7 @@ class Grammar:
             state, out = TABLE[state][symbol]
             if out in MARKS:
                 found[out] = found.get(out, 0.0) + weight
-        return TABLE[state][STOP][1] == AIMED, found
+        return TABLE[state][STOP][1], found
 
     def features(self, text: bytes) -> list[float]:
         """What the matched clauses of a text collect."""
@@ -146,15 +197,18 @@ class Grammar:
         marked = {w for w in set(text.translate(WORD_TABLE).split()) if read(w)[0] in (INSULT, THREAT)}
         if not marked:
             return [0.0] * FEATURES
-        plain = aimed_ = denied = quoted = threat = idle = most = 0.0
+        plain = aimed_ = denied = quoted = threat = idle = most = said = meant = 0.0
         n = matched = 0
         for part in CLAUSE(text):
             words = part.translate(WORD_TABLE).split()
             n += bool(words)
             if marked.isdisjoint(words):
                 continue
-            aimed, found = self.clause(words)
+            end, found = self.path(words)
+            aimed = end in AIMED_ENDS
             matched += 1
+            said += found.get(INSULT, 0.0) if end in SAID_ENDS else 0.0
+            meant += found.get(THREAT, 0.0) if end in MEANT_ENDS else 0.0
             insult = found.get(INSULT, 0.0)
             if aimed:
                 aimed_ += insult
@@ -165,7 +219,7 @@ class Grammar:
             denied += found.get("d", 0.0) + found.get("D", 0.0)
             quoted += found.get("q", 0.0) + found.get("Q", 0.0)
             most = max(most, insult + (found.get(THREAT, 0.0) if aimed else 0.0))
-        return [math.log1p(x) for x in (plain, aimed_, denied, quoted, threat, idle, most, matched, 100 * matched / n)]
+        return [math.log1p(x) for x in (plain, aimed_, denied, quoted, threat, idle, most, matched, 100 * matched / n, said, meant)]
 
     def score(self, text: bytes) -> float:
         x = (np.array(self.features(text)) - self.mean) / self.scale
@@ -195,8 +249,9 @@ def _chosen(counts: dict[str, tuple[int, int]], toxic: int, clean: int, support:
 def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, support: int = 5, surprise: float = 3.5) -> Grammar:
     """The grammar that the labels of training documents give.
 
-    At most ``train_rows`` labelled documents outside the held-out fifth are read, those
-    of the smallest id hashes: the sample's bound, whatever the corpus. Words and stems
+    At most ``train_rows`` different texts of labelled documents outside the held-out fifth are
+    read, those of the smallest hashes of id and text: the sample's bound, whatever the corpus and
+    however often an id or a row occurs. Repeated rows count once. Words and stems
     are counted by Spark; those whose odds of a toxic document are clearly raised get
     an insult arc. The weights of the registers are fitted (logistic, by Newton steps)
     on one half of the sample with arcs from the other, so that arcs that fit their
@@ -206,9 +261,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, support
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("_toxic"))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    key = docs.select("doc_id", row_tie().alias("_tie"), F.col("text").cast("binary").alias("text"))
+    # The texts to read are chosen by keys alone: one id may have any number of rows.
+    chosen = stored(key.select("doc_id", "_tie").join(F.broadcast(sample), "doc_id").distinct().orderBy(
+        F.xxhash64("doc_id", "_tie"), "doc_id", "_tie").limit(train_rows), "toxic-keys")
     read = stored(
-        docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
+        key.join(F.broadcast(chosen), ["doc_id", "_tie"]).groupBy("doc_id", "_tie", "_toxic").agg(F.first("text").alias("text"))
         .select((F.col("_toxic") * 2 + F.pmod(F.hash("doc_id"), F.lit(2))).alias("part"), "text"), "toxic-sample")
+    dropped(chosen)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[Counter[str]] = [Counter() for _ in range(4)]
