@@ -42,6 +42,9 @@ def test_null_of_groups_that_share_their_valid_laps(spark):
                 rows.append((rec, roi, lap, lap * 12 + k, k // 3, float(rng.random() + (k // 3 == roi % 4))))
         valid += [(rec, roi, lap) for lap in laps]
         cells[rec, roi] = [(r[4], r[5]) for r in rows if r[:2] == (rec, roi) and r[2] in laps]
+    for k in range(3):  # a cell whose last lap is longer than that of its group
+        rows.append(("s2", 22, 3, 48 + k, 3, 0.5))
+        cells["s2", 22].append((3, 0.5))
     df = spark.createDataFrame(rows, "rec string, roi long, lap long, frame long, bin long, value double").repartition(6)
     ok = spark.createDataFrame(valid, "rec string, roi long, lap long")
     for batch in (64, 2):
@@ -49,7 +52,7 @@ def test_null_of_groups_that_share_their_valid_laps(spark):
         assert set(got) == {key for key, laps in sets.items() if len(laps) >= 3}
         for (rec, roi), r in got.items():
             group = sorted(k for (q, k), laps in sets.items() if q == rec and laps == sets[rec, roi])
-            assert (r.first_cell, r.n_cells, r.n_laps, r.n_frames) == (group[0], len(group), len(sets[rec, roi]), 12 * len(sets[rec, roi]))
+            assert (r.first_cell, r.n_cells, r.n_laps, r.n_frames) == (group[0], len(group), len(sets[rec, roi]), len(cells[rec, roi]))
             bins, x = map(np.array, zip(*cells[rec, roi]))
             occupancy = np.bincount(bins, minlength=4).astype(float)
             bits = lambda s: kernels.information(np.bincount(bins, np.roll(x, s), 4), occupancy)  # noqa: B023, E731

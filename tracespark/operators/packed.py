@@ -127,7 +127,8 @@ def grouped_information_null(
     ``rows``: by, cell, lap, order, bin, value (running frames); ``valid``: by, cell, lap. The cells of
     a recording that share all their valid laps are one group: they have the same frames, one
     occupancy and one set of shifts, drawn by the group's smallest cell, and the spectra of
-    the bins are taken once for all of them. A group's cells are dealt out in batches of
+    the bins are taken once for all of them (cells whose last lap ends apart from the others' are
+    taken by themselves). A group's cells are dealt out in batches of
     about ``batch``. Cells of fewer than ``least_laps`` valid laps have no row; groups of no
     more than twice ``least_shift`` frames have no null.
 
@@ -148,7 +149,8 @@ def grouped_information_null(
         for part in batches:
             groups: dict[tuple, list[int]] = {}
             for row, key in enumerate(zip(*[part.column(c).to_pylist() for c in (*columns, "first_cell")])):
-                groups.setdefault(key, []).append(row)
+                places = part.column("bin")[row].values.to_numpy(zero_copy_only=False)
+                groups.setdefault((*key, places.tobytes()), []).append(row)
             found: list = [None] * part.num_rows
             for key, own in groups.items():
                 for some in (own[a : a + batch] for a in range(0, len(own), batch)):
@@ -157,7 +159,7 @@ def grouped_information_null(
                     seen = kernels.shifted_information(values, bins, n_bins, np.array([0]))[:, 0]
                     null = np.full(len(some), np.nan)
                     if bins.size > 2 * least_shift:
-                        shifts = kernels.draw_shifts(bins.size, draws, least_shift, key[-1])
+                        shifts = kernels.draw_shifts(bins.size, draws, least_shift, key[-2])
                         null = np.nanpercentile(kernels.shifted_information(values, bins, n_bins, shifts), 95, axis=1)
                     for r, x, z in zip(some, seen.tolist(), null.tolist()):
                         found[r] = (bins.size, x, None if np.isnan(z) else z)
