@@ -419,6 +419,6 @@ def collocations(
     kept = scored.join(covered, ["lang", "phrase"], "left").where(
         f"longer is null or cast(100 as decimal(3,0)) * cast(longer as decimal(19,0)) < cast({share} as decimal(3,0)) * cast(a as decimal(19,0))")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
     totals = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

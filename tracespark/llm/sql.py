@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracespark.llm.licenses import BASE, TEMPLATES, LicenseIndex
+from tracespark.llm.licenses import BASE, NOTICES, LicenseIndex
 from tracespark.llm.url_filters import RULES
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -27,7 +27,7 @@ def _lists(words: list[str]) -> str:
 def op2() -> str:
     base = ", ".join(f"({_lists(p.split())}, '{label}')" for p, label in BASE.items())
     notices = []
-    for k, (label, notice, keys) in enumerate(TEMPLATES):
+    for k, (label, notice, keys) in enumerate(NOTICES):
         words, key = notice.split(), keys[0].split()
         at, last = (LicenseIndex._place(words, q.split()) for q in (keys[0], keys[-1]))
         notices.append(f"({k}, '{label}', {_lists(words)}, {_lists(key)}, {at}, {_lists(keys[-1].split())}, {last})")
