@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tracespark.operators.pooling import pairwise_similarity
+from tracespark.operators.pooling import pairwise_similarity, population_order
+from tracespark.operators.stats import ecdf
 
 
 @pytest.mark.parametrize("block", [512, 16])
@@ -20,3 +21,20 @@ def test_similarities_of_an_animal_of_most_sessions(spark, block):
         else:
             assert abs(got[anm, i, j] - np.corrcoef(x[anm, i], x[anm, j])[0, 1]) < 1e-12
     assert pairwise_similarity(df.limit(0), "anm", "session", "v").count() == 0
+
+
+def test_order_and_shares_of_two_groups_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    rows = [("ab"[k % 2], "xyz"[k % 3], None if k % 97 == 0 else float(rng.choice([rng.normal(), 5.0, -1e6])), k) for k in range(900)]
+    df = spark.createDataFrame(rows, "grp string, class string, effect double, roi long").repartition(5)
+    got = {r.roi: (r.place, r.changes) for r in population_order(df, ["grp"], "class", "effect", "roi").collect()}
+    for g in "ab":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-ord(r[1]), r[2] is None, -(r[2] or 0.0), r[3]))
+        for place, (r, last) in enumerate(zip(own, [None, *own]), 1):
+            assert got[r[3]] == (place, last is not None and last[1] != r[1])
+    known = [r for r in rows if r[2] is not None]
+    shares = {(r.grp, r.effect): r.share for r in ecdf(df.where("effect is not null"), ["grp"], "effect").collect()}
+    for g in "ab":
+        values = np.sort([r[2] for r in known if r[0] == g])
+        for v in set(values.tolist()):
+            assert abs(shares[g, v] - np.searchsorted(values, v, "right") / values.size) < 1e-12

@@ -101,6 +101,20 @@ def pairwise_similarity(rows: DataFrame, by: str, item: str, vector: str, block:
         product, f"{by} {names[by]}, a {names['_item']}, z {names['_item']}, similarity double")
 
 
+def population_order(rows: DataFrame, by: list[str], label: str, value: str, tie: str) -> DataFrame:
+    """Place of each unit in its group, by label and then value, both falling, then ``tie``; and
+    whether its label differs from that of the unit before it."""
+    from tracespark.operators.stats import running_by_range
+
+    within = running_by_range(rows, [*by, label], value, F.lit(1), "_k", (tie,), descending=True)
+    before = Window.partitionBy(*by).orderBy(F.col(label).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: f"_of_{c}" for c in (*by, label)}
+    labels = rows.groupBy(*by, label).agg(F.count("*").alias("_n")).select(*by, label, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(z)) for a, z in names.items()])
+    return within.join(labels.withColumnsRenamed(names), same).withColumns(
+        {"place": F.col("_before") + F.col("_k"), "changes": (F.col("_k") == 1) & (F.col("_before") > 0)}).drop(*names.values(), "_before", "_k")
+
+
 def paired_metrics(a: DataFrame, z: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Metrics of rows that meet on ``by``, as long rows with both values; a missing value
     on either side drops the pair of that metric."""

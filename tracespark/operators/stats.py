@@ -7,9 +7,10 @@ finished, small table of statistics.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracespark.functions import pvalues
@@ -88,11 +89,37 @@ def fit_p(fits: DataFrame) -> DataFrame:
     return with_p(fits.withColumns({"_t": F.when(df > 0, t), "_df": df}), "t", t="_t", df="_df").drop("_t", "_df")
 
 
+def running_by_range(
+    rows: DataFrame, by: list[str], value: str, amount: Column, name: str, ties: tuple[str, ...] = (), descending: bool = False, slots: int = 256,
+) -> DataFrame:
+    """Adds the sum of ``amount`` over a group's rows up to each, in order of value and ties.
+
+    Groups may be few and of any size: each is cut into ``slots`` ranges of value, rows are
+    ordered inside a range, and the sums of the ranges before it are added. Missing values
+    come last.
+    """
+    keys = {c: f"_of_{c}" for c in by}
+    v = F.col(value).cast("double")
+    span = rows.groupBy(*by).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")).withColumnsRenamed(keys)
+    same = lambda names: reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(z)) for a, z in names.items()])
+    share = F.coalesce(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    slot = F.when(v.isNull(), slots + 1).otherwise(F.floor((1 - share if descending else share) * slots)).cast("int")
+    placed = rows.join(span, same(keys), "left").withColumns({"_slot": slot, "_amount": amount}).drop(*keys.values(), "_lo", "_hi")
+    names = {**keys, "_slot": "_of_slot"}
+    before = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = placed.groupBy(*by, "_slot").agg(F.sum("_amount").alias("_sum")).select(
+        *by, "_slot", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")).withColumnsRenamed(names)
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    inside = Window.partitionBy(*by, "_slot").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn(name, F.sum("_amount").over(inside)).join(earlier, same(names)).withColumn(
+        name, F.col(name) + F.col("_before")).drop(*names.values(), "_slot", "_amount", "_before")
+
+
 def ecdf(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Share of the group's values at or below each of its values."""
-    w = Window.partitionBy(*by)
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    return counts.withColumn("share", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_n").over(w)).drop("_n")
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    return running_by_range(counts, by, value, F.col("_n"), "_sum").join(totals, by).withColumn("share", F.col("_sum") / F.col("_all")).drop("_n", "_sum", "_all")
 
 
 def histogram(rows: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -207,9 +207,7 @@ def g14(spark, d):
     from tracespark.operators.response import ratio_class
 
     rows = responses(spark, d).select("roi", ratio_class(F.col("response_ratio"), 1.02).alias("class"), "effect_size", (F.col("roi") % 5).alias("grp"))
-    w = Window.partitionBy("grp").orderBy(F.col("class").desc(), F.col("effect_size").desc(), "roi")
-    return rows.select("grp", "roi", F.row_number().over(w).cast("long").alias("place"),
-                       F.coalesce(F.lag("class").over(w) != F.col("class"), F.lit(False)).alias("changes"))
+    return pooling.population_order(rows, ["grp"], "class", "effect_size", "roi").select("grp", "roi", F.col("place").cast("long").alias("place"), "changes")
 
 
 #: Nine metrics of a session, from its lines.
