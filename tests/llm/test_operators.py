@@ -396,3 +396,12 @@ def test_rows_without_host_are_no_key(spark):
     got = judged(spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert Counter(r.verdict for r in got.collect()) == {"allow": 500, "block": 1}
     assert got.count() == 501
+
+
+def test_files_whose_names_hold_another_number(spark, tmp_path):
+    """The writer's own id may have a part like -c4; only the last one is the file's number."""
+    stem = "part-00000-1f2e3d4c-c4b1-4a5b-8c9d-c00112233445"
+    for k, tokens in enumerate(([5, 6, 9, 7], [8, 9, 1], [2, 9])):
+        (tmp_path / f"{stem}-c{(0, 2, 10)[k]:03d}.txt").write_bytes(np.array(tokens, "<u4").tobytes())
+    got = document_counts(spark, str(tmp_path), end_id=9, filler_id=None, token="<u4", numbered=False).collect()
+    assert sorted((r.start, r.n_tokens, r.complete) for r in got) == [(0, 2, True), (3, 2, True), (6, 2, True)]

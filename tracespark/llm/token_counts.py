@@ -96,7 +96,7 @@ def document_counts(
 ) -> DataFrame:
     """Tokens of each document in flat token files that have no index.
 
-    Files named part-<stream>...-c<number>... are one stream, in order of number. Each
+    Files named part-<stream>...-c<number> (and an ending) are one stream, in order of number. Each
     file, of bounded size, is a task's; it is searched block by block with one vectorised
     comparison, and a block gives its size and the places of its end ids. Boundaries are
     stitched by a scan over the blocks of a stream, which lie in several tasks: running
@@ -142,7 +142,7 @@ def document_counts(
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
         F.regexp_extract("path", r"(part-[0-9]+)[^/]*$", 1).alias("stream"),
-        F.coalesce(F.regexp_extract("path", r"-c([0-9]+)[^/]*$", 1).try_cast("long"), F.lit(0)).alias("file"), "content")
+        F.coalesce(F.regexp_extract("path", r"-c([0-9]+)(\.[^/]*)?$", 1).try_cast("long"), F.lit(0)).alias("file"), "content")
     blocks = files.mapInArrow(
         run, "stream string, file long, block int, size long, closed boolean, ends array<long>, starts array<long>, numbers array<long>")
     before = Window.partitionBy("stream").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
