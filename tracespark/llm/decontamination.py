@@ -90,7 +90,8 @@ def benchmark_hits(
     hits are united per row. A longer benchmark means more scans, one after the other, not
     larger tasks. A doc_id may be of any type.
 
-    Null texts have no words; an empty benchmark or table gives no hits or no rows;
+    Null texts have no words; texts of any length are searched whole; an empty benchmark or
+    table gives no hits or no rows;
     items without words never occur, and a null item_id counts as the empty string.
     Items that share an id are one item. Repeated document rows each get a row.
 

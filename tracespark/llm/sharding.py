@@ -21,8 +21,9 @@ def byte_shards(
     which its middle byte lies. Only sizes and checksums are shuffled, never texts.
 
     Rows with a null id come first; rows of one id are ordered by their text's hash,
-    equal rows are interchangeable. An empty table gives no rows. Other columns of
-    ``docs`` are ignored.
+    equal rows are interchangeable. A text of any length is one row of its size, so that a shard
+    may be larger than the others by one text. An empty table gives no rows. Other columns of
+    ``docs`` are ignored, whatever their names.
 
     Returns id, size, text_crc32, global_row, first_byte, shard, slot.
     """
