@@ -31,8 +31,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the grammar, learned from the labels, does not call toxic.
 
     Null and empty texts have the score of no match and stay, unless labels teach that
-    texts without a match are toxic; repeated rows each stay or go; a null doc_id has no
-    label; an empty table gives no rows; all columns stay, whatever their names.
+    texts without a match are toxic; texts of any length are read whole; repeated rows each stay
+    or go, and rows of equal texts alike; a null doc_id has no label; an empty table gives no
+    rows; all columns stay, whatever their names.
     """
     grammar = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return unpacked(scored(packed(docs), grammar).where("score < 0.5"), docs.columns)
@@ -43,7 +44,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Null and empty texts are one group; of repeated rows one stays, rows of one id and
     different texts are different documents, and a null doc_id stays only where its group
-    has no other; an empty table gives no rows; all columns stay, whatever their names.
+    has no other; texts of any length are compared whole; an empty table gives no rows; all
+    columns stay, whatever their names.
     """
     return first_of_groups(docs)
 
@@ -68,8 +70,8 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no passage of the benchmark occurs.
 
-    Null and empty texts have no words and stay; repeated rows each stay or go; an empty
-    benchmark lets all stay; an empty table gives no rows; all columns stay, whatever
+    Null and empty texts have no words and stay; texts of any length are searched whole;
+    repeated rows each stay or go; an empty benchmark lets all stay; an empty table gives no rows; all columns stay, whatever
     their names.
     """
     hits = benchmark_hits(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -80,8 +82,8 @@ def as_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids in place of the texts: ids, n_tokens, and round_trip (whether the decoder
     gives the text again).
 
-    Null and empty texts have no ids; repeated rows each get theirs; an empty table gives
-    no rows. Of columns of these three names the stage's own stay, all others stay.
+    Null and empty texts have no ids; texts of any length are encoded whole; repeated rows each
+    get theirs, and equal texts equal ids; an empty table gives no rows. Of columns of these three names the stage's own stay, all others stay.
     """
     added = ["ids", "n_tokens", "round_trip"]
     kept = [c for c in docs.columns if c != "text" and c not in added]
