@@ -99,3 +99,32 @@ def test_columns_of_any_name(spark):
     numbers = spark.createDataFrame([(7, "two words " * 40)], "lang int, text string")
     assert {r.lang for r in collocations(numbers).collect()} == {"7"}
     assert BITS == 26
+
+
+def test_phrases_are_hashed_only_where_all_their_parts_are_frequent():
+    """A position is left out as soon as a part of any length is not in its bitmap."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tracespark.llm.collocations import Chunk, _bucket, _encoded
+
+    texts = pa.RecordBatch.from_pydict({"lang": ["en"] * 2, "text": ["a b c d x a b c d", "b c\td. a b, c d a b c d"]})
+    chunk = Chunk(next(_encoded(iter([texts]))), 0)
+    words = [w.decode() for w in chunk.words.to_pylist()]
+    line = [words[i] for i in chunk.ids]
+
+    def bitmap(k, phrases):
+        every = [np.full(1 << BITS - 3, 255, np.uint8)] * (k - 1)
+        at, buckets = chunk.admissible(every) if k > 1 else (np.arange(len(line)), _bucket(chunk.first()[chunk.ids]))
+        chosen = [b for i, b in zip(at, buckets) if " ".join(line[i : i + k]) in phrases]
+        bits = np.zeros(1 << BITS, bool)
+        bits[chosen] = True
+        return np.packbits(bits, bitorder="little")
+
+    frequent = [bitmap(1, {"a", "b", "c", "d"}), bitmap(2, {"a b", "b c", "c d"}), bitmap(3, {"a b c", "b c d"})]
+    found = lambda n: [" ".join(line[i : i + n + 1]) for i in chunk.admissible(frequent[:n])[0]]
+    assert sorted(found(1)) == ["a b"] * 4 + ["b c"] * 4 + ["c d"] * 5 + ["d a"] and "d x" not in found(1)
+    assert sorted(found(2)) == ["a b c"] * 3 + ["b c d"] * 4
+    assert found(3) == ["a b c d"] * 3
+    frequent[1] = bitmap(2, {"a b", "b c"})  # the triple b c d is let through, its pair c d is not
+    assert found(3) == []

@@ -38,8 +38,9 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.setdefault(lang, []).append(row)
             for lang, own in rows.items():
                 blob = b".".join([BREAK, *[texts[r] for r in own], b""]).translate(PIECES)
-                coded = pa.array(blob.replace(BREAK, b" . ").split(), pa.binary()).dictionary_encode()
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in coded.dictionary), np.uint64, len(coded.dictionary))
+                spaced = pa.array([blob.replace(BREAK, b" . ").strip()], pa.large_binary()).cast(pa.large_string())
+                coded = pc.ascii_split_whitespace(spaced).values.cast(pa.binary()).dictionary_encode()
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
                 words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang]), words, pa.array([hashes.tobytes()], pa.binary()), pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary())],
@@ -56,25 +57,33 @@ class Chunk:
         self.hashes = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint64)
         self.ids = np.frombuffer(batch.column("ids")[row].as_buffer(), np.int32)
 
-    def buckets(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of every position, the bucket of the phrase of k words that begins there, and
-        whether there is one. A phrase's hash follows from its language and words alone."""
-        own = self.hashes[self.ids]
-        n = max(0, len(own) - k + 1)
-        run = _mixed(own[:n] ^ np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), seed=1)))
-        real = self.ids[:n] != 0
-        for j in range(1, k):
-            run = _mixed(run * np.uint64(0x9E3779B97F4A7C15) + own[j : j + n])
-            real &= self.ids[j : j + n] != 0
-        return (run >> np.uint64(64 - BITS)).astype(np.uint32), real
-
-    def admissible(self, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which the phrase of k words may be frequent, as both its parts of
-        k - 1 words are in ``frequent``, and the phrases' buckets."""
-        shorter, real = self.buckets(k - 1)
-        often = real & _has(frequent, shorter)
-        at = np.flatnonzero(often[:-1] & often[1:])
-        return at, self.buckets(k)[0][at]
+    def first(self) -> np.ndarray:
+        """The hash of each word of the vocabulary as a phrase of one word. A phrase's hash
+        follows from its language and words alone."""
+        return _mixed(self.hashes ^ np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), seed=1)))
+
+    def admissible(self, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions at which a phrase of one word more than ``frequent`` has bitmaps may be
+        frequent, and the phrases' buckets: for every length, all its parts are in the
+        bitmap of that length. Hashes grow by a word at a time, at the positions left."""
+        if not frequent:
+            at = np.flatnonzero(self.ids != 0)
+            return at, _bucket(self.first()[self.ids[at]])
+        alive = (_has(frequent[0], _bucket(self.first())) & (np.arange(len(self.words)) > 0))[self.ids]
+        at = np.flatnonzero(alive[:-1] & alive[1:])
+        run = self.first()[self.ids[at]]
+        for k in range(2, len(frequent) + 2):
+            run = _mixed(run * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.ids[at + k - 1]])
+            if k > len(frequent):
+                break
+            often = np.flatnonzero(_has(frequent[k - 1], _bucket(run)))
+            own = np.flatnonzero(np.diff(at[often]) == 1)
+            at, run = at[often[own]], run[often[own]]
+        return at, _bucket(run)
+
+
+def _bucket(run: np.ndarray) -> np.ndarray:
+    return (run >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -94,23 +103,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         pa.default_memory_pool().release_unused()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and of all words of a language under a null word."""
-    for chunk in _chunks(batches):
-        counts = np.bincount(chunk.ids, minlength=len(chunk.words))[1:]
-        first = Chunk.buckets(_Vocabulary(chunk), 1)[0][1:]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk.lang] * (len(counts) + 1)), pa.concat_arrays([chunk.words[1:].cast(pa.string()), pa.nulls(1, pa.string())]),
-             pa.array(np.append(first, 0).astype(np.int32)), pa.array(np.append(counts, counts.sum()).astype(np.int64))],
-            names=["lang", "phrase", "bucket", "f"])
-
+def _word_counts(encoded: DataFrame, heavy) -> DataFrame:
+    """Counts of words in ``heavy`` buckets, and of all words of a language under a null word."""
 
-class _Vocabulary(Chunk):
-    """A chunk's vocabulary, read as if it were its text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            counts = np.bincount(chunk.ids, minlength=len(chunk.words))
+            buckets = _bucket(chunk.first())
+            own = np.flatnonzero(_has(heavy.value, buckets) & (np.arange(len(counts)) > 0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk.lang] * (len(own) + 1)), pa.concat_arrays([chunk.words.take(pa.array(own)).cast(pa.string()), pa.nulls(1, pa.string())]),
+                 pa.array(np.append(buckets[own], 0).astype(np.int32)), pa.array(np.append(counts[own], counts[1:].sum()).astype(np.int64))],
+                names=["lang", "phrase", "bucket", "f"])
 
-    def __init__(self, chunk: Chunk):
-        self.lang, self.words, self.hashes = chunk.lang, chunk.words, chunk.hashes
-        self.ids = np.arange(len(chunk.words), dtype=np.int32)
+    return encoded.mapInArrow(run, "lang string, phrase string, bucket int, f long")
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
@@ -122,8 +128,8 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     return whole
 
 
-def _heavy_buckets(encoded: DataFrame, k: int, frequent, least: int) -> np.ndarray:
-    """The bitmap of buckets into which admissible phrases of k words fall ``least`` times or more.
+def _heavy_buckets(encoded: DataFrame, frequent: list, least: int) -> np.ndarray:
+    """The bitmap of buckets into which admissible phrases fall ``least`` times or more.
 
     Tasks send the counts of their buckets by ranges of 65,536, as arrays; each range is added
     up and comes back as 8 KB of bits.
@@ -142,7 +148,7 @@ def _heavy_buckets(encoded: DataFrame, k: int, frequent, least: int) -> np.ndarr
                 [pa.array(parts.astype(np.int32)), *[pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (low, n)]], names=["part", "low", "n"])
 
         for chunk in _chunks(batches):
-            held.append(chunk.admissible(k, frequent.value)[1])
+            held.append(chunk.admissible([f.value for f in frequent])[1])
             if sum(map(len, held)) > 1 << 21:
                 yield told()
         if sum(map(len, held)):
@@ -172,13 +178,13 @@ def _heavy_buckets(encoded: DataFrame, k: int, frequent, least: int) -> np.ndarr
     return whole
 
 
-def _candidates(encoded: DataFrame, k: int, frequent, heavy) -> DataFrame:
+def _candidates(encoded: DataFrame, k: int, frequent: list, heavy) -> DataFrame:
     """Distinct phrases of k words whose parts are frequent and whose bucket is heavy: a
     superset of the frequent ones, since neither test can fail one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            at, buckets = chunk.admissible(k, frequent.value)
+            at, buckets = chunk.admissible([f.value for f in frequent])
             chosen = _has(heavy.value, buckets)
             at, buckets = at[chosen], buckets[chosen]
             code = chunk.ids[at].astype(np.int64)
@@ -280,11 +286,11 @@ def _trie(table: pa.Table) -> pa.Table:
         names=["vocabulary", "langs", "radix", "base", "check", "last"])
 
 
-def _trie_counts(encoded: DataFrame, k: int, shared) -> DataFrame:
+def _trie_counts(encoded: DataFrame, k: int, frequent: list, heavy, shared) -> DataFrame:
     """How often the candidates of a trie occur, by slot.
 
-    All positions of a chunk are in a state of the trie at once; each level takes them on
-    by one digit and lets go those without a child. The states in which positions end
+    All positions of a chunk at which a candidate may begin are in a state of the trie at once;
+    each level takes them on by one digit and lets go those without a child. The states in which positions end
     are counted by one bincount, chunk after chunk; a task gives its sums at its end, as
     arrays of ``SUMS`` slots, and arrays of the same slots are added up.
     """
@@ -296,16 +302,17 @@ def _trie_counts(encoded: DataFrame, k: int, shared) -> DataFrame:
             if chunk.lang not in langs:
                 continue
             known = pc.fill_null(pc.index_in(chunk.words, value_set=vocabulary), -1).to_numpy().astype(np.int32)
-            symbols = known[chunk.ids]  # -1: no word of the block
-            at = np.flatnonzero(symbols[: max(0, len(symbols) - k + 1)] >= 0)
+            at, buckets = chunk.admissible([f.value for f in frequent])
+            at = at[_has(heavy.value, buckets)]
             state = np.full(len(at), base[1] + 1 + langs.index(chunk.lang), np.int32)
             for j in range(k):
-                alive = symbols[at + j] >= 0
-                at, state = at[alive], state[alive]
+                symbols = known[chunk.ids[at + j]]  # -1: no word of the block
+                alive = symbols >= 0
+                at, state, symbols = at[alive], state[alive], symbols[alive]
                 for digit in (np.floor_divide, np.remainder):
-                    child = base[state] + digit(symbols[at + j], radix) + 1
+                    child = base[state] + digit(symbols, radix) + 1
                     alive = check[child] == state
-                    at, state = at[alive], child[alive]
+                    at, state, symbols = at[alive], child[alive], symbols[alive]
             total += np.bincount(state, minlength=len(total))
         found = np.append(total[last], np.zeros(-len(last) % SUMS, np.int64)).reshape(-1, SUMS)
         some = np.flatnonzero(found.any(1))
@@ -325,11 +332,11 @@ def _trie_counts(encoded: DataFrame, k: int, shared) -> DataFrame:
     return encoded.mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(added, "slot int, f long")
 
 
-def _frequent(encoded: DataFrame, k: int, shorter: DataFrame, least: int, block: int) -> list[DataFrame]:
-    """Phrases of k words that occur at least ``least`` times: lang, phrase, bucket, f."""
-    spark, context = encoded.sparkSession, encoded.sparkSession.sparkContext
-    frequent = context.broadcast(_bitmap(shorter))
-    heavy = context.broadcast(_heavy_buckets(encoded, k, frequent, least))
+def _frequent(encoded: DataFrame, k: int, frequent: list, least: int, block: int) -> list[DataFrame]:
+    """Phrases of k words that occur at least ``least`` times: lang, phrase, bucket, f. ``frequent``
+    has the broadcast bitmaps of frequent phrases of 1 to k - 1 words."""
+    context = encoded.sparkSession.sparkContext
+    heavy = context.broadcast(_heavy_buckets(encoded, frequent, least))
     found = stored(_candidates(encoded, k, frequent, heavy), "phrase-candidates")
     n_blocks = -(-found.count() // block)
     slot = F.row_number().over(Window.partitionBy("block").orderBy("lang", "phrase")) - 1
@@ -342,12 +349,11 @@ def _frequent(encoded: DataFrame, k: int, shorter: DataFrame, least: int, block:
             continue
         shared = context.broadcast((
             pa.array([bytes(w) for w in trie.vocabulary], pa.binary()), list(trie.langs), trie.radix, *[np.frombuffer(bytes(x), np.int32) for x in (trie.base, trie.check, trie.last)]))
-        counts = _trie_counts(encoded, k, shared).where(F.col("f") >= least)
+        counts = _trie_counts(encoded, k, frequent, heavy, shared).where(F.col("f") >= least)
         counted.append(stored(own.join(counts, "slot").select("lang", "phrase", "bucket", "f"), "phrases"))
         shared.destroy()
     for table in (found, dealt):
         dropped(table)
-    frequent.destroy()
     heavy.destroy()
     return counted
 
@@ -356,27 +362,31 @@ def phrase_counts(docs: DataFrame, *, longest: int = 4, least: int = 30, block:
     """Phrases of one to ``longest`` words and at least ``least`` occurrences within pieces:
     lang, phrase, k, f; and under a null phrase of k = 0 all words of a language.
 
-    Level by level: a bitmap of fixed size over hashed phrases admits phrases whose two
-    parts are frequent; a second one, whose hashed bucket is frequent. Both let every frequent
+    Level by level: bitmaps of fixed size over hashed phrases, one for each length, admit phrases
+    whose parts are frequent; a further one, whose hashed bucket is frequent. All let every frequent
     phrase through. The distinct phrases that pass are cut into blocks of about ``block`` candidates,
     and each block's double-array trie, broadcast by itself, counts its phrases in all texts.
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text")
     encoded = stored(plain.mapInArrow(_encoded, IDS), "phrase-ids")
-    words = encoded.mapInArrow(_word_counts, "lang string, phrase string, bucket int, f long")
-    words = words.groupBy("lang", "phrase", "bucket").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
+    heavy = spark.sparkContext.broadcast(_heavy_buckets(encoded, [], least))
+    words = _word_counts(encoded, heavy).groupBy("lang", "phrase", "bucket").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
     words = stored(words, "phrases")
+    heavy.destroy()
     levels = [words.withColumn("k", F.col("phrase").isNotNull().cast("int"))]
-    shorter = words.where("phrase is not null")
+    shorter, frequent = words.where("phrase is not null"), []
     for k in range(2, longest + 1):
-        counted = _frequent(encoded, k, shorter, least, block)
+        frequent.append(spark.sparkContext.broadcast(_bitmap(shorter)))
+        counted = _frequent(encoded, k, frequent, least, block)
         if not counted:
             break
         shorter = counted[0]
         for more in counted[1:]:
             shorter = shorter.unionByName(more)
         levels.append(shorter.withColumn("k", F.lit(k)))
+    for bitmap in frequent:
+        bitmap.destroy()
     dropped(encoded)
     whole = levels[0]
     for level in levels[1:]:
