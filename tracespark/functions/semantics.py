@@ -17,8 +17,12 @@ def frames_of(seconds: float, rate: float) -> int:
 
 
 def rounded(x: Column) -> Column:
-    """Six digits, for comparing results; see ``exact`` for values that may lie on a tie."""
-    return F.round(x, 6)
+    """Six digits, for comparing results; see ``exact`` for values that may lie on a tie.
+
+    As DuckDB rounds: the product is a double, so that large values lie on a tie where their
+    shortest decimals, which ``F.round(x, 6)`` takes, do not.
+    """
+    return F.round(x.cast("double") * 1e6, 0) / 1e6
 
 
 def exact(x: Column, parts: Column | int, digits: int = 6) -> Column:
