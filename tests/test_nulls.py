@@ -74,3 +74,27 @@ def test_a_unit_of_most_events_is_added_up_by_task(spark):
     assert all(abs(q[u] - np.percentile(expected[u][1], 95)) < 1e-9 for u in "ab")
     assert long_null(found, ["roi"]).count() == 240
     assert response_null(df.limit(0), ["roi"], 10, 4, 6).count() == 0
+
+
+def test_units_meet_before_their_sums_travel(spark):
+    """A unit's few events are one set of partial sums, however its windows were dealt out."""
+    from tracespark.operators import nulls
+
+    rng = np.random.default_rng(2)
+    windows = [(u, 60 * k + 30, rng.normal(u, 1, 8).tolist()) for u in range(40) for k in range(10)]
+    df = spark.createDataFrame(windows, "roi long, event_frame long, value array<double>").repartition(9)
+    plan = response_null(df, ["roi"], 250, 3, 5)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("RepartitionByExpression") == 2 and nulls.SLICE <= 1024
+    got = {r.roi: r for r in response_null(df, ["roi"], 250, 3, 5).collect()}
+    expected = slow(windows, 250, 3, False)
+    assert all(np.allclose(got[u].ratio, expected[u][2]) and got[u].n_events == 10 for u in range(40))
+
+
+def test_large_values_round_as_doubles(spark):
+    """Medians of times in ms (b19): the product with 10^6 is a tie, the decimals are not."""
+    from pyspark.sql import functions as F
+    from tracespark.functions.semantics import rounded
+
+    rows = spark.createDataFrame([(196226900.19702148,), (210578807.99389648,), (-1.0000005,), (float("nan"),), (None,)], "x double")
+    got = [r[0] for r in rows.select(rounded(F.col("x"))).collect()]
+    assert got[:2] == [196226900.197022, 210578807.993897] and np.isnan(got[3]) and got[4] is None

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +15,12 @@ from tracespark.functions import kernels
 
 #: Draws that travel in one row of partial sums: 48 bytes each.
 PART = 100
+#: Windows that are added up between two looks at how many units are held.
+SLICE = 512
+#: Numbers of draws of all units that a task holds, 48 bytes each.
+HELD = 1 << 18
+#: Events of a unit whose numbers lie in one range of this size meet in one task.
+RANGE = 1 << 15
 PARTIAL = "_part int, _counts array<double>, _sums binary"
 RESULT = "n_events long, amplitude array<double>, ratio array<double>, effect_size array<double>"
 
@@ -99,8 +106,9 @@ def response_null(
     otherwise a window with a missing sample is left out. A shifted window's sums and sums of
     squares are differences of prefix sums, for all draws of many events at once.
 
-    Each task adds its events up by unit before anything is shuffled; what meets is one
-    set of sums by task and unit, so that a unit of any number of events is no hot group.
+    Events of a unit meet by ranges of ``RANGE`` frames and are added up there; what meets then
+    is one set of sums by range and unit, so that a unit of any number of events is no hot
+    group, and a short one's sums travel once. A task holds a bounded number of units' sums.
     Missing results (no event, a baseline of zero, no deviation) are null.
 
     Returns by, n_events, amplitude, ratio, effect_size.
@@ -110,30 +118,29 @@ def response_null(
     columns = [f"by{k}" for k in range(len(by))]
 
     def told(held: dict) -> Iterator[pa.RecordBatch]:
-        for key, unit in held.items():
+        for key in list(held):
+            unit = held.pop(key)
             parts = [np.ascontiguousarray(unit.sums[:, a : a + PART]) for a in range(0, draws, PART)]
             yield pa.RecordBatch.from_pylist([
                 {**dict(zip(columns, key)), "_part": k, "_counts": [unit.offset, *unit.counts.tolist()], "_sums": p.tobytes()} for k, p in enumerate(parts)],
                 schema=own_schema)
-        held.clear()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, UnitSums] = {}
-        for batch in batches:
-            whole = [len(x) == length if x is not None else False for x in batch.column("v").to_pylist()]
-            part = batch.filter(pa.array(whole))
+        for part in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            part = part.filter(pc.fill_null(pc.equal(pc.list_value_length(part.column("v")), length), False))
             if part.num_rows:
                 samples = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
                 keys = list(zip(*[part.column(c).to_pylist() for c in columns]))
                 _added(held, keys, np.where(np.isinf(samples), np.nan, samples), part.column("e").to_numpy(), draws, n_before, seed, fixed)
-            if len(held) * draws > 1 << 18:
+            if len(held) * draws > HELD:
                 yield from told(held)
         yield from told(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, {}
-        for batch in batches:
-            for row in batch.to_pylist():
+        for part in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            for row in part.to_pylist():
                 key = tuple(row[c] for c in columns)
                 if current is not None and key != current:
                     yield result(current, parts)
@@ -149,9 +156,10 @@ def response_null(
 
     def result(key: tuple, parts: dict[int, UnitSums]) -> pa.RecordBatch:
         arrays = [np.concatenate(x) for x in zip(*[parts[k].results(n_before, n_after) for k in sorted(parts)])]
-        listed = [[None if np.isnan(x) else x for x in a.tolist()] for a in arrays]
-        return pa.RecordBatch.from_pylist([{**dict(zip(columns, key)), "n_events": int(parts[0].counts[:2].max()),
-                                            **dict(zip(("amplitude", "ratio", "effect_size"), listed))}], schema=final_schema)
+        own = [pa.array([x], f.type) for x, f in zip((*key, int(parts[0].counts[:2].max())), final_schema)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, from_pandas=True)).cast(final_schema.field(n).type)
+                 for n, a in zip(("amplitude", "ratio", "effect_size"), arrays)]
+        return pa.RecordBatch.from_arrays([*own, *lists], schema=final_schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -159,7 +167,8 @@ def response_null(
     partial, final = (StructType(renamed + StructType.fromDDL(x).fields) for x in (PARTIAL, RESULT))
     own_schema, final_schema = to_arrow_schema(partial), to_arrow_schema(final)
     plain = windows.select(*[F.col(c).alias(k) for c, k in zip(by, columns)], F.col(event).cast("long").alias("e"), F.col(value).cast("array<double>").alias("v"))
-    sums = plain.mapInArrow(add_up, partial)
+    near = plain.repartition(*columns, F.floor(F.col("e") / RANGE)).sortWithinPartitions(*columns)
+    sums = near.mapInArrow(add_up, partial)
     merged = sums.repartition(*columns).sortWithinPartitions(*columns, "_part").mapInArrow(merge, final)
     return merged.withColumnsRenamed(dict(zip(columns, by)))
 
@@ -173,7 +182,13 @@ def long_null(nulls: DataFrame, by: list[str]) -> DataFrame:
 
 def percentile_of(array: str, q: float):
     """Percentile of an array's known values, between neighbours where it falls between two."""
-    known = f"array_sort(filter({array}, x -> x is not null))"
-    place = f"(size({known}) - 1) * cast({q} as double)"
-    low = f"cast(floor({place}) as int)"
-    return F.expr(f"get({known}, {low}) + ({place} - {low}) * (coalesce(get({known}, {low} + 1), get({known}, {low})) - get({known}, {low}))")
+    known = F.sort_array(F.array_compact(array))
+    place = (F.size(known) - 1) * F.lit(float(q))
+    low = F.floor(place).cast("int")
+
+    def between(x):
+        a = F.get(x.known, x.low)
+        return a + (x.place - x.low) * (F.coalesce(F.get(x.known, x.low + 1), a) - a)
+
+    # one element, so that the sorted array is made once
+    return F.get(F.transform(F.array(F.struct(known.alias("known"), place.alias("place"), low.alias("low"))), between), F.lit(0))
