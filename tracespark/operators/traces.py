@@ -124,9 +124,9 @@ def filled(rows: DataFrame, by: list[str], value: str = "value", order: str = "f
     """Missing values by linear interpolation, the ends by the nearest value; a unit of one
     value is constant, one without any is 0."""
     back = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)  # a frame that only grows
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("k"), F.col(value).alias("v")))
-    a, z = F.last(point, ignorenulls=True).over(back), F.first(point, ignorenulls=True).over(ahead)
+    a, z = F.last(point, ignorenulls=True).over(back), F.last(point, ignorenulls=True).over(ahead)
     both = rows.withColumns({"_a": a, "_z": z})
     line = F.col("_a.v") + (F.col("_z.v") - F.col("_a.v")) * (F.col(order) - F.col("_a.k")) / (F.col("_z.k") - F.col("_a.k"))
     return both.withColumn(value, F.when(F.col("_a.k") == F.col("_z.k"), F.col("_a.v")).otherwise(
