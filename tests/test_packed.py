@@ -58,3 +58,13 @@ def test_null_of_groups_that_share_their_valid_laps(spark):
             bits = lambda s: kernels.information(np.bincount(bins, np.roll(x, s), 4), occupancy)  # noqa: B023, E731
             null = [bits(s) for s in kernels.draw_shifts(x.size, 300, 5, group[0])]
             assert abs(r.info_bits - bits(0)) < 1e-9 and abs(r.null_95 - np.percentile(null, 95)) < 1e-9
+
+
+def test_python_holds_a_few_traces_at_once(spark):
+    import pyarrow as pa
+    from tracespark.operators.packed import SLICE, per_trace, sliced
+
+    assert max(b.num_rows for b in sliced(iter([pa.RecordBatch.from_pydict({"x": list(range(1000))})]))) == SLICE < 1000
+    rows = spark.createDataFrame([(k, [1.0, None, float(k)]) for k in range(150)] + [(500, None), (501, [])], "roi long, value array<double>").repartition(1)
+    got = {r.roi: r.value for r in per_trace(rows, lambda x: x * 2).collect()}
+    assert len(got) == 152 and got[7] == [2.0, None, 14.0] and got[500] is None and got[501] == []

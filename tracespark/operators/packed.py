@@ -14,6 +14,16 @@ from pyspark.sql.types import StructType
 from tracespark.functions import kernels
 
 
+#: Packed traces that Python works on at once; an Arrow batch has 10,000.
+SLICE = 64
+
+
+def sliced(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def packed(rows: DataFrame, by: list[str], values: list[str], order: str = "frame") -> DataFrame:
     """Long traces to one row of arrays per unit, in frame order."""
     each = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_x"))
@@ -26,14 +36,18 @@ def long(traces: DataFrame, by: list[str], value: str, order: str = "frame") ->
 
 def per_trace(traces: DataFrame, f: Callable[[np.ndarray], np.ndarray], value: str = "value") -> DataFrame:
     """Apply a function along each packed trace; missing values are NaN inside."""
-    schema = traces.schema
+    at = traces.columns.index(value)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch[value] = [None if x is None else f(np.array(x, float)) for x in batch[value]]
-            yield batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            own = part.column(at)
+            out = [f(x.values.to_numpy(zero_copy_only=False).astype(float)) if x.is_valid else [] for x in own]
+            offsets = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+            flat = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64(), from_pandas=True)
+            done = pa.ListArray.from_arrays(offsets, flat, mask=own.is_null()).cast(own.type)
+            yield pa.RecordBatch.from_arrays([c if k != at else done for k, c in enumerate(part.columns)], names=part.schema.names)
 
-    return traces.mapInPandas(run, schema)
+    return traces.mapInArrow(run, traces.schema)
 
 
 def rolled(
