@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -194,18 +195,31 @@ def b4(spark, d):
     rows = running(spark, d).select("roi", "lap", "frame", "value", "position_cm", F.lit(1).alias("side"))
     early = rows.withColumns({"lap": F.col("lap") + 1, "side": F.lit(0)})
     real = rows.where("lap > 0").select("roi", "lap").distinct()
-    return op.per_group(rows.union(early).join(real, ["roi", "lap"], "left_semi"), ["roi", "lap"], onset_of_lap,
-                        "roi long, lap long, onset_frame long, non_stop boolean, non_full_stop boolean")
-
-
-def onset_of_lap(group: pd.DataFrame) -> pd.DataFrame:
-    g = group.sort_values("frame")
-    before = g[g["side"] == 0]
-    exit_ = kernels.track_exit(before["position_cm"].to_numpy(), 90.0)
-    speed = np.r_[before["value"].to_numpy()[exit_:], g["value"].to_numpy()[len(before):]] / 1000
-    k, non_stop, moving = kernels.run_onset(speed, len(before) - exit_, rate=10.0)
-    return pd.DataFrame({"roi": [g["roi"].iloc[0]], "lap": [g["lap"].iloc[0]], "onset_frame": [int(g["frame"].iloc[exit_ + k]) if k >= 0 else -1],
-                         "non_stop": [non_stop], "non_full_stop": [moving]})
+    own = rows.union(early).join(real, ["roi", "lap"], "left_semi").groupBy("roi", "lap").agg(
+        F.sort_array(F.collect_list(F.struct("frame", "side", "value", "position_cm"))).alias("x"))
+    return own.select("roi", "lap", *[F.col(f"x.{c}").alias(c) for c in ("frame", "side", "value", "position_cm")]).mapInArrow(
+        onsets, "roi long, lap long, onset_frame long, non_stop boolean, non_full_stop boolean")
+
+
+def onsets(batches):
+    """The onsets of packed laps, each with the lap before it."""
+    for batch in op.sliced(batches, 1024):
+        frame, side, value, position = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("frame", "side", "value", "position_cm"))
+        ends = np.cumsum(batch.column("frame").value_lengths().to_numpy())
+        found = [onset_of_lap(*(x[a:z] for x in (frame, side, value, position))) for a, z in zip([0, *ends[:-1]], ends)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("roi").cast(pa.int64()), batch.column("lap").cast(pa.int64()),
+             *[pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.bool_(), pa.bool_()))]],
+            names=["roi", "lap", "onset_frame", "non_stop", "non_full_stop"])
+
+
+def onset_of_lap(frame, side, value, position):
+    before = side == 0
+    n = int(before.sum())
+    exit_ = kernels.track_exit(position[before], 90.0)
+    speed = np.r_[value[before][exit_:], value[n:]] / 1000
+    k, non_stop, moving = kernels.run_onset(speed, n - exit_, rate=10.0)
+    return (int(frame[exit_ + k]) if k >= 0 else -1), bool(non_stop), bool(moving)
 
 
 DISTANCE = """dc AS (SELECT roi, frame // 60 AS trial, frame, second AS v, sum(second) OVER (PARTITION BY roi, frame // 60 ORDER BY frame) - first(second) OVER (PARTITION BY roi, frame // 60 ORDER BY frame) AS t FROM fr),
