@@ -200,3 +200,16 @@ def test_correlation_at_all_lags():
     np.testing.assert_allclose(r, expected, atol=1e-12)
     assert lags.tolist() == list(range(-36, 37)) and np.isnan(k.cross_correlation(x, np.ones(37))[1]).all()
     assert k.upsampled(np.array([0.0, 3.0]), 3).tolist() == [0, 1, 2, 3, 3, 3]
+
+
+def test_temporal_null_takes_each_shift_once(monkeypatch):
+    """All draws at once: arrays of the different shifts, not a round of calls for each draw."""
+    rng = np.random.default_rng(4)
+    x, at = rng.random(200), np.arange(200)
+    shifts = k.draw_shifts(200, 1000, 15, 3)
+    calls, real = [], np.bincount
+    monkeypatch.setattr(k.np, "bincount", lambda *a, **b: calls.append(1) or real(*a, **b))
+    got = k.temporal_null(x, at // 20, at % 20 // 3, 5, shifts)
+    assert len(calls) < 10 and got.shape == (1000,)
+    assert all(got[i] == got[j] for i, j in enumerate(np.unique(shifts, return_index=True, return_inverse=True)[1][np.unique(shifts, return_inverse=True)[1]]))
+    assert np.isnan(k.temporal_null(x, at // 20, np.full(200, 9), 5, shifts)).all()

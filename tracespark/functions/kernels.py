@@ -200,21 +200,35 @@ def temporal_null(values: np.ndarray, lap: np.ndarray, bins: np.ndarray, n_bins:
     each of its visited bins still has a value that is not missing after the shift; bins that a short
     lap does not reach are no fault of it.
     """
-    inside = bins < n_bins
-    names, which = np.unique(lap, return_inverse=True)
-    cell = which[inside] * n_bins + bins[inside]
-    size = names.size * n_bins
-    visited = np.bincount(cell, minlength=size).reshape(-1, n_bins) > 0
-    out = np.full(shifts.size, np.nan)
-    for k, s in enumerate(shifts):
-        x = np.roll(values, s)[inside]
-        known = ~np.isnan(x)
-        n = np.bincount(cell[known], minlength=size).reshape(-1, n_bins)
-        sums = np.bincount(cell[known], x[known], size).reshape(-1, n_bins)
-        valid = ~(visited & (n == 0)).any(1)
-        if valid.any():
-            out[k] = information(sums[valid].sum(0), n[valid].sum(0).astype(float))
-    return out
+    which = np.unique(lap, return_inverse=True)[1]
+    order = np.flatnonzero(bins < n_bins)
+    order = order[np.argsort(which[order] * n_bins + bins[order], kind="stable")]
+    if not order.size:
+        return np.full(shifts.size, np.nan)
+    cell = which[order] * n_bins + bins[order]
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))  # of the frames of each visited cell
+    laps, place = np.divmod(cell[starts], n_bins)
+    first = np.flatnonzero(np.append(True, laps[1:] != laps[:-1]))  # of the cells of each lap
+    own = np.cumsum(np.append(False, laps[1:] != laps[:-1]))
+    size = values.size
+    known = ~np.isnan(values)
+    twice = [np.concatenate([x, x]) for x in (np.where(known, values, 0.0), known.astype(float))]
+    different, draws = np.unique(size - shifts % size, return_inverse=True)
+    bits = np.empty(different.size)
+    step = max(1, (1 << 18) // size)
+    for at in range(0, different.size, step):  # some shifts at once, however long the trace
+        places = order[:, None] + different[at : at + step]
+        sums, n = (np.add.reduceat(x[places], starts, axis=0) for x in twice)
+        valid = np.logical_and.reduceat(n > 0, first, axis=0)[own]
+        sums, n = (np.stack([(x * valid)[place == k].sum(0) for k in range(n_bins)]) for x in (sums, n))
+        with np.errstate(all="ignore"):
+            p = n / n.sum(0)
+            rate = np.where(n > 0, sums / np.maximum(n, 1), 0.0)
+            mean = (p * rate).sum(0)
+            x = np.where(rate > 0, rate, 1.0) / mean
+            own_bits = np.where((n > 0) & (rate > 0), p * x * np.log2(x), 0.0).sum(0)
+        bits[at : at + step] = np.where((n.sum(0) > 0) & (mean != 0), own_bits, np.nan)
+    return bits[draws]
 
 
 def draw_shifts(n: int, draws: int, least: int, unit: int, seed: int = 1) -> np.ndarray:
