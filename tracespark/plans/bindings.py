@@ -66,6 +66,18 @@ def numbered(by: str, *order) -> F.Column:
     return F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")
 
 
+#: Rows that a task orders at once, about.
+PART_ROWS = 1 << 19
+
+
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows by key in more parts than the session's, where the table's size asks for it, so
+    that what a task orders does not grow with the table. The windows and joins by this
+    key that follow keep these parts."""
+    n = -(-rows.count() // PART_ROWS)
+    return rows.repartition(n, by) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def events(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
     out = table(spark, d, "events").select(
         F.col("user_id").alias("rec"), F.col("event_type").alias("kind"), "value",
@@ -94,7 +106,7 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def traces(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(
+    return dealt(table(spark, d, "lineitem"), "l_suppkey").select(
         F.col("l_suppkey").alias("roi"), (numbered("l_suppkey", *FRAME_ORDER) - 1).alias("frame"),
         F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("second"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_partkey").alias("part"))
