@@ -76,14 +76,6 @@ def pairwise_similarity(rows: DataFrame, by: str, item: str, vector: str, block:
 
     Returns by, a, z (a before z), similarity.
     """
-    blocks = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = rows.select(by, F.col(item).alias("_item"), F.col(vector).cast("array<double>").alias("_v")).join(blocks, by).withColumn(
-        "_b", F.pmod(F.xxhash64("_item"), F.col("_n")).cast("int"))
-    own = lambda p: [F.col(c).alias(f"{p}{k}") for c, k in ((by, "by"), ("_item", "item"), ("_v", "v"))]
-    a = dealt.select(*own("a_"), F.col("_b").alias("a_i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("a_j"))
-    z = dealt.select(*own("z_"), F.col("_b").alias("z_j"), F.explode(F.sequence(F.lit(0), "_b")).alias("z_i"))
-    names = {f.name: f.dataType.simpleString() for f in dealt.schema}
-
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], left.schema.field(c).type) for c in (0, 1, 1)] + [pa.array([], pa.float64())], names=[by, "a", "z", "similarity"])
@@ -97,8 +89,54 @@ def pairwise_similarity(rows: DataFrame, by: str, item: str, vector: str, block:
         found = pa.table([pa.repeat(left.column(0)[0], len(i)), low, high, pa.array(together.reshape(-1), from_pandas=True)], names=[by, "a", "z", "similarity"])
         return found.filter(less) if same else found
 
+    return _pairs_of_blocks(rows, by, item, vector, block, product, "by {by}, a {item}, z {item}, similarity double")
+
+
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that hold the rows and columns of a matrix of links together as all of them do,
+    fewer than it has rows and columns."""
+    n_rows = len(near)
+    links, open_ = [], np.ones(sum(near.shape), bool)
+    for root in range(n_rows):
+        front = [root] if open_[root] else []
+        open_[root] = False
+        while front:
+            x = front.pop()
+            own = np.flatnonzero(near[x] & open_[n_rows:]) + n_rows if x < n_rows else np.flatnonzero(near[:, x - n_rows] & open_[:n_rows])
+            open_[own] = False
+            front += own.tolist()
+            links += [(x, y - n_rows) if x < n_rows else (y, x - n_rows) for y in own.tolist()]
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def similarity_links(rows: DataFrame, by: str, item: str, vector: str, least: float, block: int = 512) -> DataFrame:
+    """Links between sessions of one animal, of those of a similarity over ``least``, that give the
+    same connected groups: of each pair of blocks a forest, which is no more than its sessions.
+
+    Returns by, a, z.
+    """
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], left.schema.field(c).type) for c in (0, 1, 1)], names=[by, "a", "z"])
+        with np.errstate(invalid="ignore"):
+            i, j = forest(unit_rows(left.column("a_v")) @ unit_rows(right.column("z_v")).T > least)
+        first, second = left.column("a_item").combine_chunks(), right.column("z_item").combine_chunks()
+        return pa.table([pa.repeat(left.column(0)[0], len(i)), first.take(pa.array(i)), second.take(pa.array(j))], names=[by, "a", "z"])
+
+    return _pairs_of_blocks(rows, by, item, vector, block, product, "by {by}, a {item}, z {item}").where("a <> z")
+
+
+def _pairs_of_blocks(rows: DataFrame, by: str, item: str, vector: str, block: int, product, schema: str) -> DataFrame:
+    blocks = rows.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = rows.select(by, F.col(item).alias("_item"), F.col(vector).cast("array<double>").alias("_v")).join(blocks, by).withColumn(
+        "_b", F.pmod(F.xxhash64("_item"), F.col("_n")).cast("int"))
+    own = lambda p: [F.col(c).alias(f"{p}{k}") for c, k in ((by, "by"), ("_item", "item"), ("_v", "v"))]
+    a = dealt.select(*own("a_"), F.col("_b").alias("a_i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("a_j"))
+    z = dealt.select(*own("z_"), F.col("_b").alias("z_j"), F.explode(F.sequence(F.lit(0), "_b")).alias("z_i"))
+    names = {f.name: f.dataType.simpleString() for f in dealt.schema}
     return a.groupBy("a_by", "a_i", "a_j").cogroup(z.groupBy("z_by", "z_i", "z_j")).applyInArrow(
-        product, f"{by} {names[by]}, a {names['_item']}, z {names['_item']}, similarity double")
+        product, schema.replace("by {by}", f"{by} {names[by]}").replace("{item}", names["_item"]))
 
 
 def population_order(rows: DataFrame, by: list[str], label: str, value: str, tie: str) -> DataFrame:

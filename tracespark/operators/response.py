@@ -13,18 +13,21 @@ def pooled_sd(sd_before: Column, sd_after: Column, n_before: int, n_after: int)
     return F.sqrt(((n_before - 1) * sd_before**2 + (n_after - 1) * sd_after**2) / (n_before + n_after - 2))
 
 
-def event_response(aligned: DataFrame, by: list[str], n_before: int, n_after: int, value: str = "value", event: str = "event_frame") -> DataFrame:
+def event_response(aligned: DataFrame, by: list[str], n_before: int, n_after: int, value: str = "value", event: str = "event_frame", step: float | None = None) -> DataFrame:
     """Baseline and response of each unit over its complete events.
 
     ``aligned`` has ``rel`` from -n_before to n_after - 1; an event with a missing value
-    is dropped. Means are means over all kept frames of the window.
+    is dropped. Means are means over all kept frames of the window. Where values are known to
+    be whole numbers of ``step``, sums are taken in whole numbers, so that units of equal
+    values are equal to the last bit, in whatever order their rows come.
     """
     whole = aligned.groupBy(*by, event).agg(F.count(value).alias("_n")).where(F.col("_n") == n_before + n_after).drop("_n")
     rows = aligned.join(whole, [*by, event])
     before, after = F.when(F.col("rel") < 0, F.col(value)), F.when(F.col("rel") >= 0, F.col(value))
+    mean, sd = (F.avg, F.stddev_samp) if step is None else _whole_number_moments(step)
     stats = rows.groupBy(*by).agg(
-        F.count_distinct(event).alias("n_kept"), F.avg(before).alias("baseline_mean"), F.avg(after).alias("response_mean"),
-        F.stddev_samp(before).alias("_b"), F.stddev_samp(after).alias("_r"))
+        F.count_distinct(event).alias("n_kept"), mean(before).alias("baseline_mean"), mean(after).alias("response_mean"),
+        sd(before).alias("_b"), sd(after).alias("_r"))
     amplitude = F.col("response_mean") - F.col("baseline_mean")
     return stats.withColumns({
         "response_amplitude": amplitude,
@@ -33,6 +36,22 @@ def event_response(aligned: DataFrame, by: list[str], n_before: int, n_after: in
     }).drop("_b", "_r")
 
 
+def _whole_number_moments(step: float):
+    """Mean and sample deviation of whole numbers of ``step`` from sums that are exact."""
+    number = lambda x: F.round(x / step).cast("decimal(15,0)")
+    total = lambda x: F.sum(number(x)).cast("decimal(19,0)")
+
+    def mean(x: Column) -> Column:
+        return total(x).cast("double") / F.count(x) * step
+
+    def sd(x: Column) -> Column:
+        n = F.count(x).cast("decimal(10,0)")
+        spread = n * F.sum(number(x) * number(x)).cast("decimal(28,0)") - total(x) * total(x)
+        return F.when(F.count(x) > 1, F.sqrt(spread.cast("double") / (F.count(x) * (F.count(x) - 1)).cast("double")) * step)
+
+    return mean, sd
+
+
 def classified(stats: DataFrame, high: Column, low: Column, effect: float = 0.05, edge: Column | None = None) -> DataFrame:
     """Up, Down or Stable by the null's percentiles, the effect size and the grid's edge."""
     inner = ~edge if edge is not None else F.lit(True)

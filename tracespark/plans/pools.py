@@ -206,7 +206,7 @@ SELECT grp, roi, place, before IS NOT NULL AND before <> class AS changes FROM o
 def g14(spark, d):
     from tracespark.operators.response import ratio_class
 
-    rows = responses(spark, d).select("roi", ratio_class(F.col("response_ratio"), 1.02).alias("class"), "effect_size", (F.col("roi") % 5).alias("grp"))
+    rows = responses(spark, d, step=0.01).select("roi", ratio_class(F.col("response_ratio"), 1.02).alias("class"), "effect_size", (F.col("roi") % 5).alias("grp"))
     return pooling.population_order(rows, ["grp"], "class", "effect_size", "roi").select("grp", "roi", F.col("place").cast("long").alias("place"), "changes")
 
 
@@ -283,7 +283,7 @@ reach AS (SELECT anm, vec_id AS a, vec_id AS z FROM c UNION SELECT r.anm, r.a, l
 m AS (SELECT anm, a, min(z) AS first FROM reach GROUP BY 1, 2)
 SELECT anm, a AS vec_id, dense_rank() OVER (PARTITION BY anm ORDER BY first) AS "group" FROM m""")
 def g18(spark, d):
-    links = similar(spark, d).where("similarity > 0.3").select("anm", "a", "z")
+    links = pooling.similarity_links(vectors(spark, d), "anm", "vec_id", "v", 0.3, block=64)
     nodes = vectors(spark, d).select("anm", F.col("vec_id").alias("node"))
     return pooling.connected_groups(links, nodes, "anm").select("anm", F.col("node").alias("vec_id"), "group")
 

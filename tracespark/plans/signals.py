@@ -144,8 +144,8 @@ resp AS (SELECT roi, n_kept, bm, rm, rm - bm AS amp, rm / nullif(bm, 0) AS ratio
   (rm - bm) / sqrt((({PRE} - 1) * bs * bs + ({POST} - 1) * rs * rs) / ({PRE} + {POST} - 2)) AS effect FROM st)"""
 
 
-def responses(spark, d):
-    return response.event_response(aligned(spark, d), UNIT, PRE, POST)
+def responses(spark, d, step=None):
+    return response.event_response(aligned(spark, d), UNIT, PRE, POST, step=step)
 
 
 @query("t21_event_response", f"""WITH {RESPONSE} SELECT roi, n_kept, round(bm, 6) AS baseline_mean, round(rm, 6) AS response_mean, round(amp, 6) AS response_amplitude,
