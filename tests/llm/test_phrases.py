@@ -128,3 +128,36 @@ def test_phrases_are_hashed_only_where_all_their_parts_are_frequent():
     assert found(3) == ["a b c d"] * 3
     frequent[1] = bitmap(2, {"a b", "b c"})  # the triple b c d is let through, its pair c d is not
     assert found(3) == []
+
+
+def test_counts_leave_no_shuffle_files_and_candidates_travel_packed(spark, monkeypatch):
+    """Bitmaps, tries and counts that reach the driver leave no shuffle files; phrases come once each."""
+    import time
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from tracespark.llm import collocations as op
+
+    there = lambda: set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before = there()
+    rows = [(lang, " ".join(f"w{(k * j) % 7}" for j in range(12))) for k in range(300) for lang in ("en", "de")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    phrase_counts(docs)
+    for _ in range(100):
+        if not there() - before:
+            break
+        time.sleep(0.1)
+    assert not there() - before
+    monkeypatch.setattr(op, "HELD", 50)  # tasks send what they have before they end
+    encoded = docs.repartition(6).mapInArrow(op._encoded, op.IDS).persist()
+    every = spark.sparkContext.broadcast(np.full(1 << BITS - 3, 255, np.uint8))
+    got = [tuple(r) for r in op._candidates(encoded, 3, [every, every], every).collect()]
+    plain = {(lang, " ".join(words[i : i + 3])) for lang, text in rows for words in [text.split()] for i in range(len(words) - 2)}
+    assert len(got) == len(plain) and {r[:2] for r in got} == plain
+    chunk = op.Chunk(next(op._encoded(iter([pa.RecordBatch.from_pydict({"lang": ["en"], "text": [rows[10][1]]})]))), 0)
+    at, buckets = chunk.admissible([every.value] * 2)
+    own = [" ".join(chunk.words[chunk.ids[i + j]].as_py().decode() for j in range(3)) for i in at]
+    assert op._phrase_buckets("en", pa.array(own)).tolist() == buckets.tolist()
+    assert {(p, b) for lang, p, b in got if lang == "en"} >= set(zip(own, buckets.tolist()))
+    encoded.unpersist()

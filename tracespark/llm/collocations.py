@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracespark.llm.common import as_bytes, byte_chunks, dropped, stored
+from tracespark.llm.common import as_bytes, byte_chunks, cleaned, dropped, stored
 
 #: Byte table: A-Z in lower case, the ends of pieces [.,;:!?\x0A-\x0D] a full stop, tabs a space.
 PIECES = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -25,6 +25,8 @@ BITS = 26
 CHUNK = 4 << 20
 #: Candidates whose counts travel as one array.
 SUMS = 4096
+#: Candidates that a task holds before it sends them, and those of a part that one task tells apart, about.
+HELD, PART = 1 << 19, 1 << 14
 IDS = "lang string, words array<binary>, hashes binary, ids binary"
 
 
@@ -92,6 +94,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _phrase_buckets(lang: str, phrases: pa.Array) -> np.ndarray:
+    """The buckets of phrases of two words or more and one length, as ``Chunk.admissible`` has them."""
+    words = pc.split_pattern(phrases.cast(pa.binary()), b" ")
+    coded = words.flatten().dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    ids = coded.indices.to_numpy().reshape(len(phrases), -1)
+    run = _mixed(hashes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), seed=1)))[ids[:, 0]]
+    for k in range(1, ids.shape[1]):
+        run = _mixed(run * np.uint64(0x9E3779B97F4A7C15) + hashes[ids[:, k]])
+    return _bucket(run)
+
+
+def _packed(data: bytes) -> bytes:
+    """Bytes as they travel: what repeats or is small takes little."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: pa.Scalar) -> bytes:
+    data = packed.as_buffer()
+    return pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd", asbytes=True)
+
+
 def _has(bitmap: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return (bitmap[buckets >> 3] >> (buckets & 7).astype(np.uint8) & 1).astype(bool)
 
@@ -122,17 +146,18 @@ def _word_counts(encoded: DataFrame, heavy) -> DataFrame:
 def _bitmap(rows: DataFrame) -> np.ndarray:
     """The values of ``bucket`` as one bitmap of 2**BITS bits: 8 MB at most reach the driver."""
     whole = np.zeros(1 << BITS - 3, np.uint8)
-    parts = rows.groupBy(F.shiftright("bucket", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bucket").cast("long") % 32768).alias("bits"))
-    for r in parts.collect():
-        whole[r.part << 12 : r.part + 1 << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+    with cleaned(rows.sparkSession):
+        parts = rows.groupBy(F.shiftright("bucket", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bucket").cast("long") % 32768).alias("bits"))
+        for r in parts.collect():
+            whole[r.part << 12 : r.part + 1 << 12] = np.frombuffer(bytes(r.bits), np.uint8)
     return whole
 
 
 def _heavy_buckets(encoded: DataFrame, frequent: list, least: int) -> np.ndarray:
     """The bitmap of buckets into which admissible phrases fall ``least`` times or more.
 
-    Tasks send the counts of their buckets by ranges of 65,536, as arrays; each range is added
-    up and comes back as 8 KB of bits.
+    Tasks send the counts of their buckets by ranges of 65,536, as packed arrays of the steps
+    between buckets and of their counts; each range is added up and comes back as 8 KB of bits.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +167,12 @@ def _heavy_buckets(encoded: DataFrame, frequent: list, least: int) -> np.ndarray
             buckets, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             parts, begins = np.unique(buckets >> 16, return_index=True)
-            low, n = (buckets & 0xFFFF).astype(np.uint16), n.astype(np.uint32)
+            steps, n = np.diff(buckets, prepend=buckets[:1]), n.astype(np.uint32)
+            steps[begins] = buckets[begins] & 0xFFFF
+            steps = steps.astype(np.uint16)
             cuts = list(zip(begins, [*begins[1:], len(buckets)]))
             return pa.RecordBatch.from_arrays(
-                [pa.array(parts.astype(np.int32)), *[pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (low, n)]], names=["part", "low", "n"])
+                [pa.array(parts.astype(np.int32)), *[pa.array([_packed(x[a:z].tobytes()) for a, z in cuts], pa.binary()) for x in (steps, n)]], names=["part", "steps", "n"])
 
         for chunk in _chunks(batches):
             held.append(chunk.admissible([f.value for f in frequent])[1])
@@ -162,41 +189,90 @@ def _heavy_buckets(encoded: DataFrame, frequent: list, least: int) -> np.ndarray
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
 
         for batch in batches:
-            for own, low, n in zip(batch.column("part").to_pylist(), batch.column("low"), batch.column("n")):
+            for own, steps, n in zip(batch.column("part").to_pylist(), batch.column("steps"), batch.column("n")):
                 if own != part:
                     if part is not None:
                         yield told()
                     part, sums = own, np.zeros(1 << 16, np.int64)
-                sums[np.frombuffer(low.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)
+                sums[np.cumsum(np.frombuffer(_unpacked(steps), np.uint16), dtype=np.int64)] += np.frombuffer(_unpacked(n), np.uint32)
         if part is not None:
             yield told()
 
-    counts = encoded.mapInArrow(counted, "part int, low binary, n binary")
     whole = np.zeros(1 << BITS - 3, np.uint8)
-    for r in counts.repartition("part").sortWithinPartitions("part").mapInArrow(added, "part int, bits binary").collect():
-        whole[r.part << 13 : r.part + 1 << 13] = np.frombuffer(bytes(r.bits), np.uint8)
+    with cleaned(encoded.sparkSession):
+        counts = encoded.mapInArrow(counted, "part int, steps binary, n binary")
+        for r in counts.repartition("part").sortWithinPartitions("part").mapInArrow(added, "part int, bits binary").collect():
+            whole[r.part << 13 : r.part + 1 << 13] = np.frombuffer(bytes(r.bits), np.uint8)
     return whole
 
 
 def _candidates(encoded: DataFrame, k: int, frequent: list, heavy) -> DataFrame:
     """Distinct phrases of k words whose parts are frequent and whose bucket is heavy: a
-    superset of the frequent ones, since neither test can fail one of them."""
+    superset of the frequent ones, since neither test can fail one of them.
+
+    A task sends its phrases by language and range of buckets, sorted and packed; ranges are so narrow
+    that the phrases of each, some ``PART``, are told apart at once, whatever the corpus.
+    """
+    n_parts = max(64, int(np.bitwise_count(heavy.value).sum(dtype=np.int64)) // PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[pa.Array]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                phrases = pa.concat_arrays(own).unique()
+                phrases = phrases.take(pc.sort_indices(phrases))
+                parts = (_phrase_buckets(lang, phrases).astype(np.int64) * n_parts >> BITS).astype(np.int32)
+                order = np.argsort(parts, kind="stable")
+                there, begins = np.unique(parts[order], return_index=True)
+                phrases = phrases.take(pa.array(order))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), phrases)
+                joined = pc.binary_join(lists, "\n").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(there), pa.string()), pa.array(there), pa.array([_packed(x) for x in joined], pa.binary())], names=["lang", "part", "phrases"])
+            held.clear()
+
+        n = 0
         for chunk in _chunks(batches):
             at, buckets = chunk.admissible([f.value for f in frequent])
-            chosen = _has(heavy.value, buckets)
-            at, buckets = at[chosen], buckets[chosen]
+            at = at[_has(heavy.value, buckets)]
             code = chunk.ids[at].astype(np.int64)
             for j in range(1, k):  # phrases as numbers that only equal phrases share
                 code = np.unique(code << 32 | chunk.ids[at + j], return_inverse=True)[1].astype(np.int64)
             first = np.unique(code, return_index=True)[1]
+            if not len(first):
+                continue
             words = [chunk.words.take(pa.array(chunk.ids[at[first] + j])).cast(pa.string()) for j in range(k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk.lang] * len(first), pa.string()), pc.binary_join_element_wise(*words, " "), pa.array(buckets[first].astype(np.int32))],
-                names=["lang", "phrase", "bucket"])
+            held.setdefault(chunk.lang, []).append(pc.binary_join_element_wise(*words, " "))
+            n += len(first)
+            if n > HELD:  # copies of one phrase, for the most part
+                held = {lang: [pa.concat_arrays(own).unique()] for lang, own in held.items()}
+                n = sum(len(own[0]) for own in held.values())
+                if n > HELD // 2:
+                    yield from told()
+                    n = 0
+        yield from told()
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, pa.array([], pa.string())
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * len(own), pa.string()), own, pa.array(_phrase_buckets(key[0], own).astype(np.int32))], names=["lang", "phrase", "bucket"])
+
+        for batch in batches:
+            for lang, part, phrases in zip(batch.column("lang").to_pylist(), batch.column("part").to_pylist(), batch.column("phrases")):
+                if (lang, part) != key:
+                    if key is not None:
+                        yield told()
+                    key, own = (lang, part), pa.array([], pa.string())
+                more = pc.split_pattern(pa.array([_unpacked(phrases)], pa.binary()).cast(pa.string()), "\n").flatten()
+                own = pa.concat_arrays([own, more]).unique()
+        if key is not None:
+            yield told()
 
-    return encoded.mapInArrow(run, "lang string, phrase string, bucket int").distinct()
+    sent = encoded.mapInArrow(run, "lang string, part int, phrases binary")
+    return sent.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(distinct, "lang string, phrase string, bucket int")
 
 
 def double_array(paths: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -344,7 +420,8 @@ def _frequent(encoded: DataFrame, k: int, frequent: list, least: int, block: int
     counted = []
     for b in range(n_blocks):
         own = dealt.where(F.col("block") == b)
-        trie = own.select("block", "slot", "lang", "phrase").groupBy("block").applyInArrow(_trie, TRIE).first()
+        with cleaned(encoded.sparkSession):
+            trie = own.select("block", "slot", "lang", "phrase").groupBy("block").applyInArrow(_trie, TRIE).first()
         if trie is None:
             continue
         shared = context.broadcast((
