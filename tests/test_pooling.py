@@ -38,3 +38,15 @@ def test_order_and_shares_of_two_groups_of_any_size(spark):
         values = np.sort([r[2] for r in known if r[0] == g])
         for v in set(values.tolist()):
             assert abs(shares[g, v] - np.searchsorted(values, v, "right") / values.size) < 1e-12
+
+
+def test_a_missing_vector_has_no_similarity_and_lengths_must_agree(spark):
+    rng = np.random.default_rng(4)
+    x = {k: None if k == 5 else rng.random(6).tolist() for k in range(12)}
+    df = spark.createDataFrame([(1, k, v) for k, v in x.items()], "anm int, session long, v array<double>").repartition(4)
+    got = {(r.a, r.z): r.similarity for r in pairwise_similarity(df, "anm", "session", "v").collect()}
+    assert set(got) == {(i, j) for j in x for i in range(j)}
+    for (i, j), s in got.items():
+        assert s is None if 5 in (i, j) else abs(s - np.corrcoef(x[i], x[j])[0, 1]) < 1e-12
+    with pytest.raises(Exception, match="differ in length"):
+        pairwise_similarity(df.union(spark.createDataFrame([(1, 99, [1.0, 2.0])], df.schema)), "anm", "session", "v").collect()
