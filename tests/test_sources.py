@@ -147,3 +147,17 @@ def test_streak_decides_the_stage(spark):
 
     got = behaviour.learning_stage(days, F.col("met")).orderBy("k").collect()
     assert [r.stage for r in got] == ["learning"] * 3 + ["learned"] * 2
+
+
+def test_session_tables_in_few_folders_replace_only_their_recordings(spark, tmp_path):
+    """Recordings share folders; those that are not written stay; names like numbers stay names."""
+    rows = {f"{k:04}": [k + 0.5, None, k * 2.0] for k in range(600)}
+    table = lambda x: spark.createDataFrame(list(x.items()), "rec string, values array<double>")
+    path = str(tmp_path / "stats")
+    sources.write_stats(table(rows), path)
+    assert len(list((tmp_path / "stats").glob("*/*.parquet"))) <= sources.PARTS
+    more = {"0007": [1.0], "0599": [], "new": [2.0]}
+    sources.write_stats(table(more), path)
+    read = sources.read_stats(spark, path)
+    assert read.columns == ["rec", "values"] and read.count() == 601
+    assert {r.rec: r["values"] for r in read.collect()} == rows | more

@@ -33,14 +33,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of a session table, however many recordings it has.
+PARTS = 128
+
+
 def write_stats(df: DataFrame, path: str, by: str = "rec") -> None:
-    """Session tables with nested lists, one folder per recording; only its own
-    partitions are overwritten."""
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    """Session tables with nested lists, in ``PARTS`` folders by the recordings' hash; of what is there,
+    only the recordings written are replaced. Others of the folders touched are written again with them."""
+    spark = df.sparkSession
+    part = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
+    rows = df.withColumn("part", part)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        there = spark.read.parquet(path)
+        own = df.select(by).distinct()
+        rows = rows.unionByName(there.join(own.select(part.alias("part")).distinct(), "part", "left_semi").join(
+            own, there[by].eqNullSafe(own[by]), "left_anti"))
+    rows.repartition("part").sortWithinPartitions("part", by).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("part")
 
 
 #: The file name up to its ending.
