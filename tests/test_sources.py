@@ -161,3 +161,21 @@ def test_session_tables_in_few_folders_replace_only_their_recordings(spark, tmp_
     read = sources.read_stats(spark, path)
     assert read.columns == ["rec", "values"] and read.count() == 601
     assert {r.rec: r["values"] for r in read.collect()} == rows | more
+
+
+def test_logs_are_one_file_each_in_one_folder(spark, tmp_path):
+    rows = [(f"A{k % 90}", k // 90, f"$LE,{k}" if k % 7 else "") for k in range(2000)]
+    lines = spark.createDataFrame(rows, "rec string, line_no long, raw string").repartition(5)
+    sources.write_logs(lines, str(tmp_path / "logs"))
+    assert sorted(p.name for p in (tmp_path / "logs").iterdir()) == sorted(f"A{k}.txt" for k in range(90))
+    read = sources.read_logs(spark, str(tmp_path / "logs"))
+    assert sorted(map(tuple, read.collect())) == sorted(r for r in rows if r[2])
+    key, before = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size, least in (("4m", 4 << 20), ("512", 512), ("2KB", 2048), ("7b", 7), ("1g", 128 << 20)):
+            spark.conf.set(key, size)
+            assert sources._least_split(spark) == least
+    finally:
+        spark.conf.set(key, before)
+    with pytest.raises(Exception, match="cannot name a file"):
+        sources.write_logs(lines.limit(1).selectExpr("'a/b' AS rec", "line_no", "raw"), str(tmp_path / "other"))

@@ -314,7 +314,7 @@ def s1(spark, d):
 def s2(spark, d):
     path = sources.scratch(spark, "logs")
     sources.write_logs(lines(spark, d), path)
-    return sources.read_logs(spark, path, r"/rec=([0-9]+)/").withColumn("rec", F.col("rec").cast("long"))
+    return sources.read_logs(spark, path).withColumn("rec", F.col("rec").cast("long"))
 
 
 PIXEL = "px AS (SELECT frame, roi, floor(value)::BIGINT % 30000 AS v FROM fr), sz AS (SELECT max(roi) + 1 AS n FROM px)"

@@ -62,8 +62,17 @@ FILE_NAME = r"([^/]+?)(\.[^./]*)?$"
 
 
 def write_logs(lines: DataFrame, path: str) -> None:
-    """Lines (rec, line_no, raw) as one text file per recording, in a folder of its own."""
-    lines.repartition("rec").sortWithinPartitions("rec", "line_no").select("rec", F.col("raw").alias("value")).write.partitionBy("rec").text(path)
+    """Lines (rec, line_no, raw) as one text file per recording, named after it."""
+    lines.repartition("rec").sortWithinPartitions("rec", "line_no").select(F.col("rec").cast("string").alias("rec"), "raw").write.format(
+        _registered(lines.sparkSession, binary.LogFiles)).mode("append").save(path)
+
+
+def _least_split(spark: SparkSession) -> int:
+    """Bytes up to which Spark leaves a file whole: a split has as many as opening a file counts for, or
+    the most that the session lets a split have."""
+    sizes = [spark.conf.get(f"spark.sql.files.{k}") for k in ("openCostInBytes", "maxPartitionBytes")]
+    return min(int(n) << 10 * " kmgtp".index((unit or " ").lower()[0].replace("b", " ")) for n, unit in (
+        re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", x).groups() for x in sizes))
 
 
 def read_logs(spark: SparkSession, path: str, rec: str = FILE_NAME) -> DataFrame:
@@ -71,17 +80,19 @@ def read_logs(spark: SparkSession, path: str, rec: str = FILE_NAME) -> DataFrame
     every line that is not empty.
 
     Long logs are read in Spark's splits. Lines are numbered inside a split, and the numbers of
-    lines in the splits before it are added; the table of these has a row for each split.
+    lines in the splits before it are added; the table of these has a row for each split of a file that
+    may have several. Files too small to be split are read once only.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), "value",
         F.monotonically_increasing_id().alias("_at"))
-    counts = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    counts = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n").where(F.col("_metadata.file_size") > _least_split(spark)).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).groupBy("_file", "_block").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1
-    return lines.withColumn("_k", inside).join(F.broadcast(offsets), ["_file", "_block"]).select(
-        F.regexp_extract("_file", rec, 1).alias("rec"), (F.col("_before") + F.col("_k")).alias("line_no"),
+    return lines.withColumn("_k", inside).join(offsets, ["_file", "_block"], "left").select(
+        F.regexp_extract("_file", rec, 1).alias("rec"), (F.coalesce("_before", F.lit(0)) + F.col("_k")).alias("line_no"),
         F.regexp_replace("value", "\r$", "").alias("raw")).where("raw <> ''")
 
 

@@ -1,4 +1,4 @@
-"""Raw movies and .npy trace matrices as Spark data sources: byte ranges of files are partitions."""
+"""Raw movies, .npy trace matrices and logs as Spark data sources: byte ranges of files are partitions."""
 
 from __future__ import annotations
 
@@ -232,6 +232,32 @@ class TraceWriter(_Writer):
         return Written(files)
 
 
+class LogWriter(_Writer):
+    """One text file per recording: rows come sorted by recording and line."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, root = opened(self.path)
+        system.create_dir(root, recursive=True)
+        files, rec, out = [], None, None
+        for batch in iterator:
+            each = batch.column("rec").to_pylist()
+            begins = [k for k, own in enumerate(each) if not k or own != each[k - 1]]
+            lines = batch.column("raw")
+            for a, z in zip(begins, [*begins[1:], len(each)]):
+                if not re.fullmatch(r"[a-zA-Z0-9][\w.-]*", each[a] or "", re.ASCII):
+                    raise ValueError(f"recording {each[a]!r} cannot name a file")
+                if out is None or each[a] != rec:
+                    if out is not None:
+                        out.close()
+                    rec = each[a]
+                    files.append(self.named(f"{rec}.txt"))
+                    out = system.open_output_stream(f"{root}/{files[-1][0]}")
+                out.write("".join(f"{x or ''}\n" for x in lines.slice(a, z - a).to_pylist()).encode())
+        if out is not None:
+            out.close()
+        return Written(files)
+
+
 class RawMovie(DataSource):
     """Raw int16 movies. Options: path, height, width, from and to (frames), split (bytes), pushed."""
 
@@ -264,3 +290,17 @@ class TraceMatrices(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return TraceWriter(dict(self.options))
+
+
+class LogFiles(DataSource):
+    """Text files of recordings' lines, to be read as text. Options: path."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "logfiles"
+
+    def schema(self) -> str:
+        return "rec string, raw string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return LogWriter(dict(self.options))
