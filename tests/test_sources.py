@@ -179,3 +179,14 @@ def test_logs_are_one_file_each_in_one_folder(spark, tmp_path):
         spark.conf.set(key, before)
     with pytest.raises(Exception, match="cannot name a file"):
         sources.write_logs(lines.limit(1).selectExpr("'a/b' AS rec", "line_no", "raw"), str(tmp_path / "other"))
+
+
+def test_file_names_of_long_paths():
+    import re
+    import time
+
+    for path, name in (("file:///tmp/a/b.c.txt", "b.c"), ("A1", "A1"), ("/x/.a.b", ".a"), ("x/y.z/k", "k")):
+        assert re.search(sources.FILE_NAME, path).group(1) == name
+    began = time.perf_counter()
+    assert re.search(sources.FILE_NAME, "/" + "x" * 20_000 + "/a.txt").group(1) == "a"
+    assert time.perf_counter() - began < 0.5  # the square of the length took seconds

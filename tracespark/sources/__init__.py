@@ -57,8 +57,8 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("part")
 
 
-#: The file name up to its ending.
-FILE_NAME = r"([^/]+?)(\.[^./]*)?$"
+#: The file name up to its ending; looked for behind slashes only, so that long paths cost little.
+FILE_NAME = r"(?:^|/)([^/]+?)(?:\.[^./]*)?$"
 
 
 def write_logs(lines: DataFrame, path: str) -> None:
