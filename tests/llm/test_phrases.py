@@ -161,3 +161,37 @@ def test_counts_leave_no_shuffle_files_and_candidates_travel_packed(spark, monke
     assert op._phrase_buckets("en", pa.array(own)).tolist() == buckets.tolist()
     assert {(p, b) for lang, p, b in got if lang == "en"} >= set(zip(own, buckets.tolist()))
     encoded.unpersist()
+
+
+def test_one_scan_of_the_texts_counts_the_candidates_of_all_blocks(spark, monkeypatch):
+    """Scans don't grow with the blocks of candidates; a task sends only the counts that it has, before it ends too."""
+    from tracespark.llm import collocations as op
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choice("abcdefgh") for _ in range(60))) for _ in range(120)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    scans, plain = [], op._trie_counts
+    monkeypatch.setattr(op, "_trie_counts", lambda *a: scans.append(len(a[4])) or plain(*a))
+    monkeypatch.setattr(op, "WALKED", 100)
+    got = collocations(docs, longest=3, least=3, block=9).collect()
+    assert bag(got) == bag(slow(rows, longest=3, least=3))
+    assert len(scans) == 2 and min(scans) > 5
+
+
+def test_counted_buckets_follow_the_corpus(spark):
+    """With more bits, rare phrases meet in fewer buckets; heavy ones are the same phrases."""
+    from tracespark.llm import collocations as op
+
+    assert [op._bits_for(n) for n in (0, 10**6, 1 << 28, 1 << 40)] == [26, 26, 27, 29]
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(40)) for _ in range(50)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(4)
+    encoded = docs.mapInArrow(op._encoded, op.IDS).persist()
+    every = spark.sparkContext.broadcast(np.full(1 << BITS - 3, 255, np.uint8))
+    counts = Counter((a, z) for t in texts for w in [t.split()] for a, z in zip(w, w[1:]))
+    for bits in (26, 28):
+        heavy = spark.sparkContext.broadcast(op._heavy_buckets(encoded, [every], 57, bits))
+        assert op._bits(heavy.value) == bits
+        found = {r.phrase for r in op._candidates(encoded, 2, [every], heavy).collect()}
+        assert found == {" ".join(p) for p, n in counts.items() if n >= 57} and 0 < len(found) < len(counts)
+    encoded.unpersist()

@@ -19,12 +19,14 @@ PIECES = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" els
 BREAK = b"."
 #: Language of rows without one.
 NO_LANG = "und"
-#: Bits of a phrase's hash that number its bucket; bitmaps of buckets have 8 MB, whatever the corpus.
+#: Bits of a phrase's hash that number its bucket; bitmaps of frequent phrases have 8 MB, whatever the corpus.
 BITS = 26
+#: Most bits of the buckets that are counted: 64 MB, for over 10^9 words. Fewer would be heavy by chance.
+MOST_BITS = 29
 #: Bytes of text in a row of the encoded corpus; a task holds some ten times as much.
 CHUNK = 4 << 20
-#: Candidates whose counts travel as one array.
-SUMS = 4096
+#: Numbers of words that a task holds before it takes them through the tries, about.
+WALKED = 1 << 23
 #: Candidates that a task holds before it sends them, and those of a part that one task tells apart, about.
 HELD, PART = 1 << 19, 1 << 14
 IDS = "lang string, words array<binary>, hashes binary, ids binary"
@@ -66,11 +68,16 @@ class Chunk:
 
     def admissible(self, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Positions at which a phrase of one word more than ``frequent`` has bitmaps may be
-        frequent, and the phrases' buckets: for every length, all its parts are in the
-        bitmap of that length. Hashes grow by a word at a time, at the positions left."""
+        frequent, and the phrases' buckets."""
+        at, run = self.runs(frequent)
+        return at, _bucket(run)
+
+    def runs(self, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of ``admissible`` and the phrases' hashes: for every length, all parts
+        are in the bitmap of that length. Hashes grow by a word at a time, at the positions left."""
         if not frequent:
             at = np.flatnonzero(self.ids != 0)
-            return at, _bucket(self.first()[self.ids[at]])
+            return at, self.first()[self.ids[at]]
         alive = (_has(frequent[0], _bucket(self.first())) & (np.arange(len(self.words)) > 0))[self.ids]
         at = np.flatnonzero(alive[:-1] & alive[1:])
         run = self.first()[self.ids[at]]
@@ -81,11 +88,30 @@ class Chunk:
             often = np.flatnonzero(_has(frequent[k - 1], _bucket(run)))
             own = np.flatnonzero(np.diff(at[often]) == 1)
             at, run = at[often[own]], run[often[own]]
-        return at, _bucket(run)
+        return at, run
+
+    def heavy(self, frequent: list[np.ndarray], heavy: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The phrases of ``runs`` whose bucket in ``heavy`` is set: the words that occur in them,
+        a row of these words' numbers for each position, and the hashes."""
+        at, run = self.runs(frequent)
+        own = _has(heavy, _bucket(run, _bits(heavy)))
+        ids = self.ids[at[own][:, None] + np.arange(len(frequent) + 1)]
+        used = np.zeros(len(self.words), bool)
+        used[ids] = True
+        return self.words.take(pa.array(np.flatnonzero(used))), (np.cumsum(used, dtype=np.int32) - 1)[ids], run[own]
+
+
+def _bucket(run: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (run >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def _bucket(run: np.ndarray) -> np.ndarray:
-    return (run >> np.uint64(64 - BITS)).astype(np.uint32)
+def _bits(bitmap: np.ndarray) -> int:
+    return len(bitmap).bit_length() + 2
+
+
+def _bits_for(n_words: int) -> int:
+    """Bits of counted buckets for a corpus of so many words: about two positions a bucket, within bounds."""
+    return min(max(BITS, int(n_words // 2).bit_length() - 1), MOST_BITS)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -106,6 +132,28 @@ def _phrase_buckets(lang: str, phrases: pa.Array) -> np.ndarray:
     return _bucket(run)
 
 
+def _one_vocabulary(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Rows of words' numbers of several vocabularies as rows of one sorted one."""
+    coded = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    numbers = np.split(rank[coded.indices.to_numpy()], np.cumsum([len(words) for words, _ in held])[:-1])
+    return coded.dictionary.take(pa.array(order)), np.concatenate([of[ids] for of, (_, ids) in zip(numbers, held)])
+
+
+def _first_rows(ids: np.ndarray, n_words: int) -> np.ndarray:
+    """Places of the different rows, in their order."""
+    bits = n_words.bit_length()
+    code, filled = ids[:, 0].astype(np.int64), bits
+    for column in ids.T[1:]:
+        if filled + bits > 63:  # numbers that only equal beginnings share
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            filled = len(code).bit_length()
+        code, filled = code << bits | column, filled + bits
+    return np.unique(code, return_index=True)[1]
+
+
 def _packed(data: bytes) -> bytes:
     """Bytes as they travel: what repeats or is small takes little."""
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
@@ -153,12 +201,43 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     return whole
 
 
-def _heavy_buckets(encoded: DataFrame, frequent: list, least: int) -> np.ndarray:
-    """The bitmap of buckets into which admissible phrases fall ``least`` times or more.
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted different keys and their counts as they travel: the steps between keys, and the counts."""
+    return _narrow(np.diff(keys.astype(np.uint32), prepend=np.uint32(0))), _narrow(n)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    size = 2 if x.max() < 1 << 16 else 4
+    return _packed(x.astype(f"<u{size}").tobytes() + bytes([size]))
+
+
+def _numbers(packed: pa.Scalar) -> np.ndarray:
+    data = _unpacked(packed)
+    return np.frombuffer(data, f"<u{data[-1]}", len(data) // data[-1])
+
 
-    Tasks send the counts of their buckets by ranges of 65,536, as packed arrays of the steps
-    between buckets and of their counts; each range is added up and comes back as 8 KB of bits.
+def _added(batches: Iterator[pa.RecordBatch], key: str, size) -> Iterator[tuple[int, np.ndarray]]:
+    """Counts that ``_sums`` has packed, added up by ``key``, by which rows are sorted, over
+    keys below ``size`` of it."""
+    now, sums = None, np.empty(0, np.int64)
+    for batch in batches:
+        for own, steps, n in zip(batch.column(key).to_pylist(), batch.column("steps"), batch.column("n")):
+            if own != now:
+                if now is not None:
+                    yield now, sums
+                now, sums = own, np.zeros(size(own), np.int64)
+            sums[np.cumsum(_numbers(steps), dtype=np.int64)] += _numbers(n)
+    if now is not None:
+        yield now, sums
+
+
+def _heavy_buckets(encoded: DataFrame, frequent: list, least: int, bits: int = BITS) -> np.ndarray:
+    """The bitmap of the 2**bits buckets into which admissible phrases fall ``least`` times or more.
+
+    Tasks send the counts of their buckets by 1,024 ranges, as packed arrays of the steps
+    between buckets and of their counts; each range is added up and comes back as bits.
     """
+    span = bits - 10
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -166,43 +245,28 @@ def _heavy_buckets(encoded: DataFrame, frequent: list, least: int) -> np.ndarray
         def told() -> pa.RecordBatch:
             buckets, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            parts, begins = np.unique(buckets >> 16, return_index=True)
-            steps, n = np.diff(buckets, prepend=buckets[:1]), n.astype(np.uint32)
-            steps[begins] = buckets[begins] & 0xFFFF
-            steps = steps.astype(np.uint16)
-            cuts = list(zip(begins, [*begins[1:], len(buckets)]))
+            parts, begins = np.unique(buckets >> span, return_index=True)
+            sent = [_sums(buckets[a:z] & ((1 << span) - 1), n[a:z]) for a, z in zip(begins, [*begins[1:], len(buckets)])]
             return pa.RecordBatch.from_arrays(
-                [pa.array(parts.astype(np.int32)), *[pa.array([_packed(x[a:z].tobytes()) for a, z in cuts], pa.binary()) for x in (steps, n)]], names=["part", "steps", "n"])
+                [pa.array(parts.astype(np.int32)), *[pa.array(x, pa.binary()) for x in zip(*sent)]], names=["part", "steps", "n"])
 
         for chunk in _chunks(batches):
-            held.append(chunk.admissible([f.value for f in frequent])[1])
+            held.append(_bucket(chunk.runs([f.value for f in frequent])[1], bits))
             if sum(map(len, held)) > 1 << 21:
                 yield told()
         if sum(map(len, held)):
             yield told()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, sums = None, np.zeros(1 << 16, np.int64)
+        for part, sums in _added(batches, "part", lambda part: 1 << span):
+            bits_ = np.packbits(sums >= least, bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits_.tobytes()], pa.binary())], names=["part", "bits"])
 
-        def told() -> pa.RecordBatch:
-            bits = np.packbits(sums >= least, bitorder="little")
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["part", "bits"])
-
-        for batch in batches:
-            for own, steps, n in zip(batch.column("part").to_pylist(), batch.column("steps"), batch.column("n")):
-                if own != part:
-                    if part is not None:
-                        yield told()
-                    part, sums = own, np.zeros(1 << 16, np.int64)
-                sums[np.cumsum(np.frombuffer(_unpacked(steps), np.uint16), dtype=np.int64)] += np.frombuffer(_unpacked(n), np.uint32)
-        if part is not None:
-            yield told()
-
-    whole = np.zeros(1 << BITS - 3, np.uint8)
+    whole = np.zeros(1 << bits - 3, np.uint8)
     with cleaned(encoded.sparkSession):
         counts = encoded.mapInArrow(counted, "part int, steps binary, n binary")
         for r in counts.repartition("part").sortWithinPartitions("part").mapInArrow(added, "part int, bits binary").collect():
-            whole[r.part << 13 : r.part + 1 << 13] = np.frombuffer(bytes(r.bits), np.uint8)
+            whole[r.part << span - 3 : r.part + 1 << span - 3] = np.frombuffer(bytes(r.bits), np.uint8)
     return whole
 
 
@@ -216,16 +280,22 @@ def _candidates(encoded: DataFrame, k: int, frequent: list, heavy) -> DataFrame:
     n_parts = max(64, int(np.bitwise_count(heavy.value).sum(dtype=np.int64)) // PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[pa.Array]] = {}
+        held: dict[str, list[tuple[pa.Array, np.ndarray, np.ndarray]]] = {}
 
-        def told() -> Iterator[pa.RecordBatch]:
+        def once() -> int:
             for lang, own in held.items():
-                phrases = pa.concat_arrays(own).unique()
-                phrases = phrases.take(pc.sort_indices(phrases))
-                parts = (_phrase_buckets(lang, phrases).astype(np.int64) * n_parts >> BITS).astype(np.int32)
+                words, ids = _one_vocabulary([x[:2] for x in own])
+                first = _first_rows(ids, len(words))
+                held[lang] = [(words, ids[first], np.concatenate([x[2] for x in own])[first])]
+            return sum(len(own[0][1]) for own in held.values())
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, [(words, ids, hashes)] in held.items():
+                parts = (_bucket(hashes).astype(np.int64) * n_parts >> BITS).astype(np.int32)
                 order = np.argsort(parts, kind="stable")
                 there, begins = np.unique(parts[order], return_index=True)
-                phrases = phrases.take(pa.array(order))
+                words = words.cast(pa.string())
+                phrases = pc.binary_join_element_wise(*[words.take(pa.array(column)) for column in ids[order].T], " ")
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), phrases)
                 joined = pc.binary_join(lists, "\n").cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays(
@@ -234,29 +304,24 @@ def _candidates(encoded: DataFrame, k: int, frequent: list, heavy) -> DataFrame:
 
         n = 0
         for chunk in _chunks(batches):
-            at, buckets = chunk.admissible([f.value for f in frequent])
-            at = at[_has(heavy.value, buckets)]
-            code = chunk.ids[at].astype(np.int64)
-            for j in range(1, k):  # phrases as numbers that only equal phrases share
-                code = np.unique(code << 32 | chunk.ids[at + j], return_inverse=True)[1].astype(np.int64)
-            first = np.unique(code, return_index=True)[1]
-            if not len(first):
+            found = chunk.heavy([f.value for f in frequent], heavy.value)
+            if not len(found[1]):
                 continue
-            words = [chunk.words.take(pa.array(chunk.ids[at[first] + j])).cast(pa.string()) for j in range(k)]
-            held.setdefault(chunk.lang, []).append(pc.binary_join_element_wise(*words, " "))
-            n += len(first)
-            if n > HELD:  # copies of one phrase, for the most part
-                held = {lang: [pa.concat_arrays(own).unique()] for lang, own in held.items()}
-                n = sum(len(own[0]) for own in held.values())
-                if n > HELD // 2:
+            held.setdefault(chunk.lang, []).append(found)
+            n += len(found[1])
+            if n > 4 * HELD:  # copies of one phrase, for the most part
+                n = once()
+                if n > HELD:
                     yield from told()
                     n = 0
+        once()
         yield from told()
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own = None, pa.array([], pa.string())
+        key, held = None, []
 
         def told() -> pa.RecordBatch:
+            own = pa.concat_arrays(held).unique()
             return pa.RecordBatch.from_arrays(
                 [pa.array([key[0]] * len(own), pa.string()), own, pa.array(_phrase_buckets(key[0], own).astype(np.int32))], names=["lang", "phrase", "bucket"])
 
@@ -265,9 +330,10 @@ def _candidates(encoded: DataFrame, k: int, frequent: list, heavy) -> DataFrame:
                 if (lang, part) != key:
                     if key is not None:
                         yield told()
-                    key, own = (lang, part), pa.array([], pa.string())
-                more = pc.split_pattern(pa.array([_unpacked(phrases)], pa.binary()).cast(pa.string()), "\n").flatten()
-                own = pa.concat_arrays([own, more]).unique()
+                    key, held = (lang, part), []
+                held.append(pc.split_pattern(pa.array([_unpacked(phrases)], pa.binary()).cast(pa.string()), "\n").flatten())
+                if sum(map(len, held)) > 8 * PART + 2 * len(held[0]):  # the first holds what was told apart before
+                    held = [pa.concat_arrays(held).unique()]
         if key is not None:
             yield told()
 
@@ -334,11 +400,11 @@ def double_array(paths: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndar
     return base[: end + n_symbols + 1], check[: end + n_symbols + 1], states[node]
 
 
-TRIE = "vocabulary array<binary>, langs array<string>, radix int, base binary, check binary, last binary"
+TRIE = "block int, vocabulary array<binary>, langs array<string>, radix int, base binary, check binary, last binary"
 
 
 def _trie(table: pa.Table) -> pa.Table:
-    """A block of candidates (slot, lang, phrase) as one row: a double-array trie and the last
+    """A block of candidates (block, slot, lang, phrase) as one row: a double-array trie and the last
     states of the candidates by slot. A path is the language and two digits for each
     word: with some hundreds of digits, nodes are narrow and lie close together, where one
     symbol for each of 100,000 words would scatter them."""
@@ -357,80 +423,120 @@ def _trie(table: pa.Table) -> pa.Table:
     by_slot = np.empty(len(last), np.int32)
     by_slot[order] = last
     return pa.Table.from_arrays(
-        [pa.array([coded.dictionary.to_pylist()], pa.list_(pa.binary())), pa.array([langs], pa.list_(pa.string())), pa.array([radix], pa.int32()),
+        [table.column("block").slice(0, 1).cast(pa.int32()), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.binary())), pa.array([langs], pa.list_(pa.string())), pa.array([radix], pa.int32()),
          *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (base, check, by_slot)]],
-        names=["vocabulary", "langs", "radix", "base", "check", "last"])
+        names=["block", "vocabulary", "langs", "radix", "base", "check", "last"])
+
+
+def _loaded(shared):
+    """A broadcast's value, which a worker lets go of after use where it can read it again."""
+    value = shared.value
+    if getattr(shared, "_path", None):
+        vars(shared).pop("_value", None)
+    return value
 
 
-def _trie_counts(encoded: DataFrame, k: int, frequent: list, heavy, shared) -> DataFrame:
-    """How often the candidates of a trie occur, by slot.
+def _block(run: np.ndarray, n_blocks: int) -> np.ndarray:
+    """The block of candidates that a phrase of this hash is in."""
+    return (_bucket(run).astype(np.int64) * n_blocks >> BITS).astype(np.int32)
 
-    All positions of a chunk at which a candidate may begin are in a state of the trie at once;
-    each level takes them on by one digit and lets go those without a child. The states in which positions end
-    are counted by one bincount, chunk after chunk; a task gives its sums at its end, as
-    arrays of ``SUMS`` slots, and arrays of the same slots are added up.
+
+def _trie_counts(encoded: DataFrame, k: int, frequent: list, heavy, tries: list, sizes: list[int], least: int) -> DataFrame:
+    """The candidates that occur at least ``least`` times, by block and slot, and how often.
+
+    One scan of the texts serves the tries of all blocks. A position's hash names the only block that its
+    phrase can be in, so that a position moves through one trie. A task holds positions of about ``WALKED``
+    words and takes them through one trie after the other, of which it holds one at a time: all
+    positions of a block are in a state at once; each level takes them on by one digit and lets go
+    those without a child. One bincount counts the states in which they end, and only the slots that
+    occur are sent and added up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, langs, radix, base, check, last = shared.value
-        total = np.zeros(len(check), np.int64)
+        held: list[tuple[str, pa.Array, np.ndarray, np.ndarray]] = []  # lang, words, numbers of a phrase's words, hashes
+
+        def told() -> Iterator[pa.RecordBatch]:
+            names = sorted({lang for lang, *_ in held})
+            words, ids = _one_vocabulary([x[1:3] for x in held])
+            langs = np.repeat(np.array([names.index(lang) for lang, *_ in held], np.int16), [len(own) for _, _, own, _ in held])
+            blocks = _block(np.concatenate([hashes for *_, hashes in held]), len(tries))
+            held.clear()
+            order = np.argsort(blocks, kind="stable")
+            there, begins = np.unique(blocks[order], return_index=True)
+            for block, rows in zip(there, np.split(order, begins[1:])):
+                if tries[block] is None:
+                    continue
+                vocabulary, known_langs, radix, base, check, last = _loaded(tries[block])
+                known = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy().astype(np.int32)
+                roots = np.array([base[1] + 1 + known_langs.index(x) if x in known_langs else -1 for x in names], np.int32)
+                state = roots[langs[rows]]
+                alive = state >= 0
+                rows, state = rows[alive], state[alive]
+                for j in range(k):
+                    symbols = known[ids[rows, j]]  # -1: no word of the block
+                    alive = symbols >= 0
+                    rows, state, symbols = rows[alive], state[alive], symbols[alive]
+                    for digit in (np.floor_divide, np.remainder):
+                        child = base[state] + digit(symbols, radix) + 1
+                        alive = check[child] == state
+                        rows, state, symbols = rows[alive], child[alive], symbols[alive]
+                found = np.bincount(state, minlength=len(check))[last]
+                some = np.flatnonzero(found)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int32()), *[pa.array([x], pa.binary()) for x in _sums(some, found[some])]], names=["block", "steps", "n"])
+
+        n = 0
         for chunk in _chunks(batches):
-            if chunk.lang not in langs:
+            found = chunk.heavy([f.value for f in frequent], heavy.value)
+            if not len(found[1]):
                 continue
-            known = pc.fill_null(pc.index_in(chunk.words, value_set=vocabulary), -1).to_numpy().astype(np.int32)
-            at, buckets = chunk.admissible([f.value for f in frequent])
-            at = at[_has(heavy.value, buckets)]
-            state = np.full(len(at), base[1] + 1 + langs.index(chunk.lang), np.int32)
-            for j in range(k):
-                symbols = known[chunk.ids[at + j]]  # -1: no word of the block
-                alive = symbols >= 0
-                at, state, symbols = at[alive], state[alive], symbols[alive]
-                for digit in (np.floor_divide, np.remainder):
-                    child = base[state] + digit(symbols, radix) + 1
-                    alive = check[child] == state
-                    at, state, symbols = at[alive], child[alive], symbols[alive]
-            total += np.bincount(state, minlength=len(total))
-        found = np.append(total[last], np.zeros(-len(last) % SUMS, np.int64)).reshape(-1, SUMS)
-        some = np.flatnonzero(found.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array([found[k].tobytes() for k in some], pa.binary())], names=["part", "counts"])
+            held.append((chunk.lang, *found))
+            n += found[1].size
+            if n > WALKED:
+                yield from told()
+                n = 0
+        if held:
+            yield from told()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                own = np.frombuffer(counts.as_buffer(), np.int64)
-                sums[part] = sums[part] + own if part in sums else own
-        for part, counts in sums.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array((part * SUMS + some).astype(np.int32)), pa.array(counts[some])], names=["slot", "f"])
+        for block, counts in _added(batches, "block", lambda block: sizes[block]):
+            some = np.flatnonzero(counts >= least)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), block, np.int32)), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["block", "slot", "f"])
 
-    return encoded.mapInArrow(run, "part int, counts binary").repartition("part").mapInArrow(added, "slot int, f long")
+    sent = encoded.mapInArrow(run, "block int, steps binary, n binary")
+    return sent.repartition("block").sortWithinPartitions("block").mapInArrow(added, "block int, slot int, f long")
 
 
-def _frequent(encoded: DataFrame, k: int, frequent: list, least: int, block: int) -> list[DataFrame]:
-    """Phrases of k words that occur at least ``least`` times: lang, phrase, bucket, f. ``frequent``
-    has the broadcast bitmaps of frequent phrases of 1 to k - 1 words."""
+def _frequent(encoded: DataFrame, k: int, frequent: list, least: int, block: int, bits: int = BITS) -> DataFrame | None:
+    """Phrases of k words that occur at least ``least`` times: lang, phrase, bucket, f; None without
+    candidates. ``frequent`` has the broadcast bitmaps of frequent phrases of 1 to k - 1 words."""
     context = encoded.sparkSession.sparkContext
-    heavy = context.broadcast(_heavy_buckets(encoded, frequent, least))
+    heavy = context.broadcast(_heavy_buckets(encoded, frequent, least, bits))
     found = stored(_candidates(encoded, k, frequent, heavy), "phrase-candidates")
-    n_blocks = -(-found.count() // block)
-    slot = F.row_number().over(Window.partitionBy("block").orderBy("lang", "phrase")) - 1
-    dealt = stored(found.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, n_blocks)))).withColumn("slot", slot), "phrase-blocks")
-    counted = []
-    for b in range(n_blocks):
-        own = dealt.where(F.col("block") == b)
-        with cleaned(encoded.sparkSession):
-            trie = own.select("block", "slot", "lang", "phrase").groupBy("block").applyInArrow(_trie, TRIE).first()
-        if trie is None:
-            continue
-        shared = context.broadcast((
-            pa.array([bytes(w) for w in trie.vocabulary], pa.binary()), list(trie.langs), trie.radix, *[np.frombuffer(bytes(x), np.int32) for x in (trie.base, trie.check, trie.last)]))
-        counts = _trie_counts(encoded, k, frequent, heavy, shared).where(F.col("f") >= least)
-        counted.append(stored(own.join(counts, "slot").select("lang", "phrase", "bucket", "f"), "phrases"))
-        shared.destroy()
-    for table in (found, dealt):
-        dropped(table)
+    with cleaned(encoded.sparkSession):
+        n_blocks = -(-found.count() // block)
+    counted = None
+    if n_blocks:
+        slot = F.row_number().over(Window.partitionBy("block").orderBy("lang", "phrase")) - 1
+        own = F.shiftright(F.col("bucket").cast("long") * n_blocks, BITS).cast("int")
+        dealt = stored(found.withColumn("block", own).withColumn("slot", slot), "phrase-blocks")
+        built = stored(dealt.select("block", "slot", "lang", "phrase").groupBy("block").applyInArrow(_trie, TRIE), "phrase-tries")
+        tries, sizes = [None] * n_blocks, [0] * n_blocks
+        for b in range(n_blocks):
+            trie = built.where(F.col("block") == b).first()
+            if trie is not None:
+                arrays = [np.frombuffer(bytes(x), np.int32) for x in (trie.base, trie.check, trie.last)]
+                tries[b] = context.broadcast((pa.array([bytes(w) for w in trie.vocabulary], pa.binary()), list(trie.langs), trie.radix, *arrays))
+                sizes[b] = len(arrays[-1])
+        counts = _trie_counts(encoded, k, frequent, heavy, tries, sizes, least)
+        counted = stored(dealt.join(counts, ["block", "slot"]).select("lang", "phrase", "bucket", "f"), "phrases")
+        for shared in filter(None, tries):
+            shared.destroy()
+        for table in (dealt, built):
+            dropped(table)
+    dropped(found)
     heavy.destroy()
     return counted
 
@@ -442,7 +548,7 @@ def phrase_counts(docs: DataFrame, *, longest: int = 4, least: int = 30, block:
     Level by level: bitmaps of fixed size over hashed phrases, one for each length, admit phrases
     whose parts are frequent; a further one, whose hashed bucket is frequent. All let every frequent
     phrase through. The distinct phrases that pass are cut into blocks of about ``block`` candidates,
-    and each block's double-array trie, broadcast by itself, counts its phrases in all texts.
+    and the blocks' double-array tries, each broadcast by itself, count them in one scan of the texts.
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text")
@@ -453,14 +559,13 @@ def phrase_counts(docs: DataFrame, *, longest: int = 4, least: int = 30, block:
     heavy.destroy()
     levels = [words.withColumn("k", F.col("phrase").isNotNull().cast("int"))]
     shorter, frequent = words.where("phrase is not null"), []
+    with cleaned(spark):
+        bits = _bits_for(words.where("phrase is null").agg(F.sum("f")).first()[0] or 0)
     for k in range(2, longest + 1):
         frequent.append(spark.sparkContext.broadcast(_bitmap(shorter)))
-        counted = _frequent(encoded, k, frequent, least, block)
-        if not counted:
+        shorter = _frequent(encoded, k, frequent, least, block, bits)
+        if shorter is None:
             break
-        shorter = counted[0]
-        for more in counted[1:]:
-            shorter = shorter.unionByName(more)
         levels.append(shorter.withColumn("k", F.lit(k)))
     for bitmap in frequent:
         bitmap.destroy()
