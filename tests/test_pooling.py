@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from tracespark.operators.pooling import pairwise_similarity, population_order
 from tracespark.operators.stats import ecdf
@@ -50,3 +51,20 @@ def test_a_missing_vector_has_no_similarity_and_lengths_must_agree(spark):
         assert s is None if 5 in (i, j) else abs(s - np.corrcoef(x[i], x[j])[0, 1]) < 1e-12
     with pytest.raises(Exception, match="differ in length"):
         pairwise_similarity(df.union(spark.createDataFrame([(1, 99, [1.0, 2.0])], df.schema)), "anm", "session", "v").collect()
+
+
+def test_what_is_shuffled_does_not_grow_with_the_pairs_of_blocks(spark):
+    """Each session travels four times at most until blocks are large, and pairs come in small pieces."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    df = spark.createDataFrame([(1, k, v.tolist()) for k, v in enumerate(x)], "anm int, session long, v array<float>").repartition(3)
+    got = pairwise_similarity(df, "anm", "session", "v", block=16)
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<double>" not in tree  # vectors travel as they are
+    rows = {(r.a, r.z): r.similarity for r in got.collect()}
+    assert set(rows) == {(i, j) for j in range(900) for i in range(j)}
+    plain = np.corrcoef(x.astype(float))
+    assert max(abs(s - plain[i, j]) for (i, j), s in rows.items()) < 1e-12
+    sent = got._jdf.queryExecution().optimizedPlan().children().head()  # the rows that are dealt to tasks
+    moved = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sent), spark)
+    assert moved.count() == 4 * 900  # 58 for each session before
